@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +89,56 @@ def without(df: DataFrame, names: Iterable[str]) -> list[str]:
     """The columns of df but for those named (in any case): an operator's own columns replace clashing ones."""
     taken = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every Python process."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    held = np.empty(len(words), object)
+    held[:] = words
+    return pd.util.hash_array(held, categorize=False)
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Each bit of the result depends on each bit of the (unsigned 64-bit) value."""
+    values = (values ^ (values >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    values = (values ^ (values >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return values ^ (values >> np.uint64(33))
+
+
+def window_hashes(words: np.ndarray, size: int, factor: int) -> np.ndarray:
+    """Mixed hashes of all windows of `size` consecutive word hashes, by position of their first word."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = words[:n].copy()
+    for k in range(1, size):
+        total *= np.uint64(factor)
+        total += words[k : k + n]
+    return mixed(total)
+
+
+def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows with equal keys, from batches of rows sorted by them; nothing but the open group is held."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        change = np.zeros(len(batch), bool)
+        for k in keys:
+            values = batch[k].to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        if held and any(held[-1][k].iat[-1] != batch[k].iat[0] for k in keys):
+            change[0] = True
+        at = np.flatnonzero(change)
+        if not len(at):
+            held.append(batch)
+            continue
+        if held or at[0] > 0:
+            yield pd.concat([*held, batch.iloc[: at[0]]], ignore_index=True) if held else batch.iloc[: at[0]]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield batch.iloc[a:b]
+        held = [batch.iloc[at[-1] :]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
