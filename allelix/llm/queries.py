@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dups, packing, quality, secret_scan, substrings, tokens, urls
+from . import chat, near_dups, packing, quality, secret_scan, substrings, tokens, urls, warc
 from .common import table
 
 #: (host, path, verdict)
@@ -46,8 +46,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.archive_round_trip(pages, keep_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_packing, op4_url_filters, op5_secret_scans, op6_minhash_near_dedup, op7_quality_rules, op9_substring_dedup)
+    f.__name__: f for f in (op2_token_counts, op3_packing, op4_url_filters, op5_secret_scans, op6_minhash_near_dedup, op7_quality_rules, op8_chat_formatting, op9_substring_dedup, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +94,20 @@ ORACLE_SQL: dict[str, str] = {
             FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words) e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
         SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM words w LEFT JOIN kept USING (doc_id)""",
+    "op8_chat_formatting": r"""
+        WITH said AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        whole AS MATERIALIZED (
+            SELECT conv_id, count(*) AS n_turns, list(md5(role || '/' || text) ORDER BY turn) AS turns,
+                   string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) AS rendered FROM said GROUP BY conv_id),
+        prefixes AS (SELECT DISTINCT array_to_string(turns[1:k], ',') AS p FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM whole))
+        SELECT min(conv_id) AS conv_id, CAST(any_value(n_turns) AS BIGINT) AS n_turns, any_value(rendered) AS rendered
+        FROM whole WHERE array_to_string(turns, ',') NOT IN (SELECT p FROM prefixes) GROUP BY turns""",
+    "op10_warc": r"""
+        WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        grouped AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first_id FROM hashed)
+        SELECT page_id, payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(h, 1 + 5 * (k // 4), 5))::BIGINT // CAST(power(32, 3 - k % 4) AS BIGINT)) % 32 AS INT), 1) FOR k IN range(32)], '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM grouped""",
 }
