@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, near_dups, packing, quality, secret_scan, substrings, tokens, urls, warc
+from . import chat, decontam, near_dups, packing, quality, secret_scan, substrings, tokens, urls, warc
 from .common import table
 
 #: (host, path, verdict)
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
@@ -56,7 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_packing, op4_url_filters, op5_secret_scans, op6_minhash_near_dedup, op7_quality_rules, op8_chat_formatting, op9_substring_dedup, op10_warc)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_token_counts, op3_packing, op4_url_filters, op5_secret_scans, op6_minhash_near_dedup, op7_quality_rules, op8_chat_formatting, op9_substring_dedup, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
