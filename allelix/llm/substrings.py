@@ -22,6 +22,8 @@ from .common import mixed, sub_batches, window_hashes, word_hashes
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: A stretch has so many passages on average.
 STRETCH = 16
+#: Rows that repeat a doc_id with another text are told apart by so many bits of the text's hash, beside the start.
+TAG_BITS, TAG_MASK = 15, 0x7FFF
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -34,7 +36,7 @@ def words_and_hashes(texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray
 
 
 def anchor_rows(size: int) -> Callable:
-    """(key, doc_id, ref): ref holds position, tag and whether the batch alone shows that the anchor is repeated.
+    """(key, doc_id, ref): ref holds the position and whether the batch alone shows that the anchor is repeated.
 
     Of equal anchors in a batch, the first goes to its key and the others, known to be repeated, to keys of their own:
     a passage that a third of all documents share brings a key one row for each batch.
@@ -43,7 +45,7 @@ def anchor_rows(size: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags, keys, docs, places, k = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), [], [], [], 0
+            keys, docs, places, k = [], [], [], 0
             for texts in sub_batches(batch.column(1).to_pylist()):
                 for _, words in words_and_hashes(texts):
                     if len(words) >= size:
@@ -62,7 +64,7 @@ def anchor_rows(size: int) -> Callable:
             known[later] = True
             known[order[:-1][equal]] = True
             key[later] = mixed(key[later] ^ (doc[later].astype(np.uint64) << np.uint64(40)) ^ place[later].astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
-            ref = place << 16 | tags[doc] << 1 | known
+            ref = place << 1 | known
             for a in range(0, len(key), 500_000):
                 part = slice(a, a + 500_000)
                 yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), batch.column(0).take(pa.array(doc[part])), pa.array(ref[part])], ["key", "doc_id", "ref"])
@@ -70,22 +72,38 @@ def anchor_rows(size: int) -> Callable:
     return run
 
 
+def tags_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def own_spans(spans: pa.ListScalar, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the spans that belong to the row with this tag; spans of length 0 say nothing."""
+    if not spans.is_valid:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ref, length = (np.asarray(spans.values.field(name)).astype(np.int64) for name in ("ref", "length"))
+    own = ((ref & TAG_MASK) == tag) & (length > 0)
+    return ref[own] >> TAG_BITS, length[own]
+
+
 def passage_hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return window_hashes(words, size, FACTORS[0]), window_hashes(words, size, FACTORS[1])
 
 
 def stretch_rows(size: int) -> Callable:
-    """(c1, c2, doc_id, tag, start, length): the passages around repeated anchors, in stretches with a digest of all their hashes."""
+    """(c1, c2, doc_id, ref, length): the passages around repeated anchors, in stretches with a digest of all their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, at = [], batch.column(3)
-            k = 0
+            found, at, tags, k = [], batch.column(3), tags_of(batch), 0
             for texts in sub_batches(batch.column(1).to_pylist()):
                 for _, words in words_and_hashes(texts):
                     n = len(words) - size + 1
-                    change = np.zeros(n + 1, np.int64)
+                    change = np.zeros(max(0, n) + 1, np.int64)
                     place = np.unique(np.asarray(at[k].values))
+                    place = place[place < n + PERIOD - 1]  # a row with the same id may be longer
+                    k += 1
+                    if not len(place):
+                        continue
                     np.add.at(change, np.maximum(place - (PERIOD - 1), 0), 1)
                     np.add.at(change, np.minimum(place, n - 1) + 1, -1)
                     near = np.flatnonzero(np.cumsum(change[:-1]) > 0)
@@ -98,39 +116,35 @@ def stretch_rows(size: int) -> Callable:
                     length = np.diff(np.append(begin, len(near)))
                     inner = (np.arange(len(near)) - np.repeat(begin, length)).astype(np.uint64) * np.uint64(FACTORS[1]) + np.uint64(1)
                     c1, c2 = (mixed(np.add.reduceat(mixed(h + inner), begin) + length.astype(np.uint64)) for h in (h1, h2))
-                    found.append((c1, c2, np.full(len(begin), k), near[begin], length))
-                    k += 1
+                    found.append((c1, c2, np.full(len(begin), k - 1), near[begin] << TAG_BITS | tags[k - 1], length))
             if found:
-                c1, c2, doc, start, length = map(np.concatenate, zip(*found, strict=True))
-                doc = pa.array(doc)
+                c1, c2, doc, ref, length = map(np.concatenate, zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), batch.column(0).take(doc), batch.column(2).take(doc), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))],
-                    ["c1", "c2", "doc_id", "tag", "start", "length"],
+                    [pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(ref), pa.array(length.astype(np.int32))],
+                    ["c1", "c2", "doc_id", "ref", "length"],
                 )
 
     return run
 
 
 def passage_rows(size: int) -> Callable:
-    """(h1, doc_id, tag, place): the passages of some stretches; place holds the start and 32 more bits of hash."""
+    """(h1, h2, doc_id, ref): the passages of some stretches, with 64 and 20 bits of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, spans, k = [], batch.column(3), 0
+            found, spans, tags, k = [], batch.column(3), tags_of(batch), 0
             for texts in sub_batches(batch.column(1).to_pylist()):
                 for _, words in words_and_hashes(texts):
                     h1, h2 = passage_hashes(words, size)
-                    held = spans[k].values
-                    start, length = np.asarray(held.field("start")), np.asarray(held.field("length"))
+                    start, length = own_spans(spans[k], tags[k])
                     at = np.repeat(start - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
-                    found.append((h1[at], np.full(len(at), k), (at.astype(np.uint64) << np.uint64(32)) | (h2[at] >> np.uint64(32))))
+                    found.append((h1[at].view(np.int64), (h2[at] >> np.uint64(44)).astype(np.int32), np.full(len(at), k), at << TAG_BITS | tags[k]))
                     k += 1
             if found:
-                h1, doc, place = map(np.concatenate, zip(*found, strict=True))
+                h1, h2, doc, ref = map(np.concatenate, zip(*found, strict=True))
                 for a in range(0, len(h1), 500_000):
                     part = slice(a, a + 500_000)
-                    rows = pa.array(doc[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[part].view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(place[part].view(np.int64))], ["h1", "doc_id", "tag", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[part]), pa.array(h2[part]), batch.column(0).take(pa.array(doc[part])), pa.array(ref[part])], ["h1", "h2", "doc_id", "ref"])
 
     return run
 
@@ -140,15 +154,14 @@ def removal_rows(size: int, keep_text: bool) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, k, rows = batch.column(3), 0, []
+            spans, tags, k, rows = batch.column(3), tags_of(batch), 0, []
             for texts in sub_batches(batch.column(1).to_pylist()):
                 for text in texts:
                     words, gone = text.encode("utf-8", "surrogatepass").split(), 0
                     n = len(words)
-                    if spans[k].is_valid:
-                        held = spans[k].values
+                    start, length = own_spans(spans[k], tags[k])
+                    if len(start):
                         change = np.zeros(n + 1, np.int64)
-                        start, length = np.asarray(held.field("start")), np.asarray(held.field("length"))
                         np.add.at(change, start, 1)
                         np.add.at(change, start + length + size - 1, -1)
                         stay = np.cumsum(change[:-1]) == 0
@@ -164,10 +177,11 @@ def removal_rows(size: int, keep_text: bool) -> Callable:
     return run
 
 
-def first_of(*keys: Column | str) -> Column:
+def first_of(*keys: str) -> Column:
     """Whether a row starts at the smallest (doc_id, start) of the rows with its keys; reads a hot key row by row."""
-    order = Window.partitionBy(*keys).orderBy("doc_id", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (F.first("doc_id").over(order) == F.col("doc_id")) & (F.first("start").over(order) == F.col("start"))
+    order = Window.partitionBy(*keys).orderBy("doc_id", "ref").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = lambda ref: F.shiftright(ref, TAG_BITS)
+    return (F.first("doc_id").over(order) == F.col("doc_id")) & (start(F.first("ref").over(order)) == start(F.col("ref")))
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, keep_text: bool = True) -> DataFrame:
@@ -177,28 +191,31 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     document. Each word goes that a passage covers whose words also start earlier: in a document with a smaller
     doc_id, or in the same one earlier. Passages are judged on the input. Kept words are joined by one space. Null texts have no
     words. Rows without doc_id lose nothing and make nothing go. Rows with equal doc_id count as one document: none
-    makes the other's words go at the same place. Extra columns are dropped. Passages are equal if 96 bits of hash
-    are. All steps are one plan over one exchange of the documents.
+    makes the other's words go at the same place. Extra columns are dropped. Passages are equal if 84 bits of hash
+    are. All steps are one plan over one exchange of the documents, which its three joins share.
     """
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD}")
     kind = df.schema[doc_id].dataType.simpleString()
-    every = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text").bitwiseAND(0x7FFF).cast("short"))
-    docs, key = every.where("doc_id is not null"), ["doc_id", "tag"]
+    name = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")  # an alias that renames nothing would keep the exchange from being shared
+    every = df.select(name, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text").bitwiseAND(TAG_MASK).cast("short"))
+    docs = every.where("doc_id is not null")
+    span, spans = F.struct("ref", "length"), "array<struct<ref:bigint,length:int>>"
 
-    anchors = docs.mapInArrow(anchor_rows(window), f"key long, doc_id {kind}, ref long")
+    anchors = docs.select("doc_id", "text").mapInArrow(anchor_rows(window), f"key long, doc_id {kind}, ref long")
     same = Window.partitionBy("key").orderBy("key")
     twice = anchors.withColumn("n", F.row_number().over(same)).withColumn("next", F.lead(F.lit(1)).over(same)).where((F.col("ref").bitwiseAND(1) == 1) | (F.col("n") > 1) | F.col("next").isNotNull())
-    twice = twice.select("doc_id", F.shiftright("ref", 1).bitwiseAND(0x7FFF).cast("short").alias("tag"), F.shiftright("ref", 16).cast("int").alias("at"))
-    around = docs.join(twice.groupBy(*key).agg(F.collect_list("at").alias("at")), key).select("doc_id", "text", "tag", "at")
-
-    stretches = around.mapInArrow(stretch_rows(window), f"c1 long, c2 long, doc_id {kind}, tag short, start int, length int").withColumn("first", first_of("c1", "c2"))
-    fresh = stretches.where("first").groupBy(*key).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    passages = docs.join(fresh, key).select("doc_id", "text", "tag", "spans").mapInArrow(passage_rows(window), f"h1 long, doc_id {kind}, tag short, place long")
-    passages = passages.select("h1", F.col("place").bitwiseAND(0xFFFFFFFF).alias("h2"), "doc_id", "tag", F.shiftrightunsigned("place", 32).cast("int").alias("start"))
-    again = passages.withColumn("first", first_of("h1", "h2")).where("not first").select(*key, "start", F.lit(1).alias("length"))
-
-    gone = stretches.where("not first").select(*key, "start", "length").union(again).groupBy(*key).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    judged = docs.join(gone, key, "left").select("doc_id", "text", "tag", "spans")
-    judged = judged.union(every.where("doc_id is null").select("doc_id", "text", "tag", F.lit(None).cast("array<struct<start:int,length:int>>")))
+    twice = twice.groupBy("doc_id").agg(F.collect_list(F.shiftright("ref", 1).cast("int")).alias("at"))
+    around = docs.join(twice, "doc_id").select("doc_id", "text", "tag", "at")
+
+    stretches = around.mapInArrow(stretch_rows(window), f"c1 long, c2 long, doc_id {kind}, ref long, length int").withColumn("first", first_of("c1", "c2"))
+    fresh = stretches.where("first").groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
+    passages = docs.join(fresh, "doc_id").select("doc_id", "text", "tag", "spans").mapInArrow(passage_rows(window), f"h1 long, h2 int, doc_id {kind}, ref long")
+    again = passages.withColumn("first", first_of("h1", "h2")).where("not first").select("doc_id", "ref", F.lit(1).alias("length"))
+
+    # an empty span for each document makes this an inner join too, which reads the same exchange
+    none = docs.select("doc_id", F.lit(0).cast("long").alias("ref"), F.lit(0).alias("length"))
+    gone = stretches.where("not first").select("doc_id", "ref", "length").union(again).union(none).groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
+    judged = docs.join(gone, "doc_id").select("doc_id", "text", "tag", "spans")
+    judged = judged.union(every.where("doc_id is null").select("doc_id", "text", "tag", F.lit(None).cast(spans)))
     return judged.mapInArrow(removal_rows(window, keep_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
