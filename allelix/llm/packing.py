@@ -10,6 +10,7 @@ fill any number of windows. Pieces then find their place by their rank among the
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, sub_batches
-from .tokens import UNSURE, load_tokenizer
+from .tokens import UNSURE, UnitCache, load_tokenizer
 
 
 def fill(lengths: dict[int, int], gap: int) -> dict[int, int]:
@@ -78,30 +79,18 @@ def places(plan: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
 
 
 class UnitIds:
-    """Ids of white-space separated words as little-endian bytes, each kept once; bounded and shared by a worker's tasks.
+    """Ids of texts by their white-space separated words, as bytes, four little-endian ones an id.
 
     Holds for tokenizers that drop white space and never join over it, such as word_bpe_49k.json.
     """
 
-    def __init__(self, tokenizer, most: int = 800_000, longest: int = 48):
-        self.tokenizer, self.most, self.longest, self.kept = tokenizer, most, longest, {}
+    def __init__(self, tokenizer, most: int = 600_000):
+        self.cache = UnitCache(lambda words: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], most)
 
     def joined(self, texts: list[str], end: bytes) -> list[bytes]:
         split = [[text] if UNSURE.search(text) else text.split() for text in texts]
-        wanted: set[str] = set().union(*split)
-        wanted.difference_update(self.kept)
-        if len(self.kept) + len(wanted) > self.most:
-            self.kept.clear()
-            wanted = set().union(*split)
-        new = list(wanted)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.kept.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        out = [b"".join([*map(self.kept.__getitem__, words), end]) for words in split]
-        for word in new:
-            if len(word) > self.longest:
-                del self.kept[word]
-        return out
+        ids = self.cache.lookup(split)
+        return [b"".join([*map(ids, words), end]) for words in split]
 
 
 @lru_cache(maxsize=4)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -90,28 +90,49 @@ def count_spliced(tokenizer, text: str, chunk_chars: int, overlap_chars: int) ->
     return total + left.size - left.tokens_before(sure), chunks, widened
 
 
-class UnitCounts:
-    """Counts of a text's units, each kept once; bounded, and shared by all tasks of a Python worker."""
+class UnitCache:
+    """What is known of units of text, in two generations: units seen since the last change of generation and before.
 
-    def __init__(self, tokenizer, most: int = 1_000_000, longest: int = 48):
-        self.tokenizer, self.most, self.longest, self.kept = tokenizer, most, longest, {}
+    Rare units go with their generation and common ones are carried over, so memory is bounded and little is encoded
+    twice. All tasks of a Python worker share it.
+    """
 
-    def totals(self, texts: list[str]) -> list[int]:
-        split = [[text] if UNSURE.search(text) else UNIT.findall(text) for text in texts]
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 600_000, longest: int = 48):
+        self.encode, self.most, self.longest = encode, most, longest
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def lookup(self, split: list[list[str]]) -> Callable[[str], object]:
+        """A function that gives the value of any unit in the lists."""
+        if len(self.young) > self.most // 2:
+            self.old, self.young = self.young, {}
         wanted: set[str] = set().union(*split)
-        wanted.difference_update(self.kept)
-        if len(self.kept) + len(wanted) > self.most:
-            self.kept.clear()
-            wanted = set().union(*split)
-        new = list(wanted)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.kept.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        counts = [sum(map(self.kept.__getitem__, units)) for units in split]
+        wanted.difference_update(self.young)
+        again = wanted.intersection(self.old)
+        self.young.update((unit, self.old[unit]) for unit in again)
+        new, long = list(wanted - again), {}
+        for k in range(0, len(new), 10_000):
+            part = new[k : k + 10_000]
+            values = self.encode(part)
+            self.young.update(zip(part, values, strict=True))
         for unit in new:
             if len(unit) > self.longest:
-                del self.kept[unit]
-        return counts
+                long[unit] = self.young.pop(unit)
+        if not long:
+            return self.young.__getitem__
+        return lambda unit: self.young[unit] if unit in self.young else long[unit]
+
+
+class UnitCounts:
+    """Counts of the tokens of texts by their units."""
+
+    def __init__(self, tokenizer, most: int = 600_000):
+        self.cache = UnitCache(lambda units: list(map(len, tokenizer.encode_batch_fast(units, add_special_tokens=False))), most)
+
+    def totals(self, texts: list[str]) -> list[int]:
+        split = [[text] if UNSURE.search(text) else UNIT.findall(text) for text in texts]
+        count = self.cache.lookup(split)
+        return [sum(map(count, units)) for units in split]
 
 
 @lru_cache(maxsize=4)
