@@ -164,7 +164,8 @@ GROUP = ["tag", "masked", "block_a", "block_b"]
 
 
 def by_group(df: DataFrame) -> DataFrame:
-    return df.repartition(*GROUP).sortWithinPartitions(*GROUP, "block")
+    """Groups in as many tasks as the session has shuffle partitions: few bytes here are much work, so they aren't to be coalesced."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *GROUP).sortWithinPartitions(*GROUP, "block")
 
 
 def surviving(members: DataFrame, percent: int) -> DataFrame:

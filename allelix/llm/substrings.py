@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +91,11 @@ def passage_hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def stretch_rows(size: int) -> Callable:
-    """(c1, c2, doc_id, ref, length): the passages around repeated anchors, in stretches with a digest of all their hashes."""
+    """(c1, c2, doc_id, ref, length): the passages around repeated anchors, in stretches with a digest of all their hashes.
+
+    Of equal stretches in a batch, the earliest goes to its key; the others, which can't be first anywhere, go to keys
+    of their own and have a negative length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,10 +124,17 @@ def stretch_rows(size: int) -> Callable:
                     found.append((c1, c2, np.full(len(begin), k - 1), near[begin] << TAG_BITS | tags[k - 1], length))
             if found:
                 c1, c2, doc, ref, length = map(np.concatenate, zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(ref), pa.array(length.astype(np.int32))],
-                    ["c1", "c2", "doc_id", "ref", "length"],
-                )
+                rows = pa.table({"c1": c1, "c2": c2, "doc_id": batch.column(0).take(pa.array(doc)), "ref": ref})
+                order = pc.sort_indices(rows, [(c, "ascending") for c in rows.column_names]).to_numpy()
+                c1, c2, doc, ref, length = (x[order] for x in (c1, c2, doc, ref, length))
+                opens = np.append(True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
+                leader = np.maximum.accumulate(np.where(opens, np.arange(len(c1)), 0))
+                names = batch.column(0).take(pa.array(doc))
+                same_doc = pc.equal(names, names.take(pa.array(leader))).to_numpy(zero_copy_only=False)
+                later = ~(same_doc & (ref >> TAG_BITS == ref[leader] >> TAG_BITS))
+                c1 = np.where(later, mixed(c1 ^ (doc.astype(np.uint64) << np.uint64(40)) ^ ref.astype(np.uint64)), c1)
+                length = np.where(later, -length, length).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), names, pa.array(ref), pa.array(length)], ["c1", "c2", "doc_id", "ref", "length"])
 
     return run
 
@@ -208,14 +220,14 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     twice = twice.groupBy("doc_id").agg(F.collect_list(F.shiftright("ref", 1).cast("int")).alias("at"))
     around = docs.join(twice, "doc_id").select("doc_id", "text", "tag", "at")
 
-    stretches = around.mapInArrow(stretch_rows(window), f"c1 long, c2 long, doc_id {kind}, ref long, length int").withColumn("first", first_of("c1", "c2"))
+    stretches = around.mapInArrow(stretch_rows(window), f"c1 long, c2 long, doc_id {kind}, ref long, length int").withColumn("first", first_of("c1", "c2") & (F.col("length") > 0))
     fresh = stretches.where("first").groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
     passages = docs.join(fresh, "doc_id").select("doc_id", "text", "tag", "spans").mapInArrow(passage_rows(window), f"h1 long, h2 int, doc_id {kind}, ref long")
     again = passages.withColumn("first", first_of("h1", "h2")).where("not first").select("doc_id", "ref", F.lit(1).alias("length"))
 
     # an empty span for each document makes this an inner join too, which reads the same exchange
     none = docs.select("doc_id", F.lit(0).cast("long").alias("ref"), F.lit(0).alias("length"))
-    gone = stretches.where("not first").select("doc_id", "ref", "length").union(again).union(none).groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
+    gone = stretches.where("not first").select("doc_id", "ref", F.abs("length").alias("length")).union(again).union(none).groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
     judged = docs.join(gone, "doc_id").select("doc_id", "text", "tag", "spans")
     judged = judged.union(every.where("doc_id is null").select("doc_id", "text", "tag", F.lit(None).cast(spans)))
     return judged.mapInArrow(removal_rows(window, keep_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)

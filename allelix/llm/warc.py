@@ -195,7 +195,9 @@ def read_archives(archives: DataFrame, split_bytes: int = 16_000_000, keep_html:
                         yield pd.DataFrame(held, columns=names)
 
     kinds = {"payload_bytes": "long"}
-    return splits.repartition("path", "start").mapInPandas(read, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+    n = max(1, archives.select(F.sum(F.ceil(F.col("n_bytes") / split_bytes)).alias("n")).first()["n"] or 0)
+    # a number of partitions that is given stays: rows of splits are so small that adaptive execution would put them into one task
+    return splits.repartition(min(n, 100_000), "path", "start").mapInPandas(read, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
 
 
 def archive_round_trip(pages: DataFrame, scratch: Scratch | None = None, keep_html: bool = True, least_bytes: int = 0) -> DataFrame:
