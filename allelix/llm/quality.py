@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import without
 
-SYMBOLS = re.compile(r"[#*$%&|<>]")
+SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
@@ -41,37 +41,64 @@ INNER = re.compile(r"[.!?,;:…]")
 BOILERPLATE = re.compile(
     r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses cookies|accept (?:all )?cookies|enable javascript|lorem ipsum|"
     r"licen[sc]ed under the|released under the .{1,40} licen[sc]e|click here|sign up for|subscribe to our|share (?:this|on) ",
-    re.IGNORECASE,
+    re.IGNORECASE | re.ASCII,
 )
+#: What a match of a pattern holds at least (of BOILERPLATE in lower case), so that most texts needn't be searched by it.
+SEPARATOR_PARTS = ("|", "»", "›", "•", "·", " > ", " - ")
+MARK_PARTS = ("#", "*", "$", "%", "&", "<", ">", "!!", "??")
+BOILERPLATE_PARTS = ("rights reserved", "terms of", "policy", "cookies", "javascript", "lorem", "under the", "click here", "sign up", "subscribe to", "share ")
+LOWER = b"abcdefghijklmnopqrstuvwxyz"
 
 
-def failed_rule(line: str, rules: LineRules) -> str | None:
-    """The rule by which a line fails, or None. Lines without words don't fail."""
+@dataclass(frozen=True)
+class Hopeful:
+    """Which patterns a text can match at all."""
+
+    separator: bool = True
+    mark: bool = True
+    boilerplate: bool = True
+
+
+def hopeful(text: str) -> Hopeful:
+    lower = text.lower()
+    return Hopeful(any(p in text for p in SEPARATOR_PARTS), any(p in text for p in MARK_PARTS), any(p in lower for p in BOILERPLATE_PARTS))
+
+
+def mostly_upper(line: str, share: float) -> bool:
+    """Whether all of a line's cased letters, or over `share` of its letters, are in upper case."""
+    raw = line.encode("utf-8", "surrogatepass")
+    lower = len(raw) - len(raw.translate(None, LOWER))
+    if lower and (1 - share) * (len(line) - lower) <= share * lower:
+        return False  # even if all other characters were in upper case
+    if not lower and line.upper() == line != line.lower():
+        return True
+    return sum(map(str.isupper, line)) > share * sum(map(str.isalpha, line))
+
+
+def failed_rule(line: str, rules: LineRules, can: Hopeful = Hopeful()) -> str | None:
+    """The rule by which a line fails, or None. Lines without words don't fail. can: what the line's text allows."""
     words = line.split()
     if not words:
         return None
-    separators = len(SEPARATOR.findall(line))
-    if separators >= rules.separators and separators * rules.words_per_separator >= len(words):
-        return "navigation"
-    if MARK.search(line) and sum(bool(MARK.search(w)) for w in words) > rules.symbol_share * len(words):
+    if can.separator:
+        separators = len(SEPARATOR.findall(line))
+        if separators >= rules.separators and separators * rules.words_per_separator >= len(words):
+            return "navigation"
+    if can.mark and MARK.search(line) and sum(bool(MARK.search(w)) for w in words) > rules.symbol_share * len(words):
         return "boilerplate"
-    if len(words) >= rules.upper_words and line.upper() == line != line.lower():
+    if len(words) >= rules.upper_words and mostly_upper(line, rules.upper_share):
         return "boilerplate"
-    if len(words) >= rules.upper_words:
-        upper, letters = sum(map(str.isupper, line)), sum(map(str.isalpha, line))
-        if upper > rules.upper_share * letters:
-            return "boilerplate"
-    if BOILERPLATE.search(line):
+    if can.boilerplate and BOILERPLATE.search(line):
         return "boilerplate"
-    if len(words) >= rules.open_words and not END.search(line) and not INNER.search(line):
+    if len(words) >= rules.open_words and not INNER.search(line) and not END.search(line):
         return "punctuation"
     return None
 
 
 def clean_lines(text: str, rules: LineRules) -> tuple[str, int, int]:
     """The text without failed lines, how many those are, and how many characters of words they hold."""
-    lines = text.split("\n")
-    failed = [bool(line) and failed_rule(line, rules) is not None for line in lines]
+    lines, can = text.split("\n"), hopeful(text)
+    failed = [bool(line) and failed_rule(line, rules, can) is not None for line in lines]
     if not any(failed):
         return text, 0, 0
     lost = sum(len("".join(line.split())) for line, bad in zip(lines, failed, strict=True) if bad)
@@ -83,12 +110,12 @@ def repeated_words(words: list[bytes]) -> int:
     n = len(words)
     if n < 4:
         return 0
-    ids: dict[bytes, int] = {}
-    code = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, n)
-    windows = (code[:-2] * len(ids) + code[1:-1]) * len(ids) + code[2:] if len(ids) < 2_000_000 else None
-    if windows is None:  # too many distinct words for one integer: number the pairs first
-        pairs = np.unique(code[:-1] * len(ids) + code[1:], return_inverse=True)[1]
-        windows = pairs[:-1] * len(ids) + code[2:]
+    last = dict(zip(words, range(n)))  # a word's number is where it stands last
+    code = np.fromiter(map(last.__getitem__, words), np.int64, n)
+    windows = (code[:-2] * n + code[1:-1]) * n + code[2:] if n < 2_000_000 else None
+    if windows is None:  # too many words for one integer: number the pairs first
+        pairs = np.unique(code[:-1] * n + code[1:], return_inverse=True)[1]
+        windows = pairs[:-1] * n + code[2:]
     order = np.argsort(windows, kind="stable")
     same = windows[order[1:]] == windows[order[:-1]]
     if not same.any():
@@ -132,7 +159,7 @@ def judge_quality(df: DataFrame, text: str = "text", rules: LineRules = LineRule
                 words = t.encode("utf-8", "surrogatepass").split()
                 chars = len(b"".join(words).decode("utf-8", "surrogatepass"))
                 cleaned, bad, lost = clean_lines(t, rules)
-                rows.append((len(words), chars, len(SYMBOLS.findall(t)), repeated_lines(t), repeated_words(words), bad, lost, cleaned if bad else None))
+                rows.append((len(words), chars, sum(map(t.count, SYMBOLS)), repeated_lines(t), repeated_words(words), bad, lost, cleaned if bad else None))
             yield pd.DataFrame(rows, columns=[*names, "cleaned"])
 
     own = [*names[:-1], "base_failed", "kept", "cleaned"]
