@@ -7,16 +7,22 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: So that Python workers, which Spark keeps from task to task, give large blocks back once they are freed.
+ALLOCATION = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers on this machine import the package from where the driver did (clusters install it instead).
 
-    Arrow batches are bounded by bytes, unless the session says otherwise: very long texts then need no more memory than short ones.
+    Arrow batches are bounded by bytes, unless the session says otherwise: very long texts then need no more memory than short ones. The same holds for how
+    the workers allocate memory.
     """
     root, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    for name, value in ALLOCATION.items():
+        environment.setdefault(name, value)
     if "spark.sql.execution.arrow.maxBytesPerBatch" not in {k for k, _ in spark.sparkContext.getConf().getAll()}:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
