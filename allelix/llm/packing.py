@@ -107,7 +107,7 @@ def cut_documents(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int
         words, ranks, task = unit_ids(tokenizer_path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             names, k = batch["doc_id"], 0
-            for texts in sub_batches(batch["text"]):
+            for texts in sub_batches(batch["text"], 1_000_000):
                 rows = []
                 for data in words.joined(texts, end):
                     n = len(data) // 4
