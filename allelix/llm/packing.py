@@ -12,7 +12,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -93,18 +92,13 @@ class UnitIds:
         return [b"".join([*map(ids, words), end]) for words in split]
 
 
-@lru_cache(maxsize=4)
-def unit_ids(path: str) -> UnitIds:
-    return UnitIds(load_tokenizer(path))
-
-
 def cut_documents(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, doc_id: str, text: str, keep_ids: bool) -> DataFrame:
     """Pieces of at most `capacity` ids, each with its rank among its task's pieces of the same length."""
     end = np.array([end_id], "<u4").tobytes()
     ids_type = ", ids array<int>" if keep_ids else ""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, ranks, task = unit_ids(tokenizer_path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        words, ranks, task = UnitIds(load_tokenizer(tokenizer_path)), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             names, k = batch["doc_id"], 0
             for texts in sub_batches(batch["text"], 1_000_000):

@@ -94,7 +94,7 @@ class UnitCache:
     """What is known of units of text, in two generations: units seen since the last change of generation and before.
 
     Rare units go with their generation and common ones are carried over, so memory is bounded and little is encoded
-    twice. All tasks of a Python worker share it.
+    twice. It belongs to one task: Python workers live on, and Spark keeps more of them than there are cores.
     """
 
     def __init__(self, encode: Callable[[list[str]], list], most: int = 600_000, longest: int = 48):
@@ -135,11 +135,6 @@ class UnitCounts:
         return [sum(map(count, units)) for units in split]
 
 
-@lru_cache(maxsize=4)
-def unit_counts(path: str) -> UnitCounts:
-    return UnitCounts(load_tokenizer(path))
-
-
 def count_tokens(
     df: DataFrame, tokenizer_path: str, text: str = "text", limit: int = 512, chunk_chars: int = 65_536, overlap_chars: int = 2_048
 ) -> DataFrame:
@@ -155,7 +150,8 @@ def count_tokens(
 
     @F.pandas_udf("n_tokens long, n_chunks int, n_widened int")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tokenizer, short = load_tokenizer(tokenizer_path), unit_counts(tokenizer_path)
+        tokenizer = load_tokenizer(tokenizer_path)
+        short = UnitCounts(tokenizer)
         for batch in batches:
             rows: list[tuple[int, int, int]] = []
             for texts in sub_batches(batch):
