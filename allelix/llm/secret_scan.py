@@ -35,15 +35,38 @@ class CharClass:
 CLASSES = (CharClass("entropy_hex", "0-9a-fA-F", 20, 2.9), CharClass("entropy_base64", "A-Za-z0-9+/_=-", 20, 3.8))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
-#: What isn't a secret though it looks random. A candidate that one of these fits in full isn't scanned.
-ALLOWED = (
-    r"[A-Za-z]+(?:[-_/=+][A-Za-z]*)*",  # words, also joined ones
-    r"[0-9+=/_-]+",  # numbers, dates, rules
-    r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",  # UUIDs
-    r"(?:sha(?:1|256|384|512)|md5)[-_=].*",  # checksums under their names
-    r".*(?:EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ).*",  # placeholders
-    r"[A-Za-z0-9_-]*(?:/[A-Za-z0-9_-]{1,19}){2,}/?",  # paths of short names
+
+@dataclass(frozen=True)
+class AllowList:
+    """What isn't a secret though it looks random: patterns of candidates, or of what is left of them."""
+
+    #: What one of these fits in full isn't scanned.
+    whole: tuple[str, ...] = ()
+    #: Nor what one of these fits in full, if it is made of words and numbers (see `wordy`).
+    worded: tuple[str, ...] = ()
+    #: What these match is cut out of a candidate; what stands beside it is scanned.
+    parts: tuple[str, ...] = ()
+
+
+ALLOWED = AllowList(
+    whole=(
+        r"[0-9+=/_-]+",  # numbers, dates, rules
+        r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",  # UUIDs
+        r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYz?EXAMPLEKEY",  # the key of a vendor's manuals
+    ),
+    worded=(
+        r"[A-Za-z]+(?:[-_/=+][A-Za-z]*)*",  # words, also joined ones
+        r"[A-Za-z0-9_-]*(?:/[A-Za-z0-9_-]{1,19}){2,}/?",  # paths of short names
+    ),
+    parts=(
+        # checksums under their names, in hexadecimal or base64 of just their length
+        *(rf"\A{name}[-_=](?:[0-9a-fA-F]{{{bits // 4}}}|[A-Za-z0-9+/_-]{{{-(-bits // 6)}}}={{0,2}})(?![A-Za-z0-9+_=-])" for name, bits in (("md5", 128), ("sha1", 160), ("sha256", 256), ("sha384", 384), ("sha512", 512))),
+        r"EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ",  # placeholders
+    ),
 )
+#: A word or a number. Twenty random base64 characters touch 11 of these on average, names and paths at most 7.
+PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+MOST_PIECES, PIECES_WITHIN = 7, 20
 
 _TERM = [0.0, *(c * log2(c) for c in range(1, 257))]
 
@@ -76,18 +99,41 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def entropy_spans(text: str, classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> list[tuple[int, int, str]]:
-    """Random-looking stretches of each class in the candidates that the allow-list doesn't suppress."""
-    suppress, runs, found = compiled("|".join(f"(?:{a})" for a in allowed)), [(c, compiled(f"[{c.pattern}]{{{c.window},}}")) for c in classes], []
+def wordy(text: str) -> bool:
+    """Whether no PIECES_WITHIN characters on end touch more than MOST_PIECES words and numbers."""
+    pieces = [m.span() for m in PIECE.finditer(text)]
+    return all(begin - end > PIECES_WITHIN - 2 for (_, end), (begin, _) in zip(pieces, pieces[MOST_PIECES:], strict=False))
+
+
+def scanned_parts(candidate: str, allowed: AllowList) -> Iterator[tuple[int, str]]:
+    """Where what the allow-list leaves of a candidate begins, and what it is."""
+
+    def suppressed(part: str) -> bool:
+        return any(compiled(p).fullmatch(part) for p in allowed.whole) or (any(compiled(p).fullmatch(part) for p in allowed.worded) and wordy(part))
+
+    if suppressed(candidate):
+        return
+    cuts = [m.span() for m in compiled("|".join(f"(?:{p})" for p in allowed.parts)).finditer(candidate)] if allowed.parts else []
+    begin = 0
+    for a, b in [*cuts, (len(candidate), len(candidate))]:
+        part = candidate[begin:a]
+        if part and not (cuts and suppressed(part)):
+            yield begin, part
+        begin = b
+
+
+def entropy_spans(text: str, classes: tuple[CharClass, ...] = CLASSES, allowed: AllowList = ALLOWED) -> list[tuple[int, int, str]]:
+    """Random-looking stretches of each class in what the allow-list leaves of the candidates."""
+    runs, found = [(c, compiled(f"[{c.pattern}]{{{c.window},}}")) for c in classes], []
     for m in CANDIDATE.finditer(text):
-        if allowed and suppress.fullmatch(m[0]):
-            continue
-        for c, run in runs:
-            for r in run.finditer(m[0]):
-                # a hexadecimal run must mix digits and letters, a base64 run two kinds of characters
-                kinds = sum(bool(compiled(k).search(r[0])) for k in ("[a-z]", "[A-Z]", "[0-9]"))
-                if kinds >= 2:
-                    found += [(m.start() + r.start() + a, m.start() + r.start() + b, c.kind) for a, b in random_windows(r[0], c.window, c.bits)]
+        for at, part in scanned_parts(m[0], allowed):
+            for c, run in runs:
+                for r in run.finditer(part):
+                    # a hexadecimal run must mix digits and letters, a base64 run two kinds of characters
+                    kinds = sum(bool(compiled(k).search(r[0])) for k in ("[a-z]", "[A-Z]", "[0-9]"))
+                    if kinds >= 2:
+                        begin = m.start() + at + r.start()
+                        found += [(begin + a, begin + b, c.kind) for a, b in random_windows(r[0], c.window, c.bits)]
     return found
 
 
@@ -118,11 +164,11 @@ def redact(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(df: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED, mask: str = "[SECRET]") -> DataFrame:
+def scan_secrets(df: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = CLASSES, allowed: AllowList = ALLOWED, mask: str = "[SECRET]") -> DataFrame:
     """Every row of df with n_assign, n_access, n_hex, base_sha256, spans and redacted.
 
     spans lists kind:start:end by start, then kind (assign, access, hex, the classes), in code points, end exclusive: the
-    base patterns' matches and the random stretches. base_sha256 is the digest of the base matches' list. redacted is
+    base patterns' matches and the random stretches; a word of the allow-list doesn't hide what is joined to it. base_sha256 is the digest of the base matches' list. redacted is
     the text with all spans masked, equal to the text if there are none. Null texts count as empty. Rows are judged
     one by one, repeated ones alike; columns of df that clash with an output are replaced.
     """

@@ -249,6 +249,38 @@ def test_clean_prose_has_no_entropy_spans(spark):
     assert not [t for t in texts_of(spark).values() if any(b - a > 0 and "=" not in t[max(0, a - 4) : a] and not re.search(r"[0-9]", t[a:b]) for a, b, _ in secret_scan.entropy_spans(t))]
 
 
+@pytest.mark.parametrize(
+    "key",
+    [
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8vTq2LmN", "example/api-key=Zx8Qp2Lm9Rt4Vw7Yk3Bn6Hs1", "exampleZx8Qp2Lm9Rt4Vw7Yk3Bn6Hs1", "sha256-Zx8Qp2Lm9Rt4Vw7Yk3Bn6Hs1", "kJhGfDsAqWeRtYuIoPzXcVbNm",
+        "src/main/Zx8Qp2Lm9Rt4V/w7Yk3Bn6Hs1",
+    ],
+)
+def test_keys_beside_allowed_words_are_secrets(spark, key):
+    (row,) = secret_scan.scan_secrets(documents(spark, f"the key {key} end")).collect()
+    assert "entropy_base64" in row.spans
+    assert key[-10:] not in row.redacted
+
+
+def test_random_keys_are_found_at_any_length():
+    choose = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for size in (40, 44, 64):
+        keys = ["".join(choose.choices(alphabet, k=size)) for _ in range(3000)]
+        assert sum(not secret_scan.entropy_spans(k) for k in keys) <= 3
+
+
+@pytest.mark.parametrize(
+    "harmless",
+    [
+        "usr/local/lib/python3/dist-packages/requests", "/blog/2023/11/27/how-to-grow-tomatoes", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "com/example/project/src/Main2/Handler",
+        "sha512-" + base64.b64encode(hashlib.sha512(b"a").digest()).decode(), "sha256=" + base64.urlsafe_b64encode(hashlib.sha256(b"b").digest()).decode().rstrip("="), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    ],
+)
+def test_paths_checksums_and_placeholders_are_no_secrets(harmless):
+    assert not secret_scan.entropy_spans(f"see {harmless} there")
+
+
 # Near duplicates
 
 
