@@ -27,6 +27,9 @@ class LineRules:
     symbol_share: float = 0.3
     upper_share: float = 0.7
     upper_words: int = 4
+    #: A boilerplate phrase fails a line of at most so many words; of a longer one, its sentence of at most so many goes.
+    phrase_line_words: int = 30
+    phrase_sentence_words: int = 60
     #: Punctuation: a line of so many words needs an end mark, if it has no mark within.
     open_words: int = 40
     #: Documents lose at most so much of their words' characters.
@@ -36,6 +39,7 @@ class LineRules:
 SEPARATOR = re.compile(r"[|»›•·]| > | - (?=\S+ - )")
 MARK = re.compile(r"[#*$%&<>]|!!|\?\?")
 END = re.compile(r"""[.!?…:;。！？]["'”’»)\]]*\s*$""")
+SENTENCE_END = re.compile(r"""(?<=[.!?…])["'”’»)\]]*\s+|(?<=[。！？])""")
 INNER = re.compile(r"[.!?,;:…]")
 #: Fixed phrases of licences, notices and site furniture.
 BOILERPLATE = re.compile(
@@ -88,21 +92,39 @@ def failed_rule(line: str, rules: LineRules, can: Hopeful = Hopeful()) -> str |
         return "boilerplate"
     if len(words) >= rules.upper_words and mostly_upper(line, rules.upper_share):
         return "boilerplate"
-    if can.boilerplate and BOILERPLATE.search(line):
+    if can.boilerplate and len(words) <= rules.phrase_line_words and BOILERPLATE.search(line):
         return "boilerplate"
     if len(words) >= rules.open_words and not INNER.search(line) and not END.search(line):
         return "punctuation"
     return None
 
 
+def without_notices(line: str, rules: LineRules) -> str:
+    """A line of many words without its sentences that hold a boilerplate phrase; overlong ones stay."""
+    if not BOILERPLATE.search(line) or len(line.split()) <= rules.phrase_line_words:
+        return line
+    ends = [0, *(m.end() for m in SENTENCE_END.finditer(line)), len(line)]
+    sentences = [line[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    left = [s for s in sentences if not BOILERPLATE.search(s) or len(s.split()) > rules.phrase_sentence_words]
+    return line if len(left) == len(sentences) else "".join(left).rstrip()
+
+
 def clean_lines(text: str, rules: LineRules) -> tuple[str, int, int]:
-    """The text without failed lines, how many those are, and how many characters of words they hold."""
+    """The text without failed lines and sentences, how many lines these are or stand in, and how many characters of words they hold."""
     lines, can = text.split("\n"), hopeful(text)
-    failed = [bool(line) and failed_rule(line, rules, can) is not None for line in lines]
-    if not any(failed):
-        return text, 0, 0
-    lost = sum(len("".join(line.split())) for line, bad in zip(lines, failed, strict=True) if bad)
-    return "\n".join(line for line, bad in zip(lines, failed, strict=True) if not bad), sum(failed), lost
+    kept, bad, lost = [], 0, 0
+    for line in lines:
+        left: str | None = line
+        if line and failed_rule(line, rules, can) is not None:
+            left = None
+        elif can.boilerplate:
+            left = without_notices(line, rules) or (None if line else line)
+        if left is not None:
+            kept.append(left)
+        if left != line:
+            bad += 1
+            lost += len("".join(line.split())) - len("".join((left or "").split()))
+    return ("\n".join(kept), bad, lost) if bad else (text, 0, 0)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -145,8 +167,8 @@ def judge_quality(df: DataFrame, text: str = "text", rules: LineRules = LineRule
     """Every row of df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_bad_lines, kept, cleaned.
 
     base_failed: fewer than least_words words, or over most_repeated_percent of them in repeated three-word windows.
-    kept: not base_failed, and the failed lines hold at most rules.most_lost of the words' characters. cleaned: the text
-    without failed lines. Null texts have no words and are rejected. Rows are judged one by one; columns of df that
+    kept: not base_failed, and what fails holds at most rules.most_lost of the words' characters. cleaned: the text
+    without failed lines, and long lines without their boilerplate sentences; n_bad_lines counts both. Null texts have no words and are rejected. Rows are judged one by one; columns of df that
     clash with an output are replaced.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "lost_chars"]

@@ -406,6 +406,18 @@ def test_lines_fail_by_their_rule():
     assert quality.clean_lines("Good.\nHome | About | Contact | Help\nAlso good.", rules)[:2] == ("Good.\nAlso good.", 1)
 
 
+def test_a_phrase_takes_its_sentence_from_a_long_line(spark):
+    prose = " ".join(f"Traveller{k} told{k} of river{k} beyond hill{k}." for k in range(40))
+    notice = "This page is licensed under the Apache License, Version 2.0."
+    endless = " ".join(f"word{k}, and" for k in range(100)) + " click here " + " ".join(f"more{k}" for k in range(100))
+    notices = " ".join(["Read our privacy policy and the terms of use."] * 8)
+    got = quality.judge_quality(documents(spark, f"{prose} {notice} {prose[:-1]} again.", f"{notice} {prose}", endless, f"{prose}\n{notices}", notices)).orderBy("doc_id").collect()
+    assert [r.cleaned for r in got] == [f"{prose} {prose[:-1]} again.", prose, endless, prose, ""]
+    assert [r.n_bad_lines for r in got] == [1, 1, 0, 1, 1]
+    assert [quality.clean_lines(r.text, quality.LineRules())[2] for r in got[:3]] == [len(notice.replace(" ", ""))] * 2 + [0]
+    assert [r.kept for r in got[1:3]] == [True, True]
+
+
 # Chat formatting
 
 
