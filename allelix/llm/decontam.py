@@ -39,9 +39,14 @@ class Settings:
     b: float = 0.75
     #: Passages that score less than this share of an item's own score aren't looked at.
     least_score: float = 0.6
-    #: Share of the word triples of an item's question, and of its answer, that a passage must hold.
+    #: Share of the word triples of an item's question, and of its answer, that a passage must hold; of a part of at most
+    #: short_part words, the share of its words that stand there in order counts too. A part of at most joined_part words
+    #: is judged with the words of the other next to it, short_tail in all.
     least_overlap: float = 0.6
     gram: int = 3
+    short_part: int = 12
+    joined_part: int = 2
+    short_tail: int = 8
     #: Items in a block.
     block: int = 4
     #: Passages have twice as many words as the longest item, at least so many.
@@ -65,6 +70,34 @@ def grams(words: list[str], size: int) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if size else set()
 
 
+def short_parts(question: list[str], answer: list[str], settings: Settings) -> list[list[str] | None]:
+    """What stands for the question and for the answer where shares of words in order count; None where they don't."""
+    out: list[list[str] | None] = []
+    for part, joined in ((question, (question + answer)[: settings.short_tail]), (answer, (question + answer)[-settings.short_tail :])):
+        words = joined if len(part) <= settings.joined_part else part
+        # of fewer words, a changed one leaves too little to tell an item by
+        out.append(words if part and settings.gram <= len(part) <= settings.short_part or part and len(words) > settings.gram + 1 and len(part) <= settings.joined_part else None)
+    return out
+
+
+def share_in_order(part: list[str], words: list[str], least: float) -> float:
+    """The largest share of part that stands in order within a stretch of words that is two words longer; 0 if below least."""
+    known, n = set(part), len(part)
+    at = [k for k, w in enumerate(words) if w in known]
+    most, need = 0, least * n - 1e-9
+    for i, begin in enumerate(at):
+        stretch = [words[k] for k in at[i : i + n + 2] if k < begin + n + 2]
+        if len(stretch) < need or len(stretch) <= most:
+            continue
+        row = [0] * (n + 1)  # the longest common subsequence with each beginning of part
+        for w in stretch:
+            last = 0
+            for j, p in enumerate(part):
+                last, row[j + 1] = row[j + 1], last + 1 if w == p else max(row[j + 1], row[j])
+        most = max(most, row[n])
+    return most / n if most >= need else 0.0
+
+
 class Postings:
     """Of a term: for each block that has it, item numbers in order, their shares, and the largest share."""
 
@@ -83,6 +116,7 @@ class Index:
     def __init__(self, items: list[tuple[object, str]], frequencies: dict[str, int], total: int, mean_length: float, settings: Settings):
         self.settings, self.ids = settings, [i for i, _ in items]
         self.parts = [[grams(part, settings.gram) for part in question_and_answer(text)] for _, text in items]
+        self.short = [short_parts(*question_and_answer(text), settings) for _, text in items]
         split = [terms_of(text) for _, text in items]
         self.half = max(settings.least_passage // 2, max(map(len, split), default=0))
         weights: list[dict[str, float]] = []
@@ -190,9 +224,12 @@ class Index:
                 continue
             doc = int(np.searchsorted(first, which, "right")) - 1
             begin = (which - int(first[doc])) * self.half
-            held = grams_of_all(split[doc][begin : begin + 2 * self.half], self.settings.gram)
+            words, least = split[doc][begin : begin + 2 * self.half], self.settings.least_overlap
+            held = grams_of_all(words, self.settings.gram)
             for item, score in hits:
                 overlap = [sum(g in held for g in part) / len(part) if part else 1.0 for part in self.parts[item]]
+                if min(overlap) < least and all(o >= least or short for o, short in zip(overlap, self.short[item], strict=True)):
+                    overlap = [o if o >= least else max(o, share_in_order(short, words, least)) for o, short in zip(overlap, self.short[item], strict=True)]
                 if min(overlap) >= self.settings.least_overlap and (item not in found[doc] or score > found[doc][item][0]):
                     found[doc][item] = (score, *overlap, begin)
         return found
@@ -226,7 +263,9 @@ def indexes(items: DataFrame, settings: Settings, item_id: str = "item_id", text
 def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word): every test item that a document leaks.
 
-    Every passage of every document is a query. Score is the best passage's, first_word where that passage begins.
+    Every passage of every document is a query. An overlap is the share of a part's triples or, where that falls short
+    for a short part, of its words in order, so one changed word doesn't hide it. Of an answer of one or two words the
+    question's end is evidence too, so such an item's whole question alone is a leak. Score is the best passage's, first_word where that passage begins.
     Null and empty texts leak nothing; items without words can't be leaked; repeated rows and ids give rows each.
     Rows without ids are searched too. No items or no documents give no rows. Documents aren't shuffled; an index holds
     at most settings.most_items items, which bounds what is broadcast.

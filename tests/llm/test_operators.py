@@ -544,6 +544,19 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("answer", ["Helsinki", "Old Turku", "the river Kymi", "by the grey northern lake", "he rowed across it before the dawn broke"])
+def test_one_changed_word_hides_no_leak(spark, answer):
+    question = "Which town did the wandering fisherman Aleksi reach after nine winters spent among quiet islands?"
+    item = f"{question} {answer}."
+    filler, words = " ".join(f"word{k}" for k in range(100)), item.split()
+    copies = [" ".join([*words[:k], *new, *words[k + 1 :]]) for k in range(len(words) - len(answer.split()), len(words)) for new in (["misspelt"], [])]
+    docs = documents(spark, *[f"{filler} {c} {filler}" for c in copies], f"{filler} {' '.join(reversed(words))}", filler)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert rows(decontam.find_leaks(docs, items), "doc_id") == sorted([(k,) for k in range(len(copies))], key=repr)
+    if len(answer.split()) > 2:
+        assert not decontam.find_leaks(documents(spark, f"{filler} {question} {filler}"), items).count()
+
+
 def test_retrieval_is_complete(spark):
     items = [(r.item_id, r.text) for r in common.table(spark, SF, "benchmark").collect()]
     counts = collections.Counter(w for _, t in items for w in set(decontam.terms_of(t)))
