@@ -49,7 +49,7 @@ class Settings:
     short_tail: int = 8
     #: Items in a block.
     block: int = 4
-    #: Passages have twice as many words as the longest item, at least so many.
+    #: Passages have at least so many words; for items that are longer than half of that, it is doubled until they aren't.
     least_passage: int = 128
     #: Items in an index; with more, there are several, and each sees all passages.
     most_items: int = 50_000
@@ -110,15 +110,23 @@ class Postings:
         shares.append(share)
 
 
+def half_passage(n: int, settings: Settings) -> int:
+    """Half the passage length for an item of n words, whatever other items there are."""
+    half = max(1, settings.least_passage // 2)
+    while half < n:
+        half *= 2
+    return half
+
+
 class Index:
-    """Inverted index of test items (id, text); frequencies: of how many items each of their terms is part, among `total` items."""
+    """Inverted index of test items (id, text), which should share a half_passage; frequencies: of how many items each of their terms is part, among `total` items."""
 
     def __init__(self, items: list[tuple[object, str]], frequencies: dict[str, int], total: int, mean_length: float, settings: Settings):
         self.settings, self.ids = settings, [i for i, _ in items]
         self.parts = [[grams(part, settings.gram) for part in question_and_answer(text)] for _, text in items]
         self.short = [short_parts(*question_and_answer(text), settings) for _, text in items]
         split = [terms_of(text) for _, text in items]
-        self.half = max(settings.least_passage // 2, max(map(len, split), default=0))
+        self.half = half_passage(max(map(len, split), default=0), settings)
         weights: list[dict[str, float]] = []
         for words in split:
             norm = settings.k1 * (1 - settings.b + settings.b * len(words) / max(mean_length, 1e-9))
@@ -210,13 +218,12 @@ class Index:
             cursors = [c for c in cursors if c[3] < len(c[0])]
         return found
 
-    def matches(self, texts: list[str]) -> list[dict[int, tuple[float, float, float, int]]]:
-        """For each text, the items that it leaks: number to score, question overlap, answer overlap and first word."""
-        split = [terms_of(t) for t in texts]
+    def matches(self, split: list[list[str]]) -> list[dict[int, tuple[float, float, float, int]]]:
+        """For the terms of each text, the items that it leaks: number to score, question overlap, answer overlap and first word."""
         code = self.vocabulary.get
         codes = np.fromiter((code(w, -1) for words in split for w in words), np.int64)
         starts = np.concatenate([[0], np.cumsum([len(w) for w in split])])[:-1].astype(np.int64)
-        found: list[dict[int, tuple[float, float, float, int]]] = [{} for _ in texts]
+        found: list[dict[int, tuple[float, float, float, int]]] = [{} for _ in split]
         passage, term, first = self.passage_terms(codes, starts)
         for which, block, terms in self.hopeful(passage, term):
             hits = self.search(terms, block)
@@ -235,13 +242,34 @@ class Index:
         return found
 
 
+class Indexes:
+    """An index for each passage length that the items ask for, searched as one."""
+
+    def __init__(self, items: list[tuple[object, str]], frequencies: dict[str, int], total: int, mean_length: float, settings: Settings):
+        bands: dict[int, list[tuple[object, str]]] = {}
+        for item, text in items:
+            bands.setdefault(half_passage(len(terms_of(text)), settings), []).append((item, text))
+        self.bands = [Index(held, frequencies, total, mean_length, settings) for _, held in sorted(bands.items())]
+        self.ids = [i for band in self.bands for i in band.ids]
+
+    def matches(self, texts: list[str]) -> list[dict[int, tuple[float, float, float, int]]]:
+        """As those of the indexes, with numbers that go through them all."""
+        split, first = [terms_of(t) for t in texts], 0
+        out: list[dict[int, tuple[float, float, float, int]]] = [{} for _ in texts]
+        for band in self.bands:
+            for found, more in zip(out, band.matches(split), strict=True):
+                found.update((first + item, values) for item, values in more.items())
+            first += len(band.ids)
+        return out
+
+
 def grams_of_all(words: list[str], size: int) -> set[tuple[str, ...]]:
     """Of every length up to size, since parts shorter than size are one gram."""
     return set().union(*(grams(words, k) for k in range(1, size + 1)))
 
 
-def indexes(items: DataFrame, settings: Settings, item_id: str = "item_id", text: str = "text") -> list[Index]:
-    """Indexes of all items with words, of about most_items each; frequencies and lengths are those of all items."""
+def indexes(items: DataFrame, settings: Settings, item_id: str = "item_id", text: str = "text") -> list[Indexes]:
+    """Indexes of all items with words, of about most_items each; frequencies and lengths are those of all items, passages those of each item."""
     named = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,7 +284,7 @@ def indexes(items: DataFrame, settings: Settings, item_id: str = "item_id", text
         held = [(r["item_id"], r["text"]) for r in block.collect() if terms_of(r["text"])]
         own = items.sparkSession.createDataFrame([(w,) for w in {w for _, t in held for w in terms_of(t)}], "term string")
         counted = terms.select(F.explode("terms").alias("term")).join(own, "term").groupBy("term").count()
-        out.append(Index(held, {r["term"]: r["count"] for r in counted.collect()}, total, mean, settings))
+        out.append(Indexes(held, {r["term"]: r["count"] for r in counted.collect()}, total, mean, settings))
     return out
 
 

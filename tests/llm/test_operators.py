@@ -557,6 +557,21 @@ def test_one_changed_word_hides_no_leak(spark, answer):
         assert not decontam.find_leaks(documents(spark, f"{filler} {question} {filler}"), items).count()
 
 
+def test_other_items_change_no_leak(spark):
+    short, filler = (1, "Alpha beta gamma delta epsilon zeta eta theta? Iota."), " ".join(f"word{k}" for k in range(3000))
+    long = [(k, " ".join(f"long{k}x{j}" for j in range(n))) for k, n in ((2, 300), (3, 9000))]
+    scattered = filler.replace("word70 ", "Alpha beta gamma delta epsilon ").replace("word900 ", "delta epsilon zeta eta theta ").replace("word2000 ", "Iota ")
+    docs = documents(spark, f"{filler} {short[1]} {filler}", scattered, f"{filler} {long[0][1]} {filler}", f"{filler} {long[1][1]}")
+    schema, found = "item_id long, text string", []
+    for items, most in (([short], 100), ([short, *long], 100), ([short, *long], 1)):
+        got = decontam.find_leaks(docs, spark.createDataFrame(items, schema), decontam.Settings(most_items=most))
+        found.append(rows(got, "doc_id", "item_id", "first_word"))
+    assert [r[:2] for r in found[0]] == [(0, 1)]
+    assert found[0] == [r for r in found[1] if r[1] == 1]
+    assert found[1] == found[2]
+    assert [r[:2] for r in found[1]] == [(0, 1), (2, 2), (3, 3)]
+
+
 def test_retrieval_is_complete(spark):
     items = [(r.item_id, r.text) for r in common.table(spark, SF, "benchmark").collect()]
     counts = collections.Counter(w for _, t in items for w in set(decontam.terms_of(t)))
