@@ -9,9 +9,11 @@ fill any number of windows. Pieces then find their place by their rank among the
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import concat
 
 import numpy as np
 import pandas as pd
@@ -77,14 +79,53 @@ def places(plan: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first_rank", "end_rank", "in_window", "first_sequence", "first_offset"]).astype("int64")
 
 
+#: The fixed pattern by which such a tokenizer cuts: letters, single digits and runs of other marks stay apart.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = ".,;:!?"
+#: Letters before which and after which a tokenizer cuts marks off, and which don't change by their neighbours.
+LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha())
+
+
+def cuts_at_marks(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, changes nothing else of ASCII words, and cuts by CUT."""
+    found = json.loads(tokenizer.to_str())
+    norms = found["normalizer"] or {}
+    steps = [n["type"] for n in norms.get("normalizers", [norms] if norms else [])]
+    cut = found["pre_tokenizer"] or {}
+    first = cut.get("pretokenizers", [cut])[0]
+    return "Lowercase" in steps and {*steps} <= {"NFC", "Replace", "Lowercase"} and first.get("type") == "Split" and first.get("pattern") == {"Regex": CUT}
+
+
+def heads_and_marks(words: list[str]) -> tuple[list[str], list[str]]:
+    """What words are encoded as: without the marks at their ends, lower-cased where that is sure, and those marks."""
+    heads, marks = [], []
+    for word in words:
+        head = word.rstrip(MARKS)
+        if head is word or not head or head[-1] not in LETTERS:
+            head = word
+        marks.append(word[len(head) :])
+        heads.append(head.lower() if head.isascii() and head.isalpha() else head)
+    return heads, marks
+
+
 class UnitIds:
     """Ids of texts by their white-space separated words, as bytes, four little-endian ones an id.
 
-    Holds for tokenizers that drop white space and never join over it, such as word_bpe_49k.json.
+    Holds for tokenizers that drop white space and never join over it, such as word_bpe_49k.json. Of a tokenizer that
+    cuts_at_marks, words are encoded in parts, so that a word costs once however it is written and whatever mark follows.
     """
 
-    def __init__(self, tokenizer, most: int = 600_000):
-        self.cache = UnitCache(lambda words: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], most)
+    def __init__(self, tokenizer, most: int = 400_000):
+        def encode(words: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+        def encode_parts(words: list[str]) -> list[bytes]:
+            heads, marks = heads_and_marks(words)
+            ids = parts.lookup([heads, marks])
+            return list(map(concat, map(ids, heads), map(ids, marks)))
+
+        parts = UnitCache(encode, most)
+        self.cache = UnitCache(encode_parts if cuts_at_marks(tokenizer) else encode, most)
 
     def joined(self, texts: list[str], end: bytes) -> list[bytes]:
         split = [[text] if UNSURE.search(text) else text.split() for text in texts]

@@ -106,11 +106,14 @@ class UnitCache:
         """A function that gives the value of any unit in the lists."""
         if len(self.young) > self.most // 2:
             self.old, self.young = self.young, {}
-        wanted: set[str] = set().union(*split)
-        wanted.difference_update(self.young)
-        again = wanted.intersection(self.old)
-        self.young.update((unit, self.old[unit]) for unit in again)
-        new, long = list(wanted - again), {}
+        young, old = self.young, self.old
+        # only what is asked for is walked through, never what is held
+        wanted, new, long = [u for u in set().union(*split) if u not in young], [], {}
+        for unit in wanted:
+            if unit in old:
+                young[unit] = old[unit]
+            else:
+                new.append(unit)
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
             values = self.encode(part)
