@@ -31,7 +31,7 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def sub_batches(texts: Iterable[str | None], most_chars: int = 4_000_000) -> Iterator[list[str]]:
+def sub_batches(texts: Iterable[str | None], most_chars: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of texts of bounded total length, so that a batch of long texts needs little memory at once."""
     held: list[str] = []
     chars = 0

@@ -1,9 +1,10 @@
 """Benchmark decontamination: training passages are queries to a BM25 index of the test items, with block-max WAND.
 
-The index keeps, of every term and block of items, the largest weight. The sums of these over a passage's terms bound
-what any item of a block can score; they are formed for all passages of a batch and all blocks at once, and WAND then
-runs in the few blocks whose bound reaches the threshold, skipping items by the same bounds. Nothing that reaches the
-threshold is missed.
+The index keeps, of every term and of every block of items that has it, the largest weight. A passage's terms of least
+weight that fall short of the threshold together can't bring an item there alone: their blocks are skipped, but for those
+that the other terms reach with a chance left. The sums of a block's largest weights bound what its items can score, and
+WAND runs in the few blocks whose bound reaches the threshold, skipping items by the same bounds. Nothing that reaches
+the threshold is missed. All of a batch's passages go through these steps at once.
 
 Scores are shares: what a passage scores with an item over what the item's own text scores with it, so one threshold
 holds for all items. A passage that holds an item's words has 1, wherever else its words come from.
@@ -23,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sub_batches
+from .common import Scratch, sub_batches
 
 TERM = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
@@ -51,8 +52,9 @@ class Settings:
     block: int = 4
     #: Passages have at least so many words; for items that are longer than half of that, it is doubled until they aren't.
     least_passage: int = 128
-    #: Items in an index; with more, there are several, and each sees all passages.
+    #: Distinct items in an index, and bytes of their texts; with more, there are several, and each sees all passages.
     most_items: int = 50_000
+    most_bytes: int = 16_000_000
 
 
 def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
@@ -147,6 +149,10 @@ class Index:
         self.first_block = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.block_number = np.array([b for p in self.postings for b in p.blocks], np.int64)
         self.block_most = np.array([max(shares) for p in self.postings for _, shares in p.blocks.values()])
+        self.block_key = np.repeat(np.arange(len(sizes)), sizes) * self.n_blocks + self.block_number
+        self.term_most = np.maximum.reduceat(self.block_most, self.first_block[:-1]) if sizes else np.zeros(0)
+        #: Blocks whose bound no passage needed so far, counted once for each passage.
+        self.skipped = 0
 
     def passage_terms(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Passages and their distinct known terms as pairs sorted by passage, and the first passage of each document.
@@ -171,23 +177,58 @@ class Index:
         order = np.argsort(passage, kind="stable")
         return passage[order], term[order], first
 
-    def hopeful(self, passage: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(passage, block, terms of the passage) wherever the block's bound reaches the threshold."""
+    def hopeful(self, passage: np.ndarray, term: np.ndarray, most_entries: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(passage, block, terms of the passage) wherever the block's bound reaches the threshold; of pairs sorted by passage.
+
+        Runs of passages with at most most_entries blocks of essential terms (but for a single passage) are held at once.
+        """
         if not len(passage):
             return
-        step = max(1, 4_000_000 // max(1, self.n_blocks))
-        for low in range(0, int(passage[-1]) + 1, step):
-            a, b = np.searchsorted(passage, [low, low + step])
-            if a == b:
-                continue
-            sizes = self.first_block[term[a:b] + 1] - self.first_block[term[a:b]]
-            entry = np.repeat(self.first_block[term[a:b]] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
-            cell = np.repeat(passage[a:b] - low, sizes) * self.n_blocks + self.block_number[entry]
-            bound = np.bincount(cell, self.block_most[entry])
-            for good in np.flatnonzero(bound >= self.settings.least_score - 1e-9).tolist():
-                which = low + good // self.n_blocks
-                lo, hi = np.searchsorted(passage, [which, which + 1])
-                yield which, good % self.n_blocks, term[lo:hi]
+        least, share = self.settings.least_score - 1e-9, self.term_most[term]
+        order = np.lexsort((share, passage))  # of each passage, terms of little weight first
+        passage, term, share = passage[order], term[order], share[order]
+        opens = np.append(True, passage[1:] != passage[:-1])
+        total = np.cumsum(share)
+        before = np.maximum.accumulate(np.where(opens, total - share, 0.0))
+        essential = total - before >= least
+        owner, starts = np.cumsum(opens) - 1, np.append(np.flatnonzero(opens), len(passage))
+        rest = np.bincount(owner, np.where(essential, 0.0, share))
+        sizes = np.where(essential, self.first_block[term + 1] - self.first_block[term], 0)
+        reach = np.cumsum(np.add.reduceat(sizes, starts[:-1]))
+        self.skipped += int((self.first_block[term + 1] - self.first_block[term]).sum() - sizes.sum())
+        low = 0
+        while low < len(starts) - 1:
+            high = max(low + 1, int(np.searchsorted(reach, (reach[low - 1] if low else 0) + most_entries, "right")))
+            a, b = starts[low], starts[high]
+            yield from self._bounded(passage[a:b], term[a:b], (total - before - share)[a:b], owner[a:b] - low, sizes[a:b], starts[low:high] - a, rest[low:high], least)
+            low = high
+
+    def _bounded(self, passage: np.ndarray, term: np.ndarray, below: np.ndarray, owner: np.ndarray, sizes: np.ndarray, starts: np.ndarray, rest: np.ndarray, least: float) -> Iterator[tuple[int, int, np.ndarray]]:
+        """What hopeful gives for some whole passages, whose terms come by their largest weights; below: those of all lesser terms together."""
+        entry = np.repeat(self.first_block[term] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+        cells, every = np.repeat(owner, sizes) * self.n_blocks + self.block_number[entry], len(starts) * self.n_blocks
+        if every <= 4 * len(cells):
+            cell, bound = np.arange(every), np.bincount(cells, self.block_most[entry], every)
+        else:
+            cell, inverse = np.unique(cells, return_inverse=True)
+            bound = np.bincount(inverse, self.block_most[entry], len(cell))
+        chance = (bound > 0) & (bound + rest[cell // self.n_blocks] >= least)
+        cell, bound = cell[chance], bound[chance]
+        which, block = cell // self.n_blocks, cell % self.n_blocks
+        # the terms left are added from the weightiest on, as long as they can matter
+        at = (starts + np.bincount(owner, sizes == 0, len(starts)).astype(np.int64) - 1)[which]
+        ends = np.append(starts[1:], len(passage))
+        while len(which):
+            done = at < starts[which]
+            for k in np.flatnonzero(done & (bound >= least)).tolist():
+                w = which[k]
+                yield int(passage[starts[w]]), int(block[k]), term[starts[w] : ends[w]]
+            which, block, bound, at = which[~done], block[~done], bound[~done], at[~done]
+            key = term[at].astype(np.int64) * self.n_blocks + block
+            found = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+            bound = bound + np.where(self.block_key[found] == key, self.block_most[found], 0.0)
+            chance = bound + below[at] >= least
+            which, block, bound, at = which[chance], block[chance], bound[chance], at[chance] - 1
 
     def search(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
         """All items of a block (number, score) whose score reaches the threshold, by WAND over the terms' postings there."""
@@ -268,39 +309,56 @@ def grams_of_all(words: list[str], size: int) -> set[tuple[str, ...]]:
     return set().union(*(grams(words, k) for k in range(1, size + 1)))
 
 
-def indexes(items: DataFrame, settings: Settings, item_id: str = "item_id", text: str = "text") -> list[Indexes]:
-    """Indexes of all items with words, of about most_items each; frequencies and lengths are those of all items, passages those of each item."""
-    named = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def indexes(items: DataFrame, settings: Settings, text: str = "text") -> Iterator[tuple[Indexes, bool]]:
+    """One after the other, indexes of all distinct item texts with words, whose ids are text keys, and whether more follow.
+
+    Frequencies and lengths are those of all items, passages those of each item. Equal texts are indexed once, however
+    many items have them; an index holds about most_items of them and most_bytes, or a single longer one, and that is
+    what the driver holds and broadcasts at a time.
+    """
+    named = items.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([(len(w := terms_of(t)), list(dict.fromkeys(w))) for t in batch["text"]], columns=["n", "terms"])
 
-    terms = named.select("text").mapInPandas(split, "n long, terms array<string>").where("n > 0")
+    terms = named.mapInPandas(split, "n long, terms array<string>").where("n > 0")
     total, mean = terms.agg(F.count("*"), F.avg("n")).first()
-    blocks, out = max(1, ceil(total / settings.most_items)), []
-    for k in range(blocks if total else 0):
-        block = named.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        held = [(r["item_id"], r["text"]) for r in block.collect() if terms_of(r["text"])]
+    if not total:
+        return
+    once = named.distinct()
+    distinct, size = once.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, ceil(distinct / settings.most_items), ceil(size / settings.most_bytes))
+    for k in range(blocks):
+        block = once.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select(text_key(F.col("text")).alias("key"), "text")
+        held = [(r["key"], r["text"]) for r in block.collect() if terms_of(r["text"])]
         own = items.sparkSession.createDataFrame([(w,) for w in {w for _, t in held for w in terms_of(t)}], "term string")
         counted = terms.select(F.explode("terms").alias("term")).join(own, "term").groupBy("term").count()
-        out.append(Indexes(held, {r["term"]: r["count"] for r in counted.collect()}, total, mean, settings))
-    return out
+        yield Indexes(held, {r["term"]: r["count"] for r in counted.collect()}, total, mean, settings), k + 1 < blocks
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(
+    docs: DataFrame, items: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", scratch: Scratch | None = None
+) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word): every test item that a document leaks.
 
     Every passage of every document is a query. An overlap is the share of a part's triples or, where that falls short
     for a short part, of its words in order, so one changed word doesn't hide it. Of an answer of one or two words the
-    question's end is evidence too, so such an item's whole question alone is a leak. Score is the best passage's, first_word where that passage begins.
-    Null and empty texts leak nothing; items without words can't be leaked; repeated rows and ids give rows each.
-    Rows without ids are searched too. No items or no documents give no rows. Documents aren't shuffled; an index holds
-    at most settings.most_items items, which bounds what is broadcast.
+    question's end is evidence too, so such an item's whole question alone is a leak. Score is the best passage's (of
+    passages that tie, the first's), first_word where that passage begins. Null and empty texts leak nothing; items without
+    words can't be leaked; repeated rows and ids give rows each, and so do items with equal texts. Rows without ids are
+    searched too. No items or no documents give no rows. Texts of any length are searched whole, in passages; extra
+    columns, whatever their names, are dropped. Documents aren't shuffled. Where the items need several indexes, what
+    each finds is written before the next is built.
     """
-    kinds, out = (docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()), None
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double, first_word long"
-    for index in indexes(items, settings, item_id, item_text):
+    kinds = (docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString())
+    values = "score double, question_overlap double, answer_overlap double, first_word long"
+    out = None
+    for index, more in indexes(items, settings, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -313,19 +371,35 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(
                 if rows:
                     at, *columns = zip(*rows, strict=True)
                     arrays = [batch.column(0).take(pa.array(at)), pa.array(columns[0]), *[pa.array(c, t) for c, t in zip(columns[1:], [pa.float64()] * 3 + [pa.int64()], strict=True)]]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
+                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_key", "score", "question_overlap", "answer_overlap", "first_word"])
 
-        found = docs.select(F.col(doc_id), F.col(text)).mapInArrow(search, schema)
+        found = docs.select(F.col(doc_id), F.col(text)).mapInArrow(search, f"doc_id {kinds[0]}, item_key string, {values}")
+        if more or out is not None:
+            scratch = scratch or Scratch(docs.sparkSession)
+            found = scratch.write(found, "leaks")
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, {values}")
+    names = items.select(F.col(item_id).alias("item_id"), text_key(F.col(item_text)).alias("item_key"))
+    return out.join(names, "item_key").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word")
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without those that leak a test item; all columns and other rows stay as they are."""
+def drop_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), text: str = "text", item_text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """docs without those that leak a test item, by the rules of find_leaks; all columns and other rows stay as they are.
+
+    Rows are judged one by one, so repeated rows go or stay together and null ids do no harm. Null and empty texts stay,
+    texts of any length are searched whole, no items or no documents change nothing, and no column is added, so names
+    can't clash. Where the items need several indexes, what each leaves is written before the next is built.
+    """
     kept = docs
-    for index in indexes(items, settings, item_id, item_text):
+    for index, more in indexes(items, settings, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         kept = kept.where(~leaks_of(shared)(F.coalesce(F.col(text), F.lit(""))))
+        if more:
+            scratch = scratch or Scratch(docs.sparkSession)
+            kept = scratch.write(kept, "without leaks")
+            shared.unpersist()
     return kept
 
 

@@ -7,11 +7,16 @@ allowed error): every pair within that distance meets under some key. At a simil
 in 10 values on average, and misses all keys with a probability of 1.5e-6; the more alike, the less. What meets is
 counted only under its first common key, passes if it differs in at most 25 values and the sizes allow the similarity,
 and is then confirmed on the full shingle sets. Documents with equal sets are one document throughout.
+
+The members of a large bucket are first confirmed against one of them, its leader, and what is linked is contracted.
+Only members that are still apart from the leader are then compared with others in pairs, and only with those that the
+triangle inequality (one less the similarity is a metric) leaves: so many near copies of one text cost one comparison each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +33,10 @@ VALUES = CHUNKS * IN_CHUNK
 SIGNATURE = [f"s{k}" for k in range(CHUNKS)]
 #: At a similarity of 0.75, a pair differs in more values than this with a probability below 1e-7.
 MOST_DIFFERING = 25
-#: Larger buckets are compared block against block.
-BLOCK = 512
+#: At a similarity of 0.5, a pair differs in more values than this with a probability below 1e-6.
+MOST_DIFFERING_HALF = 35
+#: Buckets of more members are led; what is left of them is compared block against block.
+LED, BLOCK = 256, 512
 
 _RANDOM = np.random.default_rng(20_240_607)
 FACTORS = _RANDOM.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,12 +71,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sign(df: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, set_hash, s0 ..) of (doc_id, text); set_hash and signature are null for documents without words."""
+    """(doc_id, text_key, n, set_hash, s0 ..) of (doc_id, text_key, text); set_hash and signature are null for documents without words."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, at = batch.column(0), 0
-            for texts in sub_batches(batch.column(1).to_pylist()):
+            at = 0
+            for texts in sub_batches(batch.column(2).to_pylist()):
                 words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
                 hashes = word_hashes([w for ws in words for w in ws])
                 ends = np.cumsum([len(w) for w in words])
@@ -80,12 +87,12 @@ def sign(df: DataFrame, size: int) -> DataFrame:
                     chunks[some] = signatures([sets[k] for k in some]).view(np.int64)
                 none = np.array([len(s) == 0 for s in sets])
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                columns = [names.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(chunks[:, k], pa.int64(), mask=none) for k in range(CHUNKS)]], ["doc_id", "n", "set_hash", *SIGNATURE])
+                columns = [batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(chunks[:, k], pa.int64(), mask=none) for k in range(CHUNKS)]], ["doc_id", "text_key", "n", "set_hash", *SIGNATURE])
                 at += len(texts)
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(signed, f"doc_id {kind}, n long, set_hash binary, " + ", ".join(f"{s} long" for s in SIGNATURE))
+    return df.select("doc_id", "text_key", "text").mapInArrow(signed, f"doc_id {kind}, text_key long, n long, set_hash binary, " + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
 def index_keys() -> Column:
@@ -94,9 +101,14 @@ def index_keys() -> Column:
     return F.array(*[F.struct(F.lit(IN_CHUNK * c + e).cast("byte").alias("tag"), F.col(s).bitwiseAND(F.lit(signed[e]).cast("long")).alias("masked")) for c, s in enumerate(SIGNATURE) for e in range(IN_CHUNK)])
 
 
-def candidate_pairs(chunks: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, tag: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a group that go on as pairs: close enough, sizes that allow the similarity, and `tag` is their first common key."""
-    values = np.ascontiguousarray(chunks).view(np.uint16).reshape(len(chunks), VALUES)
+def lanes(chunks: np.ndarray) -> np.ndarray:
+    """The values of signatures, VALUES a row."""
+    return np.ascontiguousarray(chunks).view(np.uint16).reshape(len(chunks), VALUES)
+
+
+def candidate_pairs(chunks: np.ndarray, sizes: np.ndarray, labels: np.ndarray, blocks: np.ndarray, tag: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a group that go on as pairs: close enough, sizes that allow the similarity, `tag` is their first common key, and not linked yet (by label)."""
+    values = lanes(chunks)
     across = blocks[0] != blocks[-1]
     first = np.flatnonzero(blocks == blocks[0]) if across else np.arange(len(values))
     found_a, found_b = [], []
@@ -110,7 +122,7 @@ def candidate_pairs(chunks: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, t
         chunk = (in_chunk >= IN_CHUNK - 1).argmax(-1)
         good = (chunk == tag // IN_CHUNK) & (in_chunk.sum(-1) >= VALUES - MOST_DIFFERING)
         small, large = np.minimum(sizes[part][:, None], sizes[others][None, :]), np.maximum(sizes[part][:, None], sizes[others][None, :])
-        good &= (100 * small >= percent * large) & (others[None, :] > part[:, None])
+        good &= (100 * small >= percent * large) & (others[None, :] > part[:, None]) & (labels[part][:, None] != labels[others][None, :])
         a, b = np.nonzero(good)
         blanked = by_chunk[a, b, tag // IN_CHUNK].argmin(-1)  # 0 if all four agree
         ok = blanked == tag % IN_CHUNK
@@ -168,13 +180,17 @@ def by_group(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *GROUP).sortWithinPartitions(*GROUP, "block")
 
 
+def pairs_of(group: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    return candidate_pairs(group[SIGNATURE].to_numpy(), group["n"].to_numpy(), group["label"].to_numpy(), group["block"].to_numpy(), int(group["tag"].iat[0]), percent)
+
+
 def surviving(members: DataFrame, percent: int) -> DataFrame:
     """Of a bucket's members, those in a candidate pair."""
 
     def survive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0
         for group in sorted_groups(batches, GROUP):
-            a, b = candidate_pairs(group[SIGNATURE].to_numpy(), group["n"].to_numpy(), group["block"].to_numpy(), int(group["tag"].iat[0]), percent)
+            a, b = pairs_of(group, percent)
             if len(a):
                 held.append(group.iloc[np.union1d(a, b)])
                 rows += len(held[-1])
@@ -192,77 +208,195 @@ def links(members: DataFrame, percent: int) -> DataFrame:
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in sorted_groups(batches, GROUP):
-            a, b = candidate_pairs(group[SIGNATURE].to_numpy(), group["n"].to_numpy(), group["block"].to_numpy(), int(group["tag"].iat[0]), percent)
+            a, b = pairs_of(group, percent)
             if not len(a):
                 continue
             good = confirmed([np.frombuffer(s, np.uint64) for s in group["shingles"]], a, b, percent)
+            names = group["sid"].to_numpy()
             found = list(spanning(a[good], b[good]))
             if found:
-                names = group["rep"].array
-                yield pd.DataFrame({"a": names.take([x for x, _ in found]), "b": names.take([y for _, y in found])})
+                yield pd.DataFrame({"a": names[[x for x, _ in found]], "b": names[[y for _, y in found]]})
 
-    kind = members.schema["rep"].dataType.simpleString()
-    return by_group(members).mapInPandas(link, f"a {kind}, b {kind}")
+    return by_group(members).mapInPandas(link, "a long, b long")
 
 
-def shingle_sets(df: DataFrame, size: int) -> DataFrame:
-    """(rep, shingles) of (rep, text, set_hash): the full set of each text as sorted 64-bit hashes, of texts with that digest."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(sid, shingles): the full sets, as sorted 64-bit hashes, of the texts that stand for the wanted sets (sid, doc_id, text_key, set_hash)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, at = batch.column(0), 0
-            for texts in sub_batches(batch.column(1).to_pylist(), 1_000_000):
+            for texts in sub_batches(batch.column(1).to_pylist()):
                 sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in texts]
                 right = pa.array([hashlib.blake2b(s, digest_size=16).digest() == d.as_py() for s, d in zip(sets, batch.column(2).slice(at), strict=False)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([names.slice(at, len(texts)), pa.array(sets, pa.binary())], ["rep", "shingles"]).filter(right)
+                yield pa.RecordBatch.from_arrays([names.slice(at, len(texts)), pa.array(sets, pa.binary())], ["sid", "shingles"]).filter(right)
                 at += len(texts)
 
-    return df.select("rep", "text", "set_hash").mapInArrow(gather, f"rep {df.schema['rep'].dataType.simpleString()}, shingles binary")
+    texts = docs.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["sid"]).select("sid", "text", "set_hash")
+    return texts.mapInArrow(gather, "sid long, shingles binary")
 
 
-def near_duplicates(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 75, block: int = BLOCK, scratch: Scratch | None = None
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of df; extra columns are dropped.
+def near_leaders(pairs: DataFrame) -> DataFrame:
+    """Of (leader, sid) with both signatures (l0 .., s0 ..) and sizes (n_leader, n), those that can be half alike."""
 
-    A-Z are lower-cased, words end at ASCII white space. Documents are linked if their sets of distinct shingles have
-    100 * intersection >= percent * union; component_id is the smallest doc_id reachable, kept marks that document.
-    Documents with fewer words than a shingle are one shingle; those without words (also null texts) are linked with
-    nothing. Rows without a doc_id have no component and are kept. Repeated rows and ids are judged alike: each row of
-    the smallest id is kept. The id may be of any orderable type. Full sets are compared by 64-bit shingle hashes.
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = lambda names: np.column_stack([batch.column(c).to_numpy() for c in names])  # noqa: B023, E731
+            n, m = batch.column("n_leader").to_numpy(), batch.column("n").to_numpy()
+            good = ((lanes(of(LEADING)) != lanes(of(SIGNATURE))).sum(1) <= MOST_DIFFERING_HALF) & (2 * np.minimum(n, m) >= np.maximum(n, m))
+            yield batch.select(["leader", "sid"]).filter(pa.array(good))
+
+    return pairs.mapInArrow(near, "leader long, sid long")
+
+
+def likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, sid, n_leader, n, shared) of (leader, sid): set sizes and common shingles. A leader's set is sent once for some hundred members."""
+    parts = scaled(pairs.groupBy("leader").agg(F.count("*").alias("members")))
+    members = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("part"), "sid")
+    members = members.join(sets, "sid").select("leader", "part", "sid", "shingles")
+    own = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = own.join(sets, own["leader"] == sets["sid"]).select("leader", "part", F.lit(None).cast("long").alias("sid"), "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.uint64)
+        for batch in batches:
+            rows = []
+            for leader, sid, data in zip(batch.column("leader").to_pylist(), batch.column("sid").to_pylist(), batch.column("shingles"), strict=True):
+                found = np.frombuffer(data.as_buffer(), np.uint64)
+                if sid is None:
+                    held = found.copy()
+                else:
+                    rows.append((leader, sid, len(held), len(found), len(np.intersect1d(held, found, assume_unique=True))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["leader", "sid", "n_leader", "n", "shared"])
+
+    both = own.unionByName(members)
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = both.repartition(tasks, "leader", "part").sortWithinPartitions("leader", "part", F.col("sid").asc_nulls_first())
+    return ordered.mapInArrow(compare, "leader long, sid long, n_leader long, n long, shared long")
+
+
+def scaled(counted: DataFrame) -> DataFrame:
+    return counted.select("leader", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
+
+
+LEADING = [f"l{k}" for k in range(CHUNKS)]
+
+
+def led(rows: DataFrame, unique: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of large buckets' rows (tag, masked, sid): links (a, b), rows that are still to be compared, with their labels, and the full sets that were made.
+
+    The leader is the member in most large buckets: of near copies that is what they are copies of. A member that no
+    link connects to its leader is apart. It can be linked with a member x that is connected only if x isn't much more
+    like the leader than it is itself; where no bound is known, x is compared.
+    """
+    weight = rows.groupBy("sid").agg(F.count("*").alias("weight"))
+    leaders = rows.join(weight, "sid").groupBy("tag", "masked").agg(F.max(F.struct("weight", "sid"))["sid"].alias("leader"))
+    star = scratch.write(rows.join(leaders, ["tag", "masked"]).where("sid <> leader"), "led")
+    mine = unique.select("sid", "n", *SIGNATURE)
+    theirs = unique.select(F.col("sid").alias("leader"), F.col("n").alias("n_leader"), *[F.col(s).alias(x) for s, x in zip(SIGNATURE, LEADING, strict=True)])
+    near = scratch.write(near_leaders(star.select("leader", "sid").distinct().join(theirs, "leader").join(mine, "sid")), "near leaders")
+    wanted = near.select("sid").union(near.select("leader")).distinct()
+    sets = scratch.write(shingle_sets(docs, unique.join(wanted, "sid").select("sid", "doc_id", "text_key", "set_hash"), size), "sets of the led")
+    alike = scratch.write(likeness(near, sets), "likeness")
+    union = F.col("n_leader") + F.col("n") - F.col("shared")
+    found = alike.where(100 * F.col("shared") >= percent * union).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
+    labels = scratch.write(connected_components(found, scratch).select(F.col("node").alias("sid"), F.col("component").alias("label")), "labels")
+
+    judged = star.join(alike.select("leader", "sid", (F.col("shared") / union).alias("share")), ["leader", "sid"], "left")
+    judged = judged.join(labels, "sid", "left").join(labels.select(F.col("sid").alias("leader"), F.col("label").alias("leading")), "leader", "left")
+    judged = judged.select("tag", "masked", "sid", "share", F.coalesce("label", "sid").alias("label"), F.coalesce("leading", "leader").alias("leading"))
+    judged = scratch.write(judged.withColumn("apart", F.col("label") != F.col("leading")), "judged by leaders")
+    most = judged.where("apart").groupBy("tag", "masked").agg(F.greatest(F.max(F.coalesce("share", F.lit(0.5))), F.lit(0.5)).alias("most"))
+    open_ = F.col("apart") | F.col("share").isNull() | (F.col("share") <= F.col("most") + (1 - percent / 100) + 1e-9)
+    return found, judged.join(most, ["tag", "masked"]).where(open_).select("tag", "masked", "sid", "label"), sets
+
+
+def compared(rows: DataFrame, unique: DataFrame, block: int) -> DataFrame:
+    """The rows (tag, masked, sid, label, members) of buckets by pairs of blocks, with what their comparison takes."""
+    placed = rows.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    placed = placed.select("sid", "label", "tag", "masked", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("sid", "label", "tag", "masked", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
+    return placed.join(unique.select("sid", "n", *SIGNATURE), "sid")
+
+
+def judged(docs: DataFrame, size: int, percent: int, block: int, led_from: int, scratch: Scratch) -> DataFrame:
+    """Of (doc_id, text_key, text): (doc_id, text_key, n, component, first_key) for every row; component is null without words or id.
+
+    first_key: the text_key of the row with the smallest (doc_id, text_key) in the component, whose doc_id is `component`.
     """
-    scratch = scratch or Scratch(df.sparkSession)
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = scratch.write(sign(docs, shingle_words), "signed")
+    signed = scratch.write(sign(docs, size), "signed")
     sets = signed.where("doc_id is not null and set_hash is not null").groupBy("set_hash")
-    unique = scratch.write(sets.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), *[F.first(s).alias(s) for s in SIGNATURE]), "unique")
+    one = sets.agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.count("*").alias("copies"), *[F.first(s).alias(s) for s in SIGNATURE])
+    # numbers are short keys; the table is written before they are used, so they stay
+    unique = scratch.write(one.select(F.monotonically_increasing_id().alias("sid"), "set_hash", "one.*", "n", "copies", *SIGNATURE), "unique")
 
-    keyed = unique.select("rep", F.explode(index_keys()).alias("key")).select("rep", "key.tag", "key.masked")
+    keyed = unique.select("sid", F.explode(index_keys()).alias("key")).select("sid", "key.tag", "key.masked")
     buckets = scratch.write(keyed.groupBy("tag", "masked").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    in_blocks = keyed.join(buckets, ["tag", "masked"]).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    in_blocks = in_blocks.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    in_blocks = in_blocks.select("rep", "tag", "masked", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = in_blocks.select("rep", "tag", "masked", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
-    left = scratch.write(surviving(members.join(unique.select("rep", "n", *SIGNATURE), "rep"), percent), "candidates")
-
-    wanted = left.select("rep").distinct()
-    texts = docs.withColumnRenamed("doc_id", "rep").join(unique.select("rep", "set_hash").join(wanted, "rep"), "rep")
-    full = scratch.write(shingle_sets(texts.dropDuplicates(["rep", "text"]), shingle_words), "shingle sets")
-    components = connected_components(links(left.join(full, "rep"), percent), scratch)
-
-    moved = unique.join(components.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null")
-    moved = scratch.write(moved.select("set_hash", F.coalesce("component", "rep").alias("component")), "components")
-    found = signed.select("doc_id", "n", "set_hash").join(moved, "set_hash", "left")
-    return found.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept")
+    small, large = buckets.where(F.col("members") <= led_from), buckets.where(F.col("members") > led_from)
+    rows = keyed.join(small, ["tag", "masked"]).select("tag", "masked", "sid", F.col("sid").alias("label"), "members")
+    known = found = None
+    if not large.isEmpty():
+        found, left, known = led(scratch.write(keyed.join(large, ["tag", "masked"]).select("tag", "masked", "sid"), "large buckets"), unique, docs, size, percent, scratch)
+        left = scratch.write(left, "left to compare")
+        rows = rows.unionByName(left.join(left.groupBy("tag", "masked").agg(F.count("*").alias("members")), ["tag", "masked"]))
+    left = scratch.write(surviving(compared(rows, unique, block), percent), "candidates")
+
+    wanted = left.select("sid").distinct()
+    wanted = wanted.join(known, "sid", "left_anti") if known is not None else wanted
+    full = scratch.write(shingle_sets(docs, unique.join(wanted, "sid").select("sid", "doc_id", "text_key", "set_hash"), size), "shingle sets")
+    linked = links(left.join(full if known is None else full.unionByName(known), "sid"), percent)
+    components = connected_components(linked if found is None else linked.unionByName(found), scratch)
+
+    members = scratch.write(components.join(unique.select(F.col("sid").alias("node"), "set_hash", "doc_id", "text_key"), "node"), "members")
+    first = members.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    several = members.join(first, "component").select("set_hash", F.col("first.doc_id").alias("component"), F.col("first.text_key").alias("first_key"))
+    alone = unique.where("copies > 1").join(members, "set_hash", "left_anti").select("set_hash", F.col("doc_id").alias("component"), F.col("text_key").alias("first_key"))
+    of_sets = scratch.write(several.unionByName(alone), "components")
+    own = F.when(F.col("set_hash").isNotNull(), F.col("doc_id")), F.when(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull(), F.col("text_key"))
+    return signed.select("doc_id", "text_key", "n", "set_hash").join(of_sets, "set_hash", "left").select(
+        "doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", own[0])).alias("component"), F.when(F.col("doc_id").isNotNull(), F.coalesce("first_key", own[1])).alias("first_key")
     )
 
 
-def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:
-    """df with one row of each group of near duplicates: of the smallest id, and of rows that repeat that id any one.
+def _prepared(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text"))
+
+
+def text_key(text: str) -> Column:
+    """Rows are told apart by id and this: null texts are empty ones."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def near_duplicates(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 75, block: int = BLOCK, led_from: int = LED, scratch: Scratch | None = None
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of df; extra columns, whatever their names, are dropped.
+
+    A-Z are lower-cased, words end at ASCII white space. Documents are linked if their sets of distinct shingles have
+    100 * intersection >= percent * union; component_id is the smallest doc_id reachable, kept marks rows of that id.
+    Documents with fewer words than a shingle are one shingle; those without words (also null texts) are linked with
+    nothing, and are their own component. Rows without a doc_id have no component and are kept. Rows are judged by their
+    own text: of rows that repeat an id, equal ones are judged alike, and others belong where their texts do. An empty
+    table gives no rows. Texts of any length count whole. The id may be of any orderable type. Full sets are compared by
+    64-bit shingle hashes. Buckets of over led_from members are led, the rest of them is compared by blocks of `block`.
+    """
+    found = judged(_prepared(df, doc_id, text), shingle_words, percent, block, led_from, scratch or Scratch(df.sparkSession))
+    component = F.coalesce("component", "doc_id")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 75, scratch: Scratch | None = None) -> DataFrame:
+    """df with one row of each group of near duplicates: of the smallest id, and of several texts with that id the one with the smallest hash.
 
-    Rows without an id stay. All columns of df stay as they are.
+    Rows that repeat an id with other texts are judged by their texts, so none goes for another's sake; of rows with
+    equal id and text any one stays. Rows without an id, and those without words but for such repeats, stay. All columns
+    of df stay as they are, whatever their names; an empty table stays empty; texts of any length count whole.
     """
-    gone = near_duplicates(df, doc_id, text, scratch=scratch, **options).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    left = df.join(gone, doc_id, "left_anti")
-    return left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(left.where(F.col(doc_id).isNull()))
+    found = judged(_prepared(df, doc_id, text), shingle_words, percent, BLOCK, LED, scratch or Scratch(df.sparkSession))
+    id_, key, lone = (f"_{uuid.uuid4().hex}" for _ in range(3))
+    gone = found.where((F.col("doc_id") != F.col("component")) | (F.col("text_key") != F.col("first_key"))).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    rows = df.select("*", F.col(doc_id).alias(id_), text_key(text).alias(key))
+    left = rows.join(gone, [id_, key], "left_anti")
+    # rows without an id are told apart, so that they don't count as repeated
+    return left.withColumn(lone, F.when(F.col(id_).isNull(), F.monotonically_increasing_id())).dropDuplicates([id_, key, lone]).drop(id_, key, lone)

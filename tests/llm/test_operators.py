@@ -320,10 +320,10 @@ def family(seed, size, words=60, edits=3):
     return out
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_near_duplicates_by_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "led_from"), [(512, 256), (4, 256), (512, 3)])
+def test_near_duplicates_by_brute_force(spark, block, led_from):
     texts = ["", None, "  \n", "one two", "ONE two", "one  two", "É É É É É É", "é é é é é é", *family(1, 60), *family(2, 30, words=12, edits=1), *family(3, 20, words=400, edits=20), *["same text again and again and again"] * 5, *family(4, 25, edits=9)]
-    got = near_dups.near_duplicates(clashing(documents(spark, *texts), "kept", "n", "rep"), block=block)
+    got = near_dups.near_duplicates(clashing(documents(spark, *texts), "kept", "n", "sid"), block=block, led_from=led_from)
     want = components_by_force(texts)
     assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == sorted([(k, n, c, k == c) for k, n, c in want], key=repr)
 
@@ -334,8 +334,57 @@ def test_near_duplicates_of_ids_that_repeat_or_lack(spark):
     got = rows(near_dups.near_duplicates(df), "doc_id", "component_id", "kept")
     assert got == sorted([(3, 3, True), (3, 3, True), (5, 3, False), (7, 3, False), (None, None, True), (9, 9, True)], key=repr)
     left = near_dups.drop_near_duplicates(df)
-    assert sorted((r.doc_id for r in left.collect()), key=repr) == [3, 9, None]
+    assert rows(left, "doc_id", "text") == sorted([(3, a), (3, b), (9, None), (None, a)], key=repr)
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
+    assert near_dups.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_with_one_id_belong_where_their_texts_do(spark):
+    a, b = family(5, 1, words=80)[0], family(6, 1, words=80)[0]
+    given = [(1, a), (5, a + " end"), (5, b), (7, "end " + b), (7, "unlike both"), (7, "unlike both"), (8, "UNLIKE  both"), (None, b), (None, b), (9, ""), (9, None)]
+    df = spark.createDataFrame([(*r, f"own{k}") for k, r in enumerate(given)], DOCS + ", first_key string")
+    got = rows(near_dups.near_duplicates(df), "doc_id", "component_id", "kept")
+    want = [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (7, 7, True), (7, 7, True), (8, 7, False), (None, None, True), (None, None, True), (9, 9, True), (9, 9, True)]
+    assert got == sorted(want, key=repr)
+    left = near_dups.drop_near_duplicates(df).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in left), key=repr) == sorted([(1, a), (5, b), (7, "unlike both"), (None, b), (None, b), (9, "")], key=repr)
+    own = {(r.doc_id, r.text, r.first_key) for r in df.collect()}
+    assert all((r.doc_id, r.text, r.first_key) in own for r in left)
+
+
+@pytest.mark.parametrize(("seed", "led_from"), [(0, 256), (1, 3)])
+def test_near_copies_whose_ids_repeat_by_brute_force(spark, seed, led_from):
+    choose = random.Random(seed)
+    texts = [t for k in range(6) for t in family(100 * seed + k, 8, words=40, edits=2)]
+    given = [(choose.randint(0, 15), t) for t in texts]
+    first = {}
+    for k, (_, _, root) in enumerate(components_by_force([t for _, t in given])):
+        first[root] = min(first.get(root, given[k]), given[k])
+    roots = [root for _, _, root in components_by_force([t for _, t in given])]
+    got = near_dups.near_duplicates(spark.createDataFrame(given, DOCS), led_from=led_from)
+    assert rows(got, "doc_id", "component_id") == sorted([(d, first[r][0]) for (d, _), r in zip(given, roots, strict=True)], key=repr)
+    left = near_dups.drop_near_duplicates(spark.createDataFrame(given, DOCS)).collect()
+    assert sorted(r.doc_id for r in left) == sorted(d for d, _ in first.values())
+    by_text = dict(zip([t for _, t in given], roots, strict=True))
+    assert sorted(by_text[r.text] for r in left) == sorted(first)  # no group of texts is lost
+
+
+def test_work_grows_with_a_cluster_and_not_with_its_square(spark):
+    choose, spent = random.Random(5), []
+    base = [f"w{k}" for k in range(120)]
+    for size in (500, 2000):
+        texts = [" ".join([*base[:at], f"x{k}", *base[at + 1 :]]) for k in range(size) for at in [choose.randrange(120)]]
+        docs = near_dups._prepared(documents(spark, *texts), "doc_id", "text")
+        scratch = common.Scratch(spark)
+        signed = scratch.write(near_dups.sign(docs, 5), "signed")
+        unique = scratch.write(signed.withColumnRenamed("doc_id", "sid").withColumn("doc_id", common.F.col("sid")), "unique")
+        keyed = unique.select("sid", common.F.explode(near_dups.index_keys()).alias("key")).select("sid", "key.tag", "key.masked")
+        large = keyed.groupBy("tag", "masked").count().where("count > 256").drop("count")
+        found, left, _ = near_dups.led(scratch.write(keyed.join(large, ["tag", "masked"]), "large"), unique, docs, 5, 75, scratch)
+        in_pairs = sum(r["count"] ** 2 for r in left.groupBy("tag", "masked").count().collect())
+        spent.append(found.count() + in_pairs)
+        assert found.count() >= size / 2
+    assert spent[1] <= 6 * spent[0]
 
 
 def test_pigeonhole_finds_every_pair_within_the_distance():
@@ -346,7 +395,7 @@ def test_pigeonhole_finds_every_pair_within_the_distance():
         at = choose.choice(near_dups.VALUES, differing, replace=False)
         other[at] ^= 1
         chunks = np.stack([base, other]).view(np.int64)
-        tags = [t for t in range(near_dups.VALUES) if len(near_dups.candidate_pairs(chunks, np.array([9, 9]), np.zeros(2, int), t, 75)[0])]
+        tags = [t for t in range(near_dups.VALUES) if len(near_dups.candidate_pairs(chunks, np.array([9, 9]), np.arange(2), np.zeros(2, int), t, 75)[0])]
         assert len(tags) == 1  # met, and counted once
 
 
