@@ -140,7 +140,11 @@ def stretch_rows(size: int) -> Callable:
 
 
 def passage_rows(size: int) -> Callable:
-    """(h1, h2, doc_id, ref): the passages of some stretches, with 64 and 20 bits of hash."""
+    """(h1, h2, doc_id, ref): the passages of some stretches, with 64 and 20 bits of hash.
+
+    Of equal passages in a batch, the earliest goes to its key; the others, which can't be first anywhere, go to keys of
+    their own and have a negative h2: a line that a third of all documents share brings a key one row for each batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,6 +158,14 @@ def passage_rows(size: int) -> Callable:
                     k += 1
             if found:
                 h1, h2, doc, ref = map(np.concatenate, zip(*found, strict=True))
+                rank = pc.rank(batch.column(0), tiebreaker="dense").to_numpy().astype(np.int64)[doc]
+                order = np.lexsort((ref >> TAG_BITS, rank, h2, h1))
+                h1, h2, doc, ref, rank = (x[order] for x in (h1, h2, doc, ref, rank))
+                opens = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+                leader = np.maximum.accumulate(np.where(opens, np.arange(len(h1)), 0))
+                later = (rank != rank[leader]) | (ref >> TAG_BITS != ref[leader] >> TAG_BITS)
+                h1 = np.where(later, mixed(h1.view(np.uint64) ^ (doc.astype(np.uint64) << np.uint64(40)) ^ ref.astype(np.uint64)).view(np.int64), h1)
+                h2 = np.where(later, -1, h2).astype(np.int32)
                 for a in range(0, len(h1), 500_000):
                     part = slice(a, a + 500_000)
                     yield pa.RecordBatch.from_arrays([pa.array(h1[part]), pa.array(h2[part]), batch.column(0).take(pa.array(doc[part])), pa.array(ref[part])], ["h1", "h2", "doc_id", "ref"])
@@ -223,7 +235,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     stretches = around.mapInArrow(stretch_rows(window), f"c1 long, c2 long, doc_id {kind}, ref long, length int").withColumn("first", first_of("c1", "c2") & (F.col("length") > 0))
     fresh = stretches.where("first").groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
     passages = docs.join(fresh, "doc_id").select("doc_id", "text", "tag", "spans").mapInArrow(passage_rows(window), f"h1 long, h2 int, doc_id {kind}, ref long")
-    again = passages.withColumn("first", first_of("h1", "h2")).where("not first").select("doc_id", "ref", F.lit(1).alias("length"))
+    again = passages.withColumn("first", first_of("h1", "h2") & (F.col("h2") >= 0)).where("not first").select("doc_id", "ref", F.lit(1).alias("length"))
 
     # an empty span for each document makes this an inner join too, which reads the same exchange
     none = docs.select("doc_id", F.lit(0).cast("long").alias("ref"), F.lit(0).alias("length"))
