@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -38,56 +37,59 @@ def load_tokenizer(path: str):
 
 
 class Chunk:
-    """A stretch of a text, encoded by itself; starts: where its pre-tokens begin, tokens: which token begins each."""
+    """A stretch of a text, encoded by itself with offsets, which are looked at only around its overlaps."""
 
     def __init__(self, tokenizer, text: str, start: int, end: int):
-        found = tokenizer.encode(text[start:end], add_special_tokens=False)
-        self.start, self.end, self.size = start, end, len(found)
-        self.starts: list[int] = []
-        self.tokens: list[int] = []
-        last = object()
-        for k, (word, (at, _)) in enumerate(zip(found.word_ids, found.offsets, strict=True)):
-            if word is None or word != last:
-                self.starts.append(start + at)
-                self.tokens.append(k)
-            last = word if word is not None else object()
-
-    def tokens_before(self, at: int) -> int:
-        k = bisect_left(self.starts, at)
-        return self.tokens[k] if k < len(self.tokens) else self.size
-
-
-def common_boundary(left: Chunk, right: Chunk, after: int) -> int | None:
-    """The last position past `after` where both chunks begin a pre-token, far enough from the left chunk's end."""
-    theirs = set(right.starts)
-    for at in reversed(left.starts):
+        self.found = tokenizer.encode(text[start:end], add_special_tokens=False)
+        self.start, self.end, self.size = start, end, len(self.found)
+
+    def begins(self, token: int) -> bool:
+        """Whether a token is the first of its pre-token; special strings are pre-tokens by themselves."""
+        word = self.found.token_to_word(token)
+        return token == 0 or word is None or word != self.found.token_to_word(token - 1)
+
+    def place(self, token: int) -> int:
+        return self.start + self.found.token_to_chars(token)[0]
+
+    def token_at(self, at: int) -> int | None:
+        """The token that begins a pre-token at this place of the text."""
+        token = self.found.char_to_token(at - self.start) if self.start <= at < self.end else None
+        return token if token is not None and self.place(token) == at and self.begins(token) else None
+
+
+def common_boundary(left: Chunk, right: Chunk, after: int) -> tuple[int, int, int] | None:
+    """The last position past `after` where both chunks begin a pre-token, far enough from the left chunk's end, and their tokens there."""
+    for token in range(left.size - 1, -1, -1):
+        at = left.place(token)
         if at <= after or at < right.start:
             return None
-        if at <= left.end - MARGIN and at in theirs:
-            return at
+        if at <= left.end - MARGIN and left.begins(token) and (theirs := right.token_at(at)) is not None:
+            return at, token, theirs
     return None
 
 
 def count_spliced(tokenizer, text: str, chunk_chars: int, overlap_chars: int) -> tuple[int, int, int]:
     """Tokens of a text, chunks that it took, and how often an overlap had to be widened."""
     total, chunks, widened = 0, 1, 0
-    sure = 0  # a proven boundary; what stands before it has been counted
+    sure, counted = 0, 0  # a proven boundary and the left chunk's token there; what stands before it has been counted
     left = Chunk(tokenizer, text, 0, min(len(text), chunk_chars))
     while left.end < len(text):
-        overlap, at = overlap_chars, None
-        while at is None:
+        overlap, met = overlap_chars, None
+        while met is None:
             begin = left.end - overlap
             if begin <= sure:  # the overlap has reached the last proven boundary: start over from it
-                at, right = sure, Chunk(tokenizer, text, sure, min(len(text), left.end + max(chunk_chars, overlap)))
+                right = Chunk(tokenizer, text, sure, min(len(text), left.end + max(chunk_chars, overlap)))
+                met = sure, counted, 0
             else:
                 right = Chunk(tokenizer, text, begin, min(len(text), left.end + chunk_chars - min(overlap_chars, chunk_chars // 2)))
-                at = common_boundary(left, right, sure)
+                met = common_boundary(left, right, sure)
             chunks += 1
-            if at is None:
+            if met is None:
                 overlap, widened = overlap * 2, widened + 1
-        total += left.tokens_before(at) - left.tokens_before(sure)
-        left, sure = right, at
-    return total + left.size - left.tokens_before(sure), chunks, widened
+        sure, end, next_counted = met
+        total += end - counted
+        left, counted = right, next_counted
+    return total + left.size - counted, chunks, widened
 
 
 class UnitCache:
@@ -139,7 +141,7 @@ class UnitCounts:
 
 
 def count_tokens(
-    df: DataFrame, tokenizer_path: str, text: str = "text", limit: int = 512, chunk_chars: int = 65_536, overlap_chars: int = 2_048
+    df: DataFrame, tokenizer_path: str, text: str = "text", limit: int = 512, chunk_chars: int = 4_096, overlap_chars: int = 256
 ) -> DataFrame:
     """Every row of df with n_bytes, n_tokens, over_limit (n_tokens > limit), n_chunks and n_widened.
 
