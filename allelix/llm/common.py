@@ -60,7 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one run in the shared folder; written tables cut lineage and survive lost executors.
 
-    release() deletes them; what is left goes when the driver's Python ends.
+    release(), or the end of a with statement, deletes them: operators do so with what their result doesn't read. What
+    is left goes when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -76,6 +77,12 @@ class Scratch:
         df.write.parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
     def release(self) -> None:
         atexit.unregister(self.release)
         context = self.spark.sparkContext
@@ -119,26 +126,30 @@ def window_hashes(words: np.ndarray, size: int, factor: int) -> np.ndarray:
     return mixed(total)
 
 
-def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of rows with equal keys, from batches of rows sorted by them; nothing but the open group is held."""
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 20_000) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Runs of whole groups of rows with equal keys, of batches of rows sorted by them, with each row's group number; about so many rows at once."""
     held: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
-        change = np.zeros(len(batch), bool)
+    size = 0
+
+    def numbered(frame: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(frame), bool)
         for k in keys:
-            values = batch[k].to_numpy()
+            values = frame[k].to_numpy()
             change[1:] |= values[1:] != values[:-1]
-        if held and any(held[-1][k].iat[-1] != batch[k].iat[0] for k in keys):
-            change[0] = True
-        at = np.flatnonzero(change)
-        if not len(at):
-            held.append(batch)
-            continue
-        if held or at[0] > 0:
-            yield pd.concat([*held, batch.iloc[: at[0]]], ignore_index=True) if held else batch.iloc[: at[0]]
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            yield batch.iloc[a:b]
-        held = [batch.iloc[at[-1] :]]
-    if held:
-        yield pd.concat(held, ignore_index=True)
+        return np.cumsum(change)
+
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            held.append(batch.iloc[at : at + rows])
+            size += len(held[-1])
+            if size < rows:
+                continue
+            frame = pd.concat(held, ignore_index=True)
+            numbers = numbered(frame)
+            whole = int(np.searchsorted(numbers, numbers[-1]))  # the last group may go on
+            if whole:
+                yield frame.iloc[:whole], numbers[:whole]
+            held, size = [frame.iloc[whole:]], len(frame) - whole
+    if size:
+        frame = pd.concat(held, ignore_index=True)
+        yield frame, numbered(frame)

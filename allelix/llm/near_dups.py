@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mixed, sorted_groups, sub_batches, word_hashes
+from .common import Scratch, mixed, sub_batches, whole_groups, word_hashes
 from .components import connected_components
 
 CHUNKS, IN_CHUNK = 10, 4
@@ -106,29 +106,33 @@ def lanes(chunks: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(chunks).view(np.uint16).reshape(len(chunks), VALUES)
 
 
-def candidate_pairs(chunks: np.ndarray, sizes: np.ndarray, labels: np.ndarray, blocks: np.ndarray, tag: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a group that go on as pairs: close enough, sizes that allow the similarity, `tag` is their first common key, and not linked yet (by label)."""
-    values = lanes(chunks)
-    across = blocks[0] != blocks[-1]
-    first = np.flatnonzero(blocks == blocks[0]) if across else np.arange(len(values))
-    found_a, found_b = [], []
-    for part in np.array_split(first, max(1, len(first) * len(values) // 16_384)):
-        others = np.flatnonzero(blocks != blocks[0]) if across else np.arange(part[0] + 1, len(values))
-        if not len(part) or not len(others):
-            continue
-        same = values[part][:, None, :] == values[others][None, :, :]
-        by_chunk = same.reshape(len(part), len(others), CHUNKS, IN_CHUNK)
-        in_chunk = by_chunk.sum(-1, dtype=np.uint8)
+def candidate_pairs(group: pd.DataFrame, numbers: np.ndarray, percent: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that go on as pairs, of groups one after the other (numbers: that of each row's group), about `most` pairs at once.
+
+    They are close enough, their sizes allow the similarity, `tag` is their first common key, they aren't linked yet (by
+    label), and of a group of two blocks they aren't of the same one.
+    """
+    values, sizes, labels, blocks, tags = lanes(group[SIGNATURE].to_numpy()), *(group[c].to_numpy() for c in ("n", "label", "block", "tag"))
+    across = (group["block_a"] != group["block_b"]).to_numpy()
+    later = np.searchsorted(numbers, numbers, "right") - np.arange(len(group)) - 1
+    total, found, low = np.cumsum(later), [], 0
+    while low < len(group):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, "right")))
+        n = later[low:high]
+        a = np.repeat(np.arange(low, high), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        ok = (labels[a] != labels[b]) & ~(across[a] & (blocks[a] == blocks[b])) & (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b]))
+        a, b = a[ok], b[ok]
+        same = (values[a] == values[b]).reshape(-1, CHUNKS, IN_CHUNK)
+        in_chunk = same.sum(-1, dtype=np.uint8)
         chunk = (in_chunk >= IN_CHUNK - 1).argmax(-1)
-        good = (chunk == tag // IN_CHUNK) & (in_chunk.sum(-1) >= VALUES - MOST_DIFFERING)
-        small, large = np.minimum(sizes[part][:, None], sizes[others][None, :]), np.maximum(sizes[part][:, None], sizes[others][None, :])
-        good &= (100 * small >= percent * large) & (others[None, :] > part[:, None]) & (labels[part][:, None] != labels[others][None, :])
-        a, b = np.nonzero(good)
-        blanked = by_chunk[a, b, tag // IN_CHUNK].argmin(-1)  # 0 if all four agree
-        ok = blanked == tag % IN_CHUNK
-        found_a.append(part[a[ok]])
-        found_b.append(others[b[ok]])
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, int), np.zeros(0, int))
+        own = same[np.arange(len(a)), tags[a] // IN_CHUNK]
+        blanked = own.argmin(-1)  # 0 if all four agree
+        good = (chunk == tags[a] // IN_CHUNK) & (in_chunk.sum(-1) >= VALUES - MOST_DIFFERING) & (blanked == tags[a] % IN_CHUNK)
+        found.append((a[good], b[good]))
+        low = high
+    a, b = zip(*found, strict=True)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def confirmed(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -180,25 +184,14 @@ def by_group(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *GROUP).sortWithinPartitions(*GROUP, "block")
 
 
-def pairs_of(group: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    return candidate_pairs(group[SIGNATURE].to_numpy(), group["n"].to_numpy(), group["label"].to_numpy(), group["block"].to_numpy(), int(group["tag"].iat[0]), percent)
-
-
 def surviving(members: DataFrame, percent: int) -> DataFrame:
     """Of a bucket's members, those in a candidate pair."""
 
     def survive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
-        for group in sorted_groups(batches, GROUP):
-            a, b = pairs_of(group, percent)
+        for groups, numbers in whole_groups(batches, GROUP):
+            a, b = candidate_pairs(groups, numbers, percent)
             if len(a):
-                held.append(group.iloc[np.union1d(a, b)])
-                rows += len(held[-1])
-            if rows > 10_000:
-                yield pd.concat(held)
-                held, rows = [], 0
-        if held:
-            yield pd.concat(held)
+                yield groups.iloc[np.union1d(a, b)]
 
     return by_group(members).mapInPandas(survive, members.schema)
 
@@ -207,13 +200,15 @@ def links(members: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between members that carry their full set, as many as connect what is linked in each group."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in sorted_groups(batches, GROUP):
-            a, b = pairs_of(group, percent)
+        for groups, numbers in whole_groups(batches, GROUP, 2_000):
+            a, b = candidate_pairs(groups, numbers, percent)
             if not len(a):
                 continue
-            good = confirmed([np.frombuffer(s, np.uint64) for s in group["shingles"]], a, b, percent)
-            names = group["sid"].to_numpy()
-            found = list(spanning(a[good], b[good]))
+            sets, names, found = [np.frombuffer(s, np.uint64) for s in groups["shingles"]], groups["sid"].to_numpy(), []
+            for x, y in zip(*(np.split(c, np.flatnonzero(np.diff(numbers[a])) + 1) for c in (a, b)), strict=True):  # group by group
+                first, last = x.min(), y.max() + 1
+                good = confirmed(sets[first:last], x - first, y - first, percent)
+                found += spanning(x[good], y[good])
             if found:
                 yield pd.DataFrame({"a": names[[x for x, _ in found]], "b": names[[y for _, y in found]]})
 
@@ -283,21 +278,19 @@ def scaled(counted: DataFrame) -> DataFrame:
 LEADING = [f"l{k}" for k in range(CHUNKS)]
 
 
-def led(rows: DataFrame, unique: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of large buckets' rows (tag, masked, sid): links (a, b), rows that are still to be compared, with their labels, and the full sets that were made.
+def led(rows: DataFrame, unique: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of large buckets' rows (tag, masked, sid): links (a, b), and the rows that are still to be compared, with their labels.
 
     The leader is the member in most large buckets: of near copies that is what they are copies of. A member that no
     link connects to its leader is apart. It can be linked with a member x that is connected only if x isn't much more
-    like the leader than it is itself; where no bound is known, x is compared.
+    like the leader than it is itself; where no bound is known, x is compared. sets: the full sets of all members.
     """
     weight = rows.groupBy("sid").agg(F.count("*").alias("weight"))
     leaders = rows.join(weight, "sid").groupBy("tag", "masked").agg(F.max(F.struct("weight", "sid"))["sid"].alias("leader"))
-    star = scratch.write(rows.join(leaders, ["tag", "masked"]).where("sid <> leader"), "led")
+    star = scratch.write(rows.join(leaders, ["tag", "masked"]).where("sid <> leader").select("tag", "masked", "sid", "leader"), "led")
     mine = unique.select("sid", "n", *SIGNATURE)
     theirs = unique.select(F.col("sid").alias("leader"), F.col("n").alias("n_leader"), *[F.col(s).alias(x) for s, x in zip(SIGNATURE, LEADING, strict=True)])
-    near = scratch.write(near_leaders(star.select("leader", "sid").distinct().join(theirs, "leader").join(mine, "sid")), "near leaders")
-    wanted = near.select("sid").union(near.select("leader")).distinct()
-    sets = scratch.write(shingle_sets(docs, unique.join(wanted, "sid").select("sid", "doc_id", "text_key", "set_hash"), size), "sets of the led")
+    near = scratch.write(near_leaders(star.select("leader", "sid").distinct().join(mine, "sid").join(theirs, "leader")), "near leaders")
     alike = scratch.write(likeness(near, sets), "likeness")
     union = F.col("n_leader") + F.col("n") - F.col("shared")
     found = alike.where(100 * F.col("shared") >= percent * union).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
@@ -309,7 +302,7 @@ def led(rows: DataFrame, unique: DataFrame, docs: DataFrame, size: int, percent:
     judged = scratch.write(judged.withColumn("apart", F.col("label") != F.col("leading")), "judged by leaders")
     most = judged.where("apart").groupBy("tag", "masked").agg(F.greatest(F.max(F.coalesce("share", F.lit(0.5))), F.lit(0.5)).alias("most"))
     open_ = F.col("apart") | F.col("share").isNull() | (F.col("share") <= F.col("most") + (1 - percent / 100) + 1e-9)
-    return found, judged.join(most, ["tag", "masked"]).where(open_).select("tag", "masked", "sid", "label"), sets
+    return found, judged.join(most, ["tag", "masked"]).where(open_).select("tag", "masked", "sid", "label")
 
 
 def compared(rows: DataFrame, unique: DataFrame, block: int) -> DataFrame:
@@ -324,8 +317,20 @@ def judged(docs: DataFrame, size: int, percent: int, block: int, led_from: int,
     """Of (doc_id, text_key, text): (doc_id, text_key, n, component, first_key) for every row; component is null without words or id.
 
     first_key: the text_key of the row with the smallest (doc_id, text_key) in the component, whose doc_id is `component`.
+    What the result reads stays in scratch.
     """
     signed = scratch.write(sign(docs, size), "signed")
+    with Scratch(docs.sparkSession) as own:
+        of_sets = scratch.write(components_of_sets(signed, docs, size, percent, block, led_from, own), "components")
+    has_set = F.col("set_hash").isNotNull()
+    return signed.select("doc_id", "text_key", "n", "set_hash").join(of_sets, "set_hash", "left").select(
+        "doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(has_set, F.col("doc_id")))).alias("component"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("first_key", F.when(has_set, F.col("text_key")))).alias("first_key"),
+    )
+
+
+def components_of_sets(signed: DataFrame, docs: DataFrame, size: int, percent: int, block: int, led_from: int, scratch: Scratch) -> DataFrame:
+    """(set_hash, component, first_key) of the sets that several rows have or that are linked with others."""
     sets = signed.where("doc_id is not null and set_hash is not null").groupBy("set_hash")
     one = sets.agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.count("*").alias("copies"), *[F.first(s).alias(s) for s in SIGNATURE])
     # numbers are short keys; the table is written before they are used, so they stay
@@ -333,30 +338,27 @@ def judged(docs: DataFrame, size: int, percent: int, block: int, led_from: int,
 
     keyed = unique.select("sid", F.explode(index_keys()).alias("key")).select("sid", "key.tag", "key.masked")
     buckets = scratch.write(keyed.groupBy("tag", "masked").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    small, large = buckets.where(F.col("members") <= led_from), buckets.where(F.col("members") > led_from)
-    rows = keyed.join(small, ["tag", "masked"]).select("tag", "masked", "sid", F.col("sid").alias("label"), "members")
-    known = found = None
-    if not large.isEmpty():
-        found, left, known = led(scratch.write(keyed.join(large, ["tag", "masked"]).select("tag", "masked", "sid"), "large buckets"), unique, docs, size, percent, scratch)
-        left = scratch.write(left, "left to compare")
-        rows = rows.unionByName(left.join(left.groupBy("tag", "masked").agg(F.count("*").alias("members")), ["tag", "masked"]))
-    left = scratch.write(surviving(compared(rows, unique, block), percent), "candidates")
-
-    wanted = left.select("sid").distinct()
-    wanted = wanted.join(known, "sid", "left_anti") if known is not None else wanted
+    rows = scratch.write(keyed.join(buckets, ["tag", "masked"]).select("tag", "masked", "sid", "members"), "rows")
+    small, large = rows.where(F.col("members") <= led_from).withColumn("label", F.col("sid")), rows.where(F.col("members") > led_from).drop("members")
+    left, several = scratch.write(surviving(compared(small, unique, block), percent), "candidates"), not large.isEmpty()
+
+    # all full sets in one pass over the documents
+    wanted = left.select("sid").union(large.select("sid")).distinct()
     full = scratch.write(shingle_sets(docs, unique.join(wanted, "sid").select("sid", "doc_id", "text_key", "set_hash"), size), "shingle sets")
-    linked = links(left.join(full if known is None else full.unionByName(known), "sid"), percent)
+    found = None
+    if several:
+        found, open_ = led(large, unique, full, percent, scratch)
+        open_ = scratch.write(open_, "left to compare")
+        open_ = open_.join(open_.groupBy("tag", "masked").agg(F.count("*").alias("members")), ["tag", "masked"])
+        left = left.unionByName(scratch.write(surviving(compared(open_, unique, block), percent), "candidates left"))
+    linked = links(left.join(full, "sid"), percent)
     components = connected_components(linked if found is None else linked.unionByName(found), scratch)
 
     members = scratch.write(components.join(unique.select(F.col("sid").alias("node"), "set_hash", "doc_id", "text_key"), "node"), "members")
     first = members.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     several = members.join(first, "component").select("set_hash", F.col("first.doc_id").alias("component"), F.col("first.text_key").alias("first_key"))
     alone = unique.where("copies > 1").join(members, "set_hash", "left_anti").select("set_hash", F.col("doc_id").alias("component"), F.col("text_key").alias("first_key"))
-    of_sets = scratch.write(several.unionByName(alone), "components")
-    own = F.when(F.col("set_hash").isNotNull(), F.col("doc_id")), F.when(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull(), F.col("text_key"))
-    return signed.select("doc_id", "text_key", "n", "set_hash").join(of_sets, "set_hash", "left").select(
-        "doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", own[0])).alias("component"), F.when(F.col("doc_id").isNotNull(), F.coalesce("first_key", own[1])).alias("first_key")
-    )
+    return several.unionByName(alone)
 
 
 def _prepared(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -393,9 +395,12 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     equal id and text any one stays. Rows without an id, and those without words but for such repeats, stay. All columns
     of df stay as they are, whatever their names; an empty table stays empty; texts of any length count whole.
     """
-    found = judged(_prepared(df, doc_id, text), shingle_words, percent, BLOCK, LED, scratch or Scratch(df.sparkSession))
+    scratch = scratch or Scratch(df.sparkSession)
     id_, key, lone = (f"_{uuid.uuid4().hex}" for _ in range(3))
-    gone = found.where((F.col("doc_id") != F.col("component")) | (F.col("text_key") != F.col("first_key"))).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    with Scratch(df.sparkSession) as own:
+        found = judged(_prepared(df, doc_id, text), shingle_words, percent, BLOCK, LED, own)
+        gone = found.where((F.col("doc_id") != F.col("component")) | (F.col("text_key") != F.col("first_key")))
+        gone = scratch.write(gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct(), "near duplicates")
     rows = df.select("*", F.col(doc_id).alias(id_), text_key(text).alias(key))
     left = rows.join(gone, [id_, key], "left_anti")
     # rows without an id are told apart, so that they don't count as repeated

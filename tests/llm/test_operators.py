@@ -13,6 +13,7 @@ import zlib
 
 import comparison
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
@@ -380,7 +381,8 @@ def test_work_grows_with_a_cluster_and_not_with_its_square(spark):
         unique = scratch.write(signed.withColumnRenamed("doc_id", "sid").withColumn("doc_id", common.F.col("sid")), "unique")
         keyed = unique.select("sid", common.F.explode(near_dups.index_keys()).alias("key")).select("sid", "key.tag", "key.masked")
         large = keyed.groupBy("tag", "masked").count().where("count > 256").drop("count")
-        found, left, _ = near_dups.led(scratch.write(keyed.join(large, ["tag", "masked"]), "large"), unique, docs, 5, 75, scratch)
+        sets = scratch.write(near_dups.shingle_sets(docs, unique.select("sid", "doc_id", "text_key", "set_hash"), 5), "sets")
+        found, left = near_dups.led(scratch.write(keyed.join(large, ["tag", "masked"]), "large"), unique, sets, 75, scratch)
         in_pairs = sum(r["count"] ** 2 for r in left.groupBy("tag", "masked").count().collect())
         spent.append(found.count() + in_pairs)
         assert found.count() >= size / 2
@@ -395,10 +397,21 @@ def test_pigeonhole_finds_every_pair_within_the_distance():
         at = choose.choice(near_dups.VALUES, differing, replace=False)
         other[at] ^= 1
         chunks = np.stack([base, other]).view(np.int64)
-        tags = [t for t in range(near_dups.VALUES) if len(near_dups.candidate_pairs(chunks, np.array([9, 9]), np.arange(2), np.zeros(2, int), t, 75)[0])]
+        rows = pd.DataFrame(chunks, columns=near_dups.SIGNATURE).assign(n=9, label=[0, 1], block=0, block_a=0, block_b=0)
+        tags = [t for t in range(near_dups.VALUES) if len(near_dups.candidate_pairs(rows.assign(tag=t), np.zeros(2, int), 75)[0])]
         assert len(tags) == 1  # met, and counted once
 
 
+def test_runs_of_whole_groups():
+    rows = pd.DataFrame({"k": np.repeat(np.arange(40), np.arange(40) % 7 + 1)})
+    for size in (3, 10, 1000):
+        runs = list(common.whole_groups(iter([rows.iloc[k : k + 11] for k in range(0, len(rows), 11)]), ["k"], size))
+        assert pd.concat([f for f, _ in runs])["k"].tolist() == rows["k"].tolist()
+        seen = [set(f["k"]) for f, _ in runs]
+        assert sum(map(len, seen)) == 40
+        assert all((np.diff(numbers) == (np.diff(f["k"]) > 0)).all() for f, numbers in runs)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(200, 200), (301, 300), (300, 301)]
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark))

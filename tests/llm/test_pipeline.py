@@ -11,7 +11,6 @@ import corpus_pipeline  # noqa: E402
 from allelix.llm import common, decontam, quality, secret_scan  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def staged(spark, docs, sf_dir):
@@ -62,9 +61,36 @@ def test_run_gives_the_last_stage(spark):
 def test_odd_documents(spark):
     prose = " ".join(f"Word{k} follows here." for k in range(60))
     rows = [(1, prose, "en", None, None), (1, prose, "en", None, None), (2, None, None, None, 0), (3, "", "en", "s", 0), (None, prose.replace("Word", "Term"), "en", "s", 1), (4, prose + " more", None, "s", 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("rank", common.F.lit(1)).withColumn("kept", common.F.lit("own"))
+    own = {"rank": 1, "kept": "own", "n_words": 9, "spans": "MINE", "cleaned": None, "row": 2.5, "_text": "t", "text_key": 3, "sid": 4, "component": "c", "redacted": "r"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    for name, value in own.items():
+        docs = docs.withColumn(name, common.F.lit(value).cast("string") if value is None else common.F.lit(value))
     *stages, packed = staged(spark, docs, SF)
-    assert all(set(COLUMNS) <= set(r.asDict()) for stage in stages for r in stage)
+    for stage in stages:
+        for r in stage:
+            assert list(r.asDict()) == docs.columns
+            assert {k: r[k] for k in own} == own
+            assert (r.lang, r.source, r.n_chars) == {1: ("en", None, None), None: ("en", "s", 1)}[r.doc_id]
     assert sorted((r.doc_id for r in stages[-1]), key=repr) == [1, None]
     assert {r.doc_id for r in packed} == {1, None}
     assert all(not stage for stage in staged(spark, docs.limit(0), SF))
+
+
+def test_columns_stay_where_texts_change(spark):
+    prose = " ".join(f"Word{k} follows here." for k in range(60))
+    rows = [(1, f"{prose}\nHome | About | Contact | Help\ntoken = abcdefgh12345678 end.", 5, "MINE", 9)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars int, spans string, n_words long")
+    *stages, packed = staged(spark, docs, SF)
+    (last,) = stages[-1]
+    assert (last.doc_id, last.spans, last.n_words) == (1, "MINE", 9)
+    assert "Home" not in last.text and "abcdefgh" not in last.text and "[SECRET]" in last.text
+    assert last.n_chars == len(last.text)
+    assert [f.dataType.simpleString() for f in docs.schema] == [f.dataType.simpleString() for f in corpus_pipeline.secret_scans(spark, docs, SF).schema]
+
+
+def test_stages_of_two_pipelines_keep_what_they_read(spark):
+    docs = common.table(spark, SF, "documents")
+    first = corpus_pipeline.minhash_near_dedup(spark, docs, SF)
+    second = corpus_pipeline.minhash_near_dedup(spark, docs.limit(50), SF)
+    corpus_pipeline.benchmark_decontamination(spark, docs, SF)
+    assert first.count() > second.count() > 0
