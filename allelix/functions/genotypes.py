@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType
 
 
 def allele_indexes(gt: Column) -> Column:
@@ -55,12 +56,26 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x)), "")
 
 
+#: The characters of genotype codes, in order, and a hexadecimal digit for each: 15 of them fit an integer.
+CODE_CHARACTERS, CODE_DIGITS = "./0123456789|", "123456789ABCD"
+
+
+def packed_code(gt: Column) -> Column:
+    """A genotype code as an integer, which hash aggregation can hold where it can't hold text; null if it is missing.
+
+    Codes are of digits, separators and points, 15 characters at most; others raise an error.
+    """
+    fits = gt.rlike(r"^[0-9./|]{1,15}$")
+    return F.when(fits, F.conv(F.translate(gt, CODE_CHARACTERS, CODE_DIGITS), 16, 10).cast("long")).when(gt.isNotNull(), F.raise_error(F.concat(F.lit("not a genotype code: "), gt)).cast("long"))
+
+
+def unpacked_code(code: Column) -> Column:
+    return F.translate(F.hex(code), CODE_DIGITS, CODE_CHARACTERS)
+
+
 def vcf_double(x: Column) -> Column:
-    """Two decimals from 1 on, three from 0.01 on, else three in exponent form; 0.00 below 1e-20; . if null."""
-    size = F.abs(x)
-    return (
-        F.when(x.isNull(), ".").when(size >= 1, F.format_string("%.2f", x)).when(size >= 0.01, F.format_string("%.3f", x)).when(size < 1e-20, "0.00").otherwise(F.format_string("%.3e", x))
-    )
+    """Two decimals from 1 on, three from 0.01 on, else (also below 0) three in exponent form; 0.00 below 1e-20 in size; . if null."""
+    return F.when(x.isNull(), ".").when(x >= 1, F.format_string("%.2f", x)).when(x >= 0.01, F.format_string("%.3f", x)).when(F.abs(x) < 1e-20, "0.00").otherwise(F.format_string("%.3e", x))
 
 
 def vcf_quality(x: Column) -> Column:
@@ -68,6 +83,13 @@ def vcf_quality(x: Column) -> Column:
     return F.when(x.isNull(), ".").otherwise(F.regexp_replace(F.format_string("%.2f", x), r"\.00$", ""))
 
 
-def vcf_value(value: Column) -> Column:
-    """. for null."""
+def vcf_value(value: Column, kind: DataType) -> Column:
+    """A value of a field: . for null and for empty lists, lists joined by commas, flags as nothing if true and null (no entry) if false."""
+    if isinstance(kind, ArrayType):
+        listed = F.array_join(F.transform(value, lambda x: vcf_value(x, kind.elementType)), ",")
+        return F.when(F.size(value) > 0, listed).otherwise(".")
+    if isinstance(kind, BooleanType):
+        return F.when(value.isNull(), ".").when(value, "")
+    if isinstance(kind, DoubleType | FloatType):
+        return vcf_double(value)
     return F.coalesce(value.cast("string"), F.lit("."))

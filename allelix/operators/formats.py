@@ -1,4 +1,4 @@
-"""Lines of the exchange formats, from a marker table with one array of genotypes a variant.
+"""Lines of the exchange formats, from a marker table with one array of genotypes a variant; `exports` makes whole archives of them.
 
 Marker-oriented formats are projections of that table. Individual-oriented ones turn it around with one shuffle of
 cells by individual; `pieces` of a line (by sequence) keep rows bounded where a genome doesn't fit one string.
@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructType
 
-from ..functions.genotypes import allele_indexes, allele_strings, natural_key, reference_code, vcf_value
+from ..functions.genotypes import allele_indexes, allele_strings, natural_key, reference_code, vcf_quality, vcf_value
 from .matrix import dense
 
 #: Fixed names and numbers of the formats.
@@ -21,19 +22,25 @@ HAPMAP_HEADER = ("rs#", "alleles", "chrom", "pos", "strand", "assembly#", "cente
 SEQUENCE_ONTOLOGY = {"SNP": "SO:0000694", "INDEL": "SO:1000032", "MIXED": "SO:0001059", "SYMBOLIC": "SO:0000109", "MNP": "SO:0001059"}
 
 
-def marker_table(variants: DataFrame, resolved: DataFrame, individuals: list[str], synonyms: DataFrame | None = None) -> DataFrame:
-    """Variants with `gts`, all null where a variant has no genotypes, `ord` (natural order of place, then id) and `name`, the synonym or the id."""
-    found = variants.join(dense(resolved, individuals), "variant_id", "left")
+def site_table(variants: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """Variants with `name`, the synonym or the id, and `ord` (natural order of place, then id)."""
+    found = variants
     if synonyms is not None:
         found = found.join(synonyms.groupBy("variant_id").agg(F.min("synonym").alias("synonym")), "variant_id", "left")
     name = F.coalesce("synonym", "variant_id") if synonyms is not None else F.col("variant_id")
-    nothing = F.array_repeat(F.lit(None).cast("string"), len(individuals))
     return found.select(
-        "variant_id", name.alias("name"), "type", "chrom", "start_site", "end_site", "alleles", F.coalesce("gts", nothing).alias("gts"),
+        "variant_id", name.alias("name"), "type", "chrom", "start_site", "end_site", "alleles",
         F.concat(F.coalesce(natural_key(F.col("chrom")), F.lit("~")), F.lit(" "), F.lpad(F.coalesce("start_site", F.lit(0)).cast("string"), 20, "0"), F.lit(" "), "variant_id").alias("ord"),
     )
 
 
+def marker_table(variants: DataFrame, resolved: DataFrame, individuals: list[str], synonyms: DataFrame | None = None) -> DataFrame:
+    """site_table with `gts`, all null where a variant has no genotypes."""
+    nothing = F.array_repeat(F.lit(None).cast("string"), len(individuals))
+    found = site_table(variants, synonyms).join(dense(resolved, individuals), "variant_id", "left")
+    return found.withColumn("gts", F.coalesce("gts", nothing))
+
+
 def chrom() -> Column:
     return F.coalesce("chrom", F.lit("0"))
 
@@ -48,16 +55,18 @@ def headed(lines: DataFrame, *head: str) -> DataFrame:
     return lines.sparkSession.createDataFrame(rows, "ord string, line string").unionAll(lines.select("ord", "line"))
 
 
-def genotype_text(separator: str, missing: str, snp_separator: str | None = None) -> Column:
-    """The genotypes' alleles; SNPs may have a separator of their own."""
-    def one(g: Column) -> Column:
-        named = allele_strings(g, F.col("alleles"))
-        text = F.array_join(named, separator)
-        if snp_separator is not None:
-            text = F.when(F.col("type") == "SNP", F.array_join(named, snp_separator)).otherwise(text)
-        return F.coalesce(F.when(g.isNotNull(), text), F.lit(missing))
+def one_genotype(gt: Column, separator: str, missing: str, snp_separator: str | None = None) -> Column:
+    """A genotype's alleles; SNPs may have a separator of their own."""
+    named = allele_strings(gt, F.col("alleles"))
+    text = F.array_join(named, separator)
+    if snp_separator is not None:
+        text = F.when(F.col("type") == "SNP", F.array_join(named, snp_separator)).otherwise(text)
+    return F.coalesce(F.when(gt.isNotNull(), text), F.lit(missing))
 
-    return F.transform("gts", one)
+
+def genotype_text(separator: str, missing: str, snp_separator: str | None = None) -> Column:
+    """All genotypes' alleles."""
+    return F.transform("gts", lambda g: one_genotype(g, separator, missing, snp_separator))
 
 
 def hapmap(markers: DataFrame, individuals: list[str], assembly: str | None = None, columns: bool = True, indexes: bool = False, separator: bool = False, empty_missing: bool = False) -> DataFrame:
@@ -66,7 +75,7 @@ def hapmap(markers: DataFrame, individuals: list[str], assembly: str | None = No
     cells = F.transform("gts", lambda g: F.coalesce(g, F.lit(missing))) if indexes else genotype_text("/", missing, None if separator else "")
     fixed = [F.lit("+"), F.lit(assembly or "NA"), *[F.lit("NA")] * 5] if columns else []
     line = F.concat_ws("\t", "name", F.array_join("alleles", "/"), chrom(), pos(), *fixed, F.array_join(cells, "\t"))
-    return headed(markers.select("ord", line.alias("line")), "\t".join([*HAPMAP_HEADER[: None if columns else 4], *individuals]))
+    return headed(markers.select("ord", line.alias("line")), "\t".join([*(HAPMAP_HEADER if columns else ("variant", *HAPMAP_HEADER[1:4])), *individuals]))
 
 
 def eigenstrat_genotypes(markers: DataFrame) -> DataFrame:
@@ -114,7 +123,14 @@ def bed(variants: DataFrame) -> DataFrame:
     line = F.when(F.col("start_site").isNull(), F.concat_ws("\t", F.lit("0"), F.lit("0"), F.lit("0"), "variant_id", F.lit("0"), F.lit("+"))).otherwise(
         F.concat_ws("\t", chrom(), (F.col("start_site") - 1).cast("string"), end.cast("string"), "variant_id", F.lit("0"), F.lit("+"))
     )
-    return variants.select("variant_id", line.alias("line"))
+    return variants.select("variant_id", *["ord"] * ("ord" in variants.columns), line.alias("line"))
+
+
+def bed_annotated(markers: DataFrame) -> DataFrame:
+    """Places by the reference allele's length, as used where variants have annotations; unplaced ones end at 0."""
+    start = F.coalesce("start_site", F.lit(0)) - 1
+    end = F.when(start == -1, F.lit(0)).otherwise(start + F.length(F.element_at("alleles", 1)) - 1)
+    return markers.select("ord", F.concat_ws("\t", chrom(), F.greatest(start, F.lit(0)).cast("string"), end.cast("string"), "name", F.lit("0"), F.lit("+")).alias("line"))
 
 
 def gff3(markers: DataFrame, individuals: list[str]) -> DataFrame:
@@ -129,28 +145,62 @@ def gff3(markers: DataFrame, individuals: list[str]) -> DataFrame:
     return headed(markers.select("ord", line.alias("line")), "##gff-version 3")
 
 
-def vcf_header(individuals: list[str], contigs: list[tuple[str, int | None]], fields: tuple[str, ...], assembly: str | None) -> list[str]:
-    meta = ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', *[f'##FORMAT=<ID={f.upper()},Number=1,Type=Float,Description="{f}">' for f in fields]]
+def vcf_header(individuals: list[str], contigs: list[tuple[str, int | None]], fields: tuple[str, ...] = (), assembly: str | None = None, info: StructType | None = None, filters: tuple[str, ...] = (), numbers: dict[str, int] | None = None) -> list[str]:
+    """Version, sorted meta lines and column names; fields: FORMAT fields beside GT, numbers: how many values one has (1 if not said)."""
+    meta = ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', *[f'##FORMAT=<ID={f.upper()},Number={(numbers or {}).get(f, 1)},Type=Float,Description="{f}">' for f in fields]]
     meta += [f"##contig=<ID={name}" + (f",length={n}" if n else "") + (f",assembly={assembly}" if assembly else "") + ">" for name, n in contigs]
+    for f in info.fields if info is not None else []:
+        kind = f.dataType.elementType if isinstance(f.dataType, ArrayType) else f.dataType
+        named = next((name for types, name in (((BooleanType,), "Flag"), ((DoubleType, FloatType), "Float"), ((IntegerType, LongType, ShortType), "Integer")) if isinstance(kind, types)), "String")
+        number = "0" if named == "Flag" else "." if isinstance(f.dataType, ArrayType) else "1"
+        meta.append(f'##INFO=<ID={f.name},Number={number},Type={named},Description="{f.name}">')
+    meta += [f'##FILTER=<ID={f},Description="{f}">' for f in filters]
     return ["##fileformat=VCFv4.1", *sorted(meta), "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *individuals])]
 
 
-def vcf(markers: DataFrame, individuals: list[str], fields: DataFrame | None = None, field_names: tuple[str, ...] = (), contigs: list[tuple[str, int | None]] | None = None, assembly: str | None = None) -> DataFrame:
-    """Records without quality, filter and info; fields: (variant_id, individual, the named fields), which follow GT in sorted order."""
+def vcf_filter(filters: Column) -> Column:
+    """A point if none were applied (null), PASS if all were passed, else those that were not, sorted."""
+    return F.when(filters.isNull(), ".").when(F.size(filters) == 0, "PASS").otherwise(F.array_join(F.sort_array(filters), ";"))
+
+
+def vcf_info(info: Column, kind: StructType) -> Column:
+    """key=value by key, keys alone for flags; absent (null) ones and false flags are left out."""
+    parts = []
+    for f in sorted(kind.fields, key=lambda f: f.name):
+        value = info.getField(f.name)
+        text = vcf_value(value, f.dataType)
+        parts.append(F.when(value.isNotNull() & text.isNotNull(), F.when(text == "", F.lit(f.name)).otherwise(F.concat(F.lit(f.name + "="), text))))
+    found = F.concat_ws(";", *parts)
+    return F.when(found == "", ".").otherwise(found)
+
+
+def vcf(
+    markers: DataFrame, individuals: list[str], fields: DataFrame | None = None, field_names: tuple[str, ...] = (), contigs: list[tuple[str, int | None]] | None = None, assembly: str | None = None,
+    sites: DataFrame | None = None, filter_names: tuple[str, ...] = (), numbers: dict[str, int] | None = None,
+) -> DataFrame:
+    """A file of records. fields: (variant_id, individual, the named fields), which follow GT in sorted order; sites: (variant_id, qual, filters, info).
+
+    Each of these may be missing for a variant: then a point stands for it, and as many as a field's number says.
+    """
     keys = tuple(sorted(field_names))
     cells = F.transform("gts", lambda g: F.coalesce(g, F.lit("./.")))
     if keys:
-        values = fields.groupBy("variant_id").agg(F.map_from_entries(F.collect_list(F.struct("individual", F.concat_ws(":", *[vcf_value(F.col(f)) for f in keys])))).alias("values"))
+        none = {f: ",".join("." for _ in range((numbers or {}).get(f, 1))) for f in keys}
+        shown = F.concat_ws(":", *[F.when(F.col(f).isNull(), none[f]).otherwise(vcf_value(F.col(f), fields.schema[f].dataType)) for f in keys])
+        values = dense(fields.select("variant_id", "individual", shown.alias("gt")), individuals).withColumnRenamed("gts", "values")
         markers = markers.join(values, "variant_id", "left")
-        none = ":".join("." for _ in keys)
-        extra = F.transform(F.array(*map(F.lit, individuals)), lambda i: F.coalesce(F.try_element_at("values", i), F.lit(none)))
-        cells = F.zip_with(cells, extra, lambda g, v: F.concat(g, F.lit(":"), v))
-    alternatives = F.array_join(F.slice("alleles", 2, 1000), ",")
+        cells = F.transform(cells, lambda g, i: F.concat(g, F.lit(":"), F.coalesce(F.get("values", i), F.lit(":".join(none.values())))))
+    quality, filters, info, info_type = F.lit("."), F.lit("."), F.lit("."), None
+    if sites is not None:
+        info_type = sites.schema["info"].dataType
+        markers = markers.join(sites.select("variant_id", "qual", "filters", "info"), "variant_id", "left")
+        quality, filters, info = vcf_quality(F.col("qual")), vcf_filter(F.col("filters")), vcf_info(F.col("info"), info_type)
+    alternatives = F.array_join(F.slice("alleles", 2, F.size("alleles")), ",")
     line = F.concat_ws(
-        "\t", chrom(), pos(), "name", F.element_at("alleles", 1), F.when(F.size("alleles") > 1, alternatives).otherwise("."), F.lit("."), F.lit("."), F.lit("."),
+        "\t", chrom(), pos(), "name", F.element_at("alleles", 1), F.when(F.size("alleles") > 1, alternatives).otherwise("."), quality, filters, info,
         F.lit(":".join(["GT", *[k.upper() for k in keys]])), F.array_join(cells, "\t"),
     )
-    return headed(markers.select("ord", line.alias("line")), *vcf_header(individuals, contigs or [], keys, assembly))
+    return headed(markers.select("ord", line.alias("line")), *vcf_header(individuals, contigs or [], keys, assembly, info_type, filter_names, numbers))
 
 
 def igv_sites(variants: DataFrame) -> DataFrame:
@@ -162,12 +212,35 @@ def plink_map(markers: DataFrame) -> DataFrame:
     return markers.select("ord", F.concat_ws(" ", chrom(), "name", F.lit("0"), pos()).alias("line"))
 
 
+#: A part of an individual's line holds the markers of so many bases of a sequence, a power of ten.
+PART_DIGITS = 6
+
+
 def by_individual(markers: DataFrame, individuals: list[str], cells: Column, pieces: bool = False) -> DataFrame:
-    """(individual, k, cells): each individual's cells in marker order, as an array; with pieces, an array for each sequence (`chrom`)."""
+    """(individual, k, cells): each individual's cells in marker order, as an array.
+
+    pieces: as one array for each stretch of a sequence, with `part`, whose order is that of the markers. They are
+    formed anyhow, so that what is gathered is bounded until whole lines are asked for.
+    """
     names = F.array(*map(F.lit, individuals))
-    flat = markers.select("ord", "chrom", F.posexplode(cells).alias("k", "cell"))
-    rows = flat.groupBy("k", *["chrom"] * pieces).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "cell"))), lambda c: c["cell"]).alias("cells"))
-    return rows.select(F.element_at(names, F.col("k") + 1).alias("individual"), "k", *["chrom"] * pieces, "cells")
+    part = F.regexp_extract("ord", rf"^(.* \d{{{20 - PART_DIGITS}}})\d{{{PART_DIGITS}}} ", 1)  # the sequence and the place's leading digits
+    flat = markers.select("ord", part.alias("part"), F.posexplode(cells).alias("k", "cell"))
+    parts = flat.groupBy("k", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "cell"))), lambda c: c["cell"]).alias("cells"))
+    if not pieces:
+        parts = parts.groupBy("k").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "cells"))), lambda c: c["cells"])).alias("cells"))
+    return parts.select(F.element_at(names, F.col("k") + 1).alias("individual"), "k", *["part"] * pieces, "cells")
+
+
+def in_pieces(markers: DataFrame, individuals: list[str], cells: Column, head: Column, separator: str) -> DataFrame:
+    """(ord, part, text) of individual-oriented lines, for exports whose lines hold more than a row should: texts of an ord, by part, are its line.
+
+    head: what stands before the cells, over individual and k; it is the part before all others.
+    """
+    rows = by_individual(markers, individuals, cells, pieces=True)
+    key = F.lpad(F.col("k").cast("string"), 10, "0").alias("ord")
+    people = markers.sparkSession.createDataFrame(list(enumerate(individuals)), "k int, individual string")
+    first = people.select(key, F.lit("").alias("part"), head.alias("text"))
+    return first.unionAll(rows.select(key, F.concat(F.lit("p"), "part").alias("part"), F.concat(F.lit(separator), F.array_join("cells", separator)).alias("text")))
 
 
 def two_bases(missing: str) -> Column:
@@ -218,14 +291,30 @@ def metadata_lines(people: DataFrame, title: str, fields: tuple[str, ...] = ("po
     return headed(rows, *([title] if title else []), "\t".join(["", *fields]))
 
 
-def darwin_variables(markers: DataFrame, individuals: list[str], ploidy: int = 2, most_alleles: int = 10_000) -> DataFrame:
+def allele_numbers(markers: DataFrame) -> DataFrame:
+    """(allele, code): numbers in the sorted order of all alleles that occur, which need not fit one machine."""
+    alleles = markers.select(F.explode("alleles").alias("allele")).distinct().withColumn("head", F.substring("allele", 1, 3))
+    counts = alleles.groupBy("head").agg(F.count("*").alias("n"))  # a row for each three letters
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = counts.select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    return alleles.join(heads, "head").select("allele", (F.col("earlier") + F.row_number().over(Window.partitionBy("head").orderBy("allele")) - 1).alias("code"))
+
+
+def with_codes(markers: DataFrame) -> DataFrame:
+    """markers with `codes`, the numbers of their alleles."""
+    coded = markers.select("variant_id", F.posexplode("alleles").alias("k", "allele")).join(allele_numbers(markers), "allele")
+    codes = coded.groupBy("variant_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "code"))), lambda c: c["code"]).alias("codes"))
+    return markers.join(codes, "variant_id", "left")
+
+
+def darwin_variables(markers: DataFrame, individuals: list[str], ploidy: int = 2) -> DataFrame:
     """Alleles as numbers in the sorted order of all that occur, -1 where missing."""
-    known = [r["a"] for r in markers.select(F.explode("alleles").alias("a")).distinct().orderBy("a").limit(most_alleles + 1).collect()]
-    if len(known) > most_alleles:
-        raise ValueError(f"over {most_alleles} distinct alleles")
-    codes = F.create_map(*[x for k, a in enumerate(known) for x in (F.lit(a), F.lit(k))]) if known else F.create_map()
-    cells = F.transform(two_bases("."), lambda b: F.array_join(F.transform(F.slice(b, 1, ploidy), lambda a: F.coalesce(F.try_element_at(codes, a), F.lit(-1)).cast("string")), "\t"))
-    rows = numbered(by_individual(markers, individuals, cells), F.concat_ws("\t", (F.col("k") + 1).cast("string"), F.array_join("cells", "\t")))
+    def cell(g: Column) -> Column:
+        found = F.transform(allele_indexes(g), lambda i: F.try_element_at("codes", i + 1))
+        shown = F.transform(F.sequence(F.lit(0), F.lit(ploidy - 1)), lambda k: F.coalesce(F.get(found, k), F.get(found, F.lit(0)), F.lit(-1)).cast("string"))
+        return F.array_join(shown, "\t")
+
+    rows = numbered(by_individual(with_codes(markers), individuals, F.transform("gts", cell)), F.concat_ws("\t", (F.col("k") + 1).cast("string"), F.array_join("cells", "\t")))
     counts = markers.agg(F.concat_ws("\t", F.lit(len(individuals)), F.count("*") * ploidy).alias("line")).select(F.lit(" 0001").alias("ord"), "line")
     head = names_line(markers, ploidy).select(F.lit(" 0002").alias("ord"), F.concat(F.lit("N°"), "names").alias("line"))
     return headed(rows.unionAll(counts).unionAll(head), f"@DARwin 5.0 - ALLELIC - {ploidy}")
@@ -281,7 +370,7 @@ class Format:
             raise ValueError(f"{self.name} takes ploidy {self.ploidies}, not {ploidy}")
 
 
-_FIVE = ("SNP", "INDEL", "MIXED", "SYMBOLIC", "MNP")
+_FIVE = ("SNP", "MNP", "INDEL", "MIXED", "NO_VARIATION")
 FORMATS = {
     f.name: f
     for f in (
@@ -291,8 +380,3 @@ FORMATS = {
         Format("NEXUS", ("nxs", "map"), ("SNP",), (2,)), Format("JUKES-CANTOR", ("mtx", "nwk", "map"), ("SNP",), (2,)), Format("ASD", ("mtx", "nwk", "map"), ("SNP",), (2,)), Format("PCA", ("pca",), ("SNP",), (2,)),
     )
 }
-
-
-def register_format(one: Format) -> None:
-    """Add a format, or put it in the place of that with its name."""
-    FORMATS[one.name] = one

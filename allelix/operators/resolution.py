@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.genotypes import allele_indexes, natural_key, packed_code, unpacked_code
+
 CELL = ["variant_id", "individual", "population"]
 
 
@@ -13,8 +15,9 @@ def coherent(genotypes: DataFrame) -> DataFrame:
 
     Rows meet by variant, so that statistics by variant need no other shuffle.
     """
+    code = packed_code(F.col("gt"))
     cells = genotypes.where("gt is not null").repartition("variant_id").groupBy(*CELL)
-    return cells.agg(F.min("gt").alias("gt"), F.max("gt").alias("last")).where("gt = last").drop("last")
+    return cells.agg(F.min(code).alias("first"), F.max(code).alias("last")).where("first = last").select(*CELL, unpacked_code(F.col("first")).alias("gt"))
 
 
 def ranked(genotypes: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
@@ -39,8 +42,24 @@ def by_count_values(genotypes: DataFrame) -> DataFrame:
     return ranked(genotypes).select(*CELL, F.when(accepted, F.try_element_at(found, F.lit(1))["gt"]).alias("gt"), (F.size(found) > 1).alias("conflict"))
 
 
-def remarks(genotypes: DataFrame) -> DataFrame:
-    """A line for each cell with dissimilar genotypes."""
-    missing = F.when(F.col("gt").isNull(), "Exporting as missing data").otherwise(F.concat(F.lit("Exporting most frequent: "), "gt"))
-    line = F.concat(F.lit("- Dissimilar genotypes found for variant "), "variant_id", F.lit(", individual "), "individual", F.lit(". "), missing)
-    return majority(genotypes).where("conflict").select(line.alias("line"))
+def dissimilar(resolved: DataFrame, exported: Column | None = None) -> DataFrame:
+    """(ord, line) for each cell with dissimilar genotypes; resolved: cells with `name`, `ord` and the columns that `exported`, what a format writes, takes."""
+    best = F.lit("Exporting most frequent") if exported is None else F.concat(F.lit("Exporting most frequent: "), exported.cast("string"))
+    line = F.concat(F.lit("- Dissimilar genotypes found for variant "), "name", F.lit(", individual "), "individual", F.lit(". "), F.when(F.col("gt").isNull(), "Exporting as missing data").otherwise(best))
+    return resolved.where("conflict").select(_cell_order(), line.alias("line"))
+
+
+def many_alleles(resolved: DataFrame) -> DataFrame:
+    """(ord, line) for each called genotype of over two alleles."""
+    line = F.concat(F.lit("- More than 2 alleles found for variant "), "name", F.lit(", individual "), "individual", F.lit(". Exporting only the first 2 alleles."))
+    return resolved.where(F.size(allele_indexes(F.col("gt"))) > 2).select(_cell_order(), line.alias("line"))
+
+
+def multi_allelic(variants: DataFrame) -> DataFrame:
+    """(ord, line) for each variant (name, ord, alleles) with over two known alleles."""
+    line = F.concat(F.lit("- Variant "), "name", F.lit(" is multi-allelic. Make sure Eigenstrat genotype encoding specifications are suitable for you."))
+    return variants.where(F.size("alleles") > 2).select("ord", line.alias("line"))
+
+
+def _cell_order() -> Column:
+    return F.concat("ord", F.lit(" "), natural_key(F.col("individual"))).alias("ord")

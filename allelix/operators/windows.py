@@ -111,13 +111,15 @@ def fst(variants: DataFrame, resolved: DataFrame, bins: Bins, textbook: bool = F
 
 
 def tajima_d(variants: DataFrame, resolved: DataFrame, bins: Bins, n_individuals: int) -> DataFrame:
-    """(bin_start, segregating_sites, tajima_d): sites with exactly two alleles among the called; D is null without any."""
+    """(bin_start, segregating_sites, tajima_d): sites with exactly two alleles among the called; D is null without any, or without individuals."""
     called = resolved.where("gt is not null").select("variant_id", F.explode(allele_indexes(F.col("gt"))).alias("allele"))
     counts = called.groupBy("variant_id", "allele").agg(F.count("*").alias("n"))
     sites = counts.groupBy("variant_id").agg(F.count("*").alias("alleles"), F.max("n").alias("most"), F.sum("n").alias("all")).where("alleles = 2")
     k = F.col("most") / F.col("all") * (1 - F.col("most") / F.col("all"))
     found = bins.binned(variants).join(sites, "variant_id").groupBy("bin_start").agg(F.count("*").alias("s"), F.sum(k).alias("k"))
     n = 2 * n_individuals
+    if n < 2:
+        return bins.filled(found).select("bin_start", F.coalesce("s", F.lit(0)).alias("segregating_sites"), F.lit(None).cast("double").alias("tajima_d"))
     a1, a2 = sum(1 / i for i in range(1, n)), sum(1 / i**2 for i in range(1, n))
     b1, b2 = (n + 1) / (3 * (n - 1)), 2 * (n * n + n + 3) / (9 * n * (n - 1))
     c1, c2 = b1 - 1 / a1, b2 - (n + 2) / (a1 * n) + a2 / a1**2

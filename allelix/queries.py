@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.genotypes import alternate_count, natural_key
-from .operators import filters, formats, matrix, resolution, tree, windows
-from .plans.requests import PATTERNS, ChartRequest, Group, SearchRequest
+from .operators import exports, filters, formats, matrix, resolution, tree, windows
+from .plans import execution
+from .plans.requests import PATTERNS, ChartRequest, FieldPlotRequest, Group, SearchRequest
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +52,7 @@ PEOPLE_SQL = f"""people AS (SELECT individual, population, row_number() OVER (OR
 ORD_SQL = rf"coalesce({_natural('chrom')}, '~') || ' ' || lpad(CAST(coalesce(start_site, 0) AS VARCHAR), 20, '0') || ' ' || variant_id"
 #: One row for each marker and individual, with null genotypes where there are none.
 CELLS_SQL = MAJORITY_SQL + f""", {PEOPLE_SQL},
-    cells AS (SELECT v.*, {ORD_SQL.replace("variant_id", "v.variant_id")} AS ord, p.individual, p.population, p.k, m.gt, m.dp,
+    cells AS (SELECT v.*, {ORD_SQL.replace("variant_id", "v.variant_id")} AS ord, p.individual, p.population, p.k, m.gt, m.dp, coalesce(m.conflict, false) AS conflict,
                      CASE WHEN m.gt IS NOT NULL THEN v.alleles[CAST(split_part(m.gt, '/', 1) AS INT) + 1] END AS a1, CASE WHEN m.gt IS NOT NULL THEN v.alleles[CAST(split_part(m.gt, '/', 2) AS INT) + 1] END AS a2
               FROM variants v CROSS JOIN people p LEFT JOIN majority m ON m.variant_id = v.variant_id AND m.individual = p.individual)"""
 
@@ -79,7 +80,7 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n_individuals(spark: SparkSession, sf_dir: str) -> int:
-    return tables.genotypes(spark, sf_dir).select("individual").distinct().count()
+    return tables.individuals(spark, sf_dir).count()
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -225,15 +226,6 @@ def genotype_baypass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.by_count_values(tables.genotypes(spark, sf_dir))
 
 
-@query(
-    "SELECT '- Dissimilar genotypes found for variant ' || variant_id || ', individual ' || individual || '. ' || coalesce('Exporting most frequent: ' || gt, 'Exporting as missing data') AS line FROM majority WHERE conflict",
-    GENOTYPES_SQL,
-    MAJORITY_SQL,
-)
-def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolution.remarks(tables.genotypes(spark, sf_dir))
-
-
 # Statistics by window
 
 _CHART = (VARIANTS_SQL, GENOTYPES_SQL, COHERENT_SQL, CHART_SQL, SPINE_SQL)
@@ -310,7 +302,7 @@ def window_tajima_d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], dict[str, str]]:
     """Individuals with their populations, a bounded dimension: as a table, names in natural order, and by name."""
-    people = tables.genotypes(spark, sf_dir).select("individual", "population").distinct()
+    people = tables.individuals(spark, sf_dir)
     found = {r["individual"]: r["population"] for r in people.orderBy(natural_key(F.col("individual"))).collect()}
     return people, list(found), found
 
@@ -419,15 +411,36 @@ def gff3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.gff3(_markers(spark, sf_dir, names), names).select("line")
 
 
-@_marker_lines(
-    None,
-    f"{_PLACE.format(t=chr(9))} || '\t' || variant_id || '\t' || alleles[1] || '\t' || array_to_string(alleles[2:], ',') || '\t.\t.\t.\tGT:DP\t' || {_joined("coalesce(gt, './.') || ':' || coalesce(dp::VARCHAR, '.')")}",
+SITES_SQL = """sites AS (
+    SELECT variant_id, start_site % 400 / 4.0 AS qual, CASE start_site % 3 WHEN 0 THEN '.' WHEN 1 THEN 'PASS' ELSE 'LowQual;q10' END AS filters,
+           'AF=' || printf('%.3f', (start_site % 90 + 10) / 100.0) || CASE WHEN start_site % 2 = 0 THEN ';DB' ELSE '' END || CASE WHEN start_site % 5 > 0 THEN ';NS=' || (start_site % 20) ELSE '' END || ';SZ=' || (start_site % 7) || ',.' AS info
+    FROM variants WHERE start_site IS NOT NULL)"""
+
+
+def _vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs = tuple((f"chr{k}", 100_000 + k) for k in range(1, 5))
+    return exports.export(tables.dataset(spark, sf_dir, sites=tables.sites(spark, sf_dir), contigs=contigs, assembly="as1"), "VCF")["vcf"].select("line")
+
+
+@query(
+    f"SELECT {_PLACE.format(t=chr(9))} || '\t' || variant_id || '\t' || alleles[1] || '\t' || array_to_string(alleles[2:], ',') || '\t' || coalesce(any_value(regexp_replace(printf('%.2f', qual), '\\.00$', '')), '.') || '\t' || coalesce(any_value(filters), '.') "
+    f"|| '\t' || coalesce(any_value(info), '.') || '\tGT:DP\t' || {_joined("coalesce(gt, './.') || ':' || coalesce(dp::VARCHAR, '.')")} AS line FROM cells LEFT JOIN sites USING (variant_id) GROUP BY variant_id, type, chrom, start_site, end_site, alleles",
+    *_CELLS,
+    SITES_SQL,
 )
 def vcf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, names, _ = _people(spark, sf_dir)
-    found = resolution.majority(tables.genotypes(spark, sf_dir), ("dp",))
-    markers = formats.marker_table(tables.variants(spark, sf_dir), found, names)
-    return formats.vcf(markers, names, found, ("dp",)).where("not startswith(line, '#')").select("line")
+    return _vcf(spark, sf_dir).where("not startswith(line, '#')")
+
+
+@query(
+    f"""SELECT unnest(['##fileformat=VCFv4.1', '##FORMAT=<ID=DP,Number=1,Type=Float,Description="dp">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+        '##FILTER=<ID=LowQual,Description="LowQual">', '##FILTER=<ID=q10,Description="q10">', '##INFO=<ID=AF,Number=1,Type=Float,Description="AF">', '##INFO=<ID=DB,Number=0,Type=Flag,Description="DB">',
+        '##INFO=<ID=NS,Number=1,Type=Integer,Description="NS">', '##INFO=<ID=SZ,Number=.,Type=Integer,Description="SZ">', '##contig=<ID=chr1,length=100001,assembly=as1>', '##contig=<ID=chr2,length=100002,assembly=as1>',
+        '##contig=<ID=chr3,length=100003,assembly=as1>', '##contig=<ID=chr4,length=100004,assembly=as1>', '#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t' || {_NAMES}]) AS line""",
+    *_CELLS,
+)
+def vcf_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vcf(spark, sf_dir).where("startswith(line, '#')")
 
 
 @query("SELECT variant_id, variant_id || '\t' || array_to_string(alleles, '/') || '\t' || coalesce(chrom, '0') || '\t' || coalesce(start_site, 0) AS line FROM variants", VARIANTS_SQL)
@@ -438,7 +451,7 @@ def igv_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_marker_lines(
     None,
     f"variant_id || '\t' || array_to_string(alleles, '/') || '\t' || {_PLACE.format(t=chr(9))} || '\t' || {_joined("coalesce(gt, '')")}",
-    f"'rs#\talleles\tchrom\tpos\t' || {_NAMES}",
+    f"'variant\talleles\tchrom\tpos\t' || {_NAMES}",
 )
 def igv_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, names, _ = _people(spark, sf_dir)
@@ -589,7 +602,16 @@ def jukes_cantor_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_substituted(spark, sf_dir)[0].select("a", "b", "distance"), "distance")
 
 
-@query()
+_TEXT_SQL = f"""apart AS (SELECT a, b, avg(abs({_DOSE.format('x')} - {_DOSE.format('y')})) AS d FROM pairs GROUP BY a, b),
+    square AS (SELECT a, b, d FROM apart UNION ALL SELECT b, a, d FROM apart UNION ALL SELECT individual, individual, 0 FROM people)"""
+
+
+@query(
+    "SELECT chr(9) || count(*) AS line FROM people UNION ALL SELECT s.a || ' ' || string_agg(printf('%.6f', coalesce(s.d, 0)), ' ' ORDER BY p.k) FROM square s JOIN people p ON p.individual = s.b GROUP BY s.a",
+    *_CELLS,
+    _PAIRS_SQL,
+    _TEXT_SQL,
+)
 def asd_matrix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.matrix_text(*_shared(spark, sf_dir)).select("line")
 
@@ -629,3 +651,142 @@ def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pca_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     z, names = _standardized(spark, sf_dir)
     return matrix.pca_lines(*matrix.principal_components(z, names)).select("line")
+
+
+# Exports by name: the files beside the lines above
+
+#: Genotypes of which five individuals lack over half.
+SPARSE_SQL = GENOTYPES_SQL.replace("genotypes AS (", "every_genotype AS (", 1) + ", genotypes AS (SELECT * FROM every_genotype WHERE CAST(individual[4:] AS INT) < 15 OR CAST(variant_id[2:] AS INT) % 2 = 0)"
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = lambda c, at: F.substring(c, at, 20).cast("int")
+    return tables.genotypes(spark, sf_dir).where((number("individual", 4) < 15) | (number("variant_id", 2) % 2 == 0))
+
+
+_DIGIT = "CASE gt WHEN '0/0' THEN 2 WHEN '0/1' THEN 1 ELSE 0 END"
+_REMARK = "'- Dissimilar genotypes found for variant ' || variant_id || ', individual ' || individual || '. ' || CASE WHEN gt IS NULL THEN 'Exporting as missing data' ELSE {best} END"
+
+
+def _remarks(format: str, best: str, where: str = "true", sparse: bool = False, more: str = "", cells: tuple[str, ...] = ()) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = tables.dataset(spark, sf_dir, **({"genotypes": _sparse(spark, sf_dir)} if sparse else {}))
+        return exports.export(data, format)["REMARKS"].select("line")
+
+    run.__name__ = f"remarks_{format.lower().replace('-', '_')}"
+    query(f"SELECT {_REMARK.format(best=best)} AS line FROM cells WHERE conflict AND {where}{more}", *(cells or (VARIANTS_SQL, SPARSE_SQL if sparse else GENOTYPES_SQL, CELLS_SQL)))(run)
+
+
+_LEFT_OUT = " UNION ALL SELECT '- Excluding individual ' || individual || ' from {0} export, it has too much missing data: ' || m || '%' FROM (SELECT individual, CAST(floor(100.0 * count(*) FILTER (gt IS NULL) / count(*)) AS INT) AS m FROM cells WHERE type = 'SNP' GROUP BY individual) WHERE m > 50"
+_BEST = "'Exporting most frequent: ' || "
+_remarks("HAPMAP", _BEST + "CASE WHEN type = 'SNP' THEN a1 || a2 ELSE a1 || '/' || a2 END")
+_remarks("GFF3", _BEST + "a1 || '/' || a2")
+_remarks("EIGENSTRAT", _BEST + _DIGIT, "type = 'SNP'")
+_remarks("ASD", _BEST + _DIGIT, "type = 'SNP'", True, _LEFT_OUT.format("ASD"))
+_remarks("JUKES-CANTOR", _BEST + "a1 || a2", "type = 'SNP'", True, _LEFT_OUT.format("NJ"))
+_remarks(
+    "PCA", _BEST + _DIGIT, "type = 'SNP'", True,
+    " UNION ALL SELECT '- Excluding variant ' || variant_id || ' from PCA export, it has too much missing data: ' || CAST(floor(m) AS INT) || '%' FROM (SELECT variant_id, 100.0 * count(*) FILTER (gt IS NULL) / count(*) AS m FROM cells WHERE type = 'SNP' GROUP BY 1) WHERE m > 50",
+)
+_remarks(
+    "BAYPASS", "'Exporting most frequent'", cells=(
+        VARIANTS_SQL, GENOTYPES_SQL, COUNTED_SQL,
+        "cells AS (SELECT variant_id, individual, CASE WHEN len(found) = 1 OR len(list_distinct(list_transform(found, lambda x: x.n))) = 2 THEN found[1].gt END AS gt, len(found) > 1 AS conflict FROM listed JOIN variants USING (variant_id) WHERE type = 'SNP')",
+    ),
+)
+
+_KEPT_SQL = """kept AS (SELECT individual, row_number() OVER (ORDER BY k) - 1 AS k FROM (SELECT individual, any_value(k) AS k FROM cells WHERE type = 'SNP' GROUP BY individual HAVING floor(100.0 * count(*) FILTER (gt IS NULL) / count(*)) <= 50))"""
+
+
+@query(
+    "SELECT chr(9) || count(*) AS line FROM kept UNION ALL SELECT s.a || ' ' || string_agg(printf('%.6f', coalesce(s.d, 0)), ' ' ORDER BY p.k) FROM square s JOIN kept p ON p.individual = s.b JOIN kept q ON q.individual = s.a GROUP BY s.a",
+    VARIANTS_SQL, SPARSE_SQL, CELLS_SQL, _PAIRS_SQL, _TEXT_SQL, _KEPT_SQL,
+)
+def export_asd_mtx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the individuals that lack over half of the genotypes."""
+    return exports.export(tables.dataset(spark, sf_dir, genotypes=_sparse(spark, sf_dir)), "ASD")["mtx"].select("line")
+
+
+SYNONYMS_SQL = "named AS (SELECT *, CASE WHEN CAST(variant_id[2:] AS INT) % 3 = 0 THEN 'rs' || variant_id[2:] ELSE variant_id END AS name FROM variants)"
+
+
+@query("SELECT coalesce(chrom, '0') || ' ' || name || ' 0 ' || coalesce(start_site, 0) AS line FROM named WHERE type = 'SNP'", VARIANTS_SQL, SYNONYMS_SQL)
+def export_fasta_map_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.export(tables.dataset(spark, sf_dir, synonyms=tables.synonyms(spark, sf_dir)), "FASTA")["map"].select("line")
+
+
+@_individual_lines(f"population || ' ' || individual || ' 0 0 0 U ' || {_row("CASE WHEN gt IS NULL THEN '0 0' ELSE a1 || ' ' || a2 END", "' '")}", where="chrom IN ('chr1', 'chr2')")
+def export_ped_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the lines, joined here to be compared."""
+    pieces = exports.export(tables.dataset(spark, sf_dir), "PLINK", SearchRequest(sequences=("chr1", "chr2")))["ped"]
+    return pieces.groupBy("ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("line")).select("line")
+
+
+@query(
+    "SELECT coalesce(chrom, '0') || chr(9) || greatest(coalesce(start_site, 0) - 1, 0) || chr(9) || (CASE WHEN start_site IS NULL THEN 0 ELSE start_site - 1 + length(alleles[1]) - 1 END) || chr(9) || variant_id || chr(9) || '0' || chr(9) || '+' AS line FROM variants",
+    VARIANTS_SQL,
+)
+def bed_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.export(tables.dataset(spark, sf_dir, variant_runs=tables.annotations(spark, sf_dir)), "BED")["bed"].select("line")
+
+
+@query(
+    "SELECT variant_id || chr(9) || chrom || ':' || start_site || chr(9) || CASE WHEN start_site % 2 = 0 THEN 'geneA' ELSE 'geneB' END || chr(9) || CASE WHEN type = 'INDEL' THEN 'frameshift_variant' ELSE 'missense_variant' END || chr(9) AS line "
+    "FROM variants WHERE chrom IS NOT NULL UNION ALL SELECT '#Uploaded_variation' || chr(9) || 'Location' || chr(9) || 'Gene' || chr(9) || 'Consequence' || chr(9) || 'Feature'",
+    VARIANTS_SQL,
+)
+def export_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.export(tables.dataset(spark, sf_dir, variant_runs=tables.annotations(spark, sf_dir)), "BED")["ann"].select("line")
+
+
+# Requests carried out: groups, samples
+
+_TWO = (Group("north", tuple(f"ind{k}" for k in range(6))), Group("south", tuple(f"ind{k}" for k in range(4, 10))))
+_GROUPED = ChartRequest(groups=_TWO, sequences=("chr1", "chr2"), displayed_sequence="chr1", range_min=1, range_max=100_000, intervals=20)
+_IN_TWO = "genotypes AS (SELECT * FROM every_genotype WHERE CAST(individual[4:] AS INT) < 10)"
+_TWO_SQL = (VARIANTS_SQL, GENOTYPES_SQL.replace("genotypes AS (", "every_genotype AS (", 1), _IN_TWO, COHERENT_SQL, CHART_SQL, SPINE_SQL)
+_SAMPLES = (VARIANTS_SQL, GENOTYPES_SQL.replace("genotypes AS (", "every_genotype AS (", 1), "genotypes AS (SELECT * REPLACE (individual || '_' || run_name AS individual) FROM every_genotype)", COHERENT_SQL, CHART_SQL, SPINE_SQL)
+
+
+def _chart(name: str, statistic: str, of: str, parts: tuple[str, ...], request: ChartRequest, samples: bool = False) -> None:
+    """A chart whose SQL is that of the plain query `of` over other genotypes."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = execution.chart(tables.dataset(spark, sf_dir), request, statistic, samples)
+        return rounded(found, *[c for c, kind in found.dtypes if kind == "double"])
+
+    run.__name__ = name
+    query(ORACLE_SQL[of].removeprefix(f"WITH {', '.join(_CHART)}"), *parts)(run)
+
+
+for _statistic, _of in (("maf", "window_maf"), ("missing", "window_missing"), ("heterozygosity", "window_heterozygosity"), ("tajima_d", "window_tajima_d")):
+    _chart(f"chart_groups_{_statistic}", _statistic, _of, _TWO_SQL, _GROUPED)
+    _chart(f"chart_samples_{_statistic}", _statistic, _of, _SAMPLES, CHART, True)
+_BY_GROUP = """resolved AS (SELECT variant_id, individual, g.name AS population, gt FROM agreed JOIN (VALUES ('north', 0, 5), ('south', 4, 9)) g(name, a, b) ON CAST(individual[4:] AS INT) BETWEEN g.a AND g.b)"""
+_chart("chart_groups_fst", "fst", "window_fst", (*_TWO_SQL[:3], COHERENT_SQL.replace("resolved AS (", "agreed AS (", 1), _BY_GROUP, CHART_SQL, SPINE_SQL), _GROUPED)
+
+
+@query(
+    "SELECT bin_start, CAST(CASE WHEN count(dp) > 0 THEN floor(sum(dp) / count(dp)) ELSE 0 END AS BIGINT) AS mean FROM spine LEFT JOIN (SELECT variant_id, CAST(1 + least(floor((start_site - 1) / 5000), 19) * 5000 AS BIGINT) AS bin_start FROM variants "
+    "WHERE chrom = 'chr1' AND start_site BETWEEN 1 AND 100000) USING (bin_start) LEFT JOIN genotypes USING (variant_id) GROUP BY bin_start",
+    VARIANTS_SQL, *_TWO_SQL[1:3], SPINE_SQL,
+)
+def chart_groups_field_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = FieldPlotRequest(groups=_TWO, displayed_sequence="chr1", range_min=1, range_max=100_000, intervals=20, vcf_field="dp")
+    return execution.chart(tables.dataset(spark, sf_dir), request, "field_mean")
+
+
+_FIVE_EACH = tuple(tuple(f"ind{k}" for k in ks) for ks in (range(5), range(5, 10)))
+
+
+@query(
+    "SELECT variant_id, type, chrom, start_site FROM variants JOIN one a USING (variant_id) JOIN other b USING (variant_id) WHERE type = 'SNP' AND chrom = 'chr2' AND least(a.f, 100 - a.f) BETWEEN 10 AND 50 AND b.n_distinct > 1 AND a.mode <> b.mode",
+    VARIANTS_SQL,
+    GENOTYPES_SQL,
+    COHERENT_SQL,
+    STATS_SQL.replace("stats AS", "one AS").format(cells="(SELECT * FROM resolved WHERE individual IN ('ind0', 'ind1', 'ind2', 'ind3', 'ind4'))"),
+    STATS_SQL.replace("stats AS", "other AS").format(cells="(SELECT * FROM resolved WHERE individual IN ('ind5', 'ind6', 'ind7', 'ind8', 'ind9'))"),
+)
+def search_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = (Group("a", _FIVE_EACH[0], maf=(10, 50)), Group("b", _FIVE_EACH[1], pattern="Not all the same", discriminate=0))
+    return _plain(execution.selected_variants(tables.dataset(spark, sf_dir), SearchRequest(variant_types=("SNP",), sequences=("chr2",), groups=groups)))

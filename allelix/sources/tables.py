@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .dataset import Dataset
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +40,46 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(individual, population), a row each, without reading genotypes."""
+    found = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("ind")).distinct()
+    return found.selectExpr("concat('ind', cast(ind as string)) AS individual", "concat('pop', cast(ind % 3 as string)) AS population")
+
+
+def callsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(callset_id, sample_id, individual): each individual has a sample for each run."""
+    found = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("ind"), (F.col("l_linenumber") % 2 + 1).alias("run")).distinct()
+    return found.selectExpr("cast(ind * 2 + run as int) AS callset_id", "concat('ind', cast(ind as string), '_run', cast(run as string)) AS sample_id", "concat('ind', cast(ind as string)) AS individual")
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(variant_id, qual, filters, info) of the placed variants: not filtered, passed, or with two filters; some with a flag."""
+    placed = variants(spark, sf_dir).where("start_site is not null")
+    return placed.selectExpr(
+        "variant_id", "cast(start_site % 400 / 4.0D as double) AS qual",
+        "CASE start_site % 3 WHEN 0 THEN cast(null as array<string>) WHEN 1 THEN cast(array() as array<string>) ELSE array('q10', 'LowQual') END AS filters",
+        "named_struct('AF', cast((start_site % 90 + 10) / 100.0D as double), 'DB', start_site % 2 = 0, 'NS', cast(CASE WHEN start_site % 5 > 0 THEN start_site % 20 END as int), 'SZ', array(cast(start_site % 7 as int), cast(null as int))) AS info",
+    )
+
+
+def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(variant_id, synonym) of every third variant."""
+    return read(spark, sf_dir, "part").where("p_partkey % 3 = 0").selectExpr("concat('v', cast(p_partkey as string)) AS variant_id", "concat('rs', cast(p_partkey as string)) AS synonym")
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(variant_id, info) of the variants: an annotation each, of a gene and an effect."""
+    return variants(spark, sf_dir).selectExpr(
+        "variant_id", "map('ANN', concat_ws('|', 'G', CASE WHEN type = 'INDEL' THEN 'frameshift_variant' ELSE 'missense_variant' END, 'HIGH', CASE WHEN start_site % 2 = 0 THEN 'geneA' ELSE 'geneB' END)) AS info"
+    )
+
+
+def dataset(spark: SparkSession, sf_dir: str, **more) -> Dataset:
+    """All of the above as one project; more: what else it has, or has in another form."""
+    found = {"variants": variants(spark, sf_dir), "genotypes": genotypes(spark, sf_dir), "people": individuals(spark, sf_dir), "callsets": callsets(spark, sf_dir)}
+    return Dataset(**(found | more))
+
+
 def eigenstrat_genotypes(lines: DataFrame, individuals: list[str]) -> DataFrame:
     """(marker, individual, dosage) of lines (marker, line) with a character for each individual: reference alleles 0, 1 or 2, 9 is missing (null).
 

@@ -242,7 +242,12 @@ def test_pieces_by_sequence(spark, four):
     v, c = four
     names = list("abcd")
     rows = formats.by_individual(formats.marker_table(v, c, names), names, F.col("gts"), pieces=True).collect()
-    assert {(r.individual, r.chrom): r.cells for r in rows}[("b", "1")] == ["0/1", "0/0", "0/0"]
+    assert [r.cells for r in rows if r.individual == "b"] == [["0/1", "0/0", "0/0"]]
+    whole = formats.by_individual(formats.marker_table(v, c, names), names, F.col("gts")).collect()
+    assert {r.individual: r.cells for r in whole}["b"] == ["0/1", "0/0", "0/0"]
+    far = v.withColumn("start_site", F.when(F.col("variant_id") == "V2", 20_000_005).otherwise(F.col("start_site")))
+    pieces = formats.in_pieces(formats.marker_table(far, c, names), names, F.col("gts"), F.col("individual"), " ").orderBy("ord", "part").collect()
+    assert ["".join(r.text for r in pieces if r.ord.endswith(str(k))) for k in range(4)] == ["a 0/0 0/0 0/0", "b 0/1 0/0 0/0", "c 1/1 0/0 0/1", "d NULL 0/0 0/1".replace("NULL ", "")]
 
 
 def test_online_tools():
