@@ -11,17 +11,17 @@ from __future__ import annotations
 
 import json
 import zlib
-from array import array
 from collections.abc import Iterator
-from operator import concat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, sub_batches
+from .common import Scratch
 from .tokens import UNSURE, UnitCache, load_tokenizer
 
 
@@ -83,7 +83,9 @@ def places(plan: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARKS = ".,;:!?"
 #: Letters before which and after which a tokenizer cuts marks off, and which don't change by their neighbours.
-LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha())
+LETTERS = pa.array([c for c in map(chr, range(0x250)) if c.isalpha()])
+#: Stands between words that are encoded together.
+BETWEEN, TOGETHER = ";", 128
 
 
 def cuts_at_marks(tokenizer) -> bool:
@@ -96,69 +98,123 @@ def cuts_at_marks(tokenizer) -> bool:
     return "Lowercase" in steps and {*steps} <= {"NFC", "Replace", "Lowercase"} and first.get("type") == "Split" and first.get("pattern") == {"Regex": CUT}
 
 
-def heads_and_marks(words: list[str]) -> tuple[list[str], list[str]]:
+def heads_and_marks(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     """What words are encoded as: without the marks at their ends, lower-cased where that is sure, and those marks."""
-    heads, marks = [], []
-    for word in words:
-        head = word.rstrip(MARKS)
-        if head is word or not head or head[-1] not in LETTERS:
-            head = word
-        marks.append(word[len(head) :])
-        heads.append(head.lower() if head.isascii() and head.isalpha() else head)
-    return heads, marks
+    head = pc.utf8_rtrim(words, characters=MARKS)
+    cut = pc.and_(pc.less(pc.binary_length(head), pc.binary_length(words)), pc.is_in(pc.utf8_slice_codeunits(head, start=-1), value_set=LETTERS))
+    marks = pc.if_else(cut, pc.struct_field(pc.extract_regex(words, f"(?P<marks>[{MARKS}]*)$"), "marks"), "")
+    head = pc.if_else(cut, head, words)
+    return pc.if_else(pc.ascii_is_alpha(head), pc.ascii_lower(head), head), marks
 
 
-class UnitIds:
-    """Ids of texts by their white-space separated words, as bytes, four little-endian ones an id.
+class WordIds:
+    """Ids of texts by their white-space separated words.
 
     Holds for tokenizers that drop white space and never join over it, such as word_bpe_49k.json. Of a tokenizer that
-    cuts_at_marks, words are encoded in parts, so that a word costs once however it is written and whatever mark follows.
+    cuts_at_marks, words are encoded in two parts, so that a word costs once however it is written and whatever mark
+    follows. What is known of words is kept as bytes, four little-endian ones an id.
     """
 
-    def __init__(self, tokenizer, most: int = 400_000):
-        def encode(words: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-        def encode_parts(words: list[str]) -> list[bytes]:
-            heads, marks = heads_and_marks(words)
-            ids = parts.lookup([heads, marks])
-            return list(map(concat, map(ids, heads), map(ids, marks)))
-
-        parts = UnitCache(encode, most)
-        self.cache = UnitCache(encode_parts if cuts_at_marks(tokenizer) else encode, most)
-
-    def joined(self, texts: list[str], end: bytes) -> list[bytes]:
-        split = [[text] if UNSURE.search(text) else text.split() for text in texts]
-        ids = self.cache.lookup(split)
-        return [b"".join([*map(ids, words), end]) for words in split]
+    def __init__(self, tokenizer, end_id: int, most: int = 400_000):
+        self.tokenizer, self.end_id, self.cuts = tokenizer, end_id, cuts_at_marks(tokenizer)
+        self.between = tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.cache = UnitCache(self.encode, most)
+
+    def encode_alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; words without white space go together, with a mark between that is one id."""
+        if len(self.between) != 1:
+            return self.encode_alone(words)
+        out: list[bytes] = []
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            at = np.flatnonzero(ids == self.between[0])
+            if len(at) != len(group) - 1:  # a word holds that id itself
+                out += self.encode_alone(group)
+                continue
+            data, ends = ids.tobytes(), [*(at * 4).tolist(), 4 * len(ids)]
+            out += [data[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
+        return out
+
+    def pool(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some words one after the other, and where each word's begin and how many they are."""
+        listed = words.to_pylist()
+        found = list(map(self.cache.lookup([listed]), listed))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, sizes
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, each with the end id, and how many each has."""
+        unsure = np.flatnonzero(pc.match_substring_regex(texts, UNSURE.pattern).to_numpy(zero_copy_only=False))
+        out, at = [], 0
+        for k in [*unsure.tolist(), len(texts)]:
+            if k > at:
+                out.append(self.of_sure_texts(texts.slice(at, k - at)))
+            if k < len(texts):
+                ids = self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids
+                out.append((np.array([*ids, self.end_id], "<u4"), np.array([len(ids) + 1])))
+            at = k + 1
+        flat, sizes = zip(*out, strict=True)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def of_sure_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.utf8_split_whitespace(texts)
+        offsets, coded = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+        distinct, which = coded.dictionary, coded.indices.to_numpy()
+        heads, marks = (x.dictionary_encode() for x in (heads_and_marks(distinct) if self.cuts else (distinct, pa.array([""] * len(distinct), pa.string()))))
+        (ids, starts, sizes), (more, more_starts, more_sizes) = self.pool(heads.dictionary), self.pool(marks.dictionary)
+        head, mark = heads.indices.to_numpy()[which], marks.indices.to_numpy()[which]
+        # each word is two stretches of the pool, and each text ends with the end id
+        ends = 2 * (offsets[1:] - offsets[0]) + np.arange(len(texts))
+        begin, length = np.empty(2 * len(which) + len(texts), np.int64), np.empty(2 * len(which) + len(texts), np.int64)
+        of_words = np.ones(len(begin), bool)
+        of_words[ends] = False
+        begin[of_words] = np.column_stack([starts[head], len(ids) + more_starts[mark]]).ravel()
+        length[of_words] = np.column_stack([sizes[head], more_sizes[mark]]).ravel()
+        begin[ends], length[ends] = len(ids) + len(more), 1
+        total = np.cumsum(length)
+        flat = np.concatenate([ids, more, np.array([self.end_id], "<u4")])[np.repeat(begin - (total - length), length) + np.arange(total[-1])]
+        return flat, np.diff(total[ends], prepend=0)
 
 
 def cut_documents(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, doc_id: str, text: str, keep_ids: bool) -> DataFrame:
     """Pieces of at most `capacity` ids, each with its rank among its task's pieces of the same length."""
-    end = np.array([end_id], "<u4").tobytes()
-    ids_type = ", ids array<int>" if keep_ids else ""
+    kind, names = df.schema[doc_id].dataType.simpleString(), ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank", *["ids"] * keep_ids]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, ranks, task = UnitIds(load_tokenizer(tokenizer_path)), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ranks, task = WordIds(load_tokenizer(tokenizer_path), end_id), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            names, k = batch["doc_id"], 0
-            for texts in sub_batches(batch["text"], 1_000_000):
-                rows = []
-                for data in words.joined(texts, end):
-                    n = len(data) // 4
-                    for start in range(0, n, capacity):
-                        part = data[4 * start : 4 * (start + capacity)]
-                        size = len(part) // 4
-                        row = (k, start, size, zlib.crc32(part), n, task, int(ranks[size]))
-                        rows.append((*row, np.frombuffer(part, "<u4").astype("int32")) if keep_ids else row)
-                        ranks[size] += 1
-                    k += 1
-                out = pd.DataFrame(rows, columns=["k", "start", "length", "ids_crc32", "doc_tokens", "task", "rank", *["ids"] * keep_ids])
-                out.insert(0, "doc_id", names.array.take(out["k"].to_numpy()))
-                yield out.drop(columns="k")
-
-    named = df.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    return named.mapInPandas(cut, f"doc_id string, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long{ids_type}").withColumn("doc_id", F.col("doc_id").cast(df.schema[doc_id].dataType))
+            texts = pc.fill_null(batch.column(1), "")
+            for low, high in runs_of(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+                flat, sizes = words.of_texts(texts.slice(low, high - low))
+                n = -(-sizes // capacity)  # every document has a piece, since it has an end
+                doc = np.repeat(np.arange(len(sizes)), n)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * capacity
+                length = np.minimum(sizes[doc] - start, capacity)
+                ends = np.cumsum(length)
+                rank, crc = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+                for k, (a, b, size) in enumerate(zip((ends - length).tolist(), ends.tolist(), length.tolist(), strict=True)):
+                    crc[k], rank[k] = zlib.crc32(flat[a:b]), ranks[size]
+                    ranks[size] += 1
+                columns = [batch.column(0).take(pa.array(low + doc)), *map(pa.array, (start, length, crc, sizes[doc], np.full(len(doc), task, np.int32), rank))]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long" + ", ids array<int>" * keep_ids
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+
+
+def runs_of(sizes: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to at most so much, or of one row."""
+    low, total = 0, np.cumsum(sizes)
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, "right")))
+        yield low, high
+        low = high
 
 
 def pack_documents(
