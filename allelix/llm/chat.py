@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -47,7 +48,14 @@ def maximal_conversations(turns: DataFrame, scratch: Scratch) -> DataFrame:
     prefixes = scratch.write(ordered.mapInArrow(chain, f"prefix binary, conv_id {kind}, n_turns int, last boolean"), "prefixes")
     whole = prefixes.where("last").groupBy("prefix").agg(F.min("conv_id").alias("conv_id"), F.first("n_turns").alias("n_turns"))
     begun = prefixes.where("not last").select("prefix").distinct()
-    return scratch.write(whole.join(begun, "prefix", "left_anti").select("conv_id", "n_turns"), "maximal conversations")
+    return whole.join(begun, "prefix", "left_anti").select("conv_id", "n_turns")
+
+
+def escaped(text: Column, marker: str) -> Column:
+    """text with a backslash more in each place that reads as the marker, so that only markers do; taking one away gives it back."""
+    first, rest = re.escape(marker[0]), re.escape(marker[1:])
+    quoted = lambda s: s.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(text, rf"{first}(\\*){rest}", f"{quoted(marker[0])}\\\\$1{quoted(marker[1:])}")
 
 
 def format_chats(df: DataFrame, scratch: Scratch | None = None, before: str = "<|", between: str = "|>\n", after: str = "\n") -> DataFrame:
@@ -57,14 +65,20 @@ def format_chats(df: DataFrame, scratch: Scratch | None = None, before: str = "<
     texts count as empty, a null turn comes first, repeated rows count once, rows with equal turn are ordered by a
     digest of what they say. Rows without conv_id belong to no conversation and go. A conversation whose turns all begin a longer one goes; of equal
     ones the smallest conv_id stays. Prefixes are equal if 128-bit digests are. A turn is rendered as before + role +
-    between + text + after.
+    between + text + after. So that no text can pose as a turn, `<|` in texts and roles is written `<\\|`, and `|>` in
+    roles `|\\>` (of what already has backslashes there, with one more). An empty table gives no rows; texts of any length
+    stay whole, as long as a conversation fits one string.
     """
+    if min(len(before.strip()), len(between.strip())) < 2:
+        raise ValueError("markers need two characters")
     scratch = scratch or Scratch(df.sparkSession)
     turns = df.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     said = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))
     turns = turns.withColumn("said", said)
-    kept = maximal_conversations(turns, scratch)
-    shown = F.concat(F.lit(before), "role", F.lit(between), "text", F.lit(after))
+    with Scratch(df.sparkSession) as own:
+        kept = scratch.write(maximal_conversations(turns, own), "maximal conversations")
+    role = escaped(escaped(F.col("role"), before.strip()), between.strip())
+    shown = F.concat(F.lit(before), role, F.lit(between), escaped(F.col("text"), before.strip()), F.lit(after))
     parts = turns.join(kept, "conv_id").select("conv_id", "n_turns", F.struct("turn", "said", shown.alias("shown")).alias("part"))
     texts = parts.groupBy("conv_id").agg(F.first("n_turns").cast("long").alias("n_turns"), F.sort_array(F.collect_set("part")).alias("parts"))
     return texts.select("conv_id", "n_turns", F.array_join(F.transform("parts", lambda p: p["shown"]), "").alias("rendered"))

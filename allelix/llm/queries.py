@@ -102,7 +102,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH said AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
         whole AS MATERIALIZED (
             SELECT conv_id, count(*) AS n_turns, list(md5(role || '/' || text) ORDER BY turn) AS turns,
-                   string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) AS rendered FROM said GROUP BY conv_id),
+                   string_agg('<|' || regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') || '|>' || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || chr(10), '' ORDER BY turn) AS rendered FROM said GROUP BY conv_id),
         prefixes AS (SELECT DISTINCT array_to_string(turns[1:k], ',') AS p FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM whole))
         SELECT min(conv_id) AS conv_id, CAST(any_value(n_turns) AS BIGINT) AS n_turns, any_value(rendered) AS rendered
         FROM whole WHERE array_to_string(turns, ',') NOT IN (SELECT p FROM prefixes) GROUP BY turns""",
