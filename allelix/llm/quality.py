@@ -30,8 +30,9 @@ class LineRules:
     #: A boilerplate phrase fails a line of at most so many words; of a longer one, its sentence of at most so many goes.
     phrase_line_words: int = 30
     phrase_sentence_words: int = 60
-    #: Punctuation: a line of so many words needs an end mark, if it has no mark within.
-    open_words: int = 40
+    #: Punctuation: a line of so many words needs an end mark, at its end or after a sentence within; of over long_words, any mark within will do.
+    open_words: int = 12
+    long_words: int = 60
     #: Documents lose at most so much of their words' characters.
     most_lost: float = 0.4
 
@@ -41,16 +42,25 @@ MARK = re.compile(r"[#*$%&<>]|!!|\?\?")
 END = re.compile(r"""[.!?…:;。！？]["'”’»)\]]*\s*$""")
 SENTENCE_END = re.compile(r"""(?<=[.!?…])["'”’»)\]]*\s+|(?<=[。！？])""")
 INNER = re.compile(r"[.!?,;:…]")
-#: Fixed phrases of licences, notices and site furniture.
+SENTENCE = re.compile(r"""[.!?…:;]["'”’»)\]]*\s|[。！？]""")
+#: Fixed phrases of licences, notices and site furniture, in English, French, German and Spanish.
 BOILERPLATE = re.compile(
     r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses cookies|accept (?:all )?cookies|enable javascript|lorem ipsum|"
-    r"licen[sc]ed under the|released under the .{1,40} licen[sc]e|click here|sign up for|subscribe to our|share (?:this|on) ",
-    re.IGNORECASE | re.ASCII,
+    r"licen[sc]ed under the|released under the .{1,40} licen[sc]e|click here|sign up for|subscribe to our|share (?:this|on) |"
+    r"tous droits r[ée]serv[ée]s|conditions (?:g[ée]n[ée]rales )?d['’]utilisation|politique de (?:confidentialit[ée]|cookies)|mentions l[ée]gales|accepter (?:tous )?les cookies|sous licence |cliquez ici|inscrivez-vous|abonnez-vous|partager sur |"
+    r"alle rechte vorbehalten|nutzungsbedingungen|datenschutzerkl[äa]rung|cookie-richtlinie|cookies akzeptieren|lizenziert unter|hier klicken|klicken sie hier|jetzt anmelden|newsletter abonnieren|auf facebook teilen|"
+    r"todos los derechos reservados|(?:t[ée]rminos|condiciones) de (?:uso|servicio)|pol[íi]tica de (?:privacidad|cookies)|aviso legal|aceptar (?:todas )?las cookies|bajo (?:la )?licencia|haga clic aqu[íi]|haz clic aqu[íi]|reg[íi]strate|suscr[íi]bete|compartir en ",
+    re.IGNORECASE,
 )
 #: What a match of a pattern holds at least (of BOILERPLATE in lower case), so that most texts needn't be searched by it.
 SEPARATOR_PARTS = ("|", "»", "›", "•", "·", " > ", " - ")
 MARK_PARTS = ("#", "*", "$", "%", "&", "<", ">", "!!", "??")
-BOILERPLATE_PARTS = ("rights reserved", "terms of", "policy", "cookies", "javascript", "lorem", "under the", "click here", "sign up", "subscribe to", "share ")
+BOILERPLATE_PARTS = (
+    "rights reserved", "terms of", "policy", "cookies", "javascript", "lorem", "under the", "click here", "sign up", "subscribe to", "share ",
+    "droits r", "utilisation", "politique de", "mentions l", "sous licence", "cliquez", "inscrivez-", "abonnez-", "partager sur",
+    "rechte vorbehalten", "nutzungsbedingungen", "datenschutzerkl", "cookie-", "lizenziert", "hier klicken", "klicken sie", "jetzt anmelden", "newsletter", "facebook",
+    "derechos reservados", "minos de", "condiciones de", "tica de ", "aviso legal", "licencia", "clic aqu", "strate", "bete", "compartir en",
+)
 LOWER = b"abcdefghijklmnopqrstuvwxyz"
 
 
@@ -94,7 +104,7 @@ def failed_rule(line: str, rules: LineRules, can: Hopeful = Hopeful()) -> str |
         return "boilerplate"
     if can.boilerplate and len(words) <= rules.phrase_line_words and BOILERPLATE.search(line):
         return "boilerplate"
-    if len(words) >= rules.open_words and not INNER.search(line) and not END.search(line):
+    if len(words) >= rules.open_words and not (INNER if len(words) > rules.long_words else SENTENCE).search(line) and not END.search(line):
         return "punctuation"
     return None
 
