@@ -73,6 +73,11 @@ def unpacked_code(code: Column) -> Column:
     return F.translate(F.hex(code), CODE_DIGITS, CODE_CHARACTERS)
 
 
+def callset_of(id_: Column, separator: str = "§") -> Column:
+    """The last part of an id that names project, individual and callset."""
+    return F.substring_index(id_, separator, -1)
+
+
 def vcf_double(x: Column) -> Column:
     """Two decimals from 1 on, three from 0.01 on, else (also below 0) three in exponent form; 0.00 below 1e-20 in size; . if null."""
     return F.when(x.isNull(), ".").when(x >= 1, F.format_string("%.2f", x)).when(x >= 0.01, F.format_string("%.3f", x)).when(F.abs(x) < 1e-20, "0.00").otherwise(F.format_string("%.3e", x))

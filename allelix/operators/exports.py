@@ -107,30 +107,47 @@ def _plink(e: Export) -> dict[str, DataFrame]:
     known = F.array(*[F.lit(e.chosen.populations.get(i) or ".") for i in e.names])
     head = F.concat_ws(" ", F.get(known, F.col("k")), "individual", F.lit("0 0 0 U"))
     cells = F.transform(formats.two_bases("0"), lambda b: F.array_join(b, " "))
-    return {"ped": formats.in_pieces(e.markers, e.names, cells, head, " "), **e.map(), **e.remarks(_text("/", ""), resolution.many_alleles(e.cells(e.resolved)))}
+    return {"ped": _pieces(e, cells, head, " "), **e.map(), **e.remarks(_text("/", ""), resolution.many_alleles(e.cells(e.resolved)))}
+
+
+def _pieces(e: Export, cells: Column, head: Column, separator: str, markers: DataFrame | None = None) -> DataFrame:
+    return formats.in_pieces(e.markers if markers is None else markers, e.names, cells, head, separator)
+
+
+def _first(e: Export, *lines: str) -> DataFrame:
+    """Lines before all others, as pieces."""
+    return e.data.variants.sparkSession.createDataFrame([(f" {k:04d}", "", line) for k, line in enumerate(lines)], "ord string, part string, text string")
 
 
 def _flapjack(e: Export) -> dict[str, DataFrame]:
-    return {
-        "genotype": formats.flapjack_genotypes(e.markers, e.names), "map": formats.flapjack_map(e.sites), "phenotype": formats.metadata_lines(e.people, "# fjFile = PHENOTYPE"), **e.remarks(_text("/", "")),
-    }
+    rows = _pieces(e, formats.flapjack_cells(), F.col("individual"), "\t")
+    genotype = _first(e, "# fjFile = GENOTYPE").unionAll(formats.names_in_pieces(e.sites, 1, " 0001", "")).unionAll(rows)
+    return {"genotype": genotype, "map": formats.flapjack_map(e.sites), "phenotype": formats.metadata_lines(e.people, "# fjFile = PHENOTYPE"), **e.remarks(_text("/", ""))}
+
+
+def _darwin(e: Export, ploidy: int = 2) -> dict[str, DataFrame]:
+    rows = _pieces(e, formats.darwin_cells(ploidy), (F.col("k") + 1).cast("string"), "\t", formats.with_codes(e.markers))
+    size = e.sites.agg(F.concat_ws("\t", F.lit(len(e.names)), F.count("*") * ploidy).alias("text")).select(F.lit(" 0001").alias("ord"), F.lit("").alias("part"), "text")
+    var = _first(e, f"@DARwin 5.0 - ALLELIC - {ploidy}").unionAll(size).unionAll(formats.names_in_pieces(e.sites, ploidy, " 0002", "N°")).unionAll(rows)
+    return {"var": var, "don": formats.darwin_individuals(e.people, e.names), **e.remarks(_text("/", ""))}
 
 
-def _darwin(e: Export) -> dict[str, DataFrame]:
-    return {"var": formats.darwin_variables(e.markers, e.names), "don": formats.darwin_individuals(e.people, e.names), **e.remarks(_text("/", ""))}
+def _alignment(e: Export, missing: str, head: Column) -> DataFrame:
+    return _pieces(e, F.transform(formats.two_bases(missing), lambda b: F.array_join(b, "")), head, "")
 
 
 def _fasta(e: Export) -> dict[str, DataFrame]:
-    head = F.concat(F.lit(">"), "individual", F.lit("\n"))
-    return {"fasta": formats.in_pieces(e.markers, e.names, F.transform(formats.two_bases("-"), lambda b: F.array_join(b, "")), head, ""), **e.map(), **e.remarks(_text("/", ""))}
+    return {"fasta": _alignment(e, "-", F.concat(F.lit(">"), "individual", F.lit("\n"))), **e.map(), **e.remarks(_text("/", ""))}
 
 
 def _phylip(e: Export) -> dict[str, DataFrame]:
-    return {"phy": formats.phylip(e.markers, e.names), **e.map(), **e.remarks(_text("/", ""))}
+    head = formats.line_pieces(formats.phylip_head(e.sites, e.names))
+    return {"phy": head.unionAll(_alignment(e, "?", F.concat("individual", F.lit("\t")))), **e.map(), **e.remarks(_text("/", ""))}
 
 
 def _nexus(e: Export) -> dict[str, DataFrame]:
-    return {"nxs": formats.nexus(e.markers, e.names), **e.map(), **e.remarks(_text("/", ""))}
+    frame = formats.line_pieces(formats.nexus_frame(e.sites, e.names))
+    return {"nxs": frame.unionAll(_alignment(e, "?", F.concat("individual", F.lit("\t")))), **e.map(), **e.remarks(_text("/", ""))}
 
 
 def _distances(kind: str, measure: Callable[[DataFrame, list[str]], DataFrame]) -> Callable[[Export], dict[str, DataFrame]]:

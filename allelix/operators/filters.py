@@ -143,6 +143,11 @@ def discriminate(genotypes: DataFrame, one: Group, other: Group) -> DataFrame:
     return a.join(b, "variant_id").where("a <> b").select("variant_id")
 
 
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of one of two tables of the same columns that the other lacks."""
+    return a.subtract(b).unionAll(b.subtract(a))
+
+
 def marker_order(variants: DataFrame) -> DataFrame:
     """By sequence in natural order, then start and id; unplaced variants last."""
     return variants.orderBy(natural_key(F.col("chrom")).asc_nulls_last(), F.col("start_site").asc_nulls_last(), "variant_id")

@@ -216,6 +216,11 @@ def plink_map(markers: DataFrame) -> DataFrame:
 PART_DIGITS = 6
 
 
+def marker_part() -> Column:
+    """The sequence and the leading digits of the place, whose order is that of the markers."""
+    return F.regexp_extract("ord", rf"^(.* \d{{{20 - PART_DIGITS}}})\d{{{PART_DIGITS}}} ", 1)
+
+
 def by_individual(markers: DataFrame, individuals: list[str], cells: Column, pieces: bool = False) -> DataFrame:
     """(individual, k, cells): each individual's cells in marker order, as an array.
 
@@ -223,8 +228,7 @@ def by_individual(markers: DataFrame, individuals: list[str], cells: Column, pie
     formed anyhow, so that what is gathered is bounded until whole lines are asked for.
     """
     names = F.array(*map(F.lit, individuals))
-    part = F.regexp_extract("ord", rf"^(.* \d{{{20 - PART_DIGITS}}})\d{{{PART_DIGITS}}} ", 1)  # the sequence and the place's leading digits
-    flat = markers.select("ord", part.alias("part"), F.posexplode(cells).alias("k", "cell"))
+    flat = markers.select("ord", marker_part().alias("part"), F.posexplode(cells).alias("k", "cell"))
     parts = flat.groupBy("k", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "cell"))), lambda c: c["cell"]).alias("cells"))
     if not pieces:
         parts = parts.groupBy("k").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "cells"))), lambda c: c["cells"])).alias("cells"))
@@ -275,12 +279,29 @@ def names_line(markers: DataFrame, copies: int = 1) -> DataFrame:
     return markers.agg(F.concat(F.lit("\t"), F.array_join(F.flatten(F.transform(ordered, repeated)), "\t")).alias("names"))
 
 
-def flapjack_genotypes(markers: DataFrame, individuals: list[str]) -> DataFrame:
+def names_in_pieces(markers: DataFrame, copies: int, ord: str, head: str) -> DataFrame:
+    """names_line after `head` as pieces (ord, part, text), each of the markers of a stretch of a sequence."""
+    names = markers.select("ord", marker_part().alias("part"), F.array_join(F.array_repeat("name", copies), "\t").alias("name"))
+    parts = names.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("names"))
+    texts = parts.select(F.lit(ord).alias("ord"), F.concat(F.lit("p"), "part").alias("part"), F.concat(F.lit("\t"), F.array_join(F.transform("names", lambda n: n["name"]), "\t")).alias("text"))
+    return markers.sparkSession.createDataFrame([(ord, "", head)], "ord string, part string, text string").unionAll(texts)
+
+
+def line_pieces(lines: DataFrame) -> DataFrame:
+    """Short lines as pieces."""
+    return lines.select("ord", F.lit("").alias("part"), F.col("line").alias("text"))
+
+
+def flapjack_cells() -> Column:
     """Homozygotes as one allele, - where missing."""
     def cell(b: Column) -> Column:
         return F.when(b[0] == "-", "-").when(b[0] == b[1], b[0]).otherwise(F.concat(b[0], F.lit("/"), b[1]))
 
-    rows = numbered(by_individual(markers, individuals, F.transform(two_bases("-"), cell)), F.concat_ws("\t", "individual", F.array_join("cells", "\t")))
+    return F.transform(two_bases("-"), cell)
+
+
+def flapjack_genotypes(markers: DataFrame, individuals: list[str]) -> DataFrame:
+    rows = numbered(by_individual(markers, individuals, flapjack_cells()), F.concat_ws("\t", "individual", F.array_join("cells", "\t")))
     head = names_line(markers).select(F.lit(" 0001").alias("ord"), F.col("names").alias("line"))
     return headed(rows.unionAll(head), "# fjFile = GENOTYPE")
 
@@ -307,14 +328,18 @@ def with_codes(markers: DataFrame) -> DataFrame:
     return markers.join(codes, "variant_id", "left")
 
 
-def darwin_variables(markers: DataFrame, individuals: list[str], ploidy: int = 2) -> DataFrame:
-    """Alleles as numbers in the sorted order of all that occur, -1 where missing."""
+def darwin_cells(ploidy: int) -> Column:
+    """Alleles as numbers in the sorted order of all that occur, -1 where missing; over with_codes."""
     def cell(g: Column) -> Column:
         found = F.transform(allele_indexes(g), lambda i: F.try_element_at("codes", i + 1))
         shown = F.transform(F.sequence(F.lit(0), F.lit(ploidy - 1)), lambda k: F.coalesce(F.get(found, k), F.get(found, F.lit(0)), F.lit(-1)).cast("string"))
         return F.array_join(shown, "\t")
 
-    rows = numbered(by_individual(with_codes(markers), individuals, F.transform("gts", cell)), F.concat_ws("\t", (F.col("k") + 1).cast("string"), F.array_join("cells", "\t")))
+    return F.transform("gts", cell)
+
+
+def darwin_variables(markers: DataFrame, individuals: list[str], ploidy: int = 2) -> DataFrame:
+    rows = numbered(by_individual(with_codes(markers), individuals, darwin_cells(ploidy)), F.concat_ws("\t", (F.col("k") + 1).cast("string"), F.array_join("cells", "\t")))
     counts = markers.agg(F.concat_ws("\t", F.lit(len(individuals)), F.count("*") * ploidy).alias("line")).select(F.lit(" 0001").alias("ord"), "line")
     head = names_line(markers, ploidy).select(F.lit(" 0002").alias("ord"), F.concat(F.lit("N°"), "names").alias("line"))
     return headed(rows.unionAll(counts).unionAll(head), f"@DARwin 5.0 - ALLELIC - {ploidy}")
@@ -340,17 +365,23 @@ def _site_count(markers: DataFrame, line: Callable[[Column], Column], ord: str)
     return markers.where("type = 'SNP'").agg(F.count("*").alias("n")).select(F.lit(ord).alias("ord"), line((2 * F.col("n")).cast("string")).alias("line"))
 
 
+def phylip_head(markers: DataFrame, individuals: list[str]) -> DataFrame:
+    return _site_count(markers, lambda n: F.concat_ws(" ", F.lit(len(individuals)), n), " 0000")
+
+
 def phylip(markers: DataFrame, individuals: list[str]) -> DataFrame:
-    head = _site_count(markers, lambda n: F.concat_ws(" ", F.lit(len(individuals)), n), " 0000")
-    return head.unionAll(numbered(sequences(markers, individuals, "?"), F.concat_ws("\t", "individual", "sequence")))
+    return phylip_head(markers, individuals).unionAll(numbered(sequences(markers, individuals, "?"), F.concat_ws("\t", "individual", "sequence")))
 
 
-def nexus(markers: DataFrame, individuals: list[str]) -> DataFrame:
+def nexus_frame(markers: DataFrame, individuals: list[str]) -> DataFrame:
+    """What stands before and after the matrix."""
     dimensions = _site_count(markers, lambda n: F.concat(F.lit(f"dimensions ntax={len(individuals)} nchar="), n, F.lit(";")), " 0000a")
-    rows = numbered(sequences(markers, individuals, "?"), F.concat_ws("\t", "individual", "sequence"))
-    spark = markers.sparkSession
-    head = spark.createDataFrame([(" 0000", "#NEXUS\nbegin data;"), (" 0001", "format datatype=dna missing=? gap=-;\nmatrix"), ("~", ";\nend;")], "ord string, line string")
-    return head.unionAll(dimensions).unionAll(rows)
+    head = [(" 0000", "#NEXUS\nbegin data;"), (" 0001", "format datatype=dna missing=? gap=-;\nmatrix"), ("~", ";\nend;")]
+    return markers.sparkSession.createDataFrame(head, "ord string, line string").unionAll(dimensions)
+
+
+def nexus(markers: DataFrame, individuals: list[str]) -> DataFrame:
+    return nexus_frame(markers, individuals).unionAll(numbered(sequences(markers, individuals, "?"), F.concat_ws("\t", "individual", "sequence")))
 
 
 @dataclass(frozen=True)

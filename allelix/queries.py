@@ -204,6 +204,12 @@ def discriminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.discriminate(tables.genotypes(spark, sf_dir), one, other)
 
 
+@query("SELECT individual FROM people WHERE population IN ('pop0', 'pop1')", GENOTYPES_SQL, PEOPLE_SQL)
+def individuals_of_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = tables.individuals(spark, sf_dir)
+    return filters.symmetric_difference(people.where("population <> 'pop0'").select("individual"), people.where("population <> 'pop1'").select("individual"))
+
+
 # Resolution
 
 

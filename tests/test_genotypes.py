@@ -2,17 +2,21 @@
 
 import gzip
 import io
+import re
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from allelix import queries
 from allelix.functions import genotypes as g
 from allelix.functions import text
-from allelix.operators import filters, formats, matrix, resolution, tree, windows
+from allelix.operators import exports, filters, formats, matrix, resolution, tree, windows
+from allelix.plans import execution, progress
 from allelix.plans.requests import ChartRequest, Group, SearchRequest
 from allelix.sources import archive, tables
+from allelix.sources.dataset import Dataset
 
 
 def cells(spark, **by_variant):
@@ -256,3 +260,193 @@ def test_online_tools():
     assert tool.formats == ("FLAPJACK", "PLINK")
     assert text.expand_url(tool.url, ["http://f/a.genotype"]) == "http://x/?g=http://f/a.genotype&y=1"
     assert text.expand_url("http://x/{vcf}", ["a.ped"]) is None
+
+
+def test_codes_are_packed_and_unpacked(spark):
+    codes = ["0/1", "1", "10/11/12/13", "0|1", "./.", "0/0/0/0/0/0/0/1", None]
+    df = spark.createDataFrame([(c,) for c in codes], "gt string")
+    found = df.select("gt", g.packed_code(F.col("gt")).alias("n"), g.unpacked_code(g.packed_code(F.col("gt"))).alias("back")).collect()
+    assert [r.back for r in found] == codes
+    assert len({r.n for r in found}) == len(codes)
+    with pytest.raises(Exception, match="not a genotype code"):
+        spark.createDataFrame([("A/B",)], "gt string").select(g.packed_code(F.col("gt"))).collect()
+
+
+def test_marker_tables_are_filled_by_place(spark):
+    names = [f"i{k}" for k in range(6)]
+    rows = [("V", "i1", "0/0"), ("V", "i4", None), ("V", "i5", "1/1"), ("W", "i0", "0/1"), *[("X", n, "0/0") for n in names], ("Y", "unknown", "0/0")]
+    found = {r.variant_id: r.gts for r in matrix.dense(spark.createDataFrame(rows, "variant_id string, individual string, gt string"), names).collect()}
+    assert found == {"V": [None, "0/0", None, None, None, "1/1"], "W": ["0/1", *[None] * 5], "X": ["0/0"] * 6}
+
+
+def test_variant_types_of_formats(spark):
+    types = ("SNP", "MNP", "INDEL", "MIXED", "SYMBOLIC", "NO_VARIATION")
+    df = spark.createDataFrame([(t,) for t in types], "type string")
+    taken = {name: {r.type for r in kind.accepts(df).collect()} for name, kind in formats.FORMATS.items()}
+    assert taken["HAPMAP"] == taken["PLINK"] == {"SNP", "MNP", "INDEL", "MIXED", "NO_VARIATION"}
+    assert taken["BAYPASS"] == {"SNP", "NO_VARIATION"}
+    for name in ("EIGENSTRAT", "FASTA", "PHYLIP", "NEXUS", "JUKES-CANTOR", "ASD", "PCA"):
+        assert taken[name] == {"SNP"}
+    for name in ("BED", "GFF3", "VCF", "VCF.gz", "FLAPJACK", "DARwin"):
+        assert taken[name] == set(types)
+
+
+def test_statistics_without_individuals(four):
+    v, c = (df.limit(0) for df in four)
+    assert value(windows.tajima_d(v, c, BINS, 0), "tajima_d") is None
+
+
+def test_vcf_values(spark):
+    df = spark.createDataFrame([(1.5, [1, None], True, "x"), (None, [], False, None)], "d double, l array<int>, f boolean, s string")
+    found = df.select(*[g.vcf_value(F.col(c), df.schema[c].dataType).alias(c) for c in df.columns]).collect()
+    assert [tuple(r) for r in found] == [("1.50", "1,.", "", "x"), (".", ".", None, ".")]
+    below = spark.createDataFrame([(-0.5,), (1.0,), (0.01,)], "x double").select(g.vcf_double(F.col("x"))).collect()
+    assert [r[0] for r in below] == ["-5.000e-01", "1.00", "0.010"]
+    sites = spark.createDataFrame([("V", None, None, None)], "variant_id string, qual double, filters array<string>, info struct<A:int>")
+    markers = formats.marker_table(placed(spark, "V"), cells(spark, V=["0/1", None]), ["a", "b"])
+    depth = spark.createDataFrame([("V", "a", 3)], "variant_id string, individual string, ad int")
+    lines = formats.vcf(markers, ["a", "b"], depth, ("ad",), sites=sites, numbers={"ad": 2}).orderBy("ord").collect()
+    assert lines[-1].line.split("\t") == ["1", "5", "V", "A", "G", ".", ".", ".", "GT:AD", "0/1:3", "./.:.,."]
+    assert spark.range(1).select(g.callset_of(F.lit("p§ind§7"))).first()[0] == "7"
+
+
+def dataset_of(spark, four, **more):
+    v, c = four
+    genotypes = c.withColumns({"project_id": F.lit(1), "run_name": F.lit("r"), "callset_id": F.ascii("individual")})
+    people = spark.createDataFrame([(i, "p") for i in "abcd"], "individual string, population string")
+    return Dataset(**({"variants": v, "genotypes": genotypes, "people": people} | more))
+
+
+def text_of(files, kind):
+    return b"".join(archive.lines_of(files[kind])).decode()
+
+
+def test_exports_by_name(spark, four, tmp_path):
+    data = dataset_of(spark, four)
+    kinds = {"HAPMAP": {"hapmap"}, "EIGENSTRAT": {"eigenstratgeno", "snp", "ind"}, "BAYPASS": {"baypass", "popnames", "_snp.code"}, "BED": {"bed"}, "GFF3": {"gff3"}, "VCF": {"vcf"}, "VCF.gz": {"vcf.gz"}, "PLINK": {"ped", "map"}}
+    kinds |= {"FLAPJACK": {"genotype", "map", "phenotype"}, "DARwin": {"var", "don"}, "FASTA": {"fasta", "map"}, "PHYLIP": {"phy", "map"}, "NEXUS": {"nxs", "map"}, "PCA": {"pca"}}
+    kinds |= {name: {"mtx", "nwk", "map"} for name in ("JUKES-CANTOR", "ASD")}
+    made = {name: exports.export(data, name) for name in kinds}
+    assert {name: set(files) - {"REMARKS"} for name, files in made.items()} == kinds
+    assert text_of(made["PLINK"], "ped") == "p a 0 0 0 U A A A A A A\np b 0 0 0 U A G A A A A\np c 0 0 0 U G G A G A A\np d 0 0 0 U 0 0 A G A A\n"
+    assert text_of(made["PHYLIP"], "phy") == "4 6\na\tAAAAAA\nb\tAGAAAA\nc\tGGAGAA\nd\t??AGAA\n"
+    assert text_of(made["FASTA"], "fasta").splitlines()[-2:] == [">d", "--AGAA"]
+    assert text_of(made["FLAPJACK"], "genotype") == "# fjFile = GENOTYPE\n\tV1\tV2\tV3\na\tA\tA\tA\nb\tA/G\tA\tA\nc\tG\tA/G\tA\nd\t-\tA/G\tA\n"
+    assert text_of(made["DARwin"], "var") == "@DARwin 5.0 - ALLELIC - 2\n4\t6\nN°\tV1\tV1\tV2\tV2\tV3\tV3\n1\t0\t0\t0\t0\t0\t0\n2\t0\t1\t0\t0\t0\t0\n3\t1\t1\t0\t1\t0\t0\n4\t-1\t-1\t0\t1\t0\t0\n"
+    assert text_of(made["NEXUS"], "nxs").startswith("#NEXUS\nbegin data;\ndimensions ntax=4 nchar=6;\nformat datatype=dna missing=? gap=-;\nmatrix\na\tAAAAAA\n")
+    assert text_of(made["NEXUS"], "nxs").endswith("d\t??AGAA\n;\nend;\n")
+    path = str(tmp_path / "x.zip")
+    archive.write_export(path, made["PLINK"], "mine")
+    with zipfile.ZipFile(path) as z:
+        assert set(z.namelist()) == {"mine.ped", "mine.map"}
+    with pytest.raises(ValueError, match="ploidy"):
+        exports.export(data, "PLINK", ploidy=4)
+
+
+def test_individuals_with_too_little_data(spark, four):
+    v, _ = four
+    few = cells(spark, V1=["0/0", "0/1", None], V2=["0/0", "1/1", None], V3=["0/1", "0/1", "0/0"])
+    data = dataset_of(spark, (v, few), people=spark.createDataFrame([(i, "p") for i in "abc"], "individual string, population string"))
+    files = exports.export(data, "ASD")
+    assert text_of(files, "REMARKS") == "- Excluding individual c from ASD export, it has too much missing data: 66%\n"
+    assert text_of(files, "mtx").splitlines()[0] == "\t2"
+    assert text_of(files, "nwk") == "(a:0.5,b:0.5);\n"
+    with pytest.raises(ValueError, match="Not enough individuals"):
+        exports.export(dataset_of(spark, (v, few.where("individual <> 'a'"))), "ASD")
+
+
+def test_registered_formats_take_the_place_of_others(spark, four):
+    old, writer = formats.FORMATS["BED"], exports.WRITERS["BED"]
+    try:
+        exports.register_format(formats.Format("BED", ("bed",), ("INDEL",)), lambda e: {"bed": formats.bed(e.sites)})
+        assert exports.export(dataset_of(spark, four), "BED")["bed"].count() == 0
+    finally:
+        exports.register_format(old, writer)
+
+
+def test_thresholds_of_a_group_hold_for_its_individuals(spark):
+    df = spark.createDataFrame([("V", "a", "0/0", 5), ("V", "b", "0/0", 5), ("V", "c", "0/1", 20)], "variant_id string, individual string, gt string, dp int")
+    found = execution.with_thresholds(df, (Group(individuals=("a", "c"), field_thresholds={"dp": 10}), Group(individuals=("b",))))
+    assert {r.individual: r.gt for r in found.collect()} == {"a": None, "b": "0/0", "c": "0/1"}
+    found = execution.with_thresholds(df, (Group(field_thresholds={"dp": 10}),))
+    assert [r.gt for r in found.orderBy("individual").collect()] == [None, None, "0/1"]
+
+
+def test_groups_are_stopped_and_watched(spark):
+    with progress.job_group(spark, "mine", "a count"):
+        assert spark.range(100).repartition(4).count() == 100
+    assert 0 < progress.progress(spark, "mine") <= 1
+    with pytest.raises(KeyError), progress.job_group(spark, "other", "an error"):
+        raise KeyError
+    assert progress.progress(spark, "other") == 0
+    progress.abort(spark, "other")
+
+
+def textbook_joining(names, d):
+    """Neighbour joining by dictionaries: the splits and lengths of all branches but the last."""
+    d = {(a, b): d[i][j] for i, a in enumerate(names) for j, b in enumerate(names)}
+    nodes, out = [(n,) for n in names], {}
+    d = {((a,), (b,)): x for (a, b), x in d.items()}
+    while len(nodes) > 2:
+        n, total = len(nodes), {a: sum(d[a, b] for b in nodes) for a in nodes}
+        a, b = min(((a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :]), key=lambda p: (n - 2) * d[p] - total[p[0]] - total[p[1]])
+        out[frozenset(a)] = (d[a, b] + (total[a] - total[b]) / (n - 2)) / 2
+        out[frozenset(b)] = d[a, b] - out[frozenset(a)]
+        new = a + b
+        for c in nodes:
+            if c not in (a, b):
+                d[new, c] = d[c, new] = (d[a, c] + d[b, c] - d[a, b]) / 2
+        d[new, new] = 0
+        nodes = [c for c in nodes if c not in (a, b)] + [new]
+    return out
+
+
+def branches_of(newick):
+    """Splits and lengths of a tree's branches."""
+    out, stack, at = {}, [[]], 0
+    text = newick.rstrip(";")
+    while at < len(text):
+        if text[at] == "(":
+            stack.append([])
+            at += 1
+        elif text[at] == ",":
+            at += 1
+        else:
+            leaves = [c for group in stack.pop() for c in group] if text[at] == ")" else None
+            at += text[at] == ")"
+            m = re.match(r"([^:,()]*)(?::([-0-9.e]+))?", text[at:])
+            at += m.end()
+            leaves = leaves if leaves is not None else [m[1]]
+            if m[2] is not None:
+                out[frozenset(leaves)] = float(m[2])
+            stack[-1].append(leaves)
+    return out
+
+
+def test_tree_of_the_tables_is_the_textbook_tree(spark):
+    sf = "/root/testdata/sf0.001"
+    pairs = queries.QUERIES["asd_matrix"](spark, sf).collect()
+    names = sorted({r.a for r in pairs} | {r.b for r in pairs}, key=lambda n: int(n[3:]))
+    d = [[0.0] * len(names) for _ in names]
+    for r in pairs:
+        d[names.index(r.a)][names.index(r.b)] = d[names.index(r.b)][names.index(r.a)] = r.distance
+    found = branches_of(queries.QUERIES["nj_newick"](spark, sf).first()["newick"])
+    for split, length in textbook_joining(names, d).items():
+        if length > 1e-3 and frozenset(names) - split not in found:
+            assert found[split] == pytest.approx(length, abs=1e-3)
+
+
+def test_scores_of_the_tables_are_those_of_the_gram_matrix(spark):
+    sf = "/root/testdata/sf0.001"
+    gram = {(r.i, r.j): r.product for r in queries.QUERIES["pca_gram"](spark, sf).collect()}
+    n = max(j for _, j in gram) + 1
+    g_ = np.array([[gram[min(i, j), max(i, j)] for j in range(n)] for i in range(n)])
+    rows = queries.QUERIES["pca_scores"](spark, sf).collect()
+    names = sorted({r.individual for r in rows}, key=lambda x: int(x[3:]))
+    s = np.zeros((n, n))
+    for r in rows:
+        s[names.index(r.individual), r.component - 1] = r.score
+    assert np.allclose(s @ s.T, g_, atol=1e-2)  # all components are kept here
+    assert np.allclose(g_ @ s, s * (s**2).sum(0), atol=1e-1)
+    head = next(r.line for r in queries.QUERIES["pca_lines"](spark, sf).collect() if r.line.startswith("#eigvals"))
+    assert np.allclose([float(x) for x in head.split("\t")[1:]], np.sort(np.linalg.eigvalsh(g_))[::-1] / (n - 1), atol=1e-3)
