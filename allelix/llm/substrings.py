@@ -124,16 +124,14 @@ def stretch_rows(size: int) -> Callable:
                     found.append((c1, c2, np.full(len(begin), k - 1), near[begin] << TAG_BITS | tags[k - 1], length))
             if found:
                 c1, c2, doc, ref, length = map(np.concatenate, zip(*found, strict=True))
-                rows = pa.table({"c1": c1, "c2": c2, "doc_id": batch.column(0).take(pa.array(doc)), "ref": ref})
-                order = pc.sort_indices(rows, [(c, "ascending") for c in rows.column_names]).to_numpy()
-                c1, c2, doc, ref, length = (x[order] for x in (c1, c2, doc, ref, length))
-                opens = np.append(True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
-                leader = np.maximum.accumulate(np.where(opens, np.arange(len(c1)), 0))
-                names = batch.column(0).take(pa.array(doc))
-                same_doc = pc.equal(names, names.take(pa.array(leader))).to_numpy(zero_copy_only=False)
-                later = ~(same_doc & (ref >> TAG_BITS == ref[leader] >> TAG_BITS))
+                rank = pc.rank(batch.column(0), tiebreaker="dense").to_numpy().astype(np.int64)[doc]
+                order = np.lexsort((ref, rank, c2, c1))
+                opens = np.append(True, (c1[order[1:]] != c1[order[:-1]]) | (c2[order[1:]] != c2[order[:-1]]))
+                leader = np.empty(len(order), np.int64)  # rows stay in their order: neighbours share most bytes
+                leader[order] = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
+                later = (rank != rank[leader]) | (ref >> TAG_BITS != ref[leader] >> TAG_BITS)
                 c1 = np.where(later, mixed(c1 ^ (doc.astype(np.uint64) << np.uint64(40)) ^ ref.astype(np.uint64)), c1)
-                length = np.where(later, -length, length).astype(np.int32)
+                length, names = np.where(later, -length, length).astype(np.int32), batch.column(0).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), names, pa.array(ref), pa.array(length)], ["c1", "c2", "doc_id", "ref", "length"])
 
     return run
@@ -160,9 +158,9 @@ def passage_rows(size: int) -> Callable:
                 h1, h2, doc, ref = map(np.concatenate, zip(*found, strict=True))
                 rank = pc.rank(batch.column(0), tiebreaker="dense").to_numpy().astype(np.int64)[doc]
                 order = np.lexsort((ref >> TAG_BITS, rank, h2, h1))
-                h1, h2, doc, ref, rank = (x[order] for x in (h1, h2, doc, ref, rank))
-                opens = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
-                leader = np.maximum.accumulate(np.where(opens, np.arange(len(h1)), 0))
+                opens = np.append(True, (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]]))
+                leader = np.empty(len(order), np.int64)  # rows stay in their order: neighbours share most bytes
+                leader[order] = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
                 later = (rank != rank[leader]) | (ref >> TAG_BITS != ref[leader] >> TAG_BITS)
                 h1 = np.where(later, mixed(h1.view(np.uint64) ^ (doc.astype(np.uint64) << np.uint64(40)) ^ ref.astype(np.uint64)).view(np.int64), h1)
                 h2 = np.where(later, -1, h2).astype(np.int32)
