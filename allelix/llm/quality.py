@@ -57,9 +57,9 @@ SEPARATOR_PARTS = ("|", "»", "›", "•", "·", " > ", " - ")
 MARK_PARTS = ("#", "*", "$", "%", "&", "<", ">", "!!", "??")
 BOILERPLATE_PARTS = (
     "rights reserved", "terms of", "policy", "cookies", "javascript", "lorem", "under the", "click here", "sign up", "subscribe to", "share ",
-    "droits r", "utilisation", "politique de", "mentions l", "sous licence", "cliquez", "inscrivez-", "abonnez-", "partager sur",
-    "rechte vorbehalten", "nutzungsbedingungen", "datenschutzerkl", "cookie-", "lizenziert", "hier klicken", "klicken sie", "jetzt anmelden", "newsletter", "facebook",
-    "derechos reservados", "minos de", "condiciones de", "tica de ", "aviso legal", "licencia", "clic aqu", "strate", "bete", "compartir en",
+    "droits r", "utilisation", "politique de", "mentions l", "sous licence", "cliquez ici", "inscrivez-vous", "abonnez-vous", "partager sur",
+    "rechte vorbehalten", "nutzungsbedingungen", "datenschutzerkl", "cookie-richtlinie", "lizenziert unter", "hier klicken", "klicken sie hier", "jetzt anmelden", "newsletter abonnieren", "facebook teilen",
+    "derechos reservados", "terminos de", "t\u00e9rminos de", "condiciones de", "politica de", "pol\u00edtica de", "aviso legal", "licencia", "clic aqu", "gistrate", "g\u00edstrate", "scribete", "scr\u00edbete", "compartir en",
 )
 LOWER = b"abcdefghijklmnopqrstuvwxyz"
 

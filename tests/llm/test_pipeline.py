@@ -70,7 +70,7 @@ def test_odd_documents(spark):
         for r in stage:
             assert list(r.asDict()) == docs.columns
             assert {k: r[k] for k in own} == own
-            assert (r.lang, r.source, r.n_chars) == {1: ("en", None, None), None: ("en", "s", 1)}[r.doc_id]
+            assert (r.lang, r.source, r.n_chars) == {1: ("en", None, None), None: ("en", "s", 1), 4: (None, "s", 7)}[r.doc_id]
     assert sorted((r.doc_id for r in stages[-1]), key=repr) == [1, None]
     assert {r.doc_id for r in packed} == {1, None}
     assert all(not stage for stage in staged(spark, docs.limit(0), SF))
