@@ -480,7 +480,7 @@ def cleaned_by_force(text):
 
 def test_every_phrase_is_hoped_for():
     phrases = """All Rights Reserved;Terms of Use;terms of service;Privacy policy;cookie policy;uses cookies;accept all cookies;enable JavaScript;Lorem ipsum;licensed under the;Released under the MIT license;click here;sign up for;
-        subscribe to our;share this;Share on ;TOUS DROITS RÉSERVÉS;tous droits reserves;conditions d'utilisation;conditions générales d’utilisation;politique de confidentialité;politique de cookies;mentions légales;accepter les cookies;
+        subscribe to our;share this page;Share on ;TOUS DROITS RÉSERVÉS;tous droits reserves;conditions d'utilisation;conditions générales d’utilisation;politique de confidentialité;politique de cookies;mentions légales;accepter les cookies;
         sous licence ;Cliquez ici;inscrivez-vous;abonnez-vous;partager sur ;Alle Rechte vorbehalten;Nutzungsbedingungen;Datenschutzerklärung;Cookie-Richtlinie;Cookies akzeptieren;lizenziert unter;hier klicken;klicken Sie hier;
         jetzt anmelden;Newsletter abonnieren;auf Facebook teilen;todos los derechos reservados;términos de uso;terminos de servicio;condiciones de uso;política de privacidad;politica de cookies;aviso legal;aceptar las cookies;
         bajo la licencia;bajo licencia;haga clic aquí;haz clic aqui;REGÍSTRATE;registrate;suscríbete;suscribete;compartir en """
