@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genotypes import natural_key, reference_code
+from ..functions.text import expand_url, parse_online_tool
 from ..plans.execution import Selection, selection
 from ..plans.requests import SearchRequest
 from ..sources.dataset import Dataset
@@ -198,6 +199,13 @@ def annotation_lines(data: Dataset, variants: DataFrame) -> DataFrame:
     return formats.headed(one.select(F.concat("ord", F.lit(" "), F.lpad(F.col("k").cast("string"), 6, "0")).alias("ord"), line.alias("line")), "#Uploaded_variation\tLocation\tGene\tConsequence\tFeature")
 
 
+def tool_urls(settings: list[str], format: str, files: list[str]) -> dict[str, str]:
+    """Of online tools (settings as parse_online_tool takes them), label to URL of those that take a format and find what they need among an export's files."""
+    tools = [t for t in map(parse_online_tool, settings) if not t.formats or format in t.formats]
+    found = {t.label: expand_url(t.url, files) for t in tools}
+    return {label: url for label, url in found.items() if url is not None}
+
+
 def register_format(kind: formats.Format, files: Callable[[Export], dict[str, DataFrame]]) -> None:
     """Add a format with its writer, or put it in the place of that with its name."""
     formats.FORMATS[kind.name] = kind

@@ -260,6 +260,8 @@ def test_online_tools():
     assert tool.formats == ("FLAPJACK", "PLINK")
     assert text.expand_url(tool.url, ["http://f/a.genotype"]) == "http://x/?g=http://f/a.genotype&y=1"
     assert text.expand_url("http://x/{vcf}", ["a.ped"]) is None
+    settings = ["Viewer;http://x/?m={map};PLINK", "Other;http://y/?v={vcf};VCF", "All;http://z/{ped}"]
+    assert exports.tool_urls(settings, "PLINK", ["http://f/a.ped", "http://f/a.map"]) == {"Viewer": "http://x/?m=http://f/a.map", "All": "http://z/http://f/a.ped"}
 
 
 def test_codes_are_packed_and_unpacked(spark):
