@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontam, near_dups, packing, quality, secret_scan, substrings, tokens, urls, warc
+from . import audit, chat, decontam, fim, near_dups, packing, quality, secret_scan, substrings, tokens, urls, warc
 from .common import table
 
 #: (host, path, verdict)
@@ -59,8 +60,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(pages, keep_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    output = F.col("output")
+    return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(output).alias("output_sha256"), digest(fim.restored(output, F.col("form"))).alias("restored_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_token_counts, op3_packing, op4_url_filters, op5_secret_scans, op6_minhash_near_dedup, op7_quality_rules, op8_chat_formatting, op9_substring_dedup, op10_warc)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_token_counts, op3_packing, op4_url_filters, op5_secret_scans, op6_minhash_near_dedup, op7_quality_rules, op8_chat_formatting, op9_substring_dedup, op10_warc, op12_fill_in_middle, op13_filter_audit)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +126,39 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM grouped""",
+    "op12_fill_in_middle": r"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+        cuts AS (
+            SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+                   CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+                        WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM texts),
+        parts AS (SELECT *, substr(text, 1, least(c1, c2)) AS p, substr(text, 1 + least(c1, c2), greatest(c1, c2) - least(c1, c2)) AS m, substr(text, 1 + greatest(c1, c2)) AS s FROM cuts)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(c1, c2) END AS prefix_chars, CASE WHEN form <> 'plain' THEN greatest(c1, c2) - least(c1, c2) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts""",
+    "op13_filter_audit": r"""
+        WITH words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        firsts AS (SELECT coalesce(text, '') AS text, min(doc_id) AS first_id FROM documents GROUP BY 1),
+        said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        flags AS MATERIALIZED (
+            SELECT part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS c,
+                   regexp_matches(text, '[#$%&*|]') AS d, coalesce(first_id < doc_id, false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+            FROM words JOIN firsts USING (text) LEFT JOIN said USING (doc_id)),
+        grouped AS MATERIALIZED (SELECT part, [a, b, c, d, e] AS f, good, toxic, count(*) AS n FROM flags GROUP BY ALL),
+        letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        orders AS (SELECT v.l || w.l || x.l || y.l || z.l AS filter_order FROM letters v, letters w, letters x, letters y, letters z
+                   WHERE len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5),
+        steps AS (
+            SELECT part, filter_order, k AS step, good, toxic, n, f[ascii(filter_order[k]) - 64] AS failed, len(list_filter(f, lambda x: x)) AS fails,
+                   len(list_filter(range(1, k), lambda j: f[ascii(filter_order[j]) - 64])) AS before
+            FROM grouped, orders, (SELECT unnest(range(1, 6)) AS k)),
+        counted AS (
+            SELECT part, filter_order, step, sum(CASE WHEN NOT failed AND before = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN failed AND before = 0 THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN failed AND before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed AND fails = 1 THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN failed AND before = 0 AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN failed AND before = 0 AND toxic THEN n ELSE 0 END) AS toxic_lost
+            FROM steps GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+        FROM counted""",
 }
