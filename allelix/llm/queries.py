@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontam, fim, near_dups, packing, quality, secret_scan, substrings, tokens, urls, warc
+from . import audit, chat, decontam, fim, jaccard_join, near_dups, packing, quality, secret_scan, substrings, tokens, urls, warc
 from .common import table
 
 #: (host, path, verdict)
@@ -60,6 +60,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(pages, keep_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -72,7 +76,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_token_counts, op3_packing, op4_url_filters, op5_secret_scans, op6_minhash_near_dedup, op7_quality_rules, op8_chat_formatting, op9_substring_dedup, op10_warc, op12_fill_in_middle, op13_filter_audit)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_token_counts, op3_packing, op4_url_filters, op5_secret_scans, op6_minhash_near_dedup, op7_quality_rules, op8_chat_formatting, op9_substring_dedup, op10_warc, op11_ngram_jaccard_join, op12_fill_in_middle, op13_filter_audit)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,6 +130,19 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM grouped""",
+    "op11_ngram_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) END AS s FROM words),
+        shingles AS MATERIALIZED (SELECT doc_id, unnest(s) AS s, len(s) AS n FROM sets),
+        links AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+        found AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN found USING (doc_id)""",
     "op12_fill_in_middle": r"""
         WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
         cuts AS (
