@@ -77,7 +77,7 @@ def audit_filters(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     A: under 50 words. B: fewer distinct words than 65 %. C: more capital letters A-Z than 5 % of the code points. D: one
     of `#$%&*|`. E: the text of a smaller doc_id, whether that is removed or not. Null texts are empty (and fail A); null
     parts are the empty string. Rows are documents, repeated or not; a repeated row isn't its own predecessor. Labels with
-    the same id count once each way: good if one says quality 1, toxic if one says toxic 1. Texts of any length count
+    the same id count once each way: good if one says quality 1, toxic if one says toxic 1; those without an id are of no document. Texts of any length count
     whole; further columns are ignored; an empty table gives no rows.
     """
     said = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))

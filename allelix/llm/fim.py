@@ -80,7 +80,7 @@ def fill_in_middle(df: DataFrame, doc_id: str = "doc_id", text: str = "text", un
     an id with equal length are cut alike, whatever their order; each row stays. An empty table gives no rows. Texts of
     any length are cut whole.
     """
-    id_, key, whole = (f"_{uuid.uuid4().hex}" for _ in range(3))
+    id_, key, whole, one, two = (f"_{uuid.uuid4().hex}" for _ in range(5))
     kept = without(df, OWN)
     filled = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(*[df[c] for c in kept], F.col(doc_id).alias(id_), F.xxhash64(filled).alias(key), filled.alias(whole))
@@ -88,10 +88,10 @@ def fill_in_middle(df: DataFrame, doc_id: str = "doc_id", text: str = "text", un
         rows = rows.withColumn(text, F.when(F.col(text).isNotNull(), F.lit(True)))
     rows = rows.withColumn("form", form_of(F.col(id_), F.col(whole), plain_from, spm_below)).withColumn("n", unit_count(F.col(whole), unit).cast("long"))
     texts = rows.where("form <> 'plain'").select(F.col(id_).alias("id"), F.col(key).alias("key"), F.col(whole).alias("text"), "n")
-    offsets = cut_offsets(texts, unit, run).select(F.col("id").alias(id_), F.col("key").alias(key), "first", "second")
+    offsets = cut_offsets(texts, unit, run).select(F.col("id").alias(id_), F.col("key").alias(key), F.col("first").alias(one), F.col("second").alias(two))
     # offsets are small beside their texts, so each task hashes its share of them, and texts needn't be sorted
     joined = rows.join(offsets.hint("shuffle_hash"), [id_, key], "left")
-    first, second, body = F.coalesce("first", F.lit(0)), F.coalesce("second", F.lit(0)), F.col(whole)
+    first, second, body = F.coalesce(one, F.lit(0)), F.coalesce(two, F.lit(0)), F.col(whole)
     prefix, middle, suffix = F.substring(body, F.lit(1), first), F.substring(body, first + 1, second - first), F.substring(body, second + 1, F.length(body))
     is_plain = F.col("form") == "plain"
     output = F.when(is_plain, body).when(F.col("form") == "spm", F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle)).otherwise(

@@ -293,8 +293,8 @@ def sets_of(texts, size=5):
     return out
 
 
-def components_by_force(texts):
-    sets, parent = sets_of(texts), list(range(len(texts)))
+def components_by_force(texts, size=5, percent=75):
+    sets, parent = sets_of(texts, size), list(range(len(texts)))
 
     def root(x):
         return x if parent[x] == x else root(parent[x])
@@ -302,7 +302,7 @@ def components_by_force(texts):
     for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return [(k, len(s), root(k)) for k, s in enumerate(sets)]
