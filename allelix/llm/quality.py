@@ -43,15 +43,27 @@ END = re.compile(r"""[.!?…:;。！？]["'”’»)\]]*\s*$""")
 SENTENCE_END = re.compile(r"""(?<=[.!?…])["'”’»)\]]*\s+|(?<=[。！？])""")
 INNER = re.compile(r"[.!?,;:…]")
 SENTENCE = re.compile(r"""[.!?…:;]["'”’»)\]]*\s|[。！？]""")
-#: Fixed phrases of licences, notices and site furniture, in English, French, German and Spanish.
-BOILERPLATE = re.compile(
-    r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses cookies|accept (?:all )?cookies|enable javascript|lorem ipsum|"
-    r"licen[sc]ed under the|released under the .{1,40} licen[sc]e|click here|sign up for|subscribe to our|share (?:this|on) |"
-    r"tous droits r[ée]serv[ée]s|conditions (?:g[ée]n[ée]rales )?d['’]utilisation|politique de (?:confidentialit[ée]|cookies)|mentions l[ée]gales|accepter (?:tous )?les cookies|sous licence |cliquez ici|inscrivez-vous|abonnez-vous|partager sur |"
-    r"alle rechte vorbehalten|nutzungsbedingungen|datenschutzerkl[äa]rung|cookie-richtlinie|cookies akzeptieren|lizenziert unter|hier klicken|klicken sie hier|jetzt anmelden|newsletter abonnieren|auf facebook teilen|"
-    r"todos los derechos reservados|(?:t[ée]rminos|condiciones) de (?:uso|servicio)|pol[íi]tica de (?:privacidad|cookies)|aviso legal|aceptar (?:todas )?las cookies|bajo (?:la )?licencia|haga clic aqu[íi]|haz clic aqu[íi]|reg[íi]strate|suscr[íi]bete|compartir en ",
-    re.IGNORECASE,
+#: Fixed phrases of licences, notices and site furniture, in English, French, German and Spanish. Firm ones are boilerplate anywhere.
+FIRM = (
+    r"all rights reserved|lorem ipsum|released under the .{1,40} licen[sc]e|licen[sc]ed under (?:the|an?)(?=.{0,60}(?:licen[sc]e|gpl|creative commons)|\s*$)|(?:site|website|page|app) uses cookies|"
+    r"tous droits r[ée]serv[ée]s|sous licence(?=\s+(?:libre|ouverte|publique|creative|cc|mit|gnu|gpl|apache|bsd)\b|\s*$)|alle rechte vorbehalten|lizenziert unter|"
+    r"todos los derechos reservados|bajo (?:la )?licencia(?=\s+(?:libre|p[úu]blica|abierta|creative|cc|mit|gnu|gpl|apache|bsd)\b|\s*$)"
 )
+#: Of these, prose may speak: they are boilerplate at the begin of a line, and where they are a third of its words.
+TOPIC = (
+    r"terms of (?:use|service)|privacy policy|cookie policy|uses cookies|accept (?:all )?cookies|enable javascript|click here|licen[sc]ed under the|"
+    r"conditions (?:g[ée]n[ée]rales )?d['’]utilisation|politique de (?:confidentialit[ée]|cookies)|mentions l[ée]gales|accepter (?:tous )?les cookies|sous licence|cliquez ici|"
+    r"nutzungsbedingungen|datenschutzerkl[äa]rung|cookie-richtlinie|cookies akzeptieren|hier klicken|klicken sie hier|newsletter abonnieren|auf facebook teilen|"
+    r"(?:t[ée]rminos|condiciones) de (?:uso|servicio)|pol[íi]tica de (?:privacidad|cookies)|aviso legal|aceptar (?:todas )?las cookies|bajo (?:la )?licencia|haga clic aqu[íi]|haz clic aqu[íi]"
+)
+#: Calls to the reader, at the begin of a line or sentence.
+CALL = (
+    r"sign up for|subscribe to our|share (?:this (?:page|article|post|story|link|video|site)|on(?=\s+(?:facebook|twitter|x|linkedin|whatsapp|reddit|pinterest|instagram|telegram)\b|\s*$))|inscrivez-vous|abonnez-vous|partager sur|"
+    r"jetzt anmelden|reg[íi]strate|suscr[íi]bete|compartir en"
+)
+BOILERPLATE = re.compile(rf"(?<!\w)(?:(?P<firm>{FIRM})|(?P<topic>{TOPIC})|(?:^\W*|(?<=[.!?:;|•»›]\s)\W{{0,2}})(?P<call>{CALL}))(?!\w)", re.IGNORECASE)
+#: So many words of a line for one of a topic's phrase.
+WORDS_PER_TOPIC = 3
 #: What a match of a pattern holds at least (of BOILERPLATE in lower case), so that most texts needn't be searched by it.
 SEPARATOR_PARTS = ("|", "»", "›", "•", "·", " > ", " - ")
 MARK_PARTS = ("#", "*", "$", "%", "&", "<", ">", "!!", "??")
@@ -89,6 +101,16 @@ def mostly_upper(line: str, share: float) -> bool:
     return sum(map(str.isupper, line)) > share * sum(map(str.isalpha, line))
 
 
+def is_notice(line: str) -> bool:
+    """Whether a line or sentence is boilerplate by its phrases."""
+    topics = 0
+    for m in BOILERPLATE.finditer(line):
+        if m["topic"] is None or not any(map(str.isalnum, line[: m.start()])):
+            return True
+        topics += len(m["topic"].split())
+    return topics > 0 and topics * WORDS_PER_TOPIC >= len(line.split())
+
+
 def failed_rule(line: str, rules: LineRules, can: Hopeful = Hopeful()) -> str | None:
     """The rule by which a line fails, or None. Lines without words don't fail. can: what the line's text allows."""
     words = line.split()
@@ -102,7 +124,7 @@ def failed_rule(line: str, rules: LineRules, can: Hopeful = Hopeful()) -> str |
         return "boilerplate"
     if len(words) >= rules.upper_words and mostly_upper(line, rules.upper_share):
         return "boilerplate"
-    if can.boilerplate and len(words) <= rules.phrase_line_words and BOILERPLATE.search(line):
+    if can.boilerplate and len(words) <= rules.phrase_line_words and is_notice(line):
         return "boilerplate"
     if len(words) >= rules.open_words and not (INNER if len(words) > rules.long_words else SENTENCE).search(line) and not END.search(line):
         return "punctuation"
@@ -115,7 +137,7 @@ def without_notices(line: str, rules: LineRules) -> str:
         return line
     ends = [0, *(m.end() for m in SENTENCE_END.finditer(line)), len(line)]
     sentences = [line[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-    left = [s for s in sentences if not BOILERPLATE.search(s) or len(s.split()) > rules.phrase_sentence_words]
+    left = [s for s in sentences if not is_notice(s) or len(s.split()) > rules.phrase_sentence_words]
     return line if len(left) == len(sentences) else "".join(left).rstrip()
 
 
@@ -178,7 +200,8 @@ def judge_quality(df: DataFrame, text: str = "text", rules: LineRules = LineRule
 
     base_failed: fewer than least_words words, or over most_repeated_percent of them in repeated three-word windows.
     kept: not base_failed, and what fails holds at most rules.most_lost of the words' characters. cleaned: the text
-    without failed lines, and long lines without their boilerplate sentences; n_bad_lines counts both. Null texts have no words and are rejected. Rows are judged one by one; columns of df that
+    without failed lines, and long lines without their boilerplate sentences; n_bad_lines counts both. Null texts have no words and are rejected. Rows are judged
+    one by one, repeated ones alike, texts of any length whole; an empty table gives no rows; columns of df that
     clash with an output are replaced.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "lost_chars"]

@@ -56,12 +56,12 @@ ALLOWED = AllowList(
     ),
     worded=(
         r"[A-Za-z]+(?:[-_/=+][A-Za-z]*)*",  # words, also joined ones
-        r"[A-Za-z0-9_-]*(?:/[A-Za-z0-9_-]{1,19}){2,}/?",  # paths of short names
+        r"[A-Za-z0-9_-]*(?:/(?:[A-Za-z0-9_-]{1,19}|[A-Za-z0-9]{1,19}(?:[-_][A-Za-z0-9]{1,19})+)){2,}/?",  # paths of short names, and of longer ones of short words
     ),
     parts=(
         # checksums under their names, in hexadecimal or base64 of just their length
         *(rf"\A{name}[-_=](?:[0-9a-fA-F]{{{bits // 4}}}|[A-Za-z0-9+/_-]{{{-(-bits // 6)}}}={{0,2}})(?![A-Za-z0-9+_=-])" for name, bits in (("md5", 128), ("sha1", 160), ("sha256", 256), ("sha384", 384), ("sha512", 512))),
-        r"EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ",  # placeholders
+        r"(?<![A-Za-z0-9])(?:EXAMPLE|example)(?![A-Za-z0-9])|0123456789|abcdefghij|ABCDEFGHIJ",  # placeholders; within a key, a word may be part of it
     ),
 )
 #: A word or a number. Twenty random base64 characters touch 11 of these on average, names and paths at most 7.
@@ -170,7 +170,7 @@ def scan_secrets(df: DataFrame, text: str = "text", classes: tuple[CharClass, ..
     spans lists kind:start:end by start, then kind (assign, access, hex, the classes), in code points, end exclusive: the
     base patterns' matches and the random stretches; a word of the allow-list doesn't hide what is joined to it. base_sha256 is the digest of the base matches' list. redacted is
     the text with all spans masked, equal to the text if there are none. Null texts count as empty. Rows are judged
-    one by one, repeated ones alike; columns of df that clash with an output are replaced.
+    one by one, repeated ones alike, texts of any length whole; an empty table gives no rows; columns of df that clash with an output are replaced.
     """
     kinds = BASE_KINDS + tuple(c.kind for c in classes)
 

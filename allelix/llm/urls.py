@@ -32,13 +32,12 @@ def key_prefix(host: Column, path: Column, hex_digits: int) -> Column:
     return F.substring(F.sha2(F.concat(host, F.lit("\n"), path), 256), 1, hex_digits)
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """Structs (suffix, start) of a URL: the host and its parent domains, each with every directory that the path passes."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    parts = F.split(directory(path), "/")
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.when(k < F.size(parts), "/").otherwise("")))
-    starts = F.array_distinct(F.filter(starts, lambda s: (s == "") | s.endswith("/")))
+def expressions(host: Column, path: Column, labels: int, directories: int) -> Column:
+    """Structs (suffix, start) of a URL: its last 1 to `labels` host labels, each with the first 0 to `directories` directories of its path."""
+    named = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(named) - (labels - 1)), F.size(named)), lambda k: F.array_join(F.slice(named, k, F.size(named)), "."))
+    parts = F.split(directory(path), "/", directories + 1)  # the last part is what no rule's directories reach
+    starts = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.when(k > 0, "/").otherwise("")))
     return F.flatten(F.transform(suffixes, lambda h: F.transform(starts, lambda p: F.struct(h.alias("suffix"), p.alias("start")))))
 
 
@@ -62,7 +61,9 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     default. Null URLs and those without :// have an empty host and path. Repeated rows stay; columns of df that clash
     with an output are replaced. A URL is tried under each host suffix and each directory of its path: the first hex
     digits of the expression's SHA-256 are joined with those of the rules, and what meets is kept only if the full
-    digest of the rule equals that of the URL's own suffix and prefix of the rule's length.
+    digest of the rule equals that of the URL's own suffix and prefix of the rule's length. Suffixes of more labels and
+    paths of more directories than any rule has can fit none and aren't made, so a very long URL makes no more
+    expressions than a short one. Without rules every row gets the default; an empty table gives no rows.
 
     Up to most_broadcast rules are broadcast (counted first). Beyond, both sides are shuffled by the key, which holds
     the expressions of a hot host together: they are then joined once for each distinct host and path.
@@ -70,20 +71,21 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     own = ["host", "path", "rule", "verdict"]
     rest = without(df, own)
     known = prepared(rules, hex_digits)
-    few = known.limit(most_broadcast + 1).count() <= most_broadcast
+    depth = known.agg(F.count("*").alias("rules"), F.max(F.size(F.split("r_host", r"\."))).alias("labels"), F.max(F.regexp_count("r_path", F.lit("/"))).alias("directories")).first()
+    few, deepest = depth["rules"] <= most_broadcast, (depth["labels"] or 1, depth["directories"] or 0)
     parsed = df.select(*rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if few:
         rows = parsed.select(F.struct(*rest, "host", "path").alias("row"), "host", "path", F.monotonically_increasing_id().alias("id"))
-        best = best_rule(rows, F.broadcast(known), hex_digits, ["id"], [F.first("row").alias("row")])
+        best = best_rule(rows, F.broadcast(known), hex_digits, deepest, ["id"], [F.first("row").alias("row")])
         return best.select("row.*", F.col("best.r_rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
-    judged = Scratch(df.sparkSession).write(best_rule(parsed.select("host", "path").distinct(), known, hex_digits, ["host", "path"], []), "judged urls")
+    judged = Scratch(df.sparkSession).write(best_rule(parsed.select("host", "path").distinct(), known, hex_digits, deepest, ["host", "path"], []), "judged urls")
     joined = parsed.join(judged, ["host", "path"])
     return joined.select(*rest, "host", "path", F.col("best.r_rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
 
 
-def best_rule(urls: DataFrame, known: DataFrame, hex_digits: int, by: list[str], more: list[Column]) -> DataFrame:
+def best_rule(urls: DataFrame, known: DataFrame, hex_digits: int, deepest: tuple[int, int], by: list[str], more: list[Column]) -> DataFrame:
     """For each row of urls, `best`: the winning rule or null. Expressions are folded into one row before any shuffle."""
-    tried = urls.select("*", F.explode_outer(expressions(F.col("host"), F.col("path"))).alias("e"))
+    tried = urls.select("*", F.explode_outer(expressions(F.col("host"), F.col("path"), *deepest)).alias("e"))
     tried = tried.withColumn("key", key_prefix(F.col("e.suffix"), F.col("e.start"), hex_digits))
     own_digest = F.sha2(F.concat("e.suffix", F.lit("\n"), F.expr("left(path, length(r_path))")), 256)
     fits = F.col("r_digest").isNotNull() & (own_digest == F.col("r_digest"))

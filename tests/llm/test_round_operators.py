@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from test_operators import DOCS, clashing, components_by_force, documents, family, rows, sets_of
 
-from allelix.llm import audit, common, fim, jaccard_join, queries
+from allelix.llm import audit, common, fim, jaccard_join, quality, queries, secret_scan, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -198,3 +198,49 @@ def test_audit_of_none_and_of_other_filters(spark):
     assert got == [("XY", 1, 0, 1, 0, 2), ("XY", 2, 0, 0, 0, 0), ("YX", 1, 1, 0, 0, 0), ("YX", 2, 0, 1, 0, 2)]
     with pytest.raises(ValueError, match="different"):
         audit.replay(flags, "XX")
+
+
+# Rules mended
+
+
+def test_very_long_urls_make_no_more_expressions(spark):
+    rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
+    deep = "/".join(["a"] * 20_000)
+    given = [f"http://a.b.c.d.example.com/en/{deep}", f"http://a.b.c.example.com/{deep}/en/", "http://" + "a." * 5_000 + "net/es/x", f"http://x.net/{deep}", None, ""]
+    df = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    for most in (100, 1):
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(df, rules, most_broadcast=most).collect()}
+        assert got == {0: ("example.com/en/", "block"), 1: ("com/", "allow"), 2: ("net/es/", "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow")}
+    assert urls.judge_urls(df.limit(0), rules).count() == 0
+    assert {r.verdict for r in urls.judge_urls(df, rules.limit(0)).collect()} == {"allow"}
+    plan = urls.judge_urls(df, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+PROSE = (
+    "Their market share on Monday rose by two points, which pleased everyone.",
+    "I share this view with most of my colleagues in the lab.",
+    "He decided to sign up for the army in 1914, when he was barely nineteen.",
+    "La société exploite le site sous licence depuis dix ans.",
+    "Se registrate en el hotel antes de comer.",
+    "The court held that the privacy policy of the firm had misled its customers for years.",
+    "The drug was licensed under the Medicines Act of 1968 and sold until the war.",
+    "She uses cookies to bribe the children of her neighbours into silence.",
+    "Sie sagte, man solle hier klicken oder warten, bis jemand aus dem Dorf zurück sei.",
+)
+
+
+def test_prose_that_only_holds_a_phrase_stays(spark):
+    for line in PROSE:
+        assert quality.failed_rule(line, quality.LineRules()) is None, line
+    text = "\n".join(f"{line} Chapter {k} tells of it." for k, line in enumerate(PROSE))
+    (found,) = quality.judge_quality(documents(spark, text)).collect()
+    assert found.kept and found.cleaned == text
+    for line in ("Sign up for our letter today.", "See more. Share on Facebook or print.", "Read the privacy policy and terms of use.", "This website uses cookies to give you a better time on all of our pages.", "Das Bild ist lizenziert unter CC BY."):
+        assert quality.failed_rule(line, quality.LineRules()) == "boilerplate", line
+
+
+def test_paths_of_long_slugs_are_no_secrets_and_keys_around_a_word_are():
+    assert secret_scan.entropy_spans("https://example.com/articles/2024/05/how-to-cook-rice-and-beans-42") == []
+    for key in ("q7Zp2XvK9mLdexampleR4tW8yB3nHs6", "q7Zp2XvK9mLdR4tW8yB3nHs6"):
+        assert [s[2] for s in secret_scan.entropy_spans(f"key {key} here")] == ["entropy_base64"]
