@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 from math import ceil, log
 
 import numpy as np
@@ -41,13 +42,16 @@ class Settings:
     #: Passages that score less than this share of an item's own score aren't looked at.
     least_score: float = 0.6
     #: Share of the word triples of an item's question, and of its answer, that a passage must hold; of a part of at most
-    #: short_part words, the share of its words that stand there in order counts too. A part of at most joined_part words
-    #: is judged with the words of the other next to it, short_tail in all.
+    #: short_part words, the share of its words that stand there in order counts too. A question of at most joined_part
+    #: words is judged with the words of the answer next to it, short_tail in all; such an answer must stand behind the
+    #: question's end, at most `gap` words on, half of its words at least, each as it is or spelled about so.
     least_overlap: float = 0.6
     gram: int = 3
     short_part: int = 12
     joined_part: int = 2
     short_tail: int = 8
+    gap: int = 3
+    least_alike: float = 0.75
     #: Items in a block.
     block: int = 4
     #: Passages have at least so many words; for items that are longer than half of that, it is doubled until they aren't.
@@ -74,12 +78,40 @@ def grams(words: list[str], size: int) -> set[tuple[str, ...]]:
 
 def short_parts(question: list[str], answer: list[str], settings: Settings) -> list[list[str] | None]:
     """What stands for the question and for the answer where shares of words in order count; None where they don't."""
-    out: list[list[str] | None] = []
-    for part, joined in ((question, (question + answer)[: settings.short_tail]), (answer, (question + answer)[-settings.short_tail :])):
-        words = joined if len(part) <= settings.joined_part else part
-        # of fewer words, a changed one leaves too little to tell an item by
-        out.append(words if part and settings.gram <= len(part) <= settings.short_part or part and len(words) > settings.gram + 1 and len(part) <= settings.joined_part else None)
-    return out
+    short = [part if settings.gram <= len(part) <= settings.short_part else None for part in (question, answer)]
+    begin = (question + answer)[: settings.short_tail]
+    # of fewer words, a changed one leaves too little to tell an item by
+    if 0 < len(question) <= settings.joined_part and len(begin) > settings.gram + 1:
+        short[0] = begin
+    return short
+
+
+def alike(a: str, b: str, least: float) -> bool:
+    return a == b or (min(len(a), len(b)) > 3 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= least)
+
+
+def common_in_order(a: list[str], b: list[str]) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def answer_behind(question: list[str], answer: list[str], words: list[str], settings: Settings) -> float:
+    """The share of a brief answer's words behind where the question ends: where its last words stand in order best."""
+    tail = question[-settings.gram :]
+    ends = [(common_in_order(tail, words[max(0, e - len(tail) - 1) : e]), e) for e in range(1, len(words) + 1) if words[e - 1] in tail]
+    best = max((n for n, _ in ends), default=0)
+    if best < min(2, len(tail)):
+        return 0.0
+    found = 0
+    for n, e in ends:
+        if n == best:
+            near = words[e : e + len(answer) + settings.gap]
+            found = max(found, sum(any(alike(a, w, settings.least_alike) for w in near) for a in answer))
+    return found / len(answer)
 
 
 def share_in_order(part: list[str], words: list[str], least: float) -> float:
@@ -127,6 +159,7 @@ class Index:
         self.settings, self.ids = settings, [i for i, _ in items]
         self.parts = [[grams(part, settings.gram) for part in question_and_answer(text)] for _, text in items]
         self.short = [short_parts(*question_and_answer(text), settings) for _, text in items]
+        self.brief = [(q, a) if 0 < len(a) <= settings.joined_part and q else None for q, a in (question_and_answer(text) for _, text in items)]
         split = [terms_of(text) for _, text in items]
         self.half = half_passage(max(map(len, split), default=0), settings)
         weights: list[dict[str, float]] = []
@@ -276,9 +309,11 @@ class Index:
             held = grams_of_all(words, self.settings.gram)
             for item, score in hits:
                 overlap = [sum(g in held for g in part) / len(part) if part else 1.0 for part in self.parts[item]]
-                if min(overlap) < least and all(o >= least or short for o, short in zip(overlap, self.short[item], strict=True)):
-                    overlap = [o if o >= least else max(o, share_in_order(short, words, least)) for o, short in zip(overlap, self.short[item], strict=True)]
-                if min(overlap) >= self.settings.least_overlap and (item not in found[doc] or score > found[doc][item][0]):
+                if min(overlap) < least:
+                    overlap = [o if o >= least or not short else max(o, share_in_order(short, words, least)) for o, short in zip(overlap, self.short[item], strict=True)]
+                if self.brief[item] and overlap[0] >= least:
+                    overlap[1] = answer_behind(*self.brief[item], words, self.settings)
+                if overlap[0] >= least and overlap[1] >= (0.5 if self.brief[item] else least) and (item not in found[doc] or score > found[doc][item][0]):
                     found[doc][item] = (score, *overlap, begin)
         return found
 
@@ -347,8 +382,9 @@ def find_leaks(
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word): every test item that a document leaks.
 
     Every passage of every document is a query. An overlap is the share of a part's triples or, where that falls short
-    for a short part, of its words in order, so one changed word doesn't hide it. Of an answer of one or two words the
-    question's end is evidence too, so such an item's whole question alone is a leak. Score is the best passage's (of
+    for a short part, of its words in order, so one changed word doesn't hide it. An answer of one or two words must stand
+    behind the question's end, one of its words at least, and be spelled about so: a question alone, or with another
+    answer, is no leak, whatever words it shares with the answer. Score is the best passage's (of
     passages that tie, the first's), first_word where that passage begins. Null and empty texts leak nothing; items without
     words can't be leaked; repeated rows and ids give rows each, and so do items with equal texts. Rows without ids are
     searched too. No items or no documents give no rows. Texts of any length are searched whole, in passages; extra

@@ -722,12 +722,22 @@ def test_one_changed_word_hides_no_leak(spark, answer):
     question = "Which town did the wandering fisherman Aleksi reach after nine winters spent among quiet islands?"
     item = f"{question} {answer}."
     filler, words = " ".join(f"word{k}" for k in range(100)), item.split()
-    copies = [" ".join([*words[:k], *new, *words[k + 1 :]]) for k in range(len(words) - len(answer.split()), len(words)) for new in (["misspelt"], [])]
+    # of an answer of one word, a changed word is its own with a slip; without it nothing of the answer is left
+    changes = ([["misspelt"], []], [[words[-1].replace("s", "z")], [words[-1][:-2] + "y"]])[len(answer.split()) == 1]
+    copies = [" ".join([*words[:k], *new, *words[k + 1 :]]) for k in range(len(words) - len(answer.split()), len(words)) for new in changes]
     docs = documents(spark, *[f"{filler} {c} {filler}" for c in copies], f"{filler} {' '.join(reversed(words))}", filler)
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert rows(decontam.find_leaks(docs, items), "doc_id") == sorted([(k,) for k in range(len(copies))], key=repr)
-    if len(answer.split()) > 2:
-        assert not decontam.find_leaks(documents(spark, f"{filler} {question} {filler}"), items).count()
+    for instead in ("", "We do not know.", "Nobody can say where that was, or when."):
+        assert not decontam.find_leaks(documents(spark, f"{filler} {question} {instead} {filler}"), items).count()
+
+
+def test_answers_that_the_question_holds_must_be_given(spark):
+    item = "Of 9 fishermen who left the harbour of the grey northern town one morning 4 came back, so how many are left or are 9 left? 9"
+    items, filler = spark.createDataFrame([(1, item)], "item_id long, text string"), " ".join(f"word{k}" for k in range(60))
+    texts = [f"{filler} {item} {filler}", f"{filler} {item[:-2]} Nobody can say. {filler}", item[:-2]]
+    got = decontam.find_leaks(documents(spark, *texts), items)
+    assert rows(got, "doc_id", "answer_overlap") == [(0, 1.0)]
 
 
 def test_other_items_change_no_leak(spark):
