@@ -24,6 +24,11 @@ def dosage_by_order(gt: Column, heterozygote: str = "0/1") -> Column:
     return F.when(gt.isNull() | (gt < heterozygote), 0).when(gt == heterozygote, 1).otherwise(2)
 
 
+def middle_code(ploidy: int) -> str:
+    """What dosages compare with."""
+    return "1" if ploidy == 1 else "0/1"
+
+
 def alternate_count(gt: Column) -> Column:
     """How many alleles aren't the reference; null if missing."""
     return F.size(F.filter(allele_indexes(gt), lambda a: a != 0))
@@ -60,17 +65,47 @@ def natural_key(name: Column) -> Column:
 CODE_CHARACTERS, CODE_DIGITS = "./0123456789|", "123456789ABCD"
 
 
+#: So many characters fit an integer, and so many integers hold the longest code that is taken.
+CODE_WIDTH, CODE_PARTS = 15, 4
+#: Codes that most genotypes have are looked up, not converted.
+COMMON_CODES = ("0/0", "0/1", "1/1", "0|0", "0|1", "1|0", "1|1", "0", "1")
+
+
+def _digits(code: str) -> int:
+    return int(code.translate(str.maketrans(CODE_CHARACTERS, CODE_DIGITS)), 16)
+
+
 def packed_code(gt: Column) -> Column:
-    """A genotype code as an integer, which hash aggregation can hold where it can't hold text; null if it is missing.
+    """A genotype code of at most 15 characters as an integer, which hash aggregation can hold where it can't hold text; null if it is missing.
 
-    Codes are of digits, separators and points, 15 characters at most; others raise an error.
+    Codes are of digits, separators and points; others raise an error.
     """
-    fits = gt.rlike(r"^[0-9./|]{1,15}$")
-    return F.when(fits, F.conv(F.translate(gt, CODE_CHARACTERS, CODE_DIGITS), 16, 10).cast("long")).when(gt.isNotNull(), F.raise_error(F.concat(F.lit("not a genotype code: "), gt)).cast("long"))
+    fits = gt.rlike(rf"^[0-9./|]{{1,{CODE_WIDTH}}}$")
+    found = F.when(fits, F.conv(F.translate(gt, CODE_CHARACTERS, CODE_DIGITS), 16, 10).cast("long"))
+    found = found.when(gt.isNotNull(), F.raise_error(F.concat(F.lit("not a genotype code: "), gt)).cast("long"))
+    for code in reversed(COMMON_CODES):
+        found = F.when(gt == code, F.lit(_digits(code)).cast("long")).otherwise(found)
+    return found
 
 
 def unpacked_code(code: Column) -> Column:
-    return F.translate(F.hex(code), CODE_DIGITS, CODE_CHARACTERS)
+    found = F.translate(F.hex(code), CODE_DIGITS, CODE_CHARACTERS)
+    for text in reversed(COMMON_CODES):
+        found = F.when(code == _digits(text), text).otherwise(found)
+    return found
+
+
+def packed_parts(gt: Column) -> list[Column]:
+    """A genotype code of up to 60 characters (twenty alleles of two digits) as four integers; what a code is too short for is 0."""
+    long = F.length(gt) > CODE_WIDTH
+    checked = F.when(F.length(gt) <= CODE_WIDTH * CODE_PARTS, gt).otherwise(F.when(gt.isNotNull(), F.raise_error(F.concat(F.lit("genotype code of too many alleles: "), gt))))
+    part = lambda k: packed_code(F.substring(checked, CODE_WIDTH * k + 1, CODE_WIDTH))
+    rest = [F.when(F.length(gt) > CODE_WIDTH * k, part(k)).when(gt.isNotNull(), F.lit(0).cast("long")) for k in range(1, CODE_PARTS)]  # null where nothing is called
+    return [F.when(long, part(0)).otherwise(packed_code(gt)), *rest]
+
+
+def unpacked_parts(parts: list[Column]) -> Column:
+    return F.when(parts[1] == 0, unpacked_code(parts[0])).otherwise(F.concat(unpacked_code(parts[0]), *[F.when(p == 0, "").otherwise(unpacked_code(p)) for p in parts[1:]]))
 
 
 def callset_of(id_: Column, separator: str = "§") -> Column:

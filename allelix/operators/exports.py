@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genotypes import natural_key, reference_code
 from ..functions.text import expand_url, parse_online_tool
-from ..plans.execution import Selection, selection
+from ..plans.execution import Selection, ploidy_of, selection
 from ..plans.requests import SearchRequest
 from ..sources.dataset import Dataset
 from . import formats, matrix, resolution, tree
@@ -28,6 +28,7 @@ class Export:
     data: Dataset
     chosen: Selection
     samples: bool = False
+    ploidy: int = 2
 
     @property
     def names(self) -> list[str]:
@@ -126,7 +127,8 @@ def _flapjack(e: Export) -> dict[str, DataFrame]:
     return {"genotype": genotype, "map": formats.flapjack_map(e.sites), "phenotype": formats.metadata_lines(e.people, "# fjFile = PHENOTYPE"), **e.remarks(_text("/", ""))}
 
 
-def _darwin(e: Export, ploidy: int = 2) -> dict[str, DataFrame]:
+def _darwin(e: Export) -> dict[str, DataFrame]:
+    ploidy = e.ploidy
     rows = _pieces(e, formats.darwin_cells(ploidy), (F.col("k") + 1).cast("string"), "\t", formats.with_codes(e.markers))
     size = e.sites.agg(F.concat_ws("\t", F.lit(len(e.names)), F.count("*") * ploidy).alias("text")).select(F.lit(" 0001").alias("ord"), F.lit("").alias("part"), "text")
     var = _first(e, f"@DARwin 5.0 - ALLELIC - {ploidy}").unionAll(size).unionAll(formats.names_in_pieces(e.sites, ploidy, " 0002", "N°")).unionAll(rows)
@@ -175,15 +177,17 @@ WRITERS: dict[str, Callable[[Export], dict[str, DataFrame]]] = {
 }
 
 
-def export(data: Dataset, format: str, request: SearchRequest = SearchRequest(), samples: bool = False, ploidy: int = 2) -> dict[str, DataFrame]:
+def export(data: Dataset, format: str, request: SearchRequest = SearchRequest(), samples: bool = False, ploidy: int | None = None, selected: DataFrame | None = None) -> dict[str, DataFrame]:
     """The files of a format by their extensions (and REMARKS), for the variants and entities that a request chooses.
 
-    Variants of types that the format doesn't take are left out; a ploidy that it doesn't take raises an error.
+    Variants of types that the format doesn't take are left out; a ploidy that it doesn't take raises an error, and so do
+    projects of different ploidies unless one is given. selected: the variants, if they are known (of a kept search).
     """
     kind = formats.FORMATS[format]
+    ploidy = ploidy_of(data, request) if ploidy is None else ploidy
     kind.check_ploidy(ploidy)
-    chosen = selection(data, request, samples)
-    files = WRITERS[format](Export(data, replace(chosen, variants=kind.accepts(chosen.variants)), samples))
+    chosen = selection(data, request, samples, selected)
+    files = WRITERS[format](Export(data, replace(chosen, variants=kind.accepts(chosen.variants)), samples, ploidy))
     if data.variant_runs is not None:
         files["ann"] = annotation_lines(data, kind.accepts(chosen.variants))
     return files

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.genotypes import dosage_by_order, is_heterozygous, is_homozygous_reference, is_homozygous_variant, natural_key
+from ..functions.genotypes import dosage_by_order, is_heterozygous, is_homozygous_reference, is_homozygous_variant, middle_code, natural_key
 from ..plans.requests import ChartRequest, Group, SearchRequest
-from .resolution import coherent
+from ..runtime import lookup
+from .resolution import coherent, same_codes
 
 
 def type_filter(types: tuple[str, ...]) -> Column:
@@ -54,18 +56,32 @@ def filter_variants(variants: DataFrame, request: SearchRequest, ids: DataFrame
     if request.allele_counts:
         parts.append(allele_count_filter(request.allele_counts))
     if isinstance(request, ChartRequest):
-        if request.displayed_sequence is not None:
-            parts.append(F.col("chrom") == request.displayed_sequence)
-        if request.displayed_type is not None:
-            parts.append(F.col("type") == request.displayed_type)
-        if request.range_min >= 0:
-            parts.append(F.col("start_site") >= request.range_min)
-        if request.range_max >= 0:
-            parts.append(F.col("start_site") <= request.range_max)
+        parts += chart_parts(request)
     found = variants.where(reduce(and_, parts)) if parts else variants
+    if request.variant_ids:
+        found = found.join(lookup(variants.sparkSession, [(i,) for i in dict.fromkeys(request.variant_ids)], "variant_id string"), "variant_id", "left_semi")
     return found.join(ids.select("variant_id").distinct(), "variant_id", "left_semi") if ids is not None else found
 
 
+def chart_parts(request: ChartRequest) -> list[Column]:
+    parts = []
+    if request.displayed_sequence is not None:
+        parts.append(F.col("chrom") == request.displayed_sequence)
+    if request.displayed_type is not None:
+        parts.append(F.col("type") == request.displayed_type)
+    if request.range_min >= 0:
+        parts.append(F.col("start_site") >= request.range_min)
+    if request.range_max >= 0:
+        parts.append(F.col("start_site") <= request.range_max)
+    return parts
+
+
+def filter_chart(variants: DataFrame, request: ChartRequest) -> DataFrame:
+    """Of variants that are chosen already, those that a chart shows."""
+    parts = chart_parts(request)
+    return variants.where(reduce(and_, parts)) if parts else variants
+
+
 def filter_runs(genotypes: DataFrame, request: SearchRequest) -> DataFrame:
     """Genotypes of the projects, and of the (project, run) pairs if any are named."""
     if request.projects:
@@ -114,33 +130,109 @@ def group_statistics(resolved: DataFrame, n_individuals: int) -> DataFrame:
     )
 
 
-def pattern_holds(pattern: str, most_same_ratio: float = 100) -> Column:
-    """Over group_statistics; a variant without called genotypes fits nothing but Any."""
-    n, distinct = F.col("n_called"), F.col("n_distinct")
+def pattern_holds(pattern: str, most_same_ratio: float = 100, of: Callable[[str], Column] = F.col) -> Column:
+    """Over group_statistics, by the names that `of` takes; a variant without called genotypes fits nothing but Any."""
+    n, distinct = of("n_called"), of("n_distinct")
     return {
         "Any": F.lit(True),
         "Not all the same": distinct > 1,
-        "All or mostly the same": F.try_divide(100 * F.col("n_mode"), n) >= most_same_ratio,
+        "All or mostly the same": F.try_divide(100 * of("n_mode"), n) >= most_same_ratio,
         "All different": distinct == n,
         "Not all different": distinct < n,
-        "All Homozygous Ref": F.col("n_hom_ref") == n,
-        "Some Homozygous Ref": F.col("n_hom_ref") > 0,
-        "All Homozygous Var": F.col("n_hom_var") == n,
-        "Some Homozygous Var": F.col("n_hom_var") > 0,
+        "All Homozygous Ref": of("n_hom_ref") == n,
+        "Some Homozygous Ref": of("n_hom_ref") > 0,
+        "All Homozygous Var": of("n_hom_var") == n,
+        "Some Homozygous Var": of("n_hom_var") > 0,
     }[pattern]
 
 
+def group_holds(group: Group, of: Callable[[str], Column] = F.col) -> Column:
+    """Whether a group's conditions, but for discrimination, hold; variants without called genotypes fulfil none."""
+    within = [of(c).between(*limits) for c, limits in (("missing", group.missing), ("heterozygosity", group.heterozygosity), ("maf", group.maf))]
+    return reduce(and_, [of("n_called") > 0, pattern_holds(group.pattern, group.most_same_ratio, of), *within])
+
+
 def filter_group(genotypes: DataFrame, group: Group, n_individuals: int) -> DataFrame:
     """variant_id of the variants whose genotypes in the group fulfil all its conditions."""
     stats = group_statistics(coherent(of_group(filter_fields(genotypes, group), group)), n_individuals)
-    within = [F.col(c).between(*limits) for c, limits in (("missing", group.missing), ("heterozygosity", group.heterozygosity), ("maf", group.maf))]
-    return stats.where(reduce(and_, [pattern_holds(group.pattern, group.most_same_ratio), *within])).select("variant_id")
+    return stats.where(group_holds(group)).select("variant_id")
+
+
+def group_counts(genotypes: DataFrame, groups: tuple[Group, ...], placed: bool = False) -> DataFrame:
+    """(variant_id, counts, plain): for each group, in order, structs (gt, n) of what agrees for its individuals; plain: without regard to FORMAT fields.
+
+    Membership is a mask of bits beside each genotype, from which a group's bit goes where a field is below its least
+    value. One pass resolves the cells for all groups at once (and once for each that has least values), counts genotypes
+    by group, and gathers the few counts of a variant: genotypes are shuffled once, whatever the number of groups.
+    """
+    if len(groups) > 62:
+        raise ValueError("at most 62 groups")
+    bit = lambda k: 1 << k
+    everyone = sum(bit(k) for k, g in enumerate(groups) if not g.individuals)
+    masks: dict[str, int] = {}
+    for k, g in enumerate(groups):
+        for i in dict.fromkeys(g.individuals):
+            masks[i] = masks.get(i, 0) | bit(k)
+    known = genotypes.where("gt is not null")
+    if masks:
+        members = lookup(genotypes.sparkSession, list(masks.items()), "individual string, mask long")
+        known = known.join(members, "individual", "left" if everyone else "inner")
+        known = known.withColumn("mask", F.coalesce("mask", F.lit(0)).bitwiseOR(F.lit(everyone)).cast("long"))
+    else:
+        known = known.withColumn("mask", F.lit(everyone).cast("long"))
+    # which genotypes count: all of them, and for each group with least values its own
+    valid = [F.lit(True)] + [~reduce(or_, [F.coalesce(F.col(f) < least, F.lit(True)) for f, least in g.field_thresholds.items()]) for g in groups if g.field_thresholds]
+    judged = {k: 1 + n for n, k in enumerate(k for k, g in enumerate(groups) if g.field_thresholds)}
+    cells = (known if placed else known.repartition("variant_id")).groupBy("variant_id", "individual", "mask")
+    agreed, sums = [], []
+    for n, v in enumerate(valid):
+        more, gt = same_codes(F.when(v, F.col("gt")) if n else F.col("gt"), f"c{n}_")
+        sums += more
+        agreed.append(F.struct(F.lit(n).alias("judged"), gt.alias("gt")))
+    each = cells.agg(*sums).select("variant_id", "mask", F.explode(F.array(*agreed)).alias("c")).where("c.gt is not null")
+    own = [F.sum(F.when(F.col("mask").bitwiseAND(F.lit(bit(k)).cast("long")) != 0, 1).otherwise(0)).alias(f"n{k}") for k in range(len(groups))]
+    codes = each.groupBy("variant_id", F.col("c.judged").alias("judged"), F.col("c.gt").alias("gt")).agg(*own)
+    gathered = codes.groupBy("variant_id").agg(F.collect_list(F.struct("judged", "gt", *[f"n{k}" for k in range(len(groups))])).alias("all"))
+
+    def counts(k: int, which: int) -> Column:
+        return F.transform(F.filter("all", lambda c: (c["judged"] == which) & (c[f"n{k}"] > 0)), lambda c: F.struct(c["gt"].alias("gt"), c[f"n{k}"].alias("n")))
+
+    return gathered.select("variant_id", F.array(*[counts(k, judged.get(k, 0)) for k in range(len(groups))]).alias("counts"), F.array(*[counts(k, 0) for k in range(len(groups))]).alias("plain"))
+
+
+def all_groups_hold(groups: tuple[Group, ...], totals: list[int], counts: Column, plain: Column, ploidy: int = 2) -> Column:
+    """Whether the conditions of all groups hold, from their counts of genotypes; totals: how many individuals each has."""
+    parts = [F.lit(True)]
+    for k, group in enumerate(groups):
+        if group.pattern != "Any" or group.missing != (0, 100) or group.heterozygosity != (0, 100) or group.maf != (0, 50):
+            parts.append(group_holds(group, statistics_of(counts[k], totals[k], ploidy).__getitem__))
+        for other in group.apart_from:
+            parts.append(mode_of(plain[k]) != mode_of(plain[other]))
+    return F.coalesce(reduce(and_, parts), F.lit(False))
+
+
+def mode_of(counts: Column) -> Column:
+    """The most frequent genotype; the smaller code breaks ties."""
+    return F.try_element_at(F.sort_array(F.transform(counts, lambda c: F.struct((-c["n"]).alias("rank"), c["gt"].alias("gt")))), F.lit(1))["gt"]
+
+
+def statistics_of(counts: Column, n_individuals: int, ploidy: int = 2) -> dict[str, Column]:
+    """What group_statistics gives, from counts: structs (gt, n) of a variant's genotypes."""
+    total = lambda f: F.aggregate(counts, F.lit(0).cast("long"), lambda s, c: s + F.coalesce(f(c), F.lit(0)).cast("long"))
+    called, dosage = total(lambda c: c["n"]), total(lambda c: dosage_by_order(c["gt"], middle_code(ploidy)) * c["n"])
+    het = total(lambda c: F.when(is_heterozygous(c["gt"]), c["n"]))
+    share = F.try_divide(50 * dosage, called)
+    return {
+        "n_called": called, "called": called, "n_distinct": F.size(counts), "n_mode": F.array_max(F.transform(counts, lambda c: c["n"])), "mode": mode_of(counts),
+        "n_het": het, "het": het, "n_hom_ref": total(lambda c: F.when(is_homozygous_reference(c["gt"]), c["n"])), "n_hom_var": total(lambda c: F.when(is_homozygous_variant(c["gt"]), c["n"])),
+        "dosage": dosage, "missing": F.try_divide(100 * (n_individuals - called), F.lit(n_individuals)), "heterozygosity": F.try_divide(100 * het, called), "maf": F.least(share, 100 - share),
+    }
 
 
 def discriminate(genotypes: DataFrame, one: Group, other: Group) -> DataFrame:
     """variant_id of the variants whose most frequent genotype differs between two groups; the smaller code breaks ties."""
-    a, b = (group_statistics(coherent(of_group(genotypes, g)), 1).select("variant_id", F.col("mode").alias(m)) for g, m in ((one, "a"), (other, "b")))
-    return a.join(b, "variant_id").where("a <> b").select("variant_id")
+    found = group_counts(genotypes, (Group(individuals=one.individuals), Group(individuals=other.individuals)))
+    return found.where(mode_of(F.col("plain")[0]) != mode_of(F.col("plain")[1])).select("variant_id")
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:

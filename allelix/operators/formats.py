@@ -292,12 +292,17 @@ def line_pieces(lines: DataFrame) -> DataFrame:
     return lines.select("ord", F.lit("").alias("part"), F.col("line").alias("text"))
 
 
+def all_bases() -> Column:
+    """The alleles of each genotype, as many as it has; * becomes -; null where missing."""
+    return F.transform("gts", lambda g: F.when(g.isNotNull(), F.transform(allele_strings(g, F.col("alleles")), lambda a: F.when(a == "*", "-").otherwise(a))))
+
+
 def flapjack_cells() -> Column:
-    """Homozygotes as one allele, - where missing."""
+    """One allele where all agree, else all of them, whatever their number; - where missing."""
     def cell(b: Column) -> Column:
-        return F.when(b[0] == "-", "-").when(b[0] == b[1], b[0]).otherwise(F.concat(b[0], F.lit("/"), b[1]))
+        return F.when(F.coalesce(F.size(b), F.lit(0)) < 1, "-").when(F.size(F.array_distinct(b)) == 1, b[0]).otherwise(F.array_join(b, "/"))
 
-    return F.transform(two_bases("-"), cell)
+    return F.transform(all_bases(), cell)
 
 
 def flapjack_genotypes(markers: DataFrame, individuals: list[str]) -> DataFrame:

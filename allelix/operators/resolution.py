@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.genotypes import allele_indexes, natural_key, packed_code, unpacked_code
+from ..functions.genotypes import allele_indexes, natural_key, packed_parts, unpacked_parts
 
 CELL = ["variant_id", "individual", "population"]
 
 
-def coherent(genotypes: DataFrame) -> DataFrame:
+def same_codes(gt: Column, prefix: str) -> tuple[list[Column], Column]:
+    """Aggregates, named by the prefix, over the genotype codes of a cell, and the code over these: null where codes differ or none is called."""
+    parts = packed_parts(gt)
+    sums = [f(p).alias(f"{prefix}{name}{k}") for k, p in enumerate(parts) for name, f in (("first", F.min), ("last", F.max))]
+    first, last = ([F.col(f"{prefix}{name}{k}") for k in range(len(parts))] for name in ("first", "last"))
+    return sums, F.when(reduce(and_, [a == b for a, b in zip(first, last, strict=True)]), unpacked_parts(first))
+
+
+def coherent(genotypes: DataFrame, placed: bool = False) -> DataFrame:
     """(variant_id, individual, population, gt) where all called genotypes agree; others are left out.
 
-    Rows meet by variant, so that statistics by variant need no other shuffle.
+    Rows meet by variant, so that statistics by variant need no other shuffle. placed: they lie together already, as
+    those of a table in buckets by variant do.
     """
-    code = packed_code(F.col("gt"))
-    cells = genotypes.where("gt is not null").repartition("variant_id").groupBy(*CELL)
-    return cells.agg(F.min(code).alias("first"), F.max(code).alias("last")).where("first = last").select(*CELL, unpacked_code(F.col("first")).alias("gt"))
+    called = genotypes.where("gt is not null")
+    sums, gt = same_codes(F.col("gt"), "")
+    cells = (called if placed else called.repartition("variant_id")).groupBy(*CELL)
+    return cells.agg(*sums).select(*CELL, gt.alias("gt")).where("gt is not null")
 
 
 def ranked(genotypes: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:

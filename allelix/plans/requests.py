@@ -31,13 +31,17 @@ class Group:
     maf: tuple[float, float] = (0, 50)
     #: Least values of FORMAT fields; genotypes below count as missing.
     field_thresholds: dict[str, float] = field(default_factory=dict)
-    #: Number (from 0) of the group whose most frequent genotype must differ.
-    discriminate: int | None = None
+    #: Number (from 0) of the group, or numbers of the groups, whose most frequent genotypes must differ.
+    discriminate: int | tuple[int, ...] | None = None
 
     def __post_init__(self):
         if self.pattern not in PATTERNS:
             raise ValueError(f"unknown genotype pattern {self.pattern!r}")
 
+    @property
+    def apart_from(self) -> tuple[int, ...]:
+        return () if self.discriminate is None else (self.discriminate,) if isinstance(self.discriminate, int) else tuple(self.discriminate)
+
     def filters_genotypes(self) -> bool:
         return self.discriminate is not None or self.pattern != "Any" or self.missing != (0, 100) or self.heterozygosity != (0, 100) or self.maf != (0, 50)
 
@@ -48,6 +52,8 @@ class SearchRequest:
 
     projects: tuple[int, ...] = ()
     runs: tuple[tuple[int, str], ...] = ()
+    #: Names of variants, if only these are wanted.
+    variant_ids: tuple[str, ...] = ()
     variant_types: tuple[str, ...] = ()
     sequences: tuple[str | None, ...] = ()
     start: int = -1

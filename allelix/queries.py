@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.genotypes import alternate_count, natural_key
-from .operators import exports, filters, formats, matrix, resolution, tree, windows
-from .plans import execution
+from .operators import exports, filters, formats, matrix, resolution, tree, vectors, windows
+from .plans import execution, selections
 from .plans.requests import PATTERNS, ChartRequest, FieldPlotRequest, Group, SearchRequest
 from .sources import tables
+from .sources.dataset import Dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -796,3 +799,152 @@ _FIVE_EACH = tuple(tuple(f"ind{k}" for k in ks) for ks in (range(5), range(5, 10
 def search_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = (Group("a", _FIVE_EACH[0], maf=(10, 50)), Group("b", _FIVE_EACH[1], pattern="Not all the same", discriminate=0))
     return _plain(execution.selected_variants(tables.dataset(spark, sf_dir), SearchRequest(variant_types=("SNP",), sequences=("chr2",), groups=groups)))
+
+
+# Packed genotypes: the same statistics without a shuffle of genotypes
+
+
+def _packed(name: str, of: str, statistic: str, request: ChartRequest, parts: tuple[str, ...] | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = execution.chart(execution.packed_dataset(tables.dataset(spark, sf_dir)), request, statistic)
+        return rounded(found, *[c for c, kind in found.dtypes if kind == "double"])
+
+    run.__name__ = name
+    query(*((ORACLE_SQL[of],) if parts is None else (ORACLE_SQL[of].removeprefix(f"WITH {', '.join(_CHART)}"), *parts)))(run)
+
+
+for _statistic in ("maf", "missing", "heterozygosity", "tajima_d", "fst"):
+    _packed(f"packed_{_statistic}", f"window_{_statistic}", _statistic, CHART)
+_packed("packed_groups_maf", "window_maf", "maf", _GROUPED, _TWO_SQL)
+
+
+@query(ORACLE_SQL["search_groups"])
+def packed_search_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = (Group("a", _FIVE_EACH[0], maf=(10, 50)), Group("b", _FIVE_EACH[1], pattern="Not all the same", discriminate=0))
+    request = SearchRequest(variant_types=("SNP",), sequences=("chr2",), groups=groups)
+    return _plain(execution.selected_variants(execution.packed_dataset(tables.dataset(spark, sf_dir)), request))
+
+
+@query("SELECT variant_id, run_name, individual, gt FROM genotypes WHERE gt IS NOT NULL", GENOTYPES_SQL)
+def packed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every called genotype, back from its vector."""
+    return vectors.unpacked(execution.packed_dataset(tables.dataset(spark, sf_dir)).packed).select("variant_id", "run_name", "individual", "gt")
+
+
+# Kept searches: written once, charted by their token
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[Dataset, str]:
+    """A dataset in buckets, and the token of a search of it; both go when Python ends."""
+    token = f"q{uuid.uuid4().hex}"
+    data = selections.keep_dataset(tables.dataset(spark, sf_dir), token)
+    groups = (Group("a", _FIVE_EACH[0], maf=(10, 50)), Group("b", _FIVE_EACH[1], pattern="Not all the same"))
+    selections.keep_search(data, SearchRequest(variant_types=("SNP",), groups=groups), token)
+
+    def drop() -> None:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            selections.forget(spark, token)
+            selections.forget_dataset(spark, token)
+
+    atexit.register(drop)
+    return data, token
+
+
+_KEPT_PARTS = (
+    VARIANTS_SQL,
+    GENOTYPES_SQL,
+    COHERENT_SQL,
+    STATS_SQL.replace("stats AS", "one AS").format(cells="(SELECT * FROM resolved WHERE individual IN ('ind0', 'ind1', 'ind2', 'ind3', 'ind4'))"),
+    STATS_SQL.replace("stats AS", "other AS").format(cells="(SELECT * FROM resolved WHERE individual IN ('ind5', 'ind6', 'ind7', 'ind8', 'ind9'))"),
+    "kept AS (SELECT v.* FROM variants v JOIN one a USING (variant_id) JOIN other b USING (variant_id) WHERE type = 'SNP' AND least(a.f, 100 - a.f) BETWEEN 10 AND 50 AND b.n_distinct > 1)",
+)
+
+
+@query("SELECT variant_id, type, chrom, start_site FROM kept", *_KEPT_PARTS)
+def kept_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(selections.kept_search(spark, _kept(spark, sf_dir)[1]))
+
+
+@query(ORACLE_SQL["window_heterozygosity"].removeprefix(f"WITH {', '.join(_CHART)}"), *_KEPT_PARTS, CHART_SQL.replace("FROM variants", "FROM kept"), SPINE_SQL)
+def kept_heterozygosity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(selections.chart_of_kept(*_kept(spark, sf_dir), CHART, "heterozygosity"), "heterozygosity")
+
+
+@query(
+    "SELECT coalesce(chrom, '0') || ' ' || variant_id || ' 0 ' || coalesce(start_site, 0) AS line FROM kept WHERE type IN ('SNP', 'MNP', 'INDEL', 'MIXED', 'NO_VARIATION')",
+    *_KEPT_PARTS,
+)
+def kept_plink_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of an export that takes its variants from a kept search."""
+    data, token = _kept(spark, sf_dir)
+    return exports.export(data, "PLINK", selected=selections.kept_search(spark, token))["map"].select("line")
+
+
+# Other ploidies, phased genotypes and third alleles
+
+
+def _ploidy_sql(ploidy: int) -> str:
+    joined = lambda separator: f"array_to_string([CAST((h + c * c * (ind % 3 + 1)) % n AS VARCHAR) FOR c IN range({ploidy})], '{separator}')"
+    gt = f"CASE WHEN (pk + ind) % 2 = 0 THEN {joined('|')} ELSE {joined('/')} END" if ploidy == 2 else joined("/")
+    return f"""genotypes AS (
+    SELECT 'v' || pk AS variant_id, 1 AS project_id, 'run' || run AS run_name, CAST(ind * 2 + run AS INT) AS callset_id, 'ind' || ind AS individual, 'pop' || (ind % 3) AS population,
+           CASE WHEN s % 11 = 0 THEN NULL ELSE {gt} END AS gt, CAST(dp AS INT) AS dp
+    FROM (SELECT r.*, pk * 37 + ind * (11 + pk % 5) + (pk % 7) * (ind % 3) * 3 + CASE WHEN s % 13 = 0 THEN 5 ELSE 0 END AS h, CASE WHEN p_type = 'PROMO' THEN 3 ELSE 2 END AS n
+          FROM (SELECT l_partkey AS pk, l_suppkey % 20 AS ind, l_linenumber % 2 + 1 AS run, SUM(l_linenumber) AS s, SUM(CAST(l_quantity AS INT)) AS dp FROM lineitem GROUP BY ALL) r JOIN part ON p_partkey = pk))"""
+
+
+def _of_ploidy(spark: SparkSession, sf_dir: str, ploidy: int) -> Dataset:
+    return tables.dataset(spark, sf_dir, genotypes=tables.of_ploidy(spark, sf_dir, ploidy), ploidies={1: ploidy})
+
+
+#: Each genotype's alleles by name.
+_NAMED = "(CASE WHEN gt IS NOT NULL THEN list_transform(string_split_regex(gt, '[/|]'), lambda x: alleles[CAST(x AS INT) + 1]) END)"
+
+
+def _poly_chart(ploidy: int, statistic: str, resolved_sql: str = COHERENT_SQL, edit: Callable[[str], str] = lambda sql: sql, packed: bool = False) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = _of_ploidy(spark, sf_dir, ploidy)
+        found = execution.chart(execution.packed_dataset(data) if packed else data, CHART, statistic)
+        return rounded(found, *[c for c, kind in found.dtypes if kind == "double"])
+
+    run.__name__ = f"ploidy{ploidy}_{statistic}" + "_packed" * packed
+    query(edit(ORACLE_SQL[f"window_{statistic}"].removeprefix(f"WITH {', '.join(_CHART)}")), VARIANTS_SQL, _ploidy_sql(ploidy), resolved_sql, CHART_SQL, SPINE_SQL)(run)
+
+
+#: Diploid codes whatever their phase and order, for statistics to which these are alike.
+_UNPHASED = COHERENT_SQL.replace("min(gt) AS gt", "CASE WHEN min(gt) IN ('0/0', '0|0') THEN '0/0' WHEN min(gt) IN ('1/1', '1|1') THEN '1/1' ELSE '0/1' END AS gt")
+for _packed_too in (False, True):
+    _poly_chart(1, "maf", edit=lambda sql: sql.replace("'0/1'", "'1'"), packed=_packed_too)
+    _poly_chart(2, "maf", packed=_packed_too)
+    _poly_chart(2, "fst", _UNPHASED, packed=_packed_too)
+    _poly_chart(2, "tajima_d", _UNPHASED, packed=_packed_too)
+    _poly_chart(4, "maf", packed=_packed_too)
+
+
+def _poly_lines(ploidy: int, format: str, kind: str, sql: str, *heads: str, by_marker: bool = False) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = exports.export(_of_ploidy(spark, sf_dir, ploidy), format)[kind]
+        if by_marker:
+            return found.select("line")
+        return found.groupBy("ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("line")).select("line")
+
+    run.__name__ = f"ploidy{ploidy}_{format.lower()}"
+    group = "variant_id, type, chrom, start_site, end_site, alleles" if by_marker else "individual, population, k"
+    types = f"type IN ({', '.join(map(repr, formats.FORMATS[format].variant_types))})" if formats.FORMATS[format].variant_types else "true"
+    query(f"SELECT {sql} AS line FROM cells WHERE {types} GROUP BY {group}" + "".join(f" UNION ALL SELECT {h}" for h in heads), VARIANTS_SQL, _ploidy_sql(ploidy), CELLS_SQL)(run)
+
+
+for _n in (1, 2, 4):
+    _poly_lines(
+        _n, "FLAPJACK", "genotype", f"individual || '\t' || {_row(f"CASE WHEN gt IS NULL THEN '-' WHEN len(list_distinct({_NAMED})) = 1 THEN {_NAMED}[1] ELSE array_to_string({_NAMED}, '/') END", 'chr(9)')}",
+        "'# fjFile = GENOTYPE'", f"chr(9) || {_MARKER_NAMES}",
+    )
+    _poly_lines(
+        _n, "DARwin", "var", f"(k + 1) || '\t' || {_row(f"CASE WHEN gt IS NULL THEN array_to_string(list_transform(range({_n}), lambda x: '-1'), chr(9)) ELSE array_to_string(list_transform({_NAMED}, lambda a: CAST(strpos('AGT', a) - 1 AS VARCHAR)), chr(9)) END", 'chr(9)')}",
+        f"'@DARwin 5.0 - ALLELIC - {_n}'", f"(SELECT count(*) FROM people) || chr(9) || {_n} * (SELECT count(*) FROM variants)",
+        f"'N°' || chr(9) || (SELECT string_agg(array_to_string(list_transform(range({_n}), lambda x: variant_id), chr(9)), chr(9) ORDER BY ord) FROM (SELECT DISTINCT variant_id, ord FROM cells))",
+    )
+    _poly_lines(
+        _n, "HAPMAP", "hapmap", f"variant_id || '\t' || array_to_string(alleles, '/') || '\t' || {_PLACE.format(t=chr(9))} || '\t+\tNA\tNA\tNA\tNA\tNA\tNA\t' || {_joined(f"CASE WHEN gt IS NULL THEN 'NN' WHEN type = 'SNP' THEN array_to_string({_NAMED}, '') ELSE array_to_string({_NAMED}, '/') END")}",
+        "'rs#\talleles\tchrom\tpos\tstrand\tassembly#\tcenter\tprotLSID\tassayLSID\tpanelLSID\tQCcode\t' || " + _NAMES, by_marker=True,
+    )

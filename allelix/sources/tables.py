@@ -24,6 +24,19 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def of_ploidy(spark: SparkSession, sf_dir: str, ploidy: int) -> DataFrame:
+    """Genotypes as `genotypes` gives them, but of so many alleles each, the third one too where a variant has three; half of the diploid ones are phased."""
+    raw = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pk"), (F.col("l_suppkey") % 20).alias("ind"), (F.col("l_linenumber") % 2 + 1).alias("run")).agg(F.sum("l_linenumber").alias("s"), F.sum(F.col("l_quantity").cast("int")).alias("dp"))
+    known = read(spark, sf_dir, "part").selectExpr("p_partkey AS pk", "CASE WHEN p_type = 'PROMO' THEN 3 ELSE 2 END AS n")
+    h = "(pk * 37 + ind * (11 + pk % 5) + (pk % 7) * (ind % 3) * 3 + CASE WHEN s % 13 = 0 THEN 5 ELSE 0 END)"
+    separator = "CASE WHEN (pk + ind) % 2 = 0 THEN '|' ELSE '/' END" if ploidy == 2 else "'/'"
+    return raw.join(known, "pk").selectExpr(
+        "concat('v', cast(pk as string)) AS variant_id", "1 AS project_id", "concat('run', cast(run as string)) AS run_name", "cast(ind * 2 + run as int) AS callset_id",
+        "concat('ind', cast(ind as string)) AS individual", "concat('pop', cast(ind % 3 as string)) AS population",
+        f"CASE WHEN s % 11 = 0 THEN NULL ELSE array_join(transform(sequence(0, {ploidy - 1}), c -> cast(({h} + c * c * (ind % 3 + 1)) % n as string)), {separator}) END AS gt", "cast(dp as int) AS dp",
+    )
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(variant_id, type, chrom, start_site, end_site, alleles); some are unplaced, some have three alleles."""
     return (
