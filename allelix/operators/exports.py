@@ -17,6 +17,7 @@ from ..functions.genotypes import natural_key, reference_code
 from ..functions.text import expand_url, parse_online_tool
 from ..plans.execution import Selection, ploidy_of, selection
 from ..plans.requests import SearchRequest
+from ..runtime import written
 from ..sources.dataset import Dataset
 from . import formats, matrix, resolution, tree
 
@@ -94,9 +95,12 @@ def _vcf(e: Export) -> dict[str, DataFrame]:
     contigs = list(e.data.contigs) or [(r["chrom"], None) for r in e.chosen.variants.where("chrom is not null").select("chrom").distinct().orderBy(natural_key(F.col("chrom"))).collect()]
     names = tuple(sorted({f for r in e.data.sites.select(F.explode("filters").alias("f")).distinct().collect() for f in r})) if e.data.sites is not None else ()
     fields = tuple(f for f in e.chosen.genotypes.columns if f not in {"variant_id", "project_id", "run_name", "callset_id", "individual", "population", "gt"})
+    numbers = {f: int(n) for f, (n, _, _) in e.data.formats.items() if n.isdigit()}
     found = resolution.majority(e.chosen.genotypes, fields)
-    markers = formats.marker_table(e.chosen.variants, found, e.names, e.data.synonyms)
-    lines = formats.vcf(markers, e.names, found, fields, contigs, e.data.assembly, e.data.sites, names)
+    keys = tuple(sorted(fields))
+    shown = found.withColumn("values", formats.vcf_fields(found, keys, numbers)) if keys else found
+    markers = formats.marker_table(e.chosen.variants, shown, e.names, e.data.synonyms, ("values",) if keys else ())
+    lines = formats.vcf(markers, e.names, None, fields, contigs, e.data.assembly, e.data.sites, names, numbers, e.data.formats)
     return {"vcf": lines, **e.remarks(_text("/"))}
 
 
@@ -155,8 +159,8 @@ def _nexus(e: Export) -> dict[str, DataFrame]:
 
 def _distances(kind: str, measure: Callable[[DataFrame, list[str]], DataFrame]) -> Callable[[Export], dict[str, DataFrame]]:
     def files(e: Export) -> dict[str, DataFrame]:
-        kept, names, left_out = matrix.enough_data(e.markers, e.names, kind)
-        found = measure(kept, names)
+        kept, names, left_out = matrix.enough_data(written(e.markers.select("variant_id", "gts"), "markers"), e.names, kind)
+        found = written(measure(kept, names), "distances")
         newick = tree.tree_of(found, names).select(F.lit("").alias("ord"), F.col("newick").alias("line"))
         text = matrix.matrix_text(found, names).select(F.lpad(F.col("ord").cast("string"), 10, "0").alias("ord"), "line")
         exported = reference_code(F.col("gt")) if kind == "ASD" else _text("/", "")
@@ -166,8 +170,9 @@ def _distances(kind: str, measure: Callable[[DataFrame, list[str]], DataFrame])
 
 
 def _pca(e: Export) -> dict[str, DataFrame]:
-    z = matrix.standardized(matrix.variant_missing(e.markers))
-    return {"pca": matrix.pca_lines(*matrix.principal_components(z, e.names)), **e.remarks(reference_code(F.col("gt")), matrix.too_few_calls(e.markers))}
+    markers = written(e.markers.select("variant_id", "name", "ord", "gts"), "markers")
+    z = matrix.standardized(matrix.variant_missing(markers))
+    return {"pca": matrix.pca_lines(*matrix.principal_components(z, e.names)), **e.remarks(reference_code(F.col("gt")), matrix.too_few_calls(markers))}
 
 
 WRITERS: dict[str, Callable[[Export], dict[str, DataFrame]]] = {

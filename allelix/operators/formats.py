@@ -34,11 +34,11 @@ def site_table(variants: DataFrame, synonyms: DataFrame | None = None) -> DataFr
     )
 
 
-def marker_table(variants: DataFrame, resolved: DataFrame, individuals: list[str], synonyms: DataFrame | None = None) -> DataFrame:
-    """site_table with `gts`, all null where a variant has no genotypes."""
+def marker_table(variants: DataFrame, resolved: DataFrame, individuals: list[str], synonyms: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """site_table with `gts`, all null where a variant has no genotypes, and arrays of more columns of the resolved genotypes."""
     nothing = F.array_repeat(F.lit(None).cast("string"), len(individuals))
-    found = site_table(variants, synonyms).join(dense(resolved, individuals), "variant_id", "left")
-    return found.withColumn("gts", F.coalesce("gts", nothing))
+    found = site_table(variants, synonyms).join(dense(resolved, individuals, more), "variant_id", "left")
+    return found.withColumns({c: F.coalesce(c, nothing) for c in ("gts", *more)})
 
 
 def chrom() -> Column:
@@ -145,9 +145,13 @@ def gff3(markers: DataFrame, individuals: list[str]) -> DataFrame:
     return headed(markers.select("ord", line.alias("line")), "##gff-version 3")
 
 
-def vcf_header(individuals: list[str], contigs: list[tuple[str, int | None]], fields: tuple[str, ...] = (), assembly: str | None = None, info: StructType | None = None, filters: tuple[str, ...] = (), numbers: dict[str, int] | None = None) -> list[str]:
-    """Version, sorted meta lines and column names; fields: FORMAT fields beside GT, numbers: how many values one has (1 if not said)."""
-    meta = ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', *[f'##FORMAT=<ID={f.upper()},Number={(numbers or {}).get(f, 1)},Type=Float,Description="{f}">' for f in fields]]
+def vcf_header(individuals: list[str], contigs: list[tuple[str, int | None]], fields: tuple[str, ...] = (), assembly: str | None = None, info: StructType | None = None, filters: tuple[str, ...] = (), numbers: dict[str, int] | None = None, declared: dict[str, tuple[str, str, str]] | None = None) -> list[str]:
+    """Version, sorted meta lines and column names; fields: FORMAT fields beside GT, numbers: how many values one has (1 if not said).
+
+    declared: number, type and description of fields as their files' headers declare them; fields of none are numbers.
+    """
+    known = {f: (str((numbers or {}).get(f, 1)), "Float", f) for f in fields} | {f: d for f, d in (declared or {}).items() if f in fields}
+    meta = ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', *[f'##FORMAT=<ID={f.upper()},Number={n},Type={kind},Description="{text}">' for f, (n, kind, text) in known.items()]]
     meta += [f"##contig=<ID={name}" + (f",length={n}" if n else "") + (f",assembly={assembly}" if assembly else "") + ">" for name, n in contigs]
     for f in info.fields if info is not None else []:
         kind = f.dataType.elementType if isinstance(f.dataType, ArrayType) else f.dataType
@@ -174,22 +178,31 @@ def vcf_info(info: Column, kind: StructType) -> Column:
     return F.when(found == "", ".").otherwise(found)
 
 
+def no_value(field: str, numbers: dict[str, int] | None) -> str:
+    return ",".join("." for _ in range((numbers or {}).get(field, 1)))
+
+
+def vcf_fields(fields: DataFrame, keys: tuple[str, ...], numbers: dict[str, int] | None = None) -> Column:
+    """The fields of a genotype, in order, as its text has them."""
+    return F.concat_ws(":", *[F.when(F.col(f).isNull(), no_value(f, numbers)).otherwise(vcf_value(F.col(f), fields.schema[f].dataType)) for f in keys])
+
+
 def vcf(
     markers: DataFrame, individuals: list[str], fields: DataFrame | None = None, field_names: tuple[str, ...] = (), contigs: list[tuple[str, int | None]] | None = None, assembly: str | None = None,
-    sites: DataFrame | None = None, filter_names: tuple[str, ...] = (), numbers: dict[str, int] | None = None,
+    sites: DataFrame | None = None, filter_names: tuple[str, ...] = (), numbers: dict[str, int] | None = None, declared: dict[str, tuple[str, str, str]] | None = None,
 ) -> DataFrame:
-    """A file of records. fields: (variant_id, individual, the named fields), which follow GT in sorted order; sites: (variant_id, qual, filters, info).
+    """A file of records. Where markers have `values`, these are the fields' texts; else fields: (variant_id, individual, the named fields), which follow GT in sorted order; sites: (variant_id, qual, filters, info).
 
     Each of these may be missing for a variant: then a point stands for it, and as many as a field's number says.
     """
     keys = tuple(sorted(field_names))
     cells = F.transform("gts", lambda g: F.coalesce(g, F.lit("./.")))
     if keys:
-        none = {f: ",".join("." for _ in range((numbers or {}).get(f, 1))) for f in keys}
-        shown = F.concat_ws(":", *[F.when(F.col(f).isNull(), none[f]).otherwise(vcf_value(F.col(f), fields.schema[f].dataType)) for f in keys])
-        values = dense(fields.select("variant_id", "individual", shown.alias("gt")), individuals).withColumnRenamed("gts", "values")
-        markers = markers.join(values, "variant_id", "left")
-        cells = F.transform(cells, lambda g, i: F.concat(g, F.lit(":"), F.coalesce(F.get("values", i), F.lit(":".join(none.values())))))
+        if "values" not in markers.columns:
+            values = dense(fields.select("variant_id", "individual", vcf_fields(fields, keys, numbers).alias("gt")), individuals).withColumnRenamed("gts", "values")
+            markers = markers.join(values, "variant_id", "left")
+        none = ":".join(no_value(f, numbers) for f in keys)
+        cells = F.transform(cells, lambda g, i: F.concat(g, F.lit(":"), F.coalesce(F.get("values", i), F.lit(none))))
     quality, filters, info, info_type = F.lit("."), F.lit("."), F.lit("."), None
     if sites is not None:
         info_type = sites.schema["info"].dataType
@@ -200,7 +213,7 @@ def vcf(
         "\t", chrom(), pos(), "name", F.element_at("alleles", 1), F.when(F.size("alleles") > 1, alternatives).otherwise("."), quality, filters, info,
         F.lit(":".join(["GT", *[k.upper() for k in keys]])), F.array_join(cells, "\t"),
     )
-    return headed(markers.select("ord", line.alias("line")), *vcf_header(individuals, contigs or [], keys, assembly, info_type, filter_names, numbers))
+    return headed(markers.select("ord", line.alias("line")), *vcf_header(individuals, contigs or [], keys, assembly, info_type, filter_names, numbers, declared))
 
 
 def igv_sites(variants: DataFrame) -> DataFrame:

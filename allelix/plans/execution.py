@@ -146,8 +146,10 @@ def chart(data: Dataset, request: ChartRequest, statistic: str, samples: bool =
     variants = selected_variants(data, request, samples) if selected is None else filters.filter_chart(selected, request)
     if statistic == "density":
         return windows.density(variants, bins_of(data, request, variants))
-    members = members_of(data, request.groups, samples)
-    pooled = members.select("individual").distinct()
+    # entities are a dimension that the driver holds; as a lookup they meet genotypes where these are
+    spark, members = data.people.sparkSession, [(r["individual"], r["name"]) for r in members_of(data, request.groups, samples).collect()]
+    names = list(dict.fromkeys(i for i, _ in members))
+    pooled = lookup(spark, [(i,) for i in names], "individual string")
     if statistic == "field_mean":
         field = request.vcf_field if isinstance(request, FieldPlotRequest) else "dp"
         found = with_thresholds(genotypes_of(data, request, samples).join(pooled, "individual", "left_semi"), request.groups)
@@ -159,10 +161,10 @@ def chart(data: Dataset, request: ChartRequest, statistic: str, samples: bool =
     genotypes = with_thresholds(genotypes_of(data, request, samples), request.groups).join(variants.select("variant_id"), "variant_id", "left_semi")
     resolved = coherent(genotypes.join(pooled, "individual", "left_semi"), data.placed)
     if statistic == "fst" and request.groups:
-        resolved = resolved.drop("population").join(members.select("individual", F.col("name").alias("population")), "individual")
+        resolved = resolved.drop("population").join(lookup(spark, members, "individual string, population string"), "individual")
     if statistic == "maf":
         return windows.minor_allele_frequency(variants, resolved, bins, ploidy_of(data, request))
-    return STATISTICS[statistic](variants, resolved, bins, lambda: pooled.count())
+    return STATISTICS[statistic](variants, resolved, bins, lambda: len(names))
 
 
 def packed_chart(data: Dataset, packed: vectors.Packed, request: ChartRequest, statistic: str) -> DataFrame:

@@ -662,6 +662,12 @@ def pca_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.pca_lines(*matrix.principal_components(z, names)).select("line")
 
 
+@query()
+def pca_thin_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading components without a matrix of individuals by individuals."""
+    return matrix.thin_components(*_standardized(spark, sf_dir), components=5)[1]
+
+
 # Exports by name: the files beside the lines above
 
 #: Genotypes of which five individuals lack over half.

@@ -21,6 +21,7 @@ class Dataset:
     variant_id, info (a map with ANN, CSQ or EFF). sites: variant_id, qual, filters, info (a struct). contigs: names and
     lengths, in order. ploidies: that of each project, 2 if it isn't said.
     placed: variants and genotypes are tables in buckets by variant_id, so that neither is shuffled to meet the other.
+    formats: number, type and description of FORMAT fields as a VCF header declares them.
     packed: the genotypes as vectors, which charts and searches use where they can.
     """
 
@@ -34,5 +35,6 @@ class Dataset:
     contigs: tuple[tuple[str, int | None], ...] = ()
     assembly: str | None = None
     ploidies: dict[int, int] = field(default_factory=dict)
+    formats: dict[str, tuple[str, str, str]] = field(default_factory=dict)
     placed: bool = False
     packed: Packed | None = None
