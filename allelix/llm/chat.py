@@ -1,54 +1,106 @@
-"""Chat formatting: logged snapshots of a growing conversation are collapsed to the longest before rendering."""
+"""Chat formatting: logged snapshots of a growing conversation are collapsed to the longest before rendering.
+
+Prefixes of a conversation are told by a rolling hash that can be put together from stretches: a conversation may lie in
+several tasks, each of which hashes its own turns, and what stands before is put in front afterwards. So a conversation
+that holds a third of all turns is no hot key; its rendered text comes in pieces of some turns.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Prefix hashes are polynomials in BASE modulo a prime: that of turns x and then y is hash(x) * BASE ** len(y) + hash(y).
+PRIME, BASE = 2**127 - 1, 0x5851F42D4C957F2D14057B7EF767814F
+#: So many turns make a piece.
+PIECE = 1000
+
+
+def local_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, n, prefix, last) beside every turn, from turns sorted by conversation: within this task, how many turns and their hash; last of its conversation here."""
+    part, state, at, held = TaskContext.get().partitionId(), 0, 0, None
 
-def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(prefix, conv_id, n_turns, last) for every turn, from turns sorted by conversation; one digest is all that is held."""
-    state, at, held, held_id = b"", 0, None, None
+    def marked(found: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, prefix, last = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(found), pa.int32()), pa.array(n, pa.int64()), pa.array(prefix, pa.binary()), pa.array(last)], [*batch.schema.names, "part", "n", "prefix", "last"])
+
+    name = object()
     for batch in batches:
-        ids, turns = batch.column(0), batch.column(1).to_pylist()
-        names = ids.to_pylist()
-        out: list[tuple[bytes, int, bool]] = []
-        owners = []
-        for name, turn in zip(names, turns, strict=True):
-            if held is not None:
-                out.append((*held, name != held_id))
-                owners.append(held_id)
-            if held is None or name != held_id:
-                state, at = b"", 0
-            state, at = hashlib.blake2b(state + turn, digest_size=16).digest(), at + 1
-            held, held_id = (state, at), name
-        if out:
-            yield rows(out, owners, ids.type)
+        found: list[tuple] = []
+        for conv, said in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if conv != name:
+                if found:
+                    found[-1] = (*found[-1][:2], True)
+                elif held is not None:
+                    held = ([(*held[0][0][:2], True)], held[1])
+                name, state, at = conv, 0, 0
+            if held is not None and not found:
+                yield marked(*held)
+                held = None
+            state, at = (state * BASE + int.from_bytes(said, "big")) % PRIME, at + 1
+            found.append((at, state.to_bytes(16, "big"), False))
+        if found:  # the last turn of a batch waits for the next one
+            if len(found) > 1:
+                yield marked(found[:-1], batch.slice(0, len(found) - 1))
+            held = ([found[-1]], batch.slice(len(found) - 1, 1))
     if held is not None:
-        yield rows([(*held, True)], [held_id], None)
+        yield marked([(*held[0][0][:2], True)], held[1])
 
 
-def rows(out: list[tuple[bytes, int, bool]], owners: list, kind: pa.DataType | None) -> pa.RecordBatch:
-    prefix, n, last = zip(*out, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(prefix, pa.binary()), pa.array(owners, kind), pa.array(n, pa.int32()), pa.array(last)], ["prefix", "conv_id", "n_turns", "last"])
+def offsets(ends: list[tuple]) -> dict[tuple, tuple[int, int, bool]]:
+    """Of conversations that lie in several tasks, as (part, conversation, turns, prefix): how many turns stand before each stretch, their hash, and whether more follow."""
+    out: dict[tuple, tuple[int, int, bool]] = {}
+    before: dict[object, tuple[int, int, int]] = {}
+    for part, conv, n, prefix in sorted(ends, key=lambda e: e[0]):
+        count, state, last = before.get(conv, (0, 0, -1))
+        if last >= 0:
+            out[last, conv] = (*out[last, conv][:2], True)
+        out[part, conv] = (count, state, False)
+        before[conv] = (count + n, (state * pow(BASE, n, PRIME) + int.from_bytes(prefix, "big")) % PRIME, part)
+    return out
 
 
-def maximal_conversations(turns: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, n_turns) of the conversations of (conv_id, turn, said) that begin no longer one; of equal ones, the smallest id."""
+def prefixes_of(turns: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, turn, said, prefix, n, last) of the distinct turns (conv_id, turn, said): the hash and number of all turns up to each."""
+    kinds = {c: turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
     once = turns.select("conv_id", "turn", "said").distinct()
-    kind = turns.schema["conv_id"].dataType.simpleString()
-    ordered = once.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "said").select("conv_id", F.unhex("said"))
-    prefixes = scratch.write(ordered.mapInArrow(chain, f"prefix binary, conv_id {kind}, n_turns int, last boolean"), "prefixes")
-    whole = prefixes.where("last").groupBy("prefix").agg(F.min("conv_id").alias("conv_id"), F.first("n_turns").alias("n_turns"))
-    begun = prefixes.where("not last").select("prefix").distinct()
-    return whole.join(begun, "prefix", "left_anti").select("conv_id", "n_turns")
+    ordered = once.repartitionByRange("conv_id", "turn", "said").sortWithinPartitions("conv_id", "turn", "said")
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, said binary, part int, n long, prefix binary, last boolean"
+    local = scratch.write(ordered.mapInArrow(local_prefixes, schema), "local prefixes")
+    # a row for each task at most lies at its border with the next, so these few are the driver's
+    ends = local.where("last")
+    several = ends.groupBy("conv_id").agg(F.count("*").alias("parts")).where("parts > 1")
+    found = offsets([(r["part"], r["conv_id"], r["n"], bytes(r["prefix"])) for r in ends.join(several, "conv_id").select("part", "conv_id", "n", "prefix").collect()])
+    shared = turns.sparkSession.sparkContext.broadcast(found)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            n, prefix, last = (batch.column(c).to_pylist() for c in ("n", "prefix", "last"))
+            if known:
+                for k, place in enumerate(zip(batch.column("part").to_pylist(), batch.column("conv_id").to_pylist(), strict=True)):
+                    if place in known:
+                        count, state, more = known[place]
+                        prefix[k] = ((state * pow(BASE, n[k], PRIME) + int.from_bytes(prefix[k], "big")) % PRIME).to_bytes(16, "big")
+                        n[k], last[k] = n[k] + count, last[k] and not more
+            columns = [*(batch.column(c) for c in ("conv_id", "turn", "said")), pa.array(prefix, pa.binary()), pa.array(n, pa.int64()), pa.array(last)]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "said", "prefix", "n", "last"])
+
+    return scratch.write(local.mapInArrow(whole, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, said binary, prefix binary, n long, last boolean"), "prefixes")
+
+
+def maximal(prefixes: DataFrame) -> DataFrame:
+    """(conv_id, n_turns) of the conversations that begin no longer one; of equal ones, the smallest id."""
+    whole = prefixes.where("last").groupBy("prefix", "n").agg(F.min("conv_id").alias("conv_id"))
+    begun = prefixes.where("not last").select("prefix", "n").distinct()
+    return whole.join(begun, ["prefix", "n"], "left_anti").select("conv_id", F.col("n").alias("n_turns"))
 
 
 def escaped(text: Column, marker: str) -> Column:
@@ -58,27 +110,38 @@ def escaped(text: Column, marker: str) -> Column:
     return F.regexp_replace(text, rf"{first}(\\*){rest}", f"{quoted(marker[0])}\\\\$1{quoted(marker[1:])}")
 
 
-def format_chats(df: DataFrame, scratch: Scratch | None = None, before: str = "<|", between: str = "|>\n", after: str = "\n") -> DataFrame:
-    """(conv_id, n_turns, rendered): each conversation that is no snapshot of a longer one, as one text.
-
-    df: (conv_id, turn, role, text), extra columns are dropped. A conversation is its turns by `turn`; null roles and
-    texts count as empty, a null turn comes first, repeated rows count once, rows with equal turn are ordered by a
-    digest of what they say. Rows without conv_id belong to no conversation and go. A conversation whose turns all begin a longer one goes; of equal
-    ones the smallest conv_id stays. Prefixes are equal if 128-bit digests are. A turn is rendered as before + role +
-    between + text + after. So that no text can pose as a turn, `<|` in texts and roles is written `<\\|`, and `|>` in
-    roles `|\\>` (of what already has backslashes there, with one more). An empty table gives no rows; texts of any length
-    stay whole, as long as a conversation fits one string.
-    """
+def chat_pieces(df: DataFrame, scratch: Scratch | None = None, before: str = "<|", between: str = "|>\n", after: str = "\n", piece: int = PIECE) -> DataFrame:
+    """(conv_id, n_turns, piece, rendered): what format_chats gives, in pieces of so many turns, numbered from 0, whose texts in order are a conversation's."""
     if min(len(before.strip()), len(between.strip())) < 2:
         raise ValueError("markers need two characters")
     scratch = scratch or Scratch(df.sparkSession)
     turns = df.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    said = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))
-    turns = turns.withColumn("said", said)
+    turns = turns.withColumn("said", F.unhex(F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))))
     with Scratch(df.sparkSession) as own:
-        kept = scratch.write(maximal_conversations(turns, own), "maximal conversations")
+        prefixes = prefixes_of(turns, own)
+        places = prefixes.select("conv_id", "turn", "said", (F.col("n") - 1).alias("at")).join(maximal(prefixes), "conv_id")
+        places = scratch.write(places.select("conv_id", "n_turns", F.col("turn").alias("_turn"), F.col("said").alias("_said"), "at"), "turns of maximal conversations")
     role = escaped(escaped(F.col("role"), before.strip()), between.strip())
     shown = F.concat(F.lit(before), role, F.lit(between), escaped(F.col("text"), before.strip()), F.lit(after))
-    parts = turns.join(kept, "conv_id").select("conv_id", "n_turns", F.struct("turn", "said", shown.alias("shown")).alias("part"))
-    texts = parts.groupBy("conv_id").agg(F.first("n_turns").cast("long").alias("n_turns"), F.sort_array(F.collect_set("part")).alias("parts"))
-    return texts.select("conv_id", "n_turns", F.array_join(F.transform("parts", lambda p: p["shown"]), "").alias("rendered"))
+    # texts meet their places turn by turn, so that a conversation's don't all meet in one task
+    rows = turns.select(F.col("conv_id").alias("_conv"), "turn", "said", shown.alias("shown"))
+    met = rows.join(places, (F.col("_conv") == F.col("conv_id")) & F.col("turn").eqNullSafe(F.col("_turn")) & (F.col("said") == F.col("_said")))
+    pieces = met.groupBy("conv_id", F.floor(F.col("at") / piece).alias("piece")).agg(F.first("n_turns").alias("n_turns"), F.sort_array(F.collect_set(F.struct("at", "shown"))).alias("parts"))
+    return pieces.select("conv_id", "n_turns", "piece", F.array_join(F.transform("parts", lambda p: p["shown"]), "").alias("rendered"))
+
+
+def format_chats(df: DataFrame, scratch: Scratch | None = None, before: str = "<|", between: str = "|>\n", after: str = "\n", piece: int = PIECE) -> DataFrame:
+    """(conv_id, n_turns, rendered): each conversation that is no snapshot of a longer one, as one text.
+
+    df: (conv_id, turn, role, text), extra columns are dropped. A conversation is its turns by `turn`; null roles and
+    texts count as empty, a null turn comes first, repeated rows count once, rows with equal turn are ordered by a
+    digest of what they say. Rows without conv_id belong to no conversation and go. A conversation whose turns all begin
+    a longer one goes; of equal ones the smallest conv_id stays. Prefixes are equal if their numbers of turns and 127-bit
+    hashes are. A turn is rendered as before + role + between + text + after. So that no text can pose as a turn, `<|` in
+    texts and roles is written `<\\|`, and `|>` in roles `|\\>` (of what already has backslashes there, with one more). An
+    empty table gives no rows; texts of any length stay whole. A conversation that doesn't fit one string (2 GB) has to be
+    taken as `chat_pieces` gives it.
+    """
+    pieces = chat_pieces(df, scratch, before, between, after, piece)
+    whole = pieces.groupBy("conv_id").agg(F.first("n_turns").alias("n_turns"), F.sort_array(F.collect_list(F.struct("piece", "rendered"))).alias("pieces"))
+    return whole.select("conv_id", "n_turns", F.array_join(F.transform("pieces", lambda p: p["rendered"]), "").alias("rendered"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from test_operators import DOCS, clashing, components_by_force, documents, family, rows, sets_of
 
-from allelix.llm import audit, common, fim, jaccard_join, quality, queries, secret_scan, urls
+from allelix.llm import audit, chat, common, fim, jaccard_join, quality, queries, secret_scan, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -244,3 +244,40 @@ def test_paths_of_long_slugs_are_no_secrets_and_keys_around_a_word_are():
     assert secret_scan.entropy_spans("https://example.com/articles/2024/05/how-to-cook-rice-and-beans-42") == []
     for key in ("q7Zp2XvK9mLdexampleR4tW8yB3nHs6", "q7Zp2XvK9mLdR4tW8yB3nHs6"):
         assert [s[2] for s in secret_scan.entropy_spans(f"key {key} here")] == ["entropy_base64"]
+
+
+def test_a_conversation_over_many_tasks_is_hashed_and_rendered_whole(spark):
+    rng = random.Random(8)
+    long = [(1, k, "user", f"turn {k}") for k in range(3000)]
+    snapshot, other = [(2, k, r, t) for _, k, r, t in long[:2500]], [(3, k, r, t if k != 1234 else "else") for _, k, r, t in long]
+    short = [(k, j, "user", str(rng.randrange(2))) for k in range(4, 60) for j in range(rng.randrange(1, 6))]
+    rows_ = [*long, *snapshot, *other, *short, *long[:50]]
+    rng.shuffle(rows_)
+    df = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string").repartition(6)
+    got = {r.conv_id: (r.n_turns, r.rendered) for r in chat.format_chats(df).collect()}
+    said = {}
+    for c, _, _, t in sorted({*rows_}):
+        said.setdefault(c, []).append(t)
+    heads = {tuple(ts[:k]) for ts in said.values() for k in range(len(ts))}
+    want, seen = {}, set()
+    for c, ts in sorted(said.items()):
+        if tuple(ts) not in heads and tuple(ts) not in seen:
+            seen.add(tuple(ts))
+            want[c] = (len(ts), "".join(f"<|user|>\n{t}\n" for t in ts))
+    assert got == want and set(got) >= {1, 3} and 2 not in got
+    pieces = chat.chat_pieces(df, piece=100).where("conv_id = 1").orderBy("piece").collect()
+    assert len(pieces) == 30 and "".join(p.rendered for p in pieces) == want[1][1]
+
+
+def test_stretches_of_turns_hash_as_the_whole():
+    turns = [bytes([k]) * 16 for k in range(9)]
+
+    def whole(ts):
+        state = 0
+        for t in ts:
+            state = (state * chat.BASE + int.from_bytes(t, "big")) % chat.PRIME
+        return state
+
+    ends = [(p, "c", 3, whole(turns[3 * p : 3 * p + 3]).to_bytes(16, "big")) for p in range(3)]
+    found = chat.offsets(ends[::-1])
+    assert found == {(p, "c"): (3 * p, whole(turns[: 3 * p]), p < 2) for p in range(3)}
