@@ -48,6 +48,11 @@ class Export:
         """Markers without genotypes, for files that need none."""
         return formats.site_table(self.chosen.variants, self.data.synonyms)
 
+    @cached_property
+    def bounds(self) -> list[str]:
+        """Where the pieces of unplaced markers begin."""
+        return formats.unplaced_bounds(self.sites)
+
     @cached_property
     def people(self) -> DataFrame:
         rows = [(i, p) for i, p in self.chosen.populations.items()]
@@ -110,14 +115,14 @@ def _vcf_gz(e: Export) -> dict[str, DataFrame]:
 
 
 def _plink(e: Export) -> dict[str, DataFrame]:
-    known = F.array(*[F.lit(e.chosen.populations.get(i) or ".") for i in e.names])
-    head = F.concat_ws(" ", F.get(known, F.col("k")), "individual", F.lit("0 0 0 U"))
+    heads = {i: f"{p or '.'} {i} 0 0 0 U" for i, p in e.chosen.populations.items()}
+    head = heads.__getitem__
     cells = F.transform(formats.two_bases("0"), lambda b: F.array_join(b, " "))
     return {"ped": _pieces(e, cells, head, " "), **e.map(), **e.remarks(_text("/", ""), resolution.many_alleles(e.cells(e.resolved)))}
 
 
-def _pieces(e: Export, cells: Column, head: Column, separator: str, markers: DataFrame | None = None) -> DataFrame:
-    return formats.in_pieces(e.markers if markers is None else markers, e.names, cells, head, separator)
+def _pieces(e: Export, cells: Column, head: Callable[[str], str], separator: str, markers: DataFrame | None = None) -> DataFrame:
+    return formats.in_pieces(e.markers if markers is None else markers, e.names, cells, head, separator, e.bounds)
 
 
 def _first(e: Export, *lines: str) -> DataFrame:
@@ -126,40 +131,41 @@ def _first(e: Export, *lines: str) -> DataFrame:
 
 
 def _flapjack(e: Export) -> dict[str, DataFrame]:
-    rows = _pieces(e, formats.flapjack_cells(), F.col("individual"), "\t")
-    genotype = _first(e, "# fjFile = GENOTYPE").unionAll(formats.names_in_pieces(e.sites, 1, " 0001", "")).unionAll(rows)
+    rows = _pieces(e, formats.flapjack_cells(), str, "\t")
+    genotype = _first(e, "# fjFile = GENOTYPE").unionAll(formats.names_in_pieces(e.sites, 1, " 0001", "", e.bounds)).unionAll(rows)
     return {"genotype": genotype, "map": formats.flapjack_map(e.sites), "phenotype": formats.metadata_lines(e.people, "# fjFile = PHENOTYPE"), **e.remarks(_text("/", ""))}
 
 
 def _darwin(e: Export) -> dict[str, DataFrame]:
     ploidy = e.ploidy
-    rows = _pieces(e, formats.darwin_cells(ploidy), (F.col("k") + 1).cast("string"), "\t", formats.with_codes(e.markers))
+    places = {name: str(k + 1) for k, name in enumerate(e.names)}
+    rows = _pieces(e, formats.darwin_cells(ploidy), places.__getitem__, "\t", formats.with_codes(e.markers))
     size = e.sites.agg(F.concat_ws("\t", F.lit(len(e.names)), F.count("*") * ploidy).alias("text")).select(F.lit(" 0001").alias("ord"), F.lit("").alias("part"), "text")
-    var = _first(e, f"@DARwin 5.0 - ALLELIC - {ploidy}").unionAll(size).unionAll(formats.names_in_pieces(e.sites, ploidy, " 0002", "N°")).unionAll(rows)
+    var = _first(e, f"@DARwin 5.0 - ALLELIC - {ploidy}").unionAll(size).unionAll(formats.names_in_pieces(e.sites, ploidy, " 0002", "N°", e.bounds)).unionAll(rows)
     return {"var": var, "don": formats.darwin_individuals(e.people, e.names), **e.remarks(_text("/", ""))}
 
 
-def _alignment(e: Export, missing: str, head: Column) -> DataFrame:
+def _alignment(e: Export, missing: str, head: Callable[[str], str]) -> DataFrame:
     return _pieces(e, F.transform(formats.two_bases(missing), lambda b: F.array_join(b, "")), head, "")
 
 
 def _fasta(e: Export) -> dict[str, DataFrame]:
-    return {"fasta": _alignment(e, "-", F.concat(F.lit(">"), "individual", F.lit("\n"))), **e.map(), **e.remarks(_text("/", ""))}
+    return {"fasta": _alignment(e, "-", lambda name: f">{name}\n"), **e.map(), **e.remarks(_text("/", ""))}
 
 
 def _phylip(e: Export) -> dict[str, DataFrame]:
     head = formats.line_pieces(formats.phylip_head(e.sites, e.names))
-    return {"phy": head.unionAll(_alignment(e, "?", F.concat("individual", F.lit("\t")))), **e.map(), **e.remarks(_text("/", ""))}
+    return {"phy": head.unionAll(_alignment(e, "?", lambda name: f"{name}\t")), **e.map(), **e.remarks(_text("/", ""))}
 
 
 def _nexus(e: Export) -> dict[str, DataFrame]:
     frame = formats.line_pieces(formats.nexus_frame(e.sites, e.names))
-    return {"nxs": frame.unionAll(_alignment(e, "?", F.concat("individual", F.lit("\t")))), **e.map(), **e.remarks(_text("/", ""))}
+    return {"nxs": frame.unionAll(_alignment(e, "?", lambda name: f"{name}\t")), **e.map(), **e.remarks(_text("/", ""))}
 
 
 def _distances(kind: str, measure: Callable[[DataFrame, list[str]], DataFrame]) -> Callable[[Export], dict[str, DataFrame]]:
     def files(e: Export) -> dict[str, DataFrame]:
-        kept, names, left_out = matrix.enough_data(written(e.markers.select("variant_id", "gts"), "markers"), e.names, kind)
+        kept, names, left_out = matrix.enough_data(written(e.markers.select("variant_id", "alleles", "gts"), "markers"), e.names, kind, lacks=matrix.lacking_bases if kind == "NJ" else matrix.lacking)
         found = written(measure(kept, names), "distances")
         newick = tree.tree_of(found, names).select(F.lit("").alias("ord"), F.col("newick").alias("line"))
         text = matrix.matrix_text(found, names).select(F.lpad(F.col("ord").cast("string"), 10, "0").alias("ord"), "line")

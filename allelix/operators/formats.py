@@ -7,14 +7,16 @@ Every function returns (ord, line), or a column for the line's owner before it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructType
 
 from ..functions.genotypes import allele_indexes, allele_strings, natural_key, reference_code, vcf_quality, vcf_value
+from ..runtime import lookup
 from .matrix import dense
 
 #: Fixed names and numbers of the formats.
@@ -229,34 +231,58 @@ def plink_map(markers: DataFrame) -> DataFrame:
 PART_DIGITS = 6
 
 
-def marker_part() -> Column:
-    """The sequence and the leading digits of the place, whose order is that of the markers."""
-    return F.regexp_extract("ord", rf"^(.* \d{{{20 - PART_DIGITS}}})\d{{{PART_DIGITS}}} ", 1)
+#: So many unplaced markers make a part.
+UNPLACED = 10_000
 
 
-def by_individual(markers: DataFrame, individuals: list[str], cells: Column, pieces: bool = False) -> DataFrame:
+def unplaced_bounds(sites: DataFrame, most: int = UNPLACED) -> list[str]:
+    """The first markers (by ord) of the parts of unplaced ones: one for each `most` of them, and none if they are fewer.
+
+    sites: site_table, of which no genotypes are read. Markers are sorted by Spark; the driver gets one a part.
+    """
+    unplaced = sites.where("chrom is null").select("ord")
+    if unplaced.count() <= most:
+        return []
+
+    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = 0
+        for batch in batches:
+            yield batch.iloc[(-seen) % most :: most]
+            seen += len(batch)
+
+    return [r["ord"] for r in unplaced.repartitionByRange("ord").sortWithinPartitions("ord").mapInPandas(every, "ord string").sort("ord").collect()]
+
+
+def marker_part(bounds: list[str] | None = None) -> Column:
+    """The sequence and the leading digits of the place, whose order is that of the markers; of unplaced ones, also how many of the bounds they reach."""
+    part = F.regexp_extract("ord", rf"^(.* \d{{{20 - PART_DIGITS}}})\d{{{PART_DIGITS}}} ", 1)
+    if bounds:
+        reached = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("ord")))
+        part = F.when(F.col("chrom").isNull(), F.concat(part, F.lit(" "), F.lpad(reached.cast("string"), 10, "0"))).otherwise(part)
+    return part
+
+
+def by_individual(markers: DataFrame, individuals: list[str], cells: Column, pieces: bool = False, bounds: list[str] | None = None) -> DataFrame:
     """(individual, k, cells): each individual's cells in marker order, as an array.
 
     pieces: as one array for each stretch of a sequence, with `part`, whose order is that of the markers. They are
     formed anyhow, so that what is gathered is bounded until whole lines are asked for.
     """
-    names = F.array(*map(F.lit, individuals))
-    flat = markers.select("ord", marker_part().alias("part"), F.posexplode(cells).alias("k", "cell"))
+    flat = markers.select("ord", marker_part(bounds).alias("part"), F.posexplode(cells).alias("k", "cell"))
     parts = flat.groupBy("k", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "cell"))), lambda c: c["cell"]).alias("cells"))
     if not pieces:
         parts = parts.groupBy("k").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "cells"))), lambda c: c["cells"])).alias("cells"))
-    return parts.select(F.element_at(names, F.col("k") + 1).alias("individual"), "k", *["part"] * pieces, "cells")
+    return parts.join(lookup(markers.sparkSession, list(enumerate(individuals)), "k int, individual string"), "k").select("individual", "k", *["part"] * pieces, "cells")
 
 
-def in_pieces(markers: DataFrame, individuals: list[str], cells: Column, head: Column, separator: str) -> DataFrame:
+def in_pieces(markers: DataFrame, individuals: list[str], cells: Column, head: Callable[[str], str], separator: str, bounds: list[str] | None = None) -> DataFrame:
     """(ord, part, text) of individual-oriented lines, for exports whose lines hold more than a row should: texts of an ord, by part, are its line.
 
-    head: what stands before the cells, over individual and k; it is the part before all others.
+    head: what stands before the cells of an individual; it is the part before all others. bounds: of unplaced markers.
     """
-    rows = by_individual(markers, individuals, cells, pieces=True)
+    rows = by_individual(markers, individuals, cells, True, bounds)
     key = F.lpad(F.col("k").cast("string"), 10, "0").alias("ord")
-    people = markers.sparkSession.createDataFrame(list(enumerate(individuals)), "k int, individual string")
-    first = people.select(key, F.lit("").alias("part"), head.alias("text"))
+    first = markers.sparkSession.createDataFrame([(f"{k:010d}", "", head(name)) for k, name in enumerate(individuals)], "ord string, part string, text string")
     return first.unionAll(rows.select(key, F.concat(F.lit("p"), "part").alias("part"), F.concat(F.lit(separator), F.array_join("cells", separator)).alias("text")))
 
 
@@ -277,8 +303,8 @@ def numbered(rows: DataFrame, line: Column) -> DataFrame:
 def plink_ped(markers: DataFrame, individuals: list[str], populations: dict[str, str]) -> DataFrame:
     """Population (or .), individual, four fixed fields, then two alleles a marker; missing ones are 0."""
     rows = by_individual(markers, individuals, F.transform(two_bases("0"), lambda b: F.array_join(b, " ")))
-    known = F.array(*[F.lit(populations.get(i) or ".") for i in individuals])
-    return numbered(rows, F.concat_ws(" ", F.element_at(known, F.col("k") + 1), "individual", F.lit("0 0 0 U"), F.array_join("cells", " ")))
+    known = lookup(markers.sparkSession, [(k, populations.get(i) or ".") for k, i in enumerate(individuals)], "k int, population string")
+    return numbered(rows.join(known, "k"), F.concat_ws(" ", "population", "individual", F.lit("0 0 0 U"), F.array_join("cells", " ")))
 
 
 def flapjack_map(markers: DataFrame) -> DataFrame:
@@ -292,9 +318,9 @@ def names_line(markers: DataFrame, copies: int = 1) -> DataFrame:
     return markers.agg(F.concat(F.lit("\t"), F.array_join(F.flatten(F.transform(ordered, repeated)), "\t")).alias("names"))
 
 
-def names_in_pieces(markers: DataFrame, copies: int, ord: str, head: str) -> DataFrame:
+def names_in_pieces(markers: DataFrame, copies: int, ord: str, head: str, bounds: list[str] | None = None) -> DataFrame:
     """names_line after `head` as pieces (ord, part, text), each of the markers of a stretch of a sequence."""
-    names = markers.select("ord", marker_part().alias("part"), F.array_join(F.array_repeat("name", copies), "\t").alias("name"))
+    names = markers.select("ord", marker_part(bounds).alias("part"), F.array_join(F.array_repeat("name", copies), "\t").alias("name"))
     parts = names.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("names"))
     texts = parts.select(F.lit(ord).alias("ord"), F.concat(F.lit("p"), "part").alias("part"), F.concat(F.lit("\t"), F.array_join(F.transform("names", lambda n: n["name"]), "\t")).alias("text"))
     return markers.sparkSession.createDataFrame([(ord, "", head)], "ord string, part string, text string").unionAll(texts)
@@ -364,8 +390,9 @@ def darwin_variables(markers: DataFrame, individuals: list[str], ploidy: int = 2
 
 
 def darwin_individuals(people: DataFrame, individuals: list[str]) -> DataFrame:
-    place = F.array_position(F.array(*map(F.lit, individuals)), F.col("individual"))
-    rows = people.select(F.lpad(place.cast("string"), 10, "0").alias("ord"), F.concat_ws("\t", place.cast("string"), "individual", F.coalesce("population", F.lit(""))).alias("line"))
+    places = lookup(people.sparkSession, [(i, k + 1) for k, i in enumerate(individuals)], "individual string, place int")
+    place = F.col("place")
+    rows = people.join(places, "individual").select(F.lpad(place.cast("string"), 10, "0").alias("ord"), F.concat_ws("\t", place.cast("string"), "individual", F.coalesce("population", F.lit(""))).alias("line"))
     return headed(rows, "@DARwin 5.0 - DON -", f"{len(individuals)}\t2", "N°\tindividual\tpopulation")
 
 

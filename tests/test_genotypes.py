@@ -250,10 +250,40 @@ def test_pieces_by_sequence(spark, four):
     whole = formats.by_individual(formats.marker_table(v, c, names), names, F.col("gts")).collect()
     assert {r.individual: r.cells for r in whole}["b"] == ["0/1", "0/0", "0/0"]
     far = v.withColumn("start_site", F.when(F.col("variant_id") == "V2", 20_000_005).otherwise(F.col("start_site")))
-    pieces = formats.in_pieces(formats.marker_table(far, c, names), names, F.col("gts"), F.col("individual"), " ").orderBy("ord", "part").collect()
+    pieces = formats.in_pieces(formats.marker_table(far, c, names), names, F.col("gts"), str, " ").orderBy("ord", "part").collect()
     assert ["".join(r.text for r in pieces if r.ord.endswith(str(k))) for k in range(4)] == ["a 0/0 0/0 0/0", "b 0/1 0/0 0/0", "c 1/1 0/0 0/1", "d NULL 0/0 0/1".replace("NULL ", "")]
 
 
+def test_unplaced_markers_come_in_parts(spark, monkeypatch):
+    rows = [(f"v{k}", "SNP", None if k % 3 else "1", None if k % 3 else k, None, ["A", "G"]) for k in range(60)]
+    v = spark.createDataFrame(rows, "variant_id string, type string, chrom string, start_site long, end_site long, alleles array<string>").repartition(4)
+    c = spark.createDataFrame([(f"v{k}", "a", "p", f"{k % 2}/{k % 2}") for k in range(60)], "variant_id string, individual string, population string, gt string")
+    markers = formats.marker_table(v, c, ["a"])
+    assert formats.unplaced_bounds(markers) == []
+    bounds = formats.unplaced_bounds(markers, 7)
+    assert len(bounds) >= 5 and bounds == sorted(bounds)
+    pieces = formats.in_pieces(markers, ["a"], F.col("gts"), str, " ", bounds).orderBy("ord", "part").collect()
+    assert len(pieces) >= 7 and max(r.text.count("/") for r in pieces[2:]) <= 20
+    (whole,) = formats.by_individual(markers, ["a"], F.col("gts")).collect()
+    assert "".join(r.text for r in pieces) == " ".join(["a", *whole.cells])
+    names = formats.names_in_pieces(markers, 1, "0", "", bounds).orderBy("part").collect()
+    assert "".join(r.text for r in names).split("\t")[1:] == [r.name for r in markers.orderBy("ord").collect()]
+
+
+def test_spanning_deletions_are_gaps_of_alignments(spark):
+    rows = [(f"v{k}", ["A", "*", "G"], ["0/0", "1/1" if k < 6 else "2/2", "0/1", "0/2"]) for k in range(10)]
+    table = spark.createDataFrame(rows, "variant_id string, alleles array<string>, gts array<string>")
+    missing = {r.individual: r.missing for r in matrix.missing_of_columns(table, list("abcd"), matrix.lacking_bases).collect()}
+    assert missing == {"a": 0, "b": 60, "c": 50, "d": 0}
+    _, kept, left_out = matrix.enough_data(table, list("abcd"), "NJ", lacks=matrix.lacking_bases)
+    assert kept == list("acd") and "individual b" in left_out.first().line
+    _, everyone, _ = matrix.enough_data(table, list("abcd"), "ASD")
+    assert everyone == list("abcd")
+    found = {(r.a, r.b): r.distance for r in matrix.jukes_cantor_distance(table, list("abcd")).collect()}
+    assert found["a", "c"] == 0  # the one base that both have agrees; a deletion is no base
+    assert found["a", "b"] == 5
+
+
 def test_online_tools():
     tool = text.parse_online_tool("Viewer; http://x/?map={map|txt}&g={genotype}&y=1 ; FLAPJACK, PLINK")
     assert tool.label == "Viewer"
