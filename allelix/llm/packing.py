@@ -224,7 +224,7 @@ def pack_documents(
 
     A document is its ids and end_id, so null and empty texts are one id. It is cut at multiples of capacity; the
     remainders share sequences. Rows are documents: repeated rows and ids, and null ids, each get pieces of their own.
-    No rows give no pieces. Extra columns are dropped. Only the histogram of lengths (at most capacity rows) reaches
+    No rows give no pieces; remainders of equal length are placed in the order of their tasks' rows. Extra columns are dropped. Only the histogram of lengths (at most capacity rows) reaches
     the driver, and only the table of places that follows from it is broadcast; neither grows with the corpus.
     """
     spark = df.sparkSession

@@ -148,7 +148,7 @@ def count_tokens(
     Null and empty texts have no bytes and no tokens. Rows are judged one by one: repeated rows and ids stay, null ids
     do no harm, and a column of df with an output's name is replaced. tokenizer_path: a tokenizers .json file of the
     byte-level kind that every executor can read. Texts of over chunk_chars characters are encoded in overlapping
-    chunks with offsets. Nothing is shuffled.
+    chunks with offsets, however long they are. Nothing is shuffled; an empty table gives no rows.
     """
     if not 2 * MARGIN <= overlap_chars < chunk_chars:
         raise ValueError("overlap_chars must be from 128 to below chunk_chars")

@@ -201,7 +201,13 @@ def read_archives(archives: DataFrame, split_bytes: int = 16_000_000, keep_html:
 
 
 def archive_round_trip(pages: DataFrame, scratch: Scratch | None = None, keep_html: bool = True, least_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) written to archives in the shared folder and read back; ids have their type again."""
+    """pages (page_id, url, html) written to archives in the shared folder and read back; ids have their type again.
+
+    (page_id, payload_bytes, payload_digest, record_type, refers_to and, if wanted, html), a row each: null html is an empty
+    payload, repeated rows and ids are records of their own, rows that tie for the largest id of equal payloads are all
+    responses, rows without an id come back without one. Extra columns, whatever their names, are dropped; an empty table
+    gives no rows; payloads of any length are whole.
+    """
     scratch = scratch or Scratch(pages.sparkSession)
     kind = pages.schema["page_id"].dataType
     found = read_archives(write_archives(pages, scratch.path("warc"), scratch, least_bytes), keep_html=keep_html)
