@@ -37,6 +37,8 @@ MOST_DIFFERING = 25
 MOST_DIFFERING_HALF = 35
 #: Buckets of more members are led; what is left of them is compared block against block.
 LED, BLOCK = 256, 512
+#: Nor does a block hold sets of more bytes together, on average, unless one set alone does.
+BLOCK_BYTES = 16 << 20
 
 _RANDOM = np.random.default_rng(20_240_607)
 FACTORS = _RANDOM.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,7 +153,7 @@ def confirmed(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int
         row, column = row[keep], number[column[keep]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        common, width = np.zeros((len(used), len(used)), np.float32), 8192
+        common, width = np.zeros((len(used), len(used)), np.float32), 2048
         for begin in range(0, int(often.sum()), width):
             lo, hi = np.searchsorted(column, [begin, begin + width])
             block = np.zeros((len(used), min(width, int(often.sum()) - begin)), np.float32)
@@ -196,11 +198,47 @@ def surviving(members: DataFrame, percent: int) -> DataFrame:
     return by_group(members).mapInPandas(survive, members.schema)
 
 
+def light_runs(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """The rows in frames whose sets hold at most so many bytes, or one set."""
+    for batch in batches:
+        total = np.cumsum(8 * batch["n"].to_numpy())
+        low = 0
+        while low < len(batch):
+            high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, "right")))
+            yield batch.iloc[low:high]
+            low = high
+
+
+def light_groups(batches: Iterator[pd.DataFrame], rows: int = 2_000) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Runs of whole groups, as many as have about so many rows and BLOCK_BYTES of sets: where a group is over, what is held is given."""
+    held: list[pd.DataFrame] = []
+    count = size = 0
+
+    def given() -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        yield from whole_groups(iter(held), GROUP, 1 << 40)
+
+    for batch in light_runs(batches, BLOCK_BYTES):
+        keys = batch[GROUP].to_numpy()
+        change = np.append(True, (keys[1:] != keys[:-1]).any(1))
+        if held:
+            change[0] = (held[-1][GROUP].to_numpy()[-1] != keys[0]).any()
+        begins = np.flatnonzero(change)
+        if len(begins) and held and (count + len(batch) > rows or size + 8 * int(batch["n"].sum()) > BLOCK_BYTES):
+            if begins[0]:
+                held.append(batch.iloc[: begins[0]])
+            yield from given()
+            held, count, size, batch = [], 0, 0, batch.iloc[begins[0] :]
+        held.append(batch)
+        count, size = count + len(batch), size + 8 * int(batch["n"].sum())
+    if held:
+        yield from given()
+
+
 def links(members: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between members that carry their full set, as many as connect what is linked in each group."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for groups, numbers in whole_groups(batches, GROUP, 2_000):
+        for groups, numbers in light_groups(batches):
             a, b = candidate_pairs(groups, numbers, percent)
             if not len(a):
                 continue
@@ -306,8 +344,12 @@ def led(rows: DataFrame, unique: DataFrame, sets: DataFrame, percent: int, scrat
 
 
 def compared(rows: DataFrame, unique: DataFrame, block: int) -> DataFrame:
-    """The rows (tag, masked, sid, label, members) of buckets by pairs of blocks, with what their comparison takes."""
-    placed = rows.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    """The rows (tag, masked, sid, label, members, shingles) of buckets by pairs of blocks, with what their comparison takes.
+
+    A block has at most about `block` members and BLOCK_BYTES of their sets, so a pair of blocks fits a task however long texts are.
+    """
+    heavy = F.ceil(8 * F.col("shingles") / BLOCK_BYTES)
+    placed = rows.withColumn("blocks", F.greatest(F.ceil(F.col("members") / block), F.least(heavy, F.col("members"))).cast("int")).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
     placed = placed.select("sid", "label", "tag", "masked", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("sid", "label", "tag", "masked", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
     return placed.join(unique.select("sid", "n", *SIGNATURE), "sid")
@@ -336,10 +378,10 @@ def components_of_sets(signed: DataFrame, docs: DataFrame, size: int, percent: i
     # numbers are short keys; the table is written before they are used, so they stay
     unique = scratch.write(one.select(F.monotonically_increasing_id().alias("sid"), "set_hash", "one.*", "n", "copies", *SIGNATURE), "unique")
 
-    keyed = unique.select("sid", F.explode(index_keys()).alias("key")).select("sid", "key.tag", "key.masked")
-    buckets = scratch.write(keyed.groupBy("tag", "masked").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    rows = scratch.write(keyed.join(buckets, ["tag", "masked"]).select("tag", "masked", "sid", "members"), "rows")
-    small, large = rows.where(F.col("members") <= led_from).withColumn("label", F.col("sid")), rows.where(F.col("members") > led_from).drop("members")
+    keyed = unique.select("sid", "n", F.explode(index_keys()).alias("key")).select("sid", "n", "key.tag", "key.masked")
+    buckets = scratch.write(keyed.groupBy("tag", "masked").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1"), "buckets")
+    rows = scratch.write(keyed.drop("n").join(buckets, ["tag", "masked"]).select("tag", "masked", "sid", "members", "shingles"), "rows")
+    small, large = rows.where(F.col("members") <= led_from).withColumn("label", F.col("sid")), rows.where(F.col("members") > led_from).drop("members", "shingles")
     left, several = scratch.write(surviving(compared(small, unique, block), percent), "candidates"), not large.isEmpty()
 
     # all full sets in one pass over the documents
@@ -348,8 +390,9 @@ def components_of_sets(signed: DataFrame, docs: DataFrame, size: int, percent: i
     found = None
     if several:
         found, open_ = led(large, unique, full, percent, scratch)
-        open_ = scratch.write(open_, "left to compare")
-        open_ = open_.join(open_.groupBy("tag", "masked").agg(F.count("*").alias("members")), ["tag", "masked"])
+        open_ = scratch.write(open_.join(unique.select("sid", "n"), "sid"), "left to compare")
+        sizes = open_.groupBy("tag", "masked").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+        open_ = open_.drop("n").join(sizes, ["tag", "masked"])
         left = left.unionByName(scratch.write(surviving(compared(open_, unique, block), percent), "candidates left"))
     linked = links(left.join(full, "sid"), percent)
     components = connected_components(linked if found is None else linked.unionByName(found), scratch)

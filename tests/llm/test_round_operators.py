@@ -8,10 +8,11 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from test_operators import DOCS, clashing, components_by_force, documents, family, rows, sets_of
 
-from allelix.llm import audit, chat, common, fim, jaccard_join, quality, queries, secret_scan, urls
+from allelix.llm import audit, chat, common, fim, jaccard_join, near_dups, quality, queries, secret_scan, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -281,3 +282,23 @@ def test_stretches_of_turns_hash_as_the_whole():
     ends = [(p, "c", 3, whole(turns[3 * p : 3 * p + 3]).to_bytes(16, "big")) for p in range(3)]
     found = chat.offsets(ends[::-1])
     assert found == {(p, "c"): (3 * p, whole(turns[: 3 * p]), p < 2) for p in range(3)}
+
+
+@pytest.mark.parametrize(("block_bytes", "led_from"), [(1 << 12, 256), (1 << 12, 3), (1, 256)])
+def test_near_duplicates_in_blocks_of_few_bytes(spark, monkeypatch, block_bytes, led_from):
+    monkeypatch.setattr(near_dups, "BLOCK_BYTES", block_bytes)
+    texts = [*TEXTS, *family(1, 40), *family(2, 20, words=400, edits=20), *family(4, 15, edits=9)]
+    got = near_dups.near_duplicates(documents(spark, *texts), led_from=led_from)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(components_by_force(texts), key=repr)
+
+
+def test_light_groups_are_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    for rows_, most in ((5, 100), (50, 10**9), (10**6, 64), (3, 1)):
+        monkeypatch.setattr(near_dups, "BLOCK_BYTES", most)
+        frame = pd.DataFrame({"tag": np.sort(rng.integers(0, 40, 200)), "masked": 0, "block_a": 0, "block_b": 0, "n": rng.integers(1, 9, 200), "at": np.arange(200)})
+        found = list(near_dups.light_groups((frame.iloc[k : k + 17] for k in range(0, 200, 17)), rows_))
+        assert [x for f, _ in found for x in f["at"]] == list(range(200))
+        tags = [set(f["tag"]) for f, _ in found]
+        assert all(not a & b for a, b in zip(tags, tags[1:], strict=False))
+        assert all(len(set(zip(f["tag"], numbers, strict=True))) == f["tag"].nunique() for f, numbers in found)
