@@ -109,7 +109,9 @@ def filter_fields(genotypes: DataFrame, group: Group) -> DataFrame:
 
 
 def of_group(genotypes: DataFrame, group: Group) -> DataFrame:
-    return genotypes.where(F.col("individual").isin(*group.individuals)) if group.individuals else genotypes
+    if not group.individuals:
+        return genotypes
+    return genotypes.join(lookup(genotypes.sparkSession, [(i,) for i in dict.fromkeys(group.individuals)], "individual string"), "individual", "left_semi")
 
 
 def group_statistics(resolved: DataFrame, n_individuals: int) -> DataFrame:

@@ -153,6 +153,7 @@ def unpacked(packed: Packed) -> DataFrame:
     words = words_for(len(packed.entities))
     runs = packed.table.select("variant_id", F.explode("runs").alias("run"))
     coded = runs.select("variant_id", "run.project_id", "run.run_name", "run.layer", F.explode(F.transform("run.codes", lambda gt: F.struct(gt.alias("gt"), code_bits(F.col("run"), F.array_position("run.codes", gt).cast("int"), words).alias("bits")))).alias("c"))
-    names = F.array(*map(F.lit, packed.entities))
+    names = lookup(packed.table.sparkSession, list(enumerate(packed.entities)), "k int, individual string")
     held = F.filter(F.sequence(F.lit(0), F.lit(len(packed.entities) - 1)), lambda k: F.call_function("shiftright", F.get("c.bits", F.floor(k / WORD).cast("int")), k % WORD).bitwiseAND(F.lit(1).cast("long")) == 1)
-    return coded.select("variant_id", "project_id", "run_name", "layer", F.explode(F.transform(held, lambda k: F.get(names, k))).alias("individual"), "c.gt")
+    cells = coded.select("variant_id", "project_id", "run_name", "layer", F.explode(held).alias("k"), "c.gt")
+    return cells.join(names, "k").select("variant_id", "project_id", "run_name", "layer", "individual", "gt")

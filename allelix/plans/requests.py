@@ -34,6 +34,11 @@ class Group:
     #: Number (from 0) of the group, or numbers of the groups, whose most frequent genotypes must differ.
     discriminate: int | tuple[int, ...] | None = None
 
+    @classmethod
+    def of_callsets(cls, ids: list[str], separator: str = "§", **more) -> Group:
+        """A group of the entities that ids of callsets (project, then others, then the entity) end in."""
+        return cls(individuals=tuple(dict.fromkeys(i.rsplit(separator, 1)[-1] for i in ids)), **more)
+
     def __post_init__(self):
         if self.pattern not in PATTERNS:
             raise ValueError(f"unknown genotype pattern {self.pattern!r}")

@@ -13,7 +13,8 @@ from .functions.genotypes import alternate_count, natural_key
 from .operators import exports, filters, formats, matrix, resolution, tree, vectors, windows
 from .plans import execution, selections
 from .plans.requests import PATTERNS, ChartRequest, FieldPlotRequest, Group, SearchRequest
-from .sources import tables
+from .runtime import shared_place
+from .sources import eigenstrat, sinks, tables
 from .sources.dataset import Dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -807,6 +808,26 @@ def search_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(execution.selected_variants(tables.dataset(spark, sf_dir), SearchRequest(variant_types=("SNP",), sequences=("chr2",), groups=groups)))
 
 
+# Files: written in parts by tasks, and read back in splits
+
+
+@query(ORACLE_SQL["eigenstrat_reader"])
+def eigenstrat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of an export, whose genotype lines meet their markers by line number."""
+    files = exports.export(tables.dataset(spark, sf_dir), "EIGENSTRAT")
+    places = sinks.write_export_parts({k: files[k] for k in ("eigenstratgeno", "snp", "ind")}, shared_place(spark, "eigenstrat"), "x")
+    return eigenstrat.read_eigenstrat(spark, places["eigenstratgeno"], places["snp"], places["ind"]).select("marker", "individual", "dosage")
+
+
+@query(ORACLE_SQL["vcf_records"])
+def vcf_gz_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block-gzipped file, read in splits of a few blocks."""
+    contigs = tuple((f"chr{k}", 100_000 + k) for k in range(1, 5))
+    files = exports.export(tables.dataset(spark, sf_dir, sites=tables.sites(spark, sf_dir), contigs=contigs, assembly="as1"), "VCF.gz")
+    places = sinks.write_export_parts({"vcf.gz": files["vcf.gz"]}, shared_place(spark, "vcf"), "x")
+    return sinks.read_lines(spark, places["vcf.gz"], 4).where("not startswith(line, '#')")
+
+
 # Packed genotypes: the same statistics without a shuffle of genotypes
 
 

@@ -54,12 +54,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_place(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder; what is written there goes when the driver's Python ends."""
+    to = f"{shared_dir(spark)}/allelix-{re.sub(r'[^A-Za-z0-9]+', '-', label)}-{uuid.uuid4().hex}"
+    atexit.register(discard, spark, to)
+    return to
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder, read back: it is computed once, and its lineage is cut. It goes when the driver's Python ends."""
     spark = df.sparkSession
-    to = f"{shared_dir(spark)}/allelix-{re.sub(r'[^A-Za-z0-9]+', '-', label)}-{uuid.uuid4().hex}"
+    to = shared_place(spark, label)
     df.write.parquet(to)
-    atexit.register(discard, spark, to)
     return spark.read.schema(df.schema).parquet(to)
 
 

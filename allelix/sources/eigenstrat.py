@@ -9,12 +9,12 @@ from .tables import eigenstrat_genotypes
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(number, line) of a text file, from 0 on; empty lines at its end count like others.
+    """(number, line) of a text file, or of a folder's files in the order of their names, from 0 on; empty lines at the end count like others.
 
     Lines are counted by split first, which gives where each split's numbers begin; a row for each split passes through
     one task. Within a split numbers follow the order of reading.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    raw = spark.read.text(path).select("value", F.struct("_metadata.file_name", "_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
     counts = raw.groupBy("split").agg(F.count("*").alias("lines"), F.min("id").alias("first"))
     before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("split", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("begin"))
@@ -22,7 +22,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eigenstrat(spark: SparkSession, genotypes: str, markers: str, individuals: str) -> DataFrame:
-    """(marker, chrom, position, individual, dosage) of the three files: reference alleles 0, 1 or 2, null where missing.
+    """(marker, chrom, position, individual, dosage) of the three files (or folders of their parts): reference alleles 0, 1 or 2, null where missing.
 
     Markers are the first words of a .snp file's lines, individuals those of an .ind file's. A genotype line of another
     length than there are individuals, too few or too many genotype lines, and other characters raise an error when rows

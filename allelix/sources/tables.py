@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import lookup
 from .dataset import Dataset
 
 
@@ -101,4 +102,4 @@ def eigenstrat_genotypes(lines: DataFrame, individuals: list[str]) -> DataFrame:
     n = len(individuals)
     checked = F.when((F.length("line") == n) & F.col("line").rlike("^[0129]*$"), F.col("line")).otherwise(F.raise_error(F.concat(F.lit("not a genotype line of the right length: "), "line")))
     cells = lines.select("marker", F.posexplode(F.split(checked, "")).alias("k", "code")).where("code <> ''")
-    return cells.select("marker", F.element_at(F.array(*map(F.lit, individuals)), F.col("k") + 1).alias("individual"), F.when(F.col("code") != "9", F.col("code").cast("int")).alias("dosage"))
+    return cells.join(lookup(lines.sparkSession, list(enumerate(individuals)), "k int, individual string"), "k").select("marker", "individual", F.when(F.col("code") != "9", F.col("code").cast("int")).alias("dosage"))

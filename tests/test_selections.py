@@ -137,6 +137,10 @@ def test_named_variants(spark, some):
     assert sorted(r.variant_id for r in execution.selected_variants(data, request).collect()) == ["v3", "v5"]
 
 
+def test_groups_of_callset_ids():
+    assert Group.of_callsets(["p§1§a", "p§1§b", "a"], name="x") == Group("x", ("a", "b"))
+
+
 def test_thresholds_are_those_of_each_group(spark, some):
     _, data, cells = some
     names = tuple(f"p{k}" for k in range(10))
