@@ -71,6 +71,15 @@ class SearchRequest:
     descending: bool = False
     page: int = 0
     page_size: int = 100
+    #: What a search gives: `count`, `page`, or `both`; whether a page has the genotypes of the groups' entities; and whether
+    #: an export of more cells (variants by entities) than a limit is refused.
+    mode: str = "both"
+    with_genotypes: bool = True
+    limit_matrix: bool = True
+
+    def __post_init__(self):
+        if self.mode not in ("count", "page", "both"):
+            raise ValueError(f"unknown search mode {self.mode!r}")
 
     @property
     def filters_genotypes(self) -> bool:

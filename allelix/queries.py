@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.genotypes import alternate_count, natural_key
 from .operators import exports, filters, formats, matrix, resolution, tree, vectors, windows
-from .plans import execution, selections
+from .plans import execution, search, selections
 from .plans.requests import PATTERNS, ChartRequest, FieldPlotRequest, Group, SearchRequest
 from .runtime import shared_place
 from .sources import eigenstrat, sinks, tables
@@ -808,6 +808,20 @@ def search_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(execution.selected_variants(tables.dataset(spark, sf_dir), SearchRequest(variant_types=("SNP",), sequences=("chr2",), groups=groups)))
 
 
+@query(
+    "SELECT variant_id, start_site, total, callset_id, individual, gt FROM (SELECT variant_id, start_site, count(*) OVER () AS total FROM variants WHERE type = 'SNP' AND chrom = 'chr2' ORDER BY start_site DESC, variant_id LIMIT 20 OFFSET 20) "
+    "JOIN genotypes USING (variant_id) WHERE CAST(individual[4:] AS INT) < 5",
+    VARIANTS_SQL,
+    GENOTYPES_SQL,
+)
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a search with its groups' genotypes, beside how many variants there are."""
+    request = SearchRequest(variant_types=("SNP",), sequences=("chr2",), groups=(Group("a", _FIVE_EACH[0]),), sort_by="start_site", descending=True, page=1, page_size=20)
+    found = search.search(tables.dataset(spark, sf_dir), request)
+    cells = found.page.select("variant_id", "start_site", F.explode("genotypes").alias("g"))
+    return cells.select("variant_id", "start_site", F.lit(found.count).cast("long").alias("total"), "g.callset_id", "g.individual", "g.gt")
+
+
 # Files: written in parts by tasks, and read back in splits
 
 

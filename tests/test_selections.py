@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import collections
 import random
+import re
 import uuid
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from allelix import queries
 from allelix.functions import genotypes as g
 from allelix.operators import exports, filters, resolution, vectors
-from allelix.plans import execution, selections
+from allelix.plans import execution, search, selections
 from allelix.plans.requests import ChartRequest, FieldPlotRequest, Group, SearchRequest
 from allelix.sources.dataset import Dataset
 
@@ -131,6 +134,14 @@ def test_groups_of_a_search_take_one_pass(spark, some):
     assert {r.variant_id for r in execution.selected_variants(packed, same).collect()} == {r.variant_id for r in execution.selected_variants(data, same).collect()}
 
 
+def test_plans_shuffle_genotypes_as_often_as_they_must(spark):
+    sf = "/root/testdata/sf0.001"
+    # one exchange is the derived genotype table's own, one brings a variant's genotypes together; joins with sites add theirs
+    for name, most in {"genotype_coherent": 2, "genotype_majority": 2, "search_groups": 3, "vcf_records": 4, "hapmap_lines": 3, "packed_maf": 1}.items():
+        plan = plan_of(queries.QUERIES[name](spark, sf))
+        assert len(re.findall("(?<!Broadcast)Exchange (?:hash|Round|range)", plan)) <= most, name
+
+
 def test_named_variants(spark, some):
     _, data, _ = some
     request = SearchRequest(variant_ids=("v3", "v5", "nothing", "v3"))
@@ -141,6 +152,24 @@ def test_groups_of_callset_ids():
     assert Group.of_callsets(["p§1§a", "p§1§b", "a"], name="x") == Group("x", ("a", "b"))
 
 
+def test_searches_by_mode(spark, some):
+    _, data, cells = some
+    request = SearchRequest(sort_by="start_site", page=1, page_size=7, groups=(Group("a", ("p1", "p2")),))
+    found = search.search(data, request)
+    rows = found.page.collect()
+    assert found.count == 40 and [r.variant_id for r in rows] == [f"v{k}" for k in range(7, 14)]
+    for r in rows:
+        assert [(g.callset_id, g.individual, g.gt) for g in r.genotypes] == sorted(((c[3], c[4], c[6]) for c in cells if c[0] == r.variant_id and c[4] in ("p1", "p2")), key=lambda c: (c[0], c[1], c[2] is not None, c[2]))
+    counted_, paged = search.search(data, replace(request, mode="count")), search.search(data, replace(request, mode="page", with_genotypes=False), selected=data.variants.limit(9))
+    assert counted_ == search.Found(40, None) and paged.count is None and paged.page.count() == 2 and "genotypes" not in paged.page.columns
+    with pytest.raises(ValueError, match="mode"):
+        SearchRequest(mode="x")
+    assert search.check_matrix(data, request, data.variants) == 80
+    with pytest.raises(search.MatrixTooLarge):
+        search.check_matrix(data, SearchRequest(), data.variants, most=100)
+    assert search.check_matrix(data, SearchRequest(limit_matrix=False), data.variants, most=100) == 40 * 70
+
+
 def test_thresholds_are_those_of_each_group(spark, some):
     _, data, cells = some
     names = tuple(f"p{k}" for k in range(10))
