@@ -13,6 +13,10 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
+#: Texts of more copies than this are looked up, if they are at most so many (some megabytes); other texts are joined.
+HOT_COPIES, MOST_HOT = 1000, 100_000
 WHITE = r"[\x20\x09-\x0D]+"
 FILTERS = "ABCDE"
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
@@ -29,14 +33,26 @@ def own_flags(text: Column) -> dict[str, Column]:
     }
 
 
-def flagged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
-    """(doc_id, part, A, B, C, D, E) for each row. E: the text is that of a smaller doc_id, anywhere in the table; rows without an id are neither."""
+def flagged(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", part: str = "source", hot_copies: int = HOT_COPIES, most_hot: int = MOST_HOT) -> DataFrame:
+    """(doc_id, part, A, B, C, D, E) for each row. E: the text is that of a smaller doc_id, anywhere in the table; rows without an id are neither.
+
+    Texts are read once; what is kept of them is a digest. Copies are counted within tasks before they are shuffled. Rows
+    of a text with very many copies meet its smallest id by a broadcast of such texts, whose number is counted first, and
+    are dealt out by id in the join of the others.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), whole.alias("text"))
     rows = rows.select("doc_id", "part", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), *[c.alias(k) for k, c in own_flags(F.col("text")).items()])
-    # of texts that several ids have, the smallest; a task combines its own before they are shuffled
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    return rows.join(first, "digest", "left").select("doc_id", "part", "A", "B", "C", "D", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False)).alias("E"))
+    rows = scratch.write(rows, "flags")
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("copies")).where("first_id < last_id")
+    first = scratch.write(first.select("digest", "first_id", "copies"), "first of each text")
+    hot = first.where(F.col("copies") > hot_copies).select("digest", F.col("first_id").alias("hot_id"))
+    if hot.limit(most_hot + 1).count() <= most_hot:
+        rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("deal", F.when(F.col("hot_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.lit(0)))
+    else:
+        rows = rows.withColumn("hot_id", F.lit(None).cast(docs.schema[doc_id].dataType)).withColumn("deal", F.lit(0).cast("long"))
+    joined = rows.join(first.select("digest", F.lit(0).cast("long").alias("deal"), "first_id"), ["digest", "deal"], "left")
+    return joined.select("doc_id", "part", "A", "B", "C", "D", F.coalesce(F.coalesce("hot_id", "first_id") < F.col("doc_id"), F.lit(False)).alias("E"))
 
 
 def replay(flags: DataFrame, filters: str = FILTERS) -> DataFrame:
@@ -71,7 +87,7 @@ def replay(flags: DataFrame, filters: str = FILTERS) -> DataFrame:
     return named.join(shares, ["part", "filter"]).select("part", "filter_order", "step", "filter", *COUNTS, "shapley")
 
 
-def audit_filters(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
+def audit_filters(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source", scratch: Scratch | None = None, hot_copies: int = HOT_COPIES) -> DataFrame:
     """What each of the filters A to E does at each step of each of their 120 orders, by part; see replay.
 
     A: under 50 words. B: fewer distinct words than 65 %. C: more capital letters A-Z than 5 % of the code points. D: one
@@ -81,5 +97,5 @@ def audit_filters(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     whole; further columns are ignored; an empty table gives no rows.
     """
     said = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
-    joined = flagged(docs, doc_id, text, part).join(said, "doc_id", "left")
+    joined = flagged(docs, scratch or Scratch(docs.sparkSession), doc_id, text, part, hot_copies).join(said, "doc_id", "left")
     return replay(joined.select("part", *FILTERS, F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic")))

@@ -180,13 +180,14 @@ def audit_by_force(docs, labels):
     return out
 
 
-def test_audit_by_brute_force(spark):
+@pytest.mark.parametrize("hot_copies", [1000, 2])
+def test_audit_by_brute_force(spark, hot_copies):
     rng = random.Random(3)
     texts = ["", None, "Short TEXT", "x" * 10, "a|b", *(" ".join(rng.choice(["word", "Other", "thing", f"n{rng.randrange(99)}", "100%"][: rng.randrange(1, 6)]) for _ in range(rng.randrange(30, 90))) for _ in range(40))]
     docs = [(k, rng.choice(texts), rng.choice(["s1", "s2", None, ""])) for k in range(150)] + [(None, texts[7], "s1"), (3, texts[8], "s2"), (3, texts[8], "s2")]
     labels = [(k, rng.choice([0, 1, None]), rng.choice([0, 1, None])) for k in range(0, 150, 2)] + [(4, 1, 0), (4, 0, 1), (None, 1, 1), (999, 1, 1)]
     df = clashing(spark.createDataFrame(docs, "doc_id long, text string, source string"), "good", "part", "digest", "E")
-    got = audit.audit_filters(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = audit.audit_filters(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), hot_copies=hot_copies)
     names = ("part", "filter_order", "step", "filter", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
     assert rows(got, *names) == sorted(audit_by_force(docs, labels), key=repr)
 
