@@ -13,7 +13,7 @@ from .functions.genotypes import alternate_count, natural_key
 from .operators import exports, filters, formats, matrix, resolution, tree, vectors, windows
 from .plans import execution, search, selections
 from .plans.requests import PATTERNS, ChartRequest, FieldPlotRequest, Group, SearchRequest
-from .runtime import shared_place
+from .runtime import running, shared_place
 from .sources import eigenstrat, sinks, tables
 from .sources.dataset import Dataset
 
@@ -883,7 +883,7 @@ def _kept(spark: SparkSession, sf_dir: str) -> tuple[Dataset, str]:
     selections.keep_search(data, SearchRequest(variant_types=("SNP",), groups=groups), token)
 
     def drop() -> None:
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        if running(spark):
             selections.forget(spark, token)
             selections.forget_dataset(spark, token)
 

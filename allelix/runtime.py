@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared ones, if the session still runs."""
-    context = spark.sparkContext
-    if context._jsc is None or context._jsc.sc().isStopped():
+    if not running(spark):
         return
+    context = spark.sparkContext
     found = context._jvm.org.apache.hadoop.fs.Path(path)
     found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def running(spark: SparkSession) -> bool:
+    """Whether the session's machine is there and its context not stopped; at the end of Python it may be neither."""
+    try:
+        return spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped()
+    except Py4JError:
+        return False
