@@ -31,12 +31,12 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def sub_batches(texts: Iterable[str | None], most_chars: int = 1_000_000) -> Iterator[list[str]]:
-    """Runs of texts of bounded total length, so that a batch of long texts needs little memory at once."""
-    held: list[str] = []
+def sub_batches(texts: Iterable[str | bytes | None], most_chars: int = 1_000_000) -> Iterator[list]:
+    """Runs of texts, or of their bytes, of bounded total length, so that a batch of long texts needs little memory at once."""
+    held: list[str | bytes] = []
     chars = 0
     for text in texts:
-        text = text or ""
+        text = "" if text is None else text
         if held and chars + len(text) > most_chars:
             yield held
             held, chars = [], 0
@@ -46,6 +46,15 @@ def sub_batches(texts: Iterable[str | None], most_chars: int = 1_000_000) -> Ite
         yield held
 
 
+def runs_of(sizes: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to at most so much, or of one row."""
+    low, total = 0, np.cumsum(sizes)
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, "right")))
+        yield low, high
+        low = high
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)

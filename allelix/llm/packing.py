@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, runs_of
 from .tokens import UNSURE, UnitCache, load_tokenizer
 
 
@@ -208,15 +208,6 @@ def cut_documents(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
 
-def runs_of(sizes: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose sizes add up to at most so much, or of one row."""
-    low, total = 0, np.cumsum(sizes)
-    while low < len(sizes):
-        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, "right")))
-        yield low, high
-        low = high
-
-
 def pack_documents(
     df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True, scratch: Scratch | None = None
 ) -> DataFrame:

@@ -10,7 +10,8 @@ at length needs one row a stretch; then, in stretches that are the first of thei
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, sub_batches, window_hashes, word_hashes
+from .common import mixed, runs_of, sub_batches, window_hashes, word_hashes
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: A stretch has so many passages on average.
@@ -27,17 +28,39 @@ STRETCH = 16
 TAG_BITS, TAG_MASK = 15, 0x7FFF
 #: Anchors meet under so many bits, which is what is shuffled most; one that meets another by chance costs a comparison.
 ANCHOR_MASK = np.uint64(2**48 - 1)
+#: Texts are worked on in batches of so many bytes.
+BATCH_BYTES = 16 << 20
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def words_and_hashes(texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+def words_and_hashes(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    split = [t.split() for t in texts]
     hashes, at = word_hashes([w for ws in split for w in ws]), 0
     for ws in split:
         yield ws, hashes[at : at + len(ws)]
         at += len(ws)
 
 
+def compressed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, body, tag, size): what documents are shuffled as, each text compressed by itself."""
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary())
+        bodies = pa.array((zlib.compress(t.as_py(), 1) for t in texts), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), bodies, batch.column(2), pc.binary_length(texts)], ["doc_id", "body", "tag", "size"])
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of compressed_rows cut so that their texts, not only what they are compressed to, have bounded bytes."""
+    for batch in batches:
+        for low, high in runs_of(batch.column(3).to_numpy(), BATCH_BYTES):
+            yield batch.slice(low, high - low)
+
+
+def texts_of(bodies: pa.Array) -> Iterable[bytes]:
+    """The texts of compressed_rows, one at a time."""
+    return (zlib.decompress(body.as_py()) for body in bodies)
+
+
 def anchor_rows(size: int) -> Callable:
     """(key, doc_id, ref): ref holds the position and whether the batch alone shows that the anchor is repeated.
 
@@ -49,7 +72,7 @@ def anchor_rows(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, docs, places, k = [], [], [], 0
-            for texts in sub_batches(batch.column(1).to_pylist()):
+            for texts in sub_batches(batch.column(1).cast(pa.binary()).to_pylist()):
                 for _, words in words_and_hashes(texts):
                     if len(words) >= size:
                         at = (np.arange(0, len(words) - short + 1, PERIOD)[:, None] + COVER).ravel()
@@ -100,9 +123,9 @@ def stretch_rows(size: int) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, at, tags, k = [], batch.column(3), tags_of(batch), 0
-            for texts in sub_batches(batch.column(1).to_pylist()):
+        for batch in bounded(batches):
+            found, at, tags, k = [], batch.column(4), tags_of(batch), 0
+            for texts in sub_batches(texts_of(batch.column(1))):
                 for _, words in words_and_hashes(texts):
                     n = len(words) - size + 1
                     change = np.zeros(max(0, n) + 1, np.int64)
@@ -147,9 +170,9 @@ def passage_rows(size: int) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, spans, tags, k = [], batch.column(3), tags_of(batch), 0
-            for texts in sub_batches(batch.column(1).to_pylist()):
+        for batch in bounded(batches):
+            found, spans, tags, k = [], batch.column(4), tags_of(batch), 0
+            for texts in sub_batches(texts_of(batch.column(1))):
                 for _, words in words_and_hashes(texts):
                     h1, h2 = passage_hashes(words, size)
                     start, length = own_spans(spans[k], tags[k])
@@ -177,11 +200,11 @@ def removal_rows(size: int, keep_text: bool) -> Callable:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, tags, k, rows = batch.column(3), tags_of(batch), 0, []
-            for texts in sub_batches(batch.column(1).to_pylist()):
+        for batch in bounded(batches):
+            spans, tags, k, rows = batch.column(4), tags_of(batch), 0, []
+            for texts in sub_batches(texts_of(batch.column(1))):
                 for text in texts:
-                    words, gone = text.encode("utf-8", "surrogatepass").split(), 0
+                    words, gone = text.split(), 0
                     n = len(words)
                     start, length = own_spans(spans[k], tags[k])
                     if len(start):
@@ -216,7 +239,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     doc_id, or in the same one earlier. Passages are judged on the input. Kept words are joined by one space. Null texts have no
     words. Rows without doc_id lose nothing and make nothing go. Rows with equal doc_id count as one document: none
     makes the other's words go at the same place. Extra columns are dropped. Passages are equal if 84 bits of hash
-    are. All steps are one plan over one exchange of the documents, which its three joins share.
+    are. All steps are one plan over one exchange of the documents, compressed, which its three joins share.
     """
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD}")
@@ -224,22 +247,24 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     name = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")  # an alias that renames nothing would keep the exchange from being shared
     every = df.select(name, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text").bitwiseAND(TAG_MASK).cast("short"))
     docs = every.where("doc_id is not null")
+    packed = lambda rows: rows.mapInArrow(compressed_rows, f"doc_id {kind}, body binary, tag short, size int")
+    held = packed(docs)
     span, spans = F.struct("ref", "length"), "array<struct<ref:bigint,length:int>>"
 
     anchors = docs.select("doc_id", "text").mapInArrow(anchor_rows(window), f"key long, doc_id {kind}, ref long")
     same = Window.partitionBy("key").orderBy("key")
     twice = anchors.withColumn("n", F.row_number().over(same)).withColumn("next", F.lead(F.lit(1)).over(same)).where((F.col("ref").bitwiseAND(1) == 1) | (F.col("n") > 1) | F.col("next").isNotNull())
     twice = twice.groupBy("doc_id").agg(F.collect_list(F.shiftright("ref", 1).cast("int")).alias("at"))
-    around = docs.join(twice, "doc_id").select("doc_id", "text", "tag", "at")
+    around = held.join(twice, "doc_id").select("doc_id", "body", "tag", "size", "at")
 
     stretches = around.mapInArrow(stretch_rows(window), f"c1 long, c2 long, doc_id {kind}, ref long, length int").withColumn("first", first_of("c1", "c2") & (F.col("length") > 0))
     fresh = stretches.where("first").groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
-    passages = docs.join(fresh, "doc_id").select("doc_id", "text", "tag", "spans").mapInArrow(passage_rows(window), f"h1 long, h2 int, doc_id {kind}, ref long")
+    passages = held.join(fresh, "doc_id").select("doc_id", "body", "tag", "size", "spans").mapInArrow(passage_rows(window), f"h1 long, h2 int, doc_id {kind}, ref long")
     again = passages.withColumn("first", first_of("h1", "h2") & (F.col("h2") >= 0)).where("not first").select("doc_id", "ref", F.lit(1).alias("length"))
 
     # an empty span for each document makes this an inner join too, which reads the same exchange
     none = docs.select("doc_id", F.lit(0).cast("long").alias("ref"), F.lit(0).alias("length"))
     gone = stretches.where("not first").select("doc_id", "ref", F.abs("length").alias("length")).union(again).union(none).groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
-    judged = docs.join(gone, "doc_id").select("doc_id", "text", "tag", "spans")
-    judged = judged.union(every.where("doc_id is null").select("doc_id", "text", "tag", F.lit(None).cast(spans)))
+    judged = held.join(gone, "doc_id").select("doc_id", "body", "tag", "size", "spans")
+    judged = judged.union(packed(every.where("doc_id is null")).select("doc_id", "body", "tag", "size", F.lit(None).cast(spans)))
     return judged.mapInArrow(removal_rows(window, keep_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
