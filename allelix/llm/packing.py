@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -180,12 +181,18 @@ class WordIds:
         return flat, np.diff(total[ends], prepend=0)
 
 
+@lru_cache(maxsize=1)
+def word_ids(tokenizer_path: str, end_id: int) -> WordIds:
+    """One for all tasks of a Python worker, so that common words are encoded once a worker; what it holds is bounded."""
+    return WordIds(load_tokenizer(tokenizer_path), end_id)
+
+
 def cut_documents(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, doc_id: str, text: str, keep_ids: bool) -> DataFrame:
     """Pieces of at most `capacity` ids, each with its rank among its task's pieces of the same length."""
     kind, names = df.schema[doc_id].dataType.simpleString(), ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank", *["ids"] * keep_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ranks, task = WordIds(load_tokenizer(tokenizer_path), end_id), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        words, ranks, task = word_ids(tokenizer_path, end_id), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             for low, high in runs_of(pc.binary_length(texts).to_numpy(zero_copy_only=False)):

@@ -96,7 +96,7 @@ class UnitCache:
     """What is known of units of text, in two generations: units seen since the last change of generation and before.
 
     Rare units go with their generation and common ones are carried over, so memory is bounded and little is encoded
-    twice. It belongs to one task: Python workers live on, and Spark keeps more of them than there are cores.
+    twice. Python workers live on, and Spark keeps more of them than there are cores: one that outlives its task must be small.
     """
 
     def __init__(self, encode: Callable[[list[str]], list], most: int = 600_000, longest: int = 48):
