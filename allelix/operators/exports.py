@@ -17,7 +17,7 @@ from ..functions.genotypes import natural_key, reference_code
 from ..functions.text import expand_url, parse_online_tool
 from ..plans.execution import Selection, ploidy_of, selection
 from ..plans.requests import SearchRequest
-from ..runtime import written
+from ..runtime import lookup, written
 from ..sources.dataset import Dataset
 from . import formats, matrix, resolution, tree
 
@@ -35,13 +35,22 @@ class Export:
     def names(self) -> list[str]:
         return self.chosen.names
 
+    @cached_property
+    def gathered(self) -> DataFrame:
+        """A row a variant; cells are by the number of their individual."""
+        return formats.resolved_rows(self.chosen.genotypes, self.names)
+
     @cached_property
     def resolved(self) -> DataFrame:
-        return resolution.majority(self.chosen.genotypes)
+        return self.by_name(self.gathered)
+
+    def by_name(self, gathered: DataFrame) -> DataFrame:
+        """Resolved genotypes, a row a cell with its individual."""
+        return resolution.cells_of(gathered).join(lookup(gathered.sparkSession, list(enumerate(self.names)), "k int, individual string"), "k")
 
     @cached_property
     def markers(self) -> DataFrame:
-        return formats.marker_table(self.chosen.variants, self.resolved, self.names, self.data.synonyms)
+        return formats.marker_table(self.chosen.variants, self.gathered, self.names, self.data.synonyms)
 
     @cached_property
     def sites(self) -> DataFrame:
@@ -85,9 +94,9 @@ def _eigenstrat(e: Export) -> dict[str, DataFrame]:
 
 
 def _baypass(e: Export) -> dict[str, DataFrame]:
-    resolved = resolution.by_count_values(e.chosen.genotypes)
+    resolved = formats.resolved_rows(e.chosen.genotypes, e.names, resolution.of_two_counts)
     found = formats.baypass(formats.marker_table(e.chosen.variants, resolved, e.names, e.data.synonyms), {i: p or "." for i, p in e.chosen.populations.items()})
-    return {"baypass": found["baypass"], "popnames": found["popnames"], "_snp.code": found["snpcode"], **e.remarks(None, resolved=resolved)}
+    return {"baypass": found["baypass"], "popnames": found["popnames"], "_snp.code": found["snpcode"], **e.remarks(None, resolved=e.by_name(resolved))}
 
 
 def _bed(e: Export) -> dict[str, DataFrame]:
@@ -101,10 +110,10 @@ def _vcf(e: Export) -> dict[str, DataFrame]:
     names = tuple(sorted({f for r in e.data.sites.select(F.explode("filters").alias("f")).distinct().collect() for f in r})) if e.data.sites is not None else ()
     fields = tuple(f for f in e.chosen.genotypes.columns if f not in {"variant_id", "project_id", "run_name", "callset_id", "individual", "population", "gt"})
     numbers = {f: int(n) for f, (n, _, _) in e.data.formats.items() if n.isdigit()}
-    found = resolution.majority(e.chosen.genotypes, fields)
-    keys = tuple(sorted(fields))
-    shown = found.withColumn("values", formats.vcf_fields(found, keys, numbers)) if keys else found
-    markers = formats.marker_table(e.chosen.variants, shown, e.names, e.data.synonyms, ("values",) if keys else ())
+    found, keys = formats.resolved_rows(e.chosen.genotypes, e.names, fields=fields), tuple(sorted(fields))
+    if keys:
+        found = found.select("variant_id", F.transform("cells", lambda c: F.struct(c["k"].alias("k"), c["gt"].alias("gt"), formats.vcf_fields(e.chosen.genotypes, keys, numbers, c.getField).alias("values"))).alias("cells"))
+    markers = formats.marker_table(e.chosen.variants, found, e.names, e.data.synonyms, ("values",) if keys else ())
     lines = formats.vcf(markers, e.names, None, fields, contigs, e.data.assembly, e.data.sites, names, numbers, e.data.formats)
     return {"vcf": lines, **e.remarks(_text("/"))}
 

@@ -17,7 +17,8 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, Int
 
 from ..functions.genotypes import allele_indexes, allele_strings, natural_key, reference_code, vcf_quality, vcf_value
 from ..runtime import lookup
-from .matrix import dense
+from .matrix import dense, placed
+from .resolution import gathered, most_frequent
 
 #: Fixed names and numbers of the formats.
 HAPMAP_HEADER = ("rs#", "alleles", "chrom", "pos", "strand", "assembly#", "center", "protLSID", "assayLSID", "panelLSID", "QCcode")
@@ -37,12 +38,22 @@ def site_table(variants: DataFrame, synonyms: DataFrame | None = None) -> DataFr
 
 
 def marker_table(variants: DataFrame, resolved: DataFrame, individuals: list[str], synonyms: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
-    """site_table with `gts`, all null where a variant has no genotypes, and arrays of more columns of the resolved genotypes."""
+    """site_table with `gts`, all null where a variant has no genotypes, and arrays of more columns of the resolved genotypes.
+
+    resolved: a row a cell, or a row a variant as `resolved_rows` gives them, which needs no further shuffle.
+    """
     nothing = F.array_repeat(F.lit(None).cast("string"), len(individuals))
-    found = site_table(variants, synonyms).join(dense(resolved, individuals, more), "variant_id", "left")
+    table = placed(resolved, len(individuals), more) if "cells" in resolved.columns else dense(resolved, individuals, more)
+    found = site_table(variants, synonyms).join(table, "variant_id", "left")
     return found.withColumns({c: F.coalesce(c, nothing) for c in ("gts", *more)})
 
 
+def resolved_rows(genotypes: DataFrame, individuals: list[str], rule: Callable = most_frequent, fields: tuple[str, ...] = ()) -> DataFrame:
+    """`resolution.gathered` of these individuals, by their numbers k: a row a variant, from one shuffle of genotypes."""
+    numbers = lookup(genotypes.sparkSession, list(enumerate(individuals)), "k int, individual string")
+    return gathered(genotypes.join(numbers, "individual").select("variant_id", "k", "gt", *fields), rule, fields, ("k",))
+
+
 def chrom() -> Column:
     return F.coalesce("chrom", F.lit("0"))
 
@@ -184,9 +195,9 @@ def no_value(field: str, numbers: dict[str, int] | None) -> str:
     return ",".join("." for _ in range((numbers or {}).get(field, 1)))
 
 
-def vcf_fields(fields: DataFrame, keys: tuple[str, ...], numbers: dict[str, int] | None = None) -> Column:
-    """The fields of a genotype, in order, as its text has them."""
-    return F.concat_ws(":", *[F.when(F.col(f).isNull(), no_value(f, numbers)).otherwise(vcf_value(F.col(f), fields.schema[f].dataType)) for f in keys])
+def vcf_fields(fields: DataFrame, keys: tuple[str, ...], numbers: dict[str, int] | None = None, of: Callable[[str], Column] = F.col) -> Column:
+    """The fields of a genotype, in order, as its text has them. of: where their values are; fields: a table with their types."""
+    return F.concat_ws(":", *[F.when(of(f).isNull(), no_value(f, numbers)).otherwise(vcf_value(of(f), fields.schema[f].dataType)) for f in keys])
 
 
 def vcf(

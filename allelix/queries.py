@@ -320,7 +320,7 @@ def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], dic
 def _markers(spark: SparkSession, sf_dir: str, individuals: list[str], of: str | None = None) -> DataFrame:
     variants = tables.variants(spark, sf_dir)
     variants = formats.FORMATS[of].accepts(variants) if of else variants
-    return formats.marker_table(variants, resolution.majority(tables.genotypes(spark, sf_dir)), individuals)
+    return formats.marker_table(variants, formats.resolved_rows(tables.genotypes(spark, sf_dir), individuals), individuals)
 
 
 _CELLS = (VARIANTS_SQL, GENOTYPES_SQL, CELLS_SQL)

@@ -482,3 +482,24 @@ def test_scores_of_the_tables_are_those_of_the_gram_matrix(spark):
     assert np.allclose(g_ @ s, s * (s**2).sum(0), atol=1e-1)
     head = next(r.line for r in queries.QUERIES["pca_lines"](spark, sf).collect() if r.line.startswith("#eigvals"))
     assert np.allclose([float(x) for x in head.split("\t")[1:]], np.sort(np.linalg.eigvalsh(g_))[::-1] / (n - 1), atol=1e-3)
+
+
+def test_genotypes_are_gathered_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"V{rng.integers(20)}", f"i{rng.integers(12)}", "p", str(rng.choice(["0/0", "0/1", "1/1"])) if rng.random() < 0.8 else None, int(rng.integers(50)) if rng.random() < 0.8 else None) for _ in range(900)]
+    df = spark.createDataFrame(rows, "variant_id string, individual string, population string, gt string, dp int")
+    want = {}
+    for v, i, _, gt, dp in rows:
+        of = want.setdefault((v, i), {})
+        if gt is not None:
+            n, most = of.get(gt, (0, None))
+            of[gt] = (n + 1, max((x for x in (most, dp) if x is not None), default=None))
+    best = lambda of: min(((-n, gt, dp) for gt, (n, dp) in of.items()), key=lambda x: x[:2])[1:] if of else (None, None)
+    tied = lambda of: len(of) > 1 and sorted(n for n, _ in of.values())[-2] == max(n for n, _ in of.values())
+    expected = {k: ((None, None) if tied(of) else best(of), len(of) > 1) for k, of in want.items()}
+    assert {(r.variant_id, r.individual): ((r.gt, r.dp), r.conflict) for r in resolution.majority(df, ("dp",)).collect()} == expected
+    names = [f"i{k}" for k in range(11)]
+    sites = spark.createDataFrame([(f"V{k}", "SNP", "1", k, k, ["A", "G"]) for k in range(20)], "variant_id string, type string, chrom string, start_site int, end_site int, alleles array<string>")
+    markers = formats.marker_table(sites, formats.resolved_rows(df, names), names)
+    assert {r.variant_id: r.gts for r in markers.collect()} == {f"V{k}": [expected.get((f"V{k}", n), ((None, None), False))[0][0] for n in names] for k in range(20)}
+    assert markers._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
