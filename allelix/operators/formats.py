@@ -106,21 +106,34 @@ def eigenstrat_individuals(people: DataFrame) -> DataFrame:
 
 def population_counts(markers: DataFrame, populations: dict[str, str]) -> DataFrame:
     """The markers with `counts`: reference and other alleles of each population in order; only 0/0, 1/1 and pairs with one 0 count."""
-    of = sorted(set(populations.values()))
-    where = [F.array(*[F.lit(k) for k, p in enumerate(populations.values()) if p == name]) for name in of]
+    names = list(populations.values())
+    of = sorted(set(names))
+    where = [F.array(*[F.lit(k) for k, p in enumerate(names) if p == name]) for name in of]
+    coded = markers.withColumn("_shares", F.transform("gts", allele_shares))
+    # each genotype is read once; where there is one population, no place needs to be looked up
+    total = lambda places: F.aggregate(places, F.lit(0).cast("long"), lambda s, k: s + F.get("_shares", k))
+    sums = F.array(*[total(w) for w in where]) if len(of) > 1 else F.array(F.aggregate("_shares", F.lit(0).cast("long"), lambda s, x: s + x))
+    halves = lambda s: F.array(s.bitwiseAND(F.lit(SHARE - 1).cast("long")).cast("int"), F.floor(s / SHARE).cast("int"))
+    return coded.withColumn("counts", F.flatten(F.transform(sums, halves))).drop("_shares")
 
-    def count(places: Column, f: Callable[[Column], Column]) -> Column:
-        return F.aggregate(places, F.lit(0), lambda s, k: s + F.coalesce(f(allele_indexes(F.element_at("gts", k + 1))), F.lit(0)))
 
-    zeros = lambda a: F.size(F.filter(a, lambda x: x == 0))
-    reference = lambda a: F.when(F.size(a) == 2, zeros(a)).otherwise(0)
-    other = lambda a: F.when(F.size(a) == 2, F.when(zeros(a) == 1, 1).when(F.forall(a, lambda x: x == 1), 2).otherwise(0)).otherwise(0)
-    return markers.withColumn("counts", F.flatten(F.array(*[F.array(count(w, reference), count(w, other)) for w in where])))
+#: Sums of allele_shares have the reference's count below this.
+SHARE = 1 << 26
+
+
+def allele_shares(gt: Column) -> Column:
+    """A genotype's reference alleles plus SHARE times its others; only 0/0, 1/1 and pairs with one 0 count."""
+    a = allele_indexes(gt)
+    zeros = F.size(F.filter(a, lambda x: x == 0))
+    other = F.when(zeros == 1, 1).when(F.forall(a, lambda x: x == 1), 2).otherwise(0)
+    found = F.when(F.size(a) == 2, zeros + other.cast("long") * SHARE).otherwise(F.lit(0).cast("long"))
+    return F.when(gt == "0/0", F.lit(2).cast("long")).when(gt == "0/1", F.lit(1 + SHARE).cast("long")).when(gt == "1/1", F.lit(2 * SHARE).cast("long")).otherwise(F.coalesce(found, F.lit(0).cast("long")))
 
 
 def baypass(markers: DataFrame, populations: dict[str, str]) -> dict[str, DataFrame]:
     """populations: that of each individual, in the order of the genotypes. Variants without any count are skipped."""
-    counted = population_counts(markers, populations).where(F.exists("counts", lambda c: c > 0))
+    # the condition is on genotypes, not on sums of them: Spark evaluates conditions early, and would make all sums there once more
+    counted = population_counts(markers.where(F.exists("gts", lambda g: allele_shares(g) > 0)), populations)
     names = markers.sparkSession.createDataFrame([(f"{k:06d}", p) for k, p in enumerate(sorted(set(populations.values())))], "ord string, line string")
     code = counted.select("ord", F.concat_ws(" ", "name", chrom(), pos(), F.array_join("alleles", " ")).alias("line"))
     return {

@@ -484,6 +484,26 @@ def test_scores_of_the_tables_are_those_of_the_gram_matrix(spark):
     assert np.allclose([float(x) for x in head.split("\t")[1:]], np.sort(np.linalg.eigvalsh(g_))[::-1] / (n - 1), atol=1e-3)
 
 
+def test_counts_of_populations_are_summed_once(spark):
+    codes = ["0/0", "0/1", "1/1", "0|1", "1|1", "0/2", "2/2", "1", None, "0/0/1"]
+    names = [f"i{k}" for k in range(len(codes))]
+    markers = formats.marker_table(placed(spark, "V", "W"), cells_of_names(spark, names, V=codes, W=[None] * len(codes)), names)
+    for of in (lambda k: "p", lambda k: f"p{k % 2}"):
+        populations = {n: of(k) for k, n in enumerate(names)}
+        lines = formats.baypass(markers, populations)["baypass"]
+        pairs = [(c or "").replace("|", "/").split("/") for c in codes]
+        share = lambda p: (p.count("0"), 1 if p.count("0") == 1 else 2 * (p == ["1", "1"])) if len(p) == 2 else (0, 0)
+        want = [str(sum(share(p)[side] for p, n in zip(pairs, names, strict=True) if populations[n] == q)) for q in sorted(set(populations.values())) for side in (0, 1)]
+        assert [r.line for r in lines.collect()] == [" ".join(want) + " "]
+        conditions = [line for line in lines._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+        assert conditions and not any("aggregate(" in line for line in conditions)
+
+
+def cells_of_names(spark, names, **variants):
+    rows = [(v, n, "p", c) for v, codes in variants.items() for n, c in zip(names, codes, strict=True)]
+    return spark.createDataFrame(rows, "variant_id string, individual string, population string, gt string")
+
+
 def test_genotypes_are_gathered_once(spark):
     rng = np.random.default_rng(3)
     rows = [(f"V{rng.integers(20)}", f"i{rng.integers(12)}", "p", str(rng.choice(["0/0", "0/1", "1/1"])) if rng.random() < 0.8 else None, int(rng.integers(50)) if rng.random() < 0.8 else None) for _ in range(900)]
