@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import lookup
@@ -85,19 +85,19 @@ def pack(variants: DataFrame, genotypes: DataFrame, entities: tuple[str, ...]) -
     cells = genotypes.where("gt is not null").join(numbers, "individual").select("variant_id", "project_id", "run_name", "k", "callset_id", "gt")
     # callsets of an entity within a run, one after the other: the first of each make a vector, the second another
     by = ["variant_id", "project_id", "run_name"]
-    run = cells.repartition("variant_id").groupBy(*by, "k").agg(F.sort_array(F.collect_list(F.struct("callset_id", "gt"))).alias("calls"))
-    layered = run.select(*by, "k", F.posexplode("calls").alias("layer", "call")).select(*by, "layer", F.floor(F.col("k") / WORD).cast("int").alias("w"), (F.col("k") % WORD).alias("at"), "call.gt")
-    parts = layered.groupBy(*by, "layer", "w").agg(F.collect_list(F.struct("at", "gt")).alias("cells"), F.collect_set("gt").alias("codes"))
-    vectors = parts.groupBy(*by, "layer").agg(F.collect_list(F.struct("w", "cells")).alias("parts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
-    numbered = F.transform("parts", lambda part: F.struct(part["w"].alias("w"), F.transform(part["cells"], lambda c: F.struct(c["at"].alias("at"), F.array_position("codes", c["gt"]).cast("int").alias("number"))).alias("cells")))
-    depth = F.floor(F.log2(F.size("codes"))).cast("int")
+    layer = F.row_number().over(Window.partitionBy(*by, "k").orderBy("callset_id", "gt")) - 1
+    layered = cells.repartition("variant_id").select(*by, layer.alias("layer"), "gt", F.floor(F.col("k") / WORD).cast("int").alias("w"), (F.col("k") % WORD).alias("at"))
+    # the bits of a code in a word are summed as integers, so what is gathered is a row for each of them
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    parts = layered.groupBy(*by, "layer", "gt", "w").agg(F.bit_or(F.call_function("shiftleft", one, F.col("at"))).alias("bits"))
+    vectors = parts.groupBy(*by, "layer").agg(F.sort_array(F.collect_list(F.struct("gt", "w", "bits"))).alias("parts")).withColumn("codes", F.array_distinct(F.transform("parts", lambda part: part["gt"])))
+    numbered = F.transform("parts", lambda part: F.struct(part["w"].alias("w"), part["bits"].alias("bits"), F.array_position("codes", part["gt"]).cast("int").alias("number")))
+    depth = F.floor(F.log2(F.size("codes"))).cast("int")
 
     def plane(p: Column) -> Column:
-        """The words of a plane: each adds up the bits of its entities' numbers, of which no two share one."""
-        has = lambda c: F.call_function("shiftright", c["number"], p).bitwiseAND(F.lit(1)) == 1
-        word = lambda part: F.aggregate(part["cells"], none, lambda s, c: F.when(has(c), s.bitwiseOR(F.call_function("shiftleft", one, c["at"]))).otherwise(s))
-        return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.aggregate(F.filter("numbered", lambda part: part["w"] == w), none, lambda _, part: word(part)))
+        """The words of a plane: each joins the bits of the codes whose numbers have the plane's."""
+        has = lambda part: F.call_function("shiftright", part["number"], p).bitwiseAND(F.lit(1)) == 1
+        return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.aggregate(F.filter("numbered", lambda part: (part["w"] == w) & has(part)), none, lambda s, part: s.bitwiseOR(part["bits"])))
 
     packed = vectors.withColumn("numbered", numbered).select("variant_id", F.struct("project_id", "run_name", "layer", "codes", F.transform(F.sequence(F.lit(0), depth), plane).alias("planes")).alias("run"))
     rows = packed.groupBy("variant_id").agg(F.sort_array(F.collect_list("run")).alias("runs"))

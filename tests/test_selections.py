@@ -246,3 +246,9 @@ def test_tetraploids_keep_their_alleles(spark):
     var = text(exports.export(data, "DARwin"), "var")
     assert var[:4] == ["@DARwin 5.0 - ALLELIC - 4", "4\t4", "N°", "\tm\tm\tm\tm"]
     assert var[4:] == ["1", "\t0\t0\t1\t1", "2", "\t0\t0\t0\t1", "3", "\t1\t1\t1\t1", "4", "\t-1\t-1\t-1\t-1"]
+
+
+def test_packing_gathers_codes_and_not_genotypes(spark):
+    data, _ = made(spark)
+    plan = vectors.pack(data.variants, data.genotypes, tuple(f"p{k}" for k in range(70)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 2 and "bit_or" in plan
