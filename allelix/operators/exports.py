@@ -62,6 +62,11 @@ class Export:
         """Where the pieces of unplaced markers begin."""
         return formats.unplaced_bounds(self.sites)
 
+    @cached_property
+    def digits(self) -> int:
+        """How much of a sequence is a piece."""
+        return formats.part_digits(self.sites)
+
     @cached_property
     def people(self) -> DataFrame:
         rows = [(i, p) for i, p in self.chosen.populations.items()]
@@ -131,7 +136,7 @@ def _plink(e: Export) -> dict[str, DataFrame]:
 
 
 def _pieces(e: Export, cells: Column, head: Callable[[str], str], separator: str, markers: DataFrame | None = None) -> DataFrame:
-    return formats.in_pieces(e.markers if markers is None else markers, e.names, cells, head, separator, e.bounds)
+    return formats.in_pieces(e.markers if markers is None else markers, e.names, cells, head, separator, e.bounds, e.digits)
 
 
 def _first(e: Export, *lines: str) -> DataFrame:
@@ -141,7 +146,7 @@ def _first(e: Export, *lines: str) -> DataFrame:
 
 def _flapjack(e: Export) -> dict[str, DataFrame]:
     rows = _pieces(e, formats.flapjack_cells(), str, "\t")
-    genotype = _first(e, "# fjFile = GENOTYPE").unionAll(formats.names_in_pieces(e.sites, 1, " 0001", "", e.bounds)).unionAll(rows)
+    genotype = _first(e, "# fjFile = GENOTYPE").unionAll(formats.names_in_pieces(e.sites, 1, " 0001", "", e.bounds, e.digits)).unionAll(rows)
     return {"genotype": genotype, "map": formats.flapjack_map(e.sites), "phenotype": formats.metadata_lines(e.people, "# fjFile = PHENOTYPE"), **e.remarks(_text("/", ""))}
 
 
@@ -150,7 +155,7 @@ def _darwin(e: Export) -> dict[str, DataFrame]:
     places = {name: str(k + 1) for k, name in enumerate(e.names)}
     rows = _pieces(e, formats.darwin_cells(ploidy), places.__getitem__, "\t", formats.with_codes(e.markers))
     size = e.sites.agg(F.concat_ws("\t", F.lit(len(e.names)), F.count("*") * ploidy).alias("text")).select(F.lit(" 0001").alias("ord"), F.lit("").alias("part"), "text")
-    var = _first(e, f"@DARwin 5.0 - ALLELIC - {ploidy}").unionAll(size).unionAll(formats.names_in_pieces(e.sites, ploidy, " 0002", "N°", e.bounds)).unionAll(rows)
+    var = _first(e, f"@DARwin 5.0 - ALLELIC - {ploidy}").unionAll(size).unionAll(formats.names_in_pieces(e.sites, ploidy, " 0002", "N°", e.bounds, e.digits)).unionAll(rows)
     return {"var": var, "don": formats.darwin_individuals(e.people, e.names), **e.remarks(_text("/", ""))}
 
 

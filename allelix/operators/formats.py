@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import floor, log10
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructType
@@ -251,8 +253,8 @@ def plink_map(markers: DataFrame) -> DataFrame:
     return markers.select("ord", F.concat_ws(" ", chrom(), "name", F.lit("0"), pos()).alias("line"))
 
 
-#: A part of an individual's line holds the markers of so many bases of a sequence, a power of ten.
-PART_DIGITS = 6
+#: A part of an individual's line holds the markers of so many bases of a sequence, a power of ten; of fewer where they lie close.
+PART_DIGITS, PART_MARKERS = 6, 20_000
 
 
 #: So many unplaced markers make a part.
@@ -277,9 +279,16 @@ def unplaced_bounds(sites: DataFrame, most: int = UNPLACED) -> list[str]:
     return [r["ord"] for r in unplaced.repartitionByRange("ord").sortWithinPartitions("ord").mapInPandas(every, "ord string").sort("ord").collect()]
 
 
-def marker_part(bounds: list[str] | None = None) -> Column:
+def part_digits(sites: DataFrame, most: int = PART_MARKERS) -> int:
+    """How many digits of a place a part leaves open, so that it has about `most` markers where these lie closest; PART_DIGITS at most. The driver gets one row."""
+    each = sites.where("start_site is not null").groupBy("chrom").agg(F.count("*").alias("n"), (F.max("start_site") - F.min("start_site") + 1).alias("span"))
+    closest = each.where(F.col("n") > most).agg(F.max(F.col("n") / F.col("span"))).first()[0]
+    return PART_DIGITS if closest is None else max(0, min(PART_DIGITS, floor(log10(most / closest)))) if most > closest else 0
+
+
+def marker_part(bounds: list[str] | None = None, digits: int = PART_DIGITS) -> Column:
     """The sequence and the leading digits of the place, whose order is that of the markers; of unplaced ones, also how many of the bounds they reach."""
-    part = F.regexp_extract("ord", rf"^(.* \d{{{20 - PART_DIGITS}}})\d{{{PART_DIGITS}}} ", 1)
+    part = F.regexp_extract("ord", rf"^(.* \d{{{20 - digits}}})\d{{{digits}}} ", 1)
     if bounds:
         reached = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("ord")))
         part = F.when(F.col("chrom").isNull(), F.concat(part, F.lit(" "), F.lpad(reached.cast("string"), 10, "0"))).otherwise(part)
@@ -299,15 +308,27 @@ def by_individual(markers: DataFrame, individuals: list[str], cells: Column, pie
     return parts.join(lookup(markers.sparkSession, list(enumerate(individuals)), "k int, individual string"), "k").select("individual", "k", *["part"] * pieces, "cells")
 
 
-def in_pieces(markers: DataFrame, individuals: list[str], cells: Column, head: Callable[[str], str], separator: str, bounds: list[str] | None = None) -> DataFrame:
+def in_pieces(markers: DataFrame, individuals: list[str], cells: Column, head: Callable[[str], str], separator: str, bounds: list[str] | None = None, digits: int = PART_DIGITS) -> DataFrame:
     """(ord, part, text) of individual-oriented lines, for exports whose lines hold more than a row should: texts of an ord, by part, are its line.
 
-    head: what stands before the cells of an individual; it is the part before all others. bounds: of unplaced markers.
+    head: what stands before the cells of an individual; it is the part before all others. bounds: of unplaced markers;
+    digits: part_digits. Markers are shuffled as they are, and turned around in batches: no cell is a row of its own.
     """
-    rows = by_individual(markers, individuals, cells, True, bounds)
-    key = F.lpad(F.col("k").cast("string"), 10, "0").alias("ord")
+    n, columns = len(individuals), ["ord", "part", "text"]
+    keys = pa.array([f"{k:010d}" for k in range(n)])
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(1).to_pylist()
+            begins = [k for k in range(len(parts)) if not k or parts[k] != parts[k - 1]]
+            for low, high in zip(begins, [*begins[1:], len(parts)], strict=True):
+                flat = batch.column(2).slice(low, high - low).flatten().to_pylist()
+                texts = [separator + separator.join(c for c in flat[k::n] if c is not None) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([keys, pa.array([f"p{batch.column(0)[low].as_py()}"] * n), pa.array(texts, pa.string())], columns)
+
+    rows = markers.select("ord", marker_part(bounds, digits).alias("part"), cells.alias("cells")).repartition("part").sortWithinPartitions("part", "ord")
     first = markers.sparkSession.createDataFrame([(f"{k:010d}", "", head(name)) for k, name in enumerate(individuals)], "ord string, part string, text string")
-    return first.unionAll(rows.select(key, F.concat(F.lit("p"), "part").alias("part"), F.concat(F.lit(separator), F.array_join("cells", separator)).alias("text")))
+    return first.unionAll(rows.mapInArrow(turn, "ord string, part string, text string"))
 
 
 def two_bases(missing: str) -> Column:
@@ -342,9 +363,9 @@ def names_line(markers: DataFrame, copies: int = 1) -> DataFrame:
     return markers.agg(F.concat(F.lit("\t"), F.array_join(F.flatten(F.transform(ordered, repeated)), "\t")).alias("names"))
 
 
-def names_in_pieces(markers: DataFrame, copies: int, ord: str, head: str, bounds: list[str] | None = None) -> DataFrame:
+def names_in_pieces(markers: DataFrame, copies: int, ord: str, head: str, bounds: list[str] | None = None, digits: int = PART_DIGITS) -> DataFrame:
     """names_line after `head` as pieces (ord, part, text), each of the markers of a stretch of a sequence."""
-    names = markers.select("ord", marker_part(bounds).alias("part"), F.array_join(F.array_repeat("name", copies), "\t").alias("name"))
+    names = markers.select("ord", marker_part(bounds, digits).alias("part"), F.array_join(F.array_repeat("name", copies), "\t").alias("name"))
     parts = names.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("names"))
     texts = parts.select(F.lit(ord).alias("ord"), F.concat(F.lit("p"), "part").alias("part"), F.concat(F.lit("\t"), F.array_join(F.transform("names", lambda n: n["name"]), "\t")).alias("text"))
     return markers.sparkSession.createDataFrame([(ord, "", head)], "ord string, part string, text string").unionAll(texts)

@@ -523,3 +523,18 @@ def test_genotypes_are_gathered_once(spark):
     markers = formats.marker_table(sites, formats.resolved_rows(df, names), names)
     assert {r.variant_id: r.gts for r in markers.collect()} == {f"V{k}": [expected.get((f"V{k}", n), ((None, None), False))[0][0] for n in names] for k in range(20)}
     assert markers._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
+
+
+def test_close_markers_make_smaller_parts_and_no_cell_is_a_row(spark):
+    rows = [(f"v{k:04d}", "SNP", "1", 1 + k % 100, 1 + k % 100, ["A", "G"]) for k in range(2000)]
+    v = spark.createDataFrame(rows, "variant_id string, type string, chrom string, start_site long, end_site long, alleles array<string>")
+    c = spark.createDataFrame([(f"v{k:04d}", n, "p", f"{(k + j) % 2}/1") for k in range(2000) for j, n in enumerate("ab")], "variant_id string, individual string, population string, gt string")
+    markers = formats.marker_table(v, c, ["a", "b"])
+    assert [formats.part_digits(formats.site_table(v), most) for most in (2000, 500, 200, 20, 3)] == [6, 1, 1, 0, 0]
+    pieces = formats.in_pieces(markers, ["a", "b"], F.col("gts"), str, " ", digits=1)
+    assert "Generate" not in pieces._jdf.queryExecution().optimizedPlan().toString()
+    found = pieces.orderBy("ord", "part").collect()
+    assert max(r.text.count("/") for r in found) <= 200
+    order = sorted(range(2000), key=lambda k: (k % 100, k))
+    for j, name in enumerate("ab"):
+        assert "".join(r.text for r in found if r.ord == f"{j:010d}") == " ".join([name, *[f"{(k + j) % 2}/1" for k in order]])
