@@ -87,6 +87,8 @@ MARKS = ".,;:!?"
 LETTERS = pa.array([c for c in map(chr, range(0x250)) if c.isalpha()])
 #: Stands between words that are encoded together.
 BETWEEN, TOGETHER = ";", 128
+#: Bytes of the texts whose ids a task makes at once (or one longer text); its arrays take some thirty times as much.
+RUN_BYTES = 1_000_000
 
 
 def cuts_at_marks(tokenizer) -> bool:
@@ -116,7 +118,7 @@ class WordIds:
     follows. What is known of words is kept as bytes, four little-endian ones an id.
     """
 
-    def __init__(self, tokenizer, end_id: int, most: int = 400_000):
+    def __init__(self, tokenizer, end_id: int, most: int = 200_000):
         self.tokenizer, self.end_id, self.cuts = tokenizer, end_id, cuts_at_marks(tokenizer)
         self.between = tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.cache = UnitCache(self.encode, most)
@@ -195,7 +197,7 @@ def cut_documents(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int
         words, ranks, task = word_ids(tokenizer_path, end_id), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for low, high in runs_of(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+            for low, high in runs_of(pc.binary_length(texts).to_numpy(zero_copy_only=False), RUN_BYTES):
                 flat, sizes = words.of_texts(texts.slice(low, high - low))
                 n = -(-sizes // capacity)  # every document has a piece, since it has an end
                 doc = np.repeat(np.arange(len(sizes)), n)
