@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, runs_of
-from .tokens import UNSURE, UnitCache, load_tokenizer
+from .tokens import UNSURE, load_tokenizer
 
 
 def fill(lengths: dict[int, int], gap: int) -> dict[int, int]:
@@ -87,8 +87,10 @@ MARKS = ".,;:!?"
 LETTERS = pa.array([c for c in map(chr, range(0x250)) if c.isalpha()])
 #: Stands between words that are encoded together.
 BETWEEN, TOGETHER = ";", 128
-#: Bytes of the texts whose ids a task makes at once (or one longer text); its arrays take some thirty times as much.
-RUN_BYTES = 1_000_000
+#: Bytes of the texts whose words a task tells apart at once, and of those whose ids it makes at once (or one longer
+#: text). The first are looked up by their distinct words, which are fewer the more texts there are; the arrays of the
+#: second take some twenty times as much.
+RUN_BYTES, PART_BYTES = 8_000_000, 1_000_000
 
 
 def cuts_at_marks(tokenizer) -> bool:
@@ -105,9 +107,53 @@ def heads_and_marks(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     """What words are encoded as: without the marks at their ends, lower-cased where that is sure, and those marks."""
     head = pc.utf8_rtrim(words, characters=MARKS)
     cut = pc.and_(pc.less(pc.binary_length(head), pc.binary_length(words)), pc.is_in(pc.utf8_slice_codeunits(head, start=-1), value_set=LETTERS))
-    marks = pc.if_else(cut, pc.struct_field(pc.extract_regex(words, f"(?P<marks>[{MARKS}]*)$"), "marks"), "")
+    marks = pc.struct_field(pc.extract_regex(words.filter(cut), f"(?P<marks>[{MARKS}]*)$"), "marks")
     head = pc.if_else(cut, head, words)
-    return pc.if_else(pc.ascii_is_alpha(head), pc.ascii_lower(head), head), marks
+    return pc.if_else(pc.ascii_is_alpha(head), pc.ascii_lower(head), head), pc.replace_with_mask(pa.repeat("", len(words)), cut, marks)
+
+
+def stretches(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of a pool one after the other."""
+    total = np.cumsum(size)
+    return pool[np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+
+
+class KnownWords:
+    """The ids of words, those of at most `most` words kept from call to call.
+
+    Arrays hold them, some forty bytes a word: Python workers live on, Spark keeps more of them than there are cores,
+    and what they keep counts in the executor's memory during all that follows. When there are too many, the half
+    that was asked for most often stays, by counts that are halved each time.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int, longest: int = 48):
+        self.encode, self.most, self.longest = encode, most, longest
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.sizes, self.asked = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where those of each word begin and how many they are."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = at < 0
+        self.asked[at[~unknown]] += 1
+        new = words.filter(pa.array(unknown))
+        ids, sizes = self.encode(new.to_pylist())
+        at[unknown] = len(self.words) + np.arange(len(new))
+        ids, sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        starts = np.cumsum(sizes) - sizes
+        self.keep(new, ids, starts, sizes)
+        return ids, starts[at], sizes[at]
+
+    def keep(self, new: pa.Array, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        asked = np.concatenate([self.asked, np.ones(len(new), np.int32)])
+        asked[len(self.words) :][pc.greater(pc.utf8_length(new), self.longest).to_numpy(zero_copy_only=False)] = 0
+        words, stay = pa.concat_arrays([self.words, new]), np.flatnonzero(asked)
+        if len(stay) > self.most:
+            stay = np.sort(stay[np.argsort(-asked[stay], kind="stable")[: self.most // 2]])
+            asked = (asked + 1) // 2
+        if len(stay) < len(words):
+            words, asked, ids, sizes = words.take(pa.array(stay)), asked[stay], stretches(ids, starts[stay], sizes[stay]), sizes[stay]
+        self.words, self.ids, self.sizes, self.asked = words, ids, sizes, asked
 
 
 class WordIds:
@@ -115,72 +161,58 @@ class WordIds:
 
     Holds for tokenizers that drop white space and never join over it, such as word_bpe_49k.json. Of a tokenizer that
     cuts_at_marks, words are encoded in two parts, so that a word costs once however it is written and whatever mark
-    follows. What is known of words is kept as bytes, four little-endian ones an id.
+    follows.
     """
 
-    def __init__(self, tokenizer, end_id: int, most: int = 200_000):
+    def __init__(self, tokenizer, end_id: int, most: int = 400_000):
         self.tokenizer, self.end_id, self.cuts = tokenizer, end_id, cuts_at_marks(tokenizer)
         self.between = tokenizer.encode(BETWEEN, add_special_tokens=False).ids
-        self.cache = UnitCache(self.encode, most)
-
-    def encode_alone(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; words without white space go together, with a mark between that is one id."""
-        if len(self.between) != 1:
-            return self.encode_alone(words)
-        out: list[bytes] = []
-        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            at = np.flatnonzero(ids == self.between[0])
-            if len(at) != len(group) - 1:  # a word holds that id itself
-                out += self.encode_alone(group)
-                continue
-            data, ends = ids.tobytes(), [*(at * 4).tolist(), 4 * len(ids)]
-            out += [data[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
-        return out
-
-    def pool(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of some words one after the other, and where each word's begin and how many they are."""
-        listed = words.to_pylist()
-        found = list(map(self.cache.lookup([listed]), listed))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, sizes
-
-    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts one after the other, each with the end id, and how many each has."""
-        unsure = np.flatnonzero(pc.match_substring_regex(texts, UNSURE.pattern).to_numpy(zero_copy_only=False))
-        out, at = [], 0
-        for k in [*unsure.tolist(), len(texts)]:
-            if k > at:
-                out.append(self.of_sure_texts(texts.slice(at, k - at)))
-            if k < len(texts):
-                ids = self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids
-                out.append((np.array([*ids, self.end_id], "<u4"), np.array([len(ids) + 1])))
-            at = k + 1
+        self.known = KnownWords(self.encode, most)
+
+    def encode_alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has; words go together, with a mark between that is one id."""
+        out, groups = [(np.zeros(0, "<u4"), np.zeros(0, np.int64))], [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for k in range(0, len(groups), TOGETHER):  # what is found is large until it is an array
+            some = groups[k : k + TOGETHER]
+            for group, found in zip(some, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, "<u4")
+                at = np.flatnonzero(ids == self.between[0])
+                if len(self.between) != 1 or len(at) != len(group) - 1:  # a word holds that id itself
+                    out.append(self.encode_alone(group))
+                else:
+                    out.append((np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1))
         flat, sizes = zip(*out, strict=True)
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def of_sure_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.utf8_split_whitespace(texts)
+    def of_texts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of some texts at a time, their ids one after the other, each with the end id, and how many each has."""
+        unsure = pc.match_substring_regex(texts, UNSURE.pattern)
+        whole = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for t in texts.filter(unsure).to_pylist()]
+        split = pc.utf8_split_whitespace(pc.if_else(unsure, BETWEEN, texts))  # any word: texts that are unsure are one, whose ids follow
         offsets, coded = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
-        distinct, which = coded.dictionary, coded.indices.to_numpy()
-        heads, marks = (x.dictionary_encode() for x in (heads_and_marks(distinct) if self.cuts else (distinct, pa.array([""] * len(distinct), pa.string()))))
-        (ids, starts, sizes), (more, more_starts, more_sizes) = self.pool(heads.dictionary), self.pool(marks.dictionary)
-        head, mark = heads.indices.to_numpy()[which], marks.indices.to_numpy()[which]
-        # each word is two stretches of the pool, and each text ends with the end id
-        ends = 2 * (offsets[1:] - offsets[0]) + np.arange(len(texts))
-        begin, length = np.empty(2 * len(which) + len(texts), np.int64), np.empty(2 * len(which) + len(texts), np.int64)
-        of_words = np.ones(len(begin), bool)
-        of_words[ends] = False
-        begin[of_words] = np.column_stack([starts[head], len(ids) + more_starts[mark]]).ravel()
-        length[of_words] = np.column_stack([sizes[head], more_sizes[mark]]).ravel()
-        begin[ends], length[ends] = len(ids) + len(more), 1
-        total = np.cumsum(length)
-        flat = np.concatenate([ids, more, np.array([self.end_id], "<u4")])[np.repeat(begin - (total - length), length) + np.arange(total[-1])]
-        return flat, np.diff(total[ends], prepend=0)
+        offsets, which, distinct = offsets - offsets[0], coded.indices.to_numpy().copy(), coded.dictionary
+        del split, coded
+        which[offsets[:-1][unsure.to_numpy(zero_copy_only=False)]] = len(distinct) + 1 + np.arange(len(whole))
+        pool, sizes = self.of_words(distinct)
+        pool = np.concatenate([pool, np.array([self.end_id], "<u4"), *whole])
+        sizes = np.concatenate([sizes, [1], np.fromiter(map(len, whole), np.int64, len(whole))])
+        starts = np.cumsum(sizes) - sizes
+        for low, high in runs_of(pc.binary_length(texts).to_numpy(zero_copy_only=False), PART_BYTES):
+            ends = offsets[low + 1 : high + 1] - offsets[low]
+            words = np.insert(which[offsets[low] : offsets[high]], ends, len(distinct))  # each text ends with the end id
+            size = sizes[words]
+            yield stretches(pool, starts[words], size), np.diff(np.cumsum(size)[ends + np.arange(len(ends))], prepend=0)
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        heads, marks = (x.dictionary_encode() for x in (heads_and_marks(words) if self.cuts else (words, pa.repeat("", len(words)))))
+        ids, starts, sizes = self.known.lookup(pa.concat_arrays([heads.dictionary, marks.dictionary]))
+        parts = np.column_stack([heads.indices.to_numpy(), len(heads.dictionary) + marks.indices.to_numpy()])
+        return stretches(ids, starts[parts].ravel(), sizes[parts].ravel()), sizes[parts].sum(axis=1)
 
 
 @lru_cache(maxsize=1)
@@ -197,21 +229,23 @@ def cut_documents(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int
         words, ranks, task = word_ids(tokenizer_path, end_id), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
+            first = 0
             for low, high in runs_of(pc.binary_length(texts).to_numpy(zero_copy_only=False), RUN_BYTES):
-                flat, sizes = words.of_texts(texts.slice(low, high - low))
-                n = -(-sizes // capacity)  # every document has a piece, since it has an end
-                doc = np.repeat(np.arange(len(sizes)), n)
-                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * capacity
-                length = np.minimum(sizes[doc] - start, capacity)
-                ends = np.cumsum(length)
-                rank, crc = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
-                for k, (a, b, size) in enumerate(zip((ends - length).tolist(), ends.tolist(), length.tolist(), strict=True)):
-                    crc[k], rank[k] = zlib.crc32(flat[a:b]), ranks[size]
-                    ranks[size] += 1
-                columns = [batch.column(0).take(pa.array(low + doc)), *map(pa.array, (start, length, crc, sizes[doc], np.full(len(doc), task, np.int32), rank))]
-                if keep_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int32))))
-                yield pa.RecordBatch.from_arrays(columns, names)
+                for flat, sizes in words.of_texts(texts.slice(low, high - low)):
+                    n = -(-sizes // capacity)  # every document has a piece, since it has an end
+                    doc = np.repeat(np.arange(len(sizes)), n)
+                    start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * capacity
+                    length = np.minimum(sizes[doc] - start, capacity)
+                    ends = np.cumsum(length)
+                    rank, crc = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+                    for k, (a, b, size) in enumerate(zip((ends - length).tolist(), ends.tolist(), length.tolist(), strict=True)):
+                        crc[k], rank[k] = zlib.crc32(flat[a:b]), ranks[size]
+                        ranks[size] += 1
+                    columns = [batch.column(0).take(pa.array(first + doc)), *map(pa.array, (start, length, crc, sizes[doc], np.full(len(doc), task, np.int32), rank))]
+                    if keep_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int32))))
+                    first += len(sizes)
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long" + ", ids array<int>" * keep_ids
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)

@@ -6,13 +6,16 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_operators import DOCS, clashing, components_by_force, documents, family, rows, sets_of
 
-from allelix.llm import audit, chat, common, fim, jaccard_join, near_dups, quality, queries, secret_scan, urls
+from allelix.llm import audit, chat, common, fim, jaccard_join, near_dups, packing, quality, queries, secret_scan, tokens, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -303,3 +306,62 @@ def test_light_groups_are_whole(monkeypatch):
         tags = [set(f["tag"]) for f, _ in found]
         assert all(not a & b for a, b in zip(tags, tags[1:], strict=False))
         assert all(len(set(zip(f["tag"], numbers, strict=True))) == f["tag"].nunique() for f, numbers in found)
+
+
+# Packing
+
+
+class Counted:
+    """A tokenizer that counts the words it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.words += sum(len(t.replace(f" {packing.BETWEEN} ", " ").split()) for t in texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def spelled(n):
+    """Some distinct word for each number."""
+    return "q" + "".join(chr(97 + int(c, 36) % 26) + ("z" if int(c, 36) > 25 else "") for c in np.base_repr(n, 36).lower())
+
+
+def test_known_words_are_encoded_once_and_kept_in_little_memory():
+    counted = Counted(tokens.load_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    texts = [" ".join(map(spelled, range(k, k + 500))) for k in range(0, 250_000, 500)]
+    distinct = len({w for t in texts for w in t.split()})
+    words = packing.WordIds(counted, 1)
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    for k in range(0, len(texts), 50):
+        list(words.of_texts(pa.array(texts[k : k + 50])))
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert kept < 80 * distinct
+    for k in range(0, len(texts), 50):
+        list(words.of_texts(pa.array(texts[k : k + 50])))
+    assert counted.words <= distinct + 100
+
+
+@pytest.mark.parametrize(("most", "part"), [(400_000, 1_000_000), (40, 1_000_000), (0, 1), (7, 300)])
+def test_ids_of_texts_are_the_tokenizers(monkeypatch, most, part):
+    monkeypatch.setattr(packing, "PART_BYTES", part)
+    tokenizer, rng = tokens.load_tokenizer(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
+    some = ["the", "The", "THE,", "end.", "it's", "don't!?", "a;b", ";", ";;", "École,", "e\u0301t\u00e9", "\u0130x", "x1y22", "word" * 30, ",", "...", "\U0001f600", "<unk>", "\u4e2d\u6587"]
+    odd = ["", " ", "\n\t ", "a\u00a0b\u3000c", "one\x1ctwo", "\x85", "x\u180ey end.", "\x1c", " lead", "trail ", "the " * 3000]
+    texts = [*odd, *(rng.choice([" ", "  ", "\n"]).join(rng.choices(some, k=rng.randrange(40))) for _ in range(300))]
+    words = packing.WordIds(tokenizer, 1, most)
+    for _ in range(3):
+        rng.shuffle(texts)
+        for k in range(0, len(texts), 60):
+            batch = texts[k : k + 60]
+            found = [(list(flat), list(sizes)) for flat, sizes in words.of_texts(pa.array(["cut off", *batch]).slice(1))]
+            want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in batch]
+            assert [i for flat, _ in found for i in flat] == [i for ids in want for i in ids]
+            assert [n for _, sizes in found for n in sizes] == list(map(len, want))
+            assert len(words.known.words) == len(words.known.sizes) == len(words.known.asked) <= most
+            assert words.known.sizes.sum() == len(words.known.ids)
