@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,11 @@ def sub_batches(texts: Iterable[str | bytes | None], most_chars: int = 1_000_000
         yield held
 
 
+def give_back() -> None:
+    """Give back the pages that this process has freed: Python workers live on through the stages that follow a task."""
+    pa.system_memory_pool().release_unused()
+
+
 def runs_of(sizes: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows whose sizes add up to at most so much, or of one row."""
     low, total = 0, np.cumsum(sizes)

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sub_batches
+from .common import Scratch, give_back, sub_batches
 
 TERM = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
@@ -446,5 +446,6 @@ def leaks_of(shared: Broadcast) -> Callable[[Column], Column]:
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([bool(found) for texts in sub_batches(batch) for found in shared.value.matches(texts)], dtype=bool)
+        give_back()
 
     return leaks

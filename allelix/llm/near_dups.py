@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mixed, sub_batches, whole_groups, word_hashes
+from .common import Scratch, give_back, mixed, sub_batches, whole_groups, word_hashes
 from .components import connected_components
 
 CHUNKS, IN_CHUNK = 10, 4
@@ -92,6 +92,7 @@ def sign(df: DataFrame, size: int) -> DataFrame:
                 columns = [batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(chunks[:, k], pa.int64(), mask=none) for k in range(CHUNKS)]], ["doc_id", "text_key", "n", "set_hash", *SIGNATURE])
                 at += len(texts)
+        give_back()
 
     kind = df.schema["doc_id"].dataType.simpleString()
     return df.select("doc_id", "text_key", "text").mapInArrow(signed, f"doc_id {kind}, text_key long, n long, set_hash binary, " + ", ".join(f"{s} long" for s in SIGNATURE))
@@ -264,6 +265,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 right = pa.array([hashlib.blake2b(s, digest_size=16).digest() == d.as_py() for s, d in zip(sets, batch.column(2).slice(at), strict=False)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([names.slice(at, len(texts)), pa.array(sets, pa.binary())], ["sid", "shingles"]).filter(right)
                 at += len(texts)
+        give_back()
 
     texts = docs.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["sid"]).select("sid", "text", "set_hash")
     return texts.mapInArrow(gather, "sid long, shingles binary")

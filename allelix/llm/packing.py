@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, runs_of
+from .common import Scratch, give_back, runs_of
 from .tokens import UNSURE, load_tokenizer
 
 
@@ -246,6 +246,7 @@ def cut_documents(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int
                         columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int32))))
                     first += len(sizes)
                     yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long" + ", ids array<int>" * keep_ids
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)

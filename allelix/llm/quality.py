@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import give_back, without
 
 SYMBOLS = "#*$%&|<>"
 
@@ -216,10 +216,12 @@ def judge_quality(df: DataFrame, text: str = "text", rules: LineRules = LineRule
                 cleaned, bad, lost = clean_lines(t, rules)
                 rows.append((len(words), chars, sum(map(t.count, SYMBOLS)), repeated_lines(t), repeated_words(words), bad, lost, cleaned if bad else None))
             yield pd.DataFrame(rows, columns=[*names, "cleaned"])
+        give_back()
 
+    once = measured.asNondeterministic()  # else a condition on what comes out measures every text a second time, in workers of its own
     own = [*names[:-1], "base_failed", "kept", "cleaned"]
     rest = without(df, own)
-    found = df.select(*rest, F.col(text).alias("_text"), measured(F.coalesce(text, F.lit(""))).alias("_m"))
+    found = df.select(*rest, F.col(text).alias("_text"), once(F.coalesce(text, F.lit(""))).alias("_m"))
     failed = (F.col("_m.n_words") < least_words) | (100 * F.col("_m.n_repeat_words") > most_repeated_percent * F.col("_m.n_words"))
     kept = ~failed & (F.col("_m.lost_chars") <= rules.most_lost * F.col("_m.word_chars"))
     return found.select(*rest, *[f"_m.{n}" for n in names[:-1]], failed.alias("base_failed"), kept.alias("kept"), F.coalesce("_m.cleaned", "_text").alias("cleaned"))

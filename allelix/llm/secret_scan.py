@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import give_back, without
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 #: Maximal runs, of which only those long enough count, so the shortest length may stand in the pattern.
@@ -184,6 +184,7 @@ def scan_secrets(df: DataFrame, text: str = "text", classes: tuple[CharClass, ..
                 n = [sum(s[2] == k for s in base) for k in BASE_KINDS]
                 rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), redact(t, every, mask) if every else None))
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
+        give_back()
 
     own = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"]
     rest = without(df, own)
